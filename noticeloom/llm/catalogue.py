@@ -1,6 +1,9 @@
 """Queries of the operators in this subpackage, and the same in SQL where SQL can express them."""
 
-from noticeloom.llm import substring_dedup
+from noticeloom.llm import ngram_join, substring_dedup
 
-QUERIES = {"op5_substring_dedup": substring_dedup.op5_substring_dedup}
+QUERIES = {
+    "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+}
 ORACLES: dict[str, str] = {}
