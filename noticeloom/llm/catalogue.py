@@ -1,9 +1,11 @@
 """Queries of the operators in this subpackage, and the same in SQL where SQL can express them."""
 
-from noticeloom.llm import ngram_join, substring_dedup
+from noticeloom.llm import ngram_join, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLES: dict[str, str] = {}
