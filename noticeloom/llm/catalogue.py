@@ -1,12 +1,13 @@
 """Queries of the operators in this subpackage, and the same in SQL where SQL can express them."""
 
-from noticeloom.llm import ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from noticeloom.llm import decontaminate, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }

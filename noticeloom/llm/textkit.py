@@ -18,6 +18,8 @@ BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, size=256, dtype=np.uint64) | U(1)
 LOWER = VALUES.copy()
 LOWER[65:91] = VALUES[97:123]
@@ -83,9 +85,9 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(self.first)
 
-    def hashes(self, lower: bool = False, values: np.ndarray | None = None) -> np.ndarray:
-        """A hash of each word; lower: with A-Z as a-z."""
-        values = values if values is not None else LOWER if lower else VALUES
+    def hashes(self, lower: bool = False, bare: bool = False) -> np.ndarray:
+        """A hash of each word; lower: with A-Z as a-z; bare: without ASCII punctuation at either end, if a word is left."""
+        values = LOWER if lower else VALUES
         out = np.zeros(len(self.start), dtype=np.uint64)
         i = 0
         while i < len(self.start):  # by bytes, so that a long row takes no more memory than others
@@ -93,11 +95,22 @@ class Words:
             lo, hi = int(self.start[i]), int(self.end[j - 1])
             sums = prefix(values[self.data[lo:hi]])
             s, e = self.start[i:j] - lo, self.end[i:j] - lo
+            if bare:
+                s, e = without_punctuation(self.data[lo:hi], s, e)
             out[i:j] = mix((sums[e] - sums[s]) * powers(BASE_INV, hi - lo)[s] + (e - s).astype(np.uint64))
             i = j
         return out
 
 
+def without_punctuation(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges without ASCII punctuation at their ends; those of punctuation alone stay."""
+    plain = np.r_[np.flatnonzero(~PUNCTUATION[data]), len(data)]
+    first = plain[np.searchsorted(plain, start)]
+    last = plain[np.maximum(np.searchsorted(plain, end) - 1, 0)] + 1
+    whole = first < end
+    return np.where(whole, first, start), np.where(whole, last, end)
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values times powers of the base."""
     sums = np.zeros(len(values) + 1, dtype=np.uint64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import BASE_INV, LOWER, U, Words, chunks, mix, powers, prefix, text_bytes
+from noticeloom.llm.textkit import BASE_INV, LOWER, U, Words, chunks, mix, powers, prefix, text_bytes, without_punctuation
 
 # Groups of identity terms; a counterfactual takes the next term of the same group.
 IDENTITY = (
@@ -29,8 +29,6 @@ TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, NEXT), key=len,
 SENTENCE = re.compile(r"[^.!?\n]+")
 BITS = 18
 PREFIXES = (4, 5, 6)
-STRIP = np.zeros(256, dtype=bool)
-STRIP[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 # Capitals of the Latin-1 letters are the lower-case ones less 32, in UTF-8 too: C3 80..9E and C3 A0..BE.
 FIT = "weights binary, intercept double, rows long, pairs long"
 
@@ -66,16 +64,11 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
             j = max(i + 1, int(np.searchsorted(words.end, words.start[i] + (1 << 20), side="right")))
             base, stop = int(words.start[i]), int(words.end[j - 1])
             part = text[base:stop]
-            plain = np.r_[np.flatnonzero(~STRIP[part]), len(part)]  # a feature begins and ends at a byte that isn't punctuation
-            s, e = words.start[i:j] - base, words.end[i:j] - base
-            s = np.minimum(plain[np.searchsorted(plain, s)], e)
-            last = plain[np.maximum(np.searchsorted(plain, e) - 1, 0)]
-            e = np.maximum(np.where(last < e, last + 1, s), s)
+            s, e = without_punctuation(part, words.start[i:j] - base, words.end[i:j] - base)
             sums, inverse = prefix(LOWER[part]), powers(BASE_INV, stop - base)
             got = row[i:j]
-            whole = e > s
             for kind, length in enumerate((0, *PREFIXES)):
-                use = whole if not length else e - s >= length
+                use = e - s >= max(1, length)
                 end = e[use] if not length else s[use] + length
                 code = mix((sums[end] - sums[s[use]]) * inverse[s[use]] + U(kind + 1))
                 rows.append(got[use])
