@@ -1,8 +1,9 @@
 """Queries of the operators in this subpackage, and the same in SQL where SQL can express them."""
 
-from noticeloom.llm import decontaminate, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from noticeloom.llm import decontaminate, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
@@ -11,4 +12,4 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL}
