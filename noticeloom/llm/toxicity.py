@@ -54,8 +54,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def features(column) -> tuple[np.ndarray, np.ndarray]:
     """(rows, features): the distinct features of each row, by row."""
     data, at = text_bytes(column)
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [np.zeros(0, np.int64)]
     for lo, hi in chunks(at):
+        keys = [np.zeros(0, np.int64)]
         words = Words(data, at[lo : hi + 1])
         text = lowered(words.data)
         row = np.repeat(np.arange(lo, hi), words.count)
@@ -71,11 +72,11 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
                 use = e - s >= max(1, length)
                 end = e[use] if not length else s[use] + length
                 code = mix((sums[end] - sums[s[use]]) * inverse[s[use]] + U(kind + 1))
-                rows.append(got[use])
-                found.append((code >> U(64 - BITS)).astype(np.int64))
+                keys.append(np.unique(got[use] << BITS | (code >> U(64 - BITS)).astype(np.int64)))
             i = j
-    key = np.unique(np.concatenate(rows) << BITS | np.concatenate(found))
-    return key >> BITS, key & ((1 << BITS) - 1)
+        out.append(np.unique(np.concatenate(keys)))
+    key = np.concatenate(out)
+    return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
 
 
 class Rows:
