@@ -1,10 +1,11 @@
 """Queries of the operators in this subpackage, and the same in SQL where SQL can express them."""
 
-from noticeloom.llm import decontaminate, importance, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from noticeloom.llm import decontaminate, importance, mixing, ngram_join, pii, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_importance_resampling": importance.op1_importance_resampling,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_pii_weak_supervision": pii.op3_pii_weak_supervision,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
