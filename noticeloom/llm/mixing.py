@@ -109,12 +109,15 @@ def taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The documents that the mix takes: their columns (doc_id, text, source among them) and copies, size and taken."""
+    """The documents that the mix takes: their columns (doc_id, text, source among them), mix_size, mix_copies and mix_taken.
+
+    Columns of docs whose names begin with mix_ give way.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = sized(docs, seed, "doc_id", "text", "source", None)
     names = [F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_id").alias("id"), F.col("mix_key").alias("key")]
     cuts = source_cuts(rows.select(*names).checkpoint(), cycle, share, most)
-    out = taken(rows.select(F.struct(*docs.columns).alias("doc"), *names), cuts).filter(F.col("copies") > 0)
+    out = taken(rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_"))).alias("doc"), *names), cuts).filter(F.col("copies") > 0)
     return out.select("doc.*", F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
 
 

@@ -206,5 +206,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without those whose score is 0.5 or more; their columns stay as they are. Labels are learned as in toxicity."""
+    weights, intercept = fit_toxicity(docs, labels.filter(~held_out()), text_col=text_col, **options)
+    held, place = np.flatnonzero(weights), docs.columns.index(text_col)
+    value = weights[held]
+
+    def keep(batches):
+        w = np.zeros(1 << BITS)
+        w[held] = value
+        for batch in batches:
+            row, column = features(batch.column(place))
+            yield batch.filter(pa.array(np.bincount(row, weights=w[column], minlength=batch.num_rows) + intercept < 0))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

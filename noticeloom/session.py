@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return held
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeloom-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished jobs deleted: they stay until the driver collects its garbage, which may be long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
