@@ -58,8 +58,13 @@ def contract_day(basis: Column, start: Column, end: Column, verification: Column
     return F.when(verification == "official", F.coalesce(fixed, ongoing, ranged))
 
 
-def recognised_months(start: Column, day: Column, adult: Column, cap_day: Column) -> Column:
-    """Account months with caps: at most 24 before cap_day's rule for minors, at most 60 before adulthood."""
+def recognised_months(start: Column, birth: Column, day: Column) -> Column:
+    """Account months that count: of those before the age of 19 the last five years, before 2024 the last two.
+
+    Null where the dates are out of order. The part that counts is one interval, so no month is cut in two.
+    """
+    adult = F.add_months(birth, 12 * 19)
     minor_end = F.least(adult, day)
-    from_day = F.greatest(start, F.when(adult <= cap_day, F.add_months(adult, -24)).otherwise(F.add_months(minor_end, -60)))
-    return full_months(F.least(from_day, day), day)
+    old_end = F.least(minor_end, F.lit("2024-01-01").cast("date"))
+    begin = F.when(start >= adult, start).otherwise(F.greatest(start, F.add_months(old_end, -24), F.add_months(minor_end, -60)))
+    return F.when((birth <= start) & (start <= day) & (birth <= day), full_months(begin, day))

@@ -81,32 +81,34 @@ def fingerprint(title: Column, address: Column, day: Column) -> Column:
 
 def base_title(title: Column) -> Column:
     """A board title without the mark of a correction."""
-    return F.trim(F.regexp_replace(title, r"^\s*[\[(](?:정정|수정)(?:공고)?[\])]\s*", ""))
+    return F.trim(F.regexp_replace(title, r"(?i)^\s*[\[(](?:정정|수정)(?:공고)?[\])]\s*", ""))
 
 
 def result_status(text: Column) -> Column:
     """Exact wordings of competition results; a high rate alone closes nothing."""
     plain = compact(F.coalesce(text, F.lit("")))
     return (
-        F.when(plain == "1순위해당지역마감", "local_first_closed").when(plain.isin("1순위마감", "1순위기타지역마감"), "first_closed")
-        .when(plain.isin("청약접수중", "미달", "접수중"), "open").otherwise("unknown")
+        F.when(plain == "1순위해당지역마감(청약접수종료)", "local_first_closed").when(plain == "1순위마감(청약접수종료)", "first_closed")
+        .when(plain == "청약접수중", "open").otherwise("unknown")
     )
 
 
 def rate_label(rate: Column) -> Column:
-    """'-' as undisclosed, '(△n)' as a shortage of n, a number as n to 1."""
-    short = F.regexp_extract(rate, r"^\(△\s*([\d,]+)\)$", 1)
-    return (
-        F.when(F.trim(rate) == "-", "undisclosed").when(short != "", F.concat(F.lit("short by "), short))
-        .when(rate.rlike(r"^[\d,]+(\.\d+)?$"), F.concat(rate, F.lit(" to 1"))).otherwise(rate)
-    )
+    """No rate or '-' as undisclosed, a number after a triangle as so many units short, else the rate as published."""
+    raw = F.coalesce(F.nullif(F.trim(rate), F.lit("")), F.lit("-"))
+    short = F.regexp_extract(raw, r"^\(?\s*[△▲]\s*([\d,]+)\s*\)?$", 1)
+    return F.when(raw == "-", "미공개").when(short != "", F.concat(F.lit("미달 "), short, F.lit("세대"))).otherwise(raw)
 
 
 def won_label(won: Column) -> Column:
-    """Won in units of 억 and 만."""
-    eok, man = F.floor(won / F.lit(100_000_000)), F.floor((won % 100_000_000) / F.lit(10_000))
-    parts = F.array_compact(F.array(F.when(eok > 0, F.concat(F.format_number(eok, 0), F.lit("억"))), F.when(man > 0, F.concat(F.format_number(man, 0), F.lit("만")))))
-    return F.when(won.isNotNull(), F.concat(F.array_join(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("0"))), " "), F.lit("원")))
+    """Won in 억 and 만, rounded to 만; less than that in won."""
+    man = F.floor(won / F.lit(10_000) + F.lit(0.5)).cast("long")
+    eok, rest = F.floor(man / F.lit(10_000)).cast("long"), man % 10_000
+    return (
+        F.when(won.isNull(), "가격 미공개").when((eok > 0) & (rest > 0), F.concat(eok.cast("string"), F.lit("억 "), F.format_number(rest, 0), F.lit("만원")))
+        .when(eok > 0, F.concat(eok.cast("string"), F.lit("억원"))).when(rest > 0, F.concat(F.format_number(rest, 0), F.lit("만원")))
+        .otherwise(F.concat(F.format_number(won, 0), F.lit("원")))
+    )
 
 
 def url_host(url: Column) -> Column:

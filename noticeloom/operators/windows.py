@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Kinds of events that aren't applications, and wordings of a reception without an end.
 OTHER_KINDS = ("announcement", "contract", "result", "winner")
-OPEN_ENDED = r"(?U)상시|수시|선착순|마감\s*시|소진\s*시|until\s+filled"
-NOT_OPEN = r"(?U)계약|당첨|발표"
+OPEN_ENDED = r"(?U)상시|마감\s*시|소진\s*시|종료일\s*미공개"
+NOT_OPEN = r"당첨자 발표|계약일|계약 체결"
 
 
 def is_application(kind: Column) -> Column:

@@ -1,4 +1,4 @@
 """Queries of the notice engine, by name, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from noticeloom.plans import evaluation_queries, list_queries, merge_queries, temporal_queries, text_queries  # noqa: F401
+from noticeloom.plans.registry import ORACLES, QUERIES  # noqa: F401
