@@ -1,8 +1 @@
 """Operators of a training-data pipeline. Nothing outside this subpackage imports it."""
-
-from pyspark import cloudpickle
-
-import noticeloom
-
-# Functions sent to executors carry their code along, so that executors need no copy of the library.
-cloudpickle.register_pickle_by_value(noticeloom)
