@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -39,3 +41,15 @@ def release(spark: SparkSession) -> None:
     """Have shuffle files of finished jobs deleted: they stay until the driver collects its garbage, which may be long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries built inside delete their shuffle files when they end: for steps whose results are checkpoints."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
