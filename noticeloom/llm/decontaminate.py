@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.textkit import BASE, U, Words, chunks, mix, powers, text_bytes
 
-# Masks over 12 words that read 8, and those for items of fewer words.
+# Masks over 12 words that read 8, and shorter ones, besides, for items of fewer words than SHORT_ITEM,
+# in which two substitutions can spoil every long seed.
 MASKS = ("111010011011", "110111100101", "101101110011")
 SHORT_MASKS = ("110111", "1011")
+SHORT_ITEM = 24
 HITS = "doc_id long, item_id long, n_matched long, n_item_words long, doc_start long, doc_end long"
 MISMATCH = 3
 
@@ -45,7 +47,7 @@ class Benchmark:
         self.need = [max(4, min(least, int(np.ceil(share * len(w))))) for w in self.words]
         self.masks = []
         for mask in (*MASKS, *SHORT_MASKS):
-            mine = [i for i, w in enumerate(self.words) if len(w) >= len(mask) and (len(mask) == 12 or len(w) < 12)]
+            mine = [i for i, w in enumerate(self.words) if len(w) >= len(mask) and (mask in MASKS or len(w) < SHORT_ITEM)]
             if mine:
                 found = [seeds(self.words[i], mask) for i in mine]
                 value = np.concatenate(found)
