@@ -15,6 +15,7 @@ from noticeloom.session import ensure_checkpoint_dir
 
 
 MAX_DEPTH = 8
+BLOCK_NODES = 5_000
 GROUPS = ("all", "any", "not", "condition_group")
 # What a condition takes from its parent where it has none of its own.
 INHERITED = (
@@ -64,17 +65,26 @@ def compare(value: Column, operator: Column, limit: Column) -> Column:
 def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable]) -> DataFrame:
     """keys x rules -> result: pass, fail or review.
 
-    leaves: for each kind a function of the rule's fields (by name) and of applicants' columns to a boolean column. Rules
-    are broadcast to applicants while small, which is up to the session's limit for broadcast joins. Each level is
-    folded by one aggregation on keys and parent.
+    leaves: for each kind a function of the rule's fields (by name) and of applicants' columns to a boolean column. Every
+    applicant meets every rule: rules go to applicants as an array of at most about BLOCK_NODES nodes, and more rules
+    take further passes over applicants.
     """
+    blocks = max(1, -(-rule_nodes.count() // BLOCK_NODES))
+    out = None
+    for i in range(blocks):
+        part = rule_nodes if blocks == 1 else rule_nodes.filter(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == i)
+        got = _evaluate_block(part, applicants, keys, leaves)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _evaluate_block(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable]) -> DataFrame:
     rule = {x: F.col(f"node.{x}") for x in (*FIELDS, "value_number", "value_text")}
     packed = rule_nodes.select(F.struct(*rule_nodes.columns).alias("node"))
     judged = F.lit(None).cast("boolean")
     for kind, test in leaves.items():
         judged = F.when(rule["kind"] == kind, test(rule)).otherwise(judged)
     usable = (rule["verification"] == "official") & ~F.coalesce(rule["effect"].isin("priority", "metadata"), F.lit(False))
-    # One row for each applicant and rule: the rules' nodes as one array, so that applicants meet them without a product of tables.
     tree = packed.agg(F.collect_list("node")).scalar()
     rows = applicants.withColumn("nodes", tree).select("*", F.explode("nodes").alias("node")).drop("nodes")
     rows = rows.select(*keys, F.col("node.rule_id").alias("rule_id"), F.col("node.path").alias("path"), F.col("node.parent").alias("parent"), F.col("node.role").alias("role"), F.col("node.depth").alias("depth"), rule["kind"].alias("kind"), rule["operator"].alias("operator"), F.when(usable, judged).alias("value"), usable.alias("usable"))
