@@ -32,6 +32,8 @@ MORE = {
 }
 ANY_MORE = "|".join(f"(?:{p})" for p in MORE.values())
 KINDS = (*BASE, *MORE)
+SPAN = "struct<start:int,rank:int,end:int,kind:string,combo:string>"
+RUN = 256
 # Gazetteers and the words of contexts.
 NAMES = "james|mary|john|patricia|robert|jennifer|michael|linda|david|anna|peter|thomas|maria|jean|marie|pierre|hans|klaus|ursula|jose|carmen|luis|smith|johnson|brown|jones|miller|davis|wilson|taylor|müller|schmidt|schneider|fischer|weber|martin|bernard|dubois|garcía|garcia|lopez|martinez"
 HOSTS = "gmail|yahoo|hotmail|outlook|icloud|gmx|web|mail|example|proton"
@@ -69,18 +71,56 @@ def may_match(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]") if kind in BASE else text.rlike(r"[0-9]{3}|[\[(]at[\])]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20"))
 
 
+def running(items: Column, kind: str, begin: int, step) -> Column:
+    """What step(state, x) -> (next state, value) gives for each item in turn, from the state `begin`; kind: the values' type.
+
+    Items are taken in runs of RUN: appending to an array copies it, so one array of all values would take time in
+    proportion to their square.
+    """
+    empty = lambda of: F.expr(f"cast(array() as array<{of}>)")
+
+    def one(acc, x):
+        state, value = step(acc["at"], x)
+        return F.struct(state.alias("at"), F.array_append(acc["out"], value).alias("out"))
+
+    def run(acc, part):
+        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(begin))
+        return F.array_append(acc, F.aggregate(part, F.struct(at.alias("at"), empty(kind).alias("out")), one))
+
+    def whole(xs):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(RUN))
+        parts = F.transform(starts, lambda i: F.slice(xs, i, F.lit(RUN)))
+        return F.flatten(F.transform(F.aggregate(parts, empty(f"struct<at:int,out:array<{kind}>>"), run), lambda x: x["out"]))
+
+    return F.transform(F.array(items), whole)[0]  # within a lambda, so that items are evaluated once
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, match, before>> of a pattern's matches: split gives what lies between them."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.zip_with(between, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    none = F.expr("cast(array() as array<struct<start:int,match:string,before:string>>)")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        found = F.struct(start.alias("start"), x["m"].alias("match"), F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def step(at, x):
+        start = at + F.length(x["p"])
+        return start + F.length(x["m"]), F.struct(start.alias("start"), x["m"].alias("match"), F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"))
+
+    return running(pairs, "struct<start:int,match:string,before:string>", 0, step)
+
+
+def apart(spans: Column) -> Column:
+    """Of spans by start, then rank: base ones, and those that touch none of them."""
+    base = lambda x: x["rank"] < len(BASE)
+    marked = f"struct<x:{SPAN},hit:boolean>"
+
+    def forwards(end, x):
+        return F.when(base(x), F.greatest(end, x["end"])).otherwise(end), F.struct(x.alias("x"), (end > x["start"]).alias("hit"))
+
+    def backwards(start, y):
+        x = y["x"]
+        return F.when(base(x), F.least(start, x["start"])).otherwise(start), F.struct(x.alias("x"), (y["hit"] | (start < x["end"])).alias("hit"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    seen = running(F.reverse(running(spans, marked, 0, forwards)), marked, (1 << 31) - 1, backwards)
+    return F.transform(F.filter(F.reverse(seen), lambda y: base(y["x"]) | ~y["hit"]), lambda y: y["x"])
 
 
 def kind_of(match: Column) -> Column:
@@ -126,7 +166,7 @@ def _named(found: Column, kind_for) -> Column:
         combo = F.concat_ws("|", kind, votes(kind, x["match"], x["before"]), F.when(size < 12, "s").when(size < 20, "m").otherwise("l"))
         return F.struct(x["start"].alias("start"), ranks[kind].alias("rank"), (x["start"] + size).alias("end"), kind.alias("kind"), combo.alias("combo"))
 
-    return F.coalesce(F.transform(found, one), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,combo:string>>)"))
+    return F.coalesce(F.transform(found, one), F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 30) -> tuple[list[float], dict[tuple[int, ...], float]]:
@@ -185,9 +225,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ensure_checkpoint_dir(docs.sparkSession)
     rows = candidates(docs, id_col, text_col).checkpoint()
     accepted = classifier(rows)
-    base = F.filter("spans", lambda x: x["rank"] < len(BASE))
-    rows = rows.withColumn("base", base)
-    return rows.withColumn("spans", F.filter("spans", lambda x: (x["rank"] < len(BASE)) | (accepts(accepted, x["combo"]) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))))
+    known = lambda x: x["rank"] < len(BASE)
+    rows = rows.withColumn("base", F.filter("spans", known))
+    held = F.filter("spans", lambda x: known(x) | accepts(accepted, x["combo"]))
+    return rows.withColumn("spans", F.when(F.exists(held, lambda x: ~known(x)) & (F.size("base") > 0), apart(held)).otherwise(held))
 
 
 def classifier(rows: DataFrame) -> set[str]:
