@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,10 +100,11 @@ def secret_spans(text: str, least_cost: float) -> tuple[list[tuple[int, int, str
     lower = text.lower()
     if any(x in lower for x in CUES):
         base = sorted(spans)
+        starts, ends = [a for a, _, _ in base], [0, *accumulate((b for _, b, _ in base), max)]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)")
             lo, hi = m.start(1), m.start(1) + len(value)
-            if len(value) < 6 or any(a < hi and lo < b for a, b, _ in base):
+            if len(value) < 6 or ends[bisect_left(starts, hi)] > lo:
                 continue
             cost = guess_cost(value)
             if cost >= least_cost:
