@@ -14,4 +14,8 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op2_source_mixing": mixing.OP2_SQL,
+    "op4_ngram_jaccard_join": ngram_join.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
+}

@@ -134,6 +134,27 @@ def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_
     return own.cogroup(exact.groupBy("block")).applyInArrow(removed, RESULT)
 
 
+#: The same in DuckDB: every window of every document, by 128-bit hashes.
+OP5_SQL = r"""WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5_number(array_to_string(w[i:i + 49], ' ')))) AS h FROM words WHERE len(w) >= 50
+), starts AS (
+  SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS gone FROM windows
+), marked AS (
+  SELECT doc_id, i, max(CASE WHEN gone THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS last FROM starts
+), gone AS (
+  SELECT doc_id, i FROM marked WHERE last > i - 50
+  UNION SELECT doc_id, i + k FROM (SELECT doc_id, max(i) AS i, max(last) AS last FROM marked GROUP BY doc_id) AS e, unnest(range(1, 50)) AS u(k) WHERE last > i + k - 50
+), placed AS (
+  SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, d.w, coalesce(p.places, []) AS places FROM words AS d LEFT JOIN placed AS p ON p.doc_id = d.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i))), ' ')) AS kept_sha256 FROM kept"""
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = substring_dedup(docs)

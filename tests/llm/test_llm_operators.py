@@ -292,6 +292,22 @@ def test_pii(spark, docs, messy, empty):
     assert redacted(docs).count() == len(messy) and redacted(empty).count() == 0
 
 
+def test_pii_of_texts_with_many_matches(spark):
+    from noticeloom.llm.pii import BASE, pii_spans
+
+    rng = random.Random(6)
+    parts = ["from 1.2.3.4 ", "SSN: 123-45-6789 ", "a@b.org", "Dr. Anna Smith ", "call 415-555-2671 ", "+1 (415) 555-2671", "word ", ", "]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 40, 255, 256, 257, 700, 3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii_spans(frame).collect():
+        base = [(x.start, x.end) for x in r.base]
+        assert ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r.base) == plain_pii(texts[r.doc_id])
+        assert [(x.start, x.rank) for x in r.spans] == sorted((x.start, x.rank) for x in r.spans)
+        more = [x for x in r.spans if x.rank >= len(BASE)]
+        assert [x for x in r.spans if x.rank < len(BASE)] == r.base and (len(texts[r.doc_id]) < 5000 or more)
+        assert not any(a < x.end and x.start < b for x in more for a, b in base)
+
+
 def test_em_finds_the_unreliable_labeler():
     from noticeloom.llm.pii import reliabilities
 
@@ -518,6 +534,19 @@ def test_queries_are_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op5_substring_dedup"])
+def test_queries_give_what_their_sql_gives(spark, name):
+    import duckdb
+
+    from noticeloom.llm.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want, got = con.sql(ORACLES[name]), QUERIES[name](spark, SF)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_digests(spark):
     """The digest columns of the thin queries are those of the operators' real outputs."""
     from noticeloom.llm.catalogue import QUERIES
