@@ -80,6 +80,8 @@ class Benchmark:
         """Matching words, first and end place of the stretch with the most of (matches - 3 x others)."""
         word = self.words[item]
         lo, hi = max(0, shift), min(len(hashes), shift + len(word))
+        if hi <= lo:
+            return 0, 0, 0
         same = hashes[lo:hi] == word[lo - shift : hi - shift]
         total = np.r_[0, np.cumsum(np.where(same, 1, -MISMATCH))]
         gain = total - np.minimum.accumulate(total)
@@ -98,7 +100,7 @@ def _hits(column, bench: Benchmark, tables: list[np.ndarray]):
         for item, shift in bench.diagonals(hashes, tables).tolist():
             # A diagonal may run over the end of a text: it is verified in each row that it touches.
             length = len(bench.words[item])
-            first, last = np.searchsorted(words.first, [max(shift, 0), max(shift, 0) + length - 1], side="right") - 1
+            first, last = np.searchsorted(words.first, [max(shift, 0), max(shift + length - 1, 0)], side="right") - 1
             for row in range(int(first), min(int(last), hi - lo - 1) + 1):
                 start = int(words.first[row])
                 got = bench.verify(hashes[start : words.first[row + 1]], item, shift - start)

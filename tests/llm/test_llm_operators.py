@@ -448,6 +448,19 @@ def test_decontamination_against_brute_force(spark):
     assert len(got) >= 0.9 * len({(d, i) for d, i, _ in want})
 
 
+def test_decontamination_of_an_items_tail_at_the_start(spark):
+    """The first document of a batch is a short tail of an item: its diagonal begins before the batch and ends in it."""
+    from noticeloom.llm.decontaminate import benchmark_hits, decontaminate
+
+    item = [f"tail{i}" for i in range(30)]
+    texts = [" ".join([*item[10:], "two", "others"]), "", "next document of seven words goes here", " ".join(item[5:]), "and one more text of eight words follows"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_matched, r.doc_start, r.doc_end) for r in benchmark_hits(frame, bench).collect())
+    assert got == [(0, 20, 0, 20), (3, 25, 0, 25)]
+    assert sorted(r.doc_id for r in decontaminate(frame, bench).collect()) == [1, 2, 4]
+
+
 def test_toxicity(spark, docs, messy, labels, empty):
     from noticeloom.llm.toxicity import toxicity, without_toxic
 
