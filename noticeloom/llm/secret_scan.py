@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,8 +23,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CUES = ("passw", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key")
 CONTEXT = re.compile(
-    r"""(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credentials?|bearer|private_key)["']?(?:\x20+(?:is|was|=>))?[\x20:="'`]{1,8}([!-&(-_a-~]{6,128})"""
-)
+    r"""(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credentials?|bearer|private_key)["']?(?:\x20+(?:is|was|=>))?[\x20:="'`]+([!-&(-_a-~]{6})"""
+)  # a value's first characters: it goes on to the end of their run
+RUN = re.compile(r"[!-&(-_a-~]+")
 # Common words of passwords by rank, rows of a keyboard, and shapes of dates.
 WORDS = (
     "password", "admin", "qwerty", "welcome", "letmein", "login", "secret", "master", "dragon", "monkey", "shadow", "sunshine", "princess",
@@ -48,19 +49,47 @@ def _alphabet(value: str) -> float:
     return math.log10(max(size, 10))
 
 
+def _cheapest(held: list[tuple[int, float]], j: int, unit: int = 1) -> float:
+    """The least of a start's cost and log10 of the units from it to j, over starts in order whose costs rise.
+
+    A start that an earlier, cheaper one beats is dropped: it stays beaten, as the logs only draw nearer to each other.
+    """
+    kept, best = [], math.inf
+    for i, before in held:
+        here = before + math.log10((j - i) // unit)
+        if here < best:
+            kept.append((i, before))
+            best = here
+    held[:] = kept
+    return best
+
+
+def _hold(held: list[tuple[int, float]], i: int, before: float) -> None:
+    while held and held[-1][1] >= before:
+        held.pop()
+    held.append((i, before))
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of the value takes; 0 for an empty one.
 
     cost[j] is the least, over spans i..j, of cost[i] plus the span's: a word its rank (four times, with capitals or
     letters written as digits; a date its days of 200 years; a repeat its unit and times; a walk its starts and turns; else brute force for each
-    character of the value's alphabet).
+    character of the value's alphabet). Starts of repeats and walks are held from one j to the next, so that values
+    of any length are costed whole in time that grows with the length.
     """
     n, lower, each = len(value), value.lower(), _alphabet(value)
     plain = lower.translate(PLAIN)
     cost = [0.0] + [math.inf] * n
-    dates = {(m.start(), m.end()) for at in range(n) if (m := DATE.match(value, at))}
+    dates: dict[int, list[int]] = {}
+    for at in range(n):
+        if m := DATE.match(value, at):
+            dates.setdefault(m.end(), []).append(at)
     walk = [1] * n  # length of the keyboard walk that ends here
     turn = [0] * n
+    walks: list[tuple[int, float]] = []
+    same = [0] * 9  # by unit: how many characters up to here equal the one a unit before
+    repeats: list[list[list[tuple[int, float]]]] = [[[] for _ in range(unit)] for unit in range(9)]
     step = None
     for j in range(1, n):
         (a, b), (c, d) = PLACE.get(lower[j - 1], (9, 0)), PLACE.get(lower[j], (99, 0))
@@ -74,17 +103,24 @@ def guess_cost(value: str) -> float:
             rank = RANK.get(lower[i:j]) or RANK.get(plain[i:j])
             if rank:
                 best = min(best, cost[i] + math.log10(rank * (1 if value[i:j].islower() and value[i:j].isalpha() else 4) + 1))
-        for i, end in dates:
-            if end == j:
-                best = min(best, cost[i] + math.log10(200 * (366 if end - i > 4 else 1)))
-        for size in range(3, walk[j - 1] + 1):
-            best = min(best, cost[j - size] + math.log10(47 * size * 4 ** min(turn[j - 1], 8)))
-        for unit in range(1, min(8, j // 2) + 1):
-            times = 1
-            while j - (times + 1) * unit >= 0 and value[j - (times + 1) * unit : j - times * unit] == value[j - unit : j]:
-                times += 1
-                if times * unit > 2:
-                    best = min(best, cost[j - times * unit] + unit * each + math.log10(times))
+        for i in dates.get(j, ()):
+            best = min(best, cost[i] + math.log10(200 * (366 if j - i > 4 else 1)))
+        if walk[j - 1] > 2:
+            _hold(walks, j - 3, cost[j - 3])
+            best = min(best, _cheapest(walks, j) + math.log10(47 * 4 ** min(turn[j - 1], 8)))
+        elif walks:
+            walks.clear()
+        for unit in range(1, min(8, j - 1) + 1):
+            if value[j - 1] != value[j - 1 - unit]:
+                if same[unit]:
+                    same[unit], repeats[unit] = 0, [[] for _ in range(unit)]
+                continue
+            same[unit] += 1
+            least = max(unit, 2)  # a repeat has two units and three characters at least
+            if same[unit] >= least:
+                held = repeats[unit][j % unit]
+                _hold(held, j - unit - least, cost[j - unit - least])
+                best = min(best, unit * each + _cheapest(held, j, unit))
         cost[j] = best
     return cost[n]
 
@@ -101,10 +137,22 @@ def secret_spans(text: str, least_cost: float) -> tuple[list[tuple[int, int, str
     if any(x in lower for x in CUES):
         base = sorted(spans)
         starts, ends = [a for a, _, _ in base], [0, *accumulate((b for _, b, _ in base), max)]
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)")
-            lo, hi = m.start(1), m.start(1) + len(value)
-            if len(value) < 6 or ends[bisect_left(starts, hi)] > lo:
+        at = run = 0
+        while m := CONTEXT.search(text, at):
+            lo = m.start(1)
+            if lo >= run:  # else within a run whose end is known
+                run = RUN.match(text, lo).end()
+            at = run
+            covered = ends[bisect_right(starts, lo)]
+            if covered > lo:  # the value begins in a base match: what comes after that is looked at again
+                at = covered
+                continue
+            following = bisect_left(starts, lo)
+            if following < len(starts):
+                at = min(at, starts[following])
+            value = text[lo:at].rstrip(".,;:!?)")
+            hi = lo + len(value)
+            if len(value) < 6:
                 continue
             cost = guess_cost(value)
             if cost >= least_cost:
@@ -118,7 +166,8 @@ def secret_scan(docs: DataFrame, least_cost: float = 12.0, id_col: str = "doc_id
 
     base: kind:start:end of the fixed patterns' matches, spans: of these and of values of kind guess, by start, then
     kind, joined by commas; places count code points, the end is exclusive. costs: log10 of the guesses for each
-    value of kind guess. A value costs least_cost at least and touches no base match. Null text counts as empty.
+    value of kind guess. A value may be of any length, costs least_cost at least and ends where a base match begins, so
+    it touches none. Null text counts as empty.
     One row for each row of docs, null or repeated ids included. Empty table: no rows. Other columns aren't read.
     """
 

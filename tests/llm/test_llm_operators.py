@@ -262,6 +262,27 @@ def test_secret_scan(spark, docs, messy, empty):
     assert secret_scan(empty).count() == 0
 
 
+def test_secret_scan_of_long_values():
+    """Values and separators of any length: the span covers the whole value, and what comes after it is still scanned."""
+    from noticeloom.llm.secret_scan import guess_cost, secret_spans
+
+    rng = random.Random(15)
+    letters = "ghijkmnpqrstuvwxyzGHJKLMNPQRSTUVWXYZ23456789+/_-"
+    found = lambda t: [(t[a:b], k) for a, b, k in secret_spans(t, 12)[0]]
+    for n in (128, 129, 200, 1000, 5000):
+        value = "eyJ" + "".join(rng.choice(letters) for _ in range(n - 3))
+        assert found(f"Authorization: Bearer {value} end") == [(value, "guess")]
+        assert guess_cost(value) > 1.2 * n
+    for blanks in (1, 8, 9, 60):
+        assert found("pwd" + " " * blanks + ": " + " " * blanks + "x!7#kqZ2@x next") == [("x!7#kqZ2@x", "guess")]
+    blob = '"token":"' + "xK9#mQ2$vL," * 30 + "0123456789abcdef" + ',"pwd":"hT7!kqZ2@x"' * 2  # a base match within a value's run
+    assert found(blob) == [("xK9#mQ2$vL," * 29 + "xK9#mQ2$vL", "guess"), ("0123456789abcdef", "hex"), ('hT7!kqZ2@x","pwd":"hT7!kqZ2@x"', "guess")]
+    assert found('password=ABCDEFGHIJKLMN,"pwd":"hT7!kqZ2@x"') == [("password=ABCDEFGHIJKLMN", "assign"), ('hT7!kqZ2@x"', "guess")]
+    # costs are those of the whole value, and repeats and walks of any length stay cheap
+    assert guess_cost("z" * 100_000) == pytest.approx(math.log10(26) + 5) and guess_cost("ab" * 50_000) == pytest.approx(2 * math.log10(26) + math.log10(50_000))
+    assert guess_cost("qw" * 20_000) < 8 and found("pwd: " + "_" * 20_000) == []
+
+
 def plain_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
