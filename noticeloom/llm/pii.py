@@ -22,11 +22,22 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# IBANs, compact or in groups of four, of 15 to 34 characters. The last group may be shorter, but for the
+# countries whose numbers are whole groups; after a space it holds a digit, so that it isn't the next word (but in
+# MU and SC, where it ends in a currency's letters).
+GROUP = r"(?:\x20?[A-Z0-9]{4})"
+REST = r"(?:\x20(?=[A-Z]{0,2}[0-9]))?[A-Z0-9]"
+WHOLE = "AD|AL|AT|AZ|BA|BE|BY|CY|CZ|DO|EE|ES|GT|HN|HU|KZ|LB|LC|LT|LU|MD|NI|PK|PL|RO|SA|SE|SK|SV|TN|VG|XK"
+IBAN = (
+    rf"(?<![A-Za-z0-9])(?:(?:MU|SC)[0-9]{{2}}{GROUP}{{6}}\x20?[A-Z]{{2,3}}"
+    rf"|(?!{WHOLE})[A-Z]{{2}}[0-9]{{2}}(?:{GROUP}{{3,6}}{REST}{{1,3}}|{GROUP}{{7}}{REST}{{1,2}}|{GROUP}{{2}}{REST}{{3}})"
+    rf"|[A-Z]{{2}}[0-9]{{2}}{GROUP}{{3,7}})(?![A-Za-z0-9])"
+)
 # Further kinds, in the order in which a match is given one, and how each looks as a whole.
 MORE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": IBAN,
     "mailto": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,12}(?![A-Za-z])",
     "person": r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{1,20}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{1,20})?",
 }
@@ -68,7 +79,7 @@ def base_holds(kind: str, match: Column) -> Column:
 
 def may_match(kind: str, text: Column) -> Column:
     """A cheap test that texts without the kind mostly fail."""
-    return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]") if kind in BASE else text.rlike(r"[0-9]{3}|[\[(]at[\])]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20"))
+    return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]") if kind in BASE else text.rlike(r"[0-9]{3}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|[\[(]at[\])]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20"))
 
 
 def running(items: Column, kind: str, begin: int, step) -> Column:

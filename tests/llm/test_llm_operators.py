@@ -329,6 +329,35 @@ def test_pii_of_texts_with_many_matches(spark):
         assert not any(a < x.end and x.start < b for x in more for a, b in base)
 
 
+def test_pii_of_ibans(spark):
+    """IBANs of each length, compact and in groups, are found and redacted whole, and no word or amount after them is."""
+    from noticeloom.llm.pii import pii_spans, redacted
+
+    numbers = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "MK07250120000058984", "AT611904300234573201", "CH9300762011623852957", "DE89370400440532013000",
+               "GB29NWBK60161331926819", "AE070331234567890123456", "ES9121000418450200051332", "PT50000201231234567890154", "IS140159260076545510730339", "FR1420041010050500013M02606",
+               "IT60X0542811101000000123456", "PL61109010140000071219812874", "BR9700360305000010009795493P1", "MU17BOMM0101101030300200000MUR", "MT84MALT011000012345MTLCAST001S",
+               "SC18SSCB11010000000000001497USD", "LC55HEMM000100010012001200023015", "ZZ12ABCD5678EFGH1234JKLM5678NPQR1", "ZZ12ABCD5678EFGH1234JKLM5678NPQR12", "GB12ABCD12AB34CD56EF78"]
+    grouped = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in numbers]
+    texts = [f"IBAN: {x}{after}" for x in (*numbers, *grouped) for after in ("", " for us", ", thanks", " EUR", " OK")]
+    texts += [f"IBAN: {x} 250 EUR" for x in grouped if len(x.replace(" ", "")) % 4 or x[:2] in ("ES", "PL")]
+    lengths = {len(x) for x in numbers}
+    assert lengths >= {15, *range(18, 32), 16, 32}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wholly = {x for x in (*numbers, *grouped)}
+    for r in pii_spans(frame).collect():
+        got = [texts[r.doc_id][x.start : x.end] for x in r.spans if x.kind == "iban"]
+        if not r.base:
+            assert len(got) == 1 and got[0] in wholly, texts[r.doc_id]
+    bases = {r.doc_id for r in pii_spans(frame).collect() if r.base}
+    for r in redacted(frame).collect():
+        if r.doc_id not in bases:
+            text = next(texts[r.doc_id].replace(x, "<iban>") for x in sorted(wholly, key=len, reverse=True) if x in texts[r.doc_id])
+            assert r.text == text
+    assert len(bases) < len(texts) / 4  # a few hold digits that pass as a card's
+    few = spark.createDataFrame([(i, f"IBAN: {x}") for i, x in enumerate(["GB12ABCD12AB34CD56EF78", "GB12 ABCD 12AB 34CD 56EF 78"])], "doc_id long, text string")
+    assert [r.text for r in redacted(few).orderBy("doc_id").collect()] == ["IBAN: <iban>"] * 2  # no three digits in a row
+
+
 def test_em_finds_the_unreliable_labeler():
     from noticeloom.llm.pii import reliabilities
 
