@@ -21,15 +21,19 @@ ANSWER = "block int, keys binary, ids binary"
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Rows (block, id, id_given, text) and the number of blocks. A null id counts as the largest; equal rows stay."""
+    """Rows (block, id, id_given, text) and the number of blocks. A null id counts as the largest; equal rows stay.
+
+    A row's block is told by id and text together, so rows without an id, or with the same one, are dealt out too; only
+    rows equal in both share a block.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b"), F.count(F.lit(1)).alias("n")).first()
     count = max(1, math.ceil(max(size["b"] or 0, 64 * size["n"]) / block_bytes))
-    identity = F.col(id_col).cast("long")
+    identity, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
-        F.pmod(F.xxhash64(identity), F.lit(count)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(identity, text), F.lit(count)).cast("int").alias("block"),
         F.coalesce(identity, F.lit(NO_ID)).alias("id"),
         identity.alias("id_given"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        text.alias("text"),
     ), count
 
 

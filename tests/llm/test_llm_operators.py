@@ -185,6 +185,28 @@ def test_substring_dedup_at_every_offset(spark):
     assert got == brute_dedup(rows) and sum(r[2] for r in got) == 61 * 50
 
 
+def test_blocks_of_rows_without_ids_of_their_own(spark):
+    """Rows with a null id, and rows with one repeated id, are dealt to many blocks; results stay those of brute force."""
+    from noticeloom.llm.blocks import blocked
+    from noticeloom.llm.ngram_join import ngram_join
+    from noticeloom.llm.substring_dedup import substring_dedup
+
+    rng = random.Random(16)
+    passage = prose(rng, 60, 10**6)
+    rows = [((None, 7, 100 + i)[i % 3], prose(rng, 30, 10**6) + (" " + passage if i % 4 == 0 else ""), None, None, None) for i in range(180)]
+    rows += [(7, rows[5][1] + " tail", None, None, None), (None, rows[2][1], None, None, None)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    size = sum(len(r[1]) for r in rows)
+    texts, count = blocked(frame, size // 20)
+    assert count > 15 and texts.count() == len(rows)
+    assert max(r["count"] for r in texts.groupBy("block").count().collect()) < len(rows) / 5
+    want = brute_components(rows)
+    got = ngram_join(frame, block_bytes=size // 6).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(i), len(s), str(None if i is None else want[i])) for i, s in sets_of(rows))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame, block_bytes=size // 6).collect())
+    assert got == brute_dedup(rows)
+
+
 # 6, 7, 9, 3: row by row
 
 
