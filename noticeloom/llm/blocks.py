@@ -3,6 +3,9 @@
 Operators that look for equal content in the whole corpus work block by block. A block sends each of its keys
 once, however many of its documents have the key, to the bucket of that key; buckets answer to blocks. So a key
 that a third of all documents share costs its bucket a row for each block, not for each document.
+
+A sender packs its keys into at most FANOUT rows. Where there are more destinations than that, a second step splits
+what came together for a range of them, so that rows grow with the keys and not with senders times destinations.
 """
 
 from __future__ import annotations
@@ -11,13 +14,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from noticeloom.llm.textkit import U
+
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 8 << 20
-SENT = "block int, bucket int, keys binary, ids binary"
-ANSWER = "block int, keys binary, ids binary"
+FANOUT = 2048
+SPLIT_BYTES = 32 << 20
+#: dest: a bucket or block, or a range of them; blocks: the block of each key, or null where all are of `block`.
+PACKED = "dest int, block int, blocks binary, keys binary, ids binary"
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -37,42 +44,89 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_
     ), count
 
 
-def send(block: int, keys: np.ndarray, ids: np.ndarray | None, buckets: int) -> pa.Table:
-    """Rows of SENT for keys in ascending order; a bucket is a range of keys."""
-    edges = [int(i * (1 << 64) // buckets) for i in range(1, buckets)]
-    cut = [0, *np.searchsorted(keys, np.array(edges, dtype=np.uint64)).tolist(), len(keys)]
-    at = [i for i in range(buckets) if cut[i] < cut[i + 1]]
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: equal ranges of keys, in order."""
+    return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _pack(dest: np.ndarray, block: int | None, blocks: np.ndarray | None, keys: np.ndarray, ids: np.ndarray | None) -> pa.Table:
+    """A row of PACKED for each destination; dest is in ascending order."""
+    at, size = runs(dest)
+    spans = list(zip(at.tolist(), (at + size).tolist(), strict=True))
+    cells = lambda x, kind: pa.array([None if x is None else x[i:j].astype(kind, copy=False).tobytes() for i, j in spans], pa.binary())
     return pa.table({
-        "block": pa.array([block] * len(at), pa.int32()),
-        "bucket": pa.array(at, pa.int32()),
-        "keys": pa.array([keys[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()),
-        "ids": pa.array([None if ids is None else ids[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()),
+        "dest": pa.array(dest[at], pa.int32()), "block": pa.array([block] * len(spans), pa.int32()),
+        "blocks": cells(blocks, np.int32), "keys": cells(keys, np.uint64), "ids": cells(ids, np.int64),
     })
 
 
-def answer(blocks: np.ndarray, keys: np.ndarray, ids: np.ndarray | None) -> pa.Table:
-    """Rows of ANSWER: a row for each block with its keys."""
+def send(block: int, keys: np.ndarray, ids: np.ndarray | None, buckets: int, fanout: int | None = None) -> pa.Table:
+    """Rows of PACKED for keys in ascending order, to buckets or, where these are more than fanout, to ranges of them."""
+    return _pack(_coarse(bucket_of(keys, buckets), buckets, fanout), block, None, keys, ids)
+
+
+def answer(blocks: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, n_blocks: int, fanout: int | None = None) -> pa.Table:
+    """Rows of PACKED: each block's keys, to blocks or, where these are more than fanout, to ranges of them."""
     order = np.argsort(blocks, kind="stable")
-    blocks, keys = blocks[order], keys[order]
-    ids = None if ids is None else ids[order]
-    at = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.zeros(0, int)
-    ends = np.r_[at[1:], len(blocks)][: len(at)]
-    return pa.table({
-        "block": pa.array(blocks[at].tolist(), pa.int32()),
-        "keys": pa.array([keys[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-        "ids": pa.array([None if ids is None else ids[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-    })
+    blocks = blocks[order]
+    named = blocks if n_blocks > (fanout or FANOUT) else None  # else dest is the block
+    return _pack(_coarse(blocks, n_blocks, fanout), None, named, keys[order], None if ids is None else ids[order])
+
+
+def _coarse(dest: np.ndarray, n: int, fanout: int | None) -> np.ndarray:
+    most = fanout or FANOUT
+    return dest if n <= most else dest * most // n
+
+
+def to_buckets(rows: DataFrame, buckets: int, fanout: int | None = None) -> GroupedData:
+    """What blocks have sent, grouped by bucket."""
+    return _arrived(rows, buckets, fanout, lambda blocks, keys: bucket_of(keys, buckets), True).groupBy("dest")
+
+
+def to_blocks(rows: DataFrame, n_blocks: int, fanout: int | None = None) -> GroupedData:
+    """What buckets have answered, grouped by block."""
+    return _arrived(rows, n_blocks, fanout, lambda blocks, keys: blocks, False).groupBy("dest")
+
+
+def _arrived(rows: DataFrame, n: int, fanout: int | None, place, named: bool) -> DataFrame:
+    """rows with dest a single destination: where it is a range, its rows are gathered to SPLIT_BYTES and split."""
+    if n <= (fanout or FANOUT):
+        return rows
+
+    def split(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SPLIT_BYTES:
+                yield from part(held)
+                held, size = [], 0
+        if held:
+            yield from part(held)
+
+    def part(held):
+        blocks, keys, ids = received(pa.Table.from_batches(held), by_key=False)
+        dest = place(blocks, keys)
+        order = np.argsort(dest, kind="stable")
+        yield from _pack(dest[order], None, blocks[order] if named else None, keys[order], None if ids is None else ids[order]).to_batches()
+
+    return rows.repartition("dest").sortWithinPartitions("dest").mapInArrow(split, PACKED)
 
 
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks, keys and ids that rows of SENT or ANSWER hold, by key."""
+def received(table: pa.Table, by_key: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks, keys and ids (None where none were sent) that rows of PACKED hold; by key, unless told otherwise."""
     cells = table.column("keys").to_pylist()
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in cells]) if cells else np.zeros(0, np.uint64)
-    blocks = np.repeat(np.array(table.column("block").to_pylist(), dtype=np.int64), [len(x) // 8 for x in cells])
-    ids = [x for x in table.column("ids").to_pylist() if x is not None]
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in ids]) if ids else np.zeros(len(keys), np.int64)
+    flat = lambda x, kind: np.concatenate([np.frombuffer(c, kind) for c in x]) if x else np.zeros(0, kind)
+    keys = flat(cells, np.uint64)
+    given = zip(table.column("block").to_pylist(), table.column("blocks").to_pylist(), cells, strict=True)
+    blocks = [np.full(len(c) // 8, -1 if b is None else b, np.int64) if x is None else np.frombuffer(x, np.int32).astype(np.int64) for b, x, c in given]
+    blocks = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+    sent = [x for x in table.column("ids").to_pylist() if x is not None]
+    ids = flat(sent, np.int64) if sent or not cells else None
+    if not by_key:
+        return blocks, keys, ids
     order = np.argsort(keys, kind="stable")
-    return blocks[order], keys[order], ids[order]
+    return blocks[order], keys[order], None if ids is None else ids[order]
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

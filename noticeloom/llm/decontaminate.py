@@ -1,8 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a window of words of which a fixed mask reads some and ignores the others, so a substituted word spoils
-fewer seeds than it would of contiguous ones. Seeds of the benchmark are joined with those of each document, and
-each hit's diagonal is verified: the best stretch of it, with substitutions, must hold enough matching words.
+A seed is a window of words of which a fixed mask reads some and ignores the others, so that a substituted word spoils
+fewer seeds than it would of contiguous ones. Seeds of the benchmark are joined with those of each document, and each
+hit's diagonal is verified: the best stretch of it, with substitutions, must hold enough matching words.
+
+The masks lose nothing: a stretch whose every beginning has more than three matches a substitution and that holds as
+many matches as its item needs has a seed without a substitution (the tests prove it by walking all such stretches).
 """
 
 from __future__ import annotations
@@ -12,15 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import BASE, U, Words, chunks, mix, powers, text_bytes
+from noticeloom.llm.textkit import U, Words, chunks, joined, mix, text_bytes
+from noticeloom.session import ensure_checkpoint_dir
 
-# Masks over 12 words that read 8, and shorter ones, besides, for items of fewer words than SHORT_ITEM,
-# in which two substitutions can spoil every long seed.
-MASKS = ("111010011011", "110111100101", "101101110011")
-SHORT_MASKS = ("110111", "1011")
-SHORT_ITEM = 24
-HITS = "doc_id long, item_id long, n_matched long, n_item_words long, doc_start long, doc_end long"
+# The mask for items that need LONG_NEED matching words or more, and the one for those that need fewer.
+LONG_MASK, SHORT_MASK, LONG_NEED = "111011", "1011", 6
 MISMATCH = 3
+LEAST_NEED = 4
+TABLE_BITS = 20
+FILTER_BITS = 26
+SLICES = 32
+PAIRS = 1 << 20
+HITS = "doc_id long, item_id long, n_matched long, n_item_words long, doc_start long, doc_end long"
+
+
+def need_of(n_words: int, least: int, share: float) -> int:
+    """How many matching words make an overlap with an item of n_words."""
+    return max(LEAST_NEED, min(least, int(np.ceil(share * n_words))))
+
+
+def mask_of(need: int) -> str:
+    return LONG_MASK if need >= LONG_NEED else SHORT_MASK
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -28,96 +43,149 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    factor, total = powers(BASE, len(mask)), np.full(n, U(len(mask)))
+    total = np.full(n, U(int(mask, 2)))
     for i, read in enumerate(mask):
         if read == "1":
-            total += hashes[i : i + n] * factor[i]
+            total = joined(total, hashes[i : i + n])
     return mix(total)
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    return words.hashes(lower=True, bare=True)
+
+
+def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Matches, first and end place of the stretch with the most of (matches - 3 x others)."""
+    total = np.r_[0, np.cumsum(np.where(same, 1, -MISMATCH))]
+    gain = total - np.minimum.accumulate(total)
+    end = int(gain.argmax())
+    start = int(np.argmin(total[: end + 1]))
+    return int(same[start:end].sum()), start, end
+
+
+def verify(hashes: np.ndarray, word: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """The best stretch of a text and an item whose first word lies at the text's place `shift`, places in the text."""
+    lo, hi = max(0, shift), min(len(hashes), shift + len(word))
+    if hi <= lo:
+        return 0, 0, 0
+    n, start, end = best_stretch(hashes[lo:hi] == word[lo - shift : hi - shift])
+    return n, lo + start, lo + end
+
+
+def shifts(positions: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """The distinct differences of two lists of places below reach, in time and memory that don't take all pairs at once."""
+    if len(positions) * len(places) <= PAIRS:
+        return np.unique(positions[:, None] - places[None, :])
+    few, many = sorted((positions, places), key=len)
+    mark = np.zeros(2 * reach + 1, dtype=bool)
+    for x in few.tolist():
+        mark[(many - x if many is positions else x - many) + reach] = True
+    return np.flatnonzero(mark) - reach
+
+
 class Benchmark:
-    """Items' word hashes and, for each mask, their seeds in order, with the item and place of each."""
+    """Items' word hashes and, for each mask, their distinct seeds in order, with the items and places of each."""
 
     def __init__(self, ids: list[int], texts: list[str], least: int, share: float):
         data, at = text_bytes(pa.array(texts, pa.string()))
         words = Words(data, at)
-        hashes = words.hashes(lower=True, bare=True)
+        hashes = word_hashes(words)
         self.ids = ids
         self.words = [hashes[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
-        self.need = [max(4, min(least, int(np.ceil(share * len(w))))) for w in self.words]
+        self.need = [need_of(len(w), least, share) for w in self.words]
         self.masks = []
-        for mask in (*MASKS, *SHORT_MASKS):
-            mine = [i for i, w in enumerate(self.words) if len(w) >= len(mask) and (mask in MASKS or len(w) < SHORT_ITEM)]
+        for mask in (LONG_MASK, SHORT_MASK):
+            mine = [i for i, w in enumerate(self.words) if len(w) >= len(mask) and mask_of(self.need[i]) == mask]
             if mine:
                 found = [seeds(self.words[i], mask) for i in mine]
                 value = np.concatenate(found)
                 item, place = np.repeat(mine, [len(x) for x in found]), np.concatenate([np.arange(len(x)) for x in found])
-                order = np.argsort(value, kind="stable")
-                seen = np.zeros(1 << 20, dtype=bool)
-                seen[(value >> U(44)).astype(np.int64)] = True
-                self.masks.append((mask, value[order], item[order], place[order], np.flatnonzero(seen)))
-
-    def diagonals(self, hashes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """Distinct (item, place of the item's first word) of all seeds that hit."""
-        out = []
-        for (mask, value, item, place, _), seen in zip(self.masks, tables, strict=True):
-            own = seeds(hashes, mask)
-            at = np.flatnonzero(seen[(own >> U(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
-            times = hi - lo
-            to = np.repeat(lo - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(at) else np.zeros(0, np.int64)
-            out.append(np.stack([item[to], np.repeat(at, times) - place[to]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+                order = np.lexsort((place, item, value))
+                first = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
+                self.masks.append((mask, value[order][first], np.r_[first, len(value)], item[order], place[order]))
 
     def tables(self) -> list[np.ndarray]:
+        """For each mask which high bits of seeds occur."""
         out = []
-        for *_, at in self.masks:
-            out.append(np.zeros(1 << 20, dtype=bool))
-            out[-1][at] = True
+        for _, value, *_ in self.masks:
+            out.append(np.zeros(1 << TABLE_BITS, dtype=bool))
+            out[-1][(value >> U(64 - TABLE_BITS)).astype(np.int64)] = True
         return out
 
-    def verify(self, hashes: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
-        """Matching words, first and end place of the stretch with the most of (matches - 3 x others)."""
-        word = self.words[item]
-        lo, hi = max(0, shift), min(len(hashes), shift + len(word))
-        if hi <= lo:
-            return 0, 0, 0
-        same = hashes[lo:hi] == word[lo - shift : hi - shift]
-        total = np.r_[0, np.cumsum(np.where(same, 1, -MISMATCH))]
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(np.argmin(total[: end + 1]))
-        return int(same[start:end].sum()), lo + start, lo + end
-
-
-def _hits(column, bench: Benchmark, tables: list[np.ndarray]):
-    """(row, item, matches, start, end): the best stretch of each row and item that has enough matches."""
+    def diagonals(self, hashes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Distinct (item, place of the item's first word) of all seeds that hit, by item, then place."""
+        longest = max(map(len, self.words), default=0)
+        reach, out = len(hashes) + longest, [np.zeros(0, np.int64)]
+        for (mask, value, first, item, place), seen in zip(self.masks, tables, strict=True):
+            own = seeds(hashes, mask)
+            at = np.flatnonzero(seen[(own >> U(64 - TABLE_BITS)).astype(np.int64)])
+            which = np.minimum(np.searchsorted(value, own[at]), len(value) - 1)
+            hit = value[which] == own[at]
+            at, which = at[hit], which[hit]
+            order = np.argsort(which, kind="stable")
+            at, which = at[order], which[order]
+            times = first[which + 1] - first[which]
+            start = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, int)
+            many = np.diff(np.r_[start, len(which)])
+            heavy = many * times[start] > PAIRS >> 4
+            plain = ~np.repeat(heavy, many)
+            edge = np.searchsorted(np.cumsum(np.where(plain, times, 0)), np.arange(PAIRS, int(times[plain].sum()) + PAIRS, PAIRS))
+            lo = 0
+            for hi in [*(edge[:-1] + 1).tolist(), len(at)] if len(at) else []:
+                a, w, t = at[lo:hi][plain[lo:hi]], which[lo:hi][plain[lo:hi]], times[lo:hi][plain[lo:hi]]
+                to = np.repeat(first[w] - np.r_[0, np.cumsum(t)[:-1]], t) + np.arange(t.sum()) if len(a) else np.zeros(0, np.int64)
+                out.append(np.unique(item[to] << 32 | (np.repeat(a, t) - place[to] + longest)))
+                lo = hi
+            for s, m in zip(start[heavy].tolist(), many[heavy].tolist(), strict=True):
+                held = slice(first[which[s]], first[which[s] + 1])
+                items, begins = np.unique(item[held], return_index=True)
+                for i, b, e in zip(items.tolist(), begins.tolist(), [*begins[1:].tolist(), held.stop - held.start], strict=True):
+                    out.append(i << 32 | (shifts(at[s : s + m], place[held][b:e], reach) + longest))
+        key = np.unique(np.concatenate(out))
+        return np.stack([key >> 32, (key & 0xFFFFFFFF) - longest], axis=1)
+
+
+def better(got: tuple[int, int, int], held: tuple[int, int, int] | None, need: int) -> bool:
+    """Whether a stretch counts and has more matches than the held one, or as many and begins earlier."""
+    return got[0] >= need and (held is None or (-got[0], got[1]) < (-held[0], held[1]))
+
+
+def _hits(column, bench: Benchmark, tables: list[np.ndarray], any_item: bool = False):
+    """(row, item, matches, start, end): the best stretch of each row and item that has enough matches.
+
+    any_item: one item a row is enough.
+    """
     data, at = text_bytes(column)
     for lo, hi in chunks(at):
         words = Words(data, at[lo : hi + 1])
-        hashes = words.hashes(lower=True, bare=True)
+        hashes = word_hashes(words)
         best: dict = {}
         for item, shift in bench.diagonals(hashes, tables).tolist():
             # A diagonal may run over the end of a text: it is verified in each row that it touches.
-            length = len(bench.words[item])
-            first, last = np.searchsorted(words.first, [max(shift, 0), max(shift + length - 1, 0)], side="right") - 1
+            word = bench.words[item]
+            first, last = np.searchsorted(words.first, [max(shift, 0), max(shift + len(word) - 1, 0)], side="right") - 1
             for row in range(int(first), min(int(last), hi - lo - 1) + 1):
-                start = int(words.first[row])
-                got = bench.verify(hashes[start : words.first[row + 1]], item, shift - start)
-                if got[0] >= bench.need[item] and got > best.get((row, item), (0,)):
-                    best[row, item] = got
-        for (row, item), got in sorted(best.items()):
-            yield lo + row, item, *got
+                start, name = int(words.first[row]), row if any_item else (row, item)
+                held = best.get(name)
+                if held and (any_item or held[1][0] == len(word)):  # diagonals come in order: no later one is better
+                    continue
+                got = verify(hashes[start : words.first[row + 1]], word, shift - start)
+                if better(got, held and held[1], bench.need[item]):
+                    best[name] = item, got
+        for name, (item, got) in sorted(best.items()):
+            yield lo + (name if any_item else name[0]), item, *got
+
 
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, least: int, share: float):
-    """The benchmark in blocks of about block_bytes of text, each small enough to send to every executor."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    for i in range(count):
-        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == i).orderBy("id", "text").collect()
-        yield Benchmark([r["id"] for r in part], [r["text"] for r in part], least, share)
+
+def _small(items: DataFrame, block_bytes: int, least: int, share: float) -> Benchmark | None:
+    """The benchmark as an object for every task, or None where its texts are over block_bytes."""
+    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > block_bytes:
+        return None
+    rows = items.orderBy("id", "text").collect()
+    return Benchmark([r["id"] for r in rows], [r["text"] for r in rows], least, share)
 
 
 def benchmark_hits(
@@ -128,25 +196,28 @@ def benchmark_hits(
 
     A row for each document and item that overlap: the best stretch on one diagonal (matches less three times the
     substitutions) holds `least` matching words, or `share` of the item's if that is fewer (4 at least); words are
-    compared with A-Z lower-cased and without punctuation at their ends. doc_start, doc_end: word places. Items of
-    fewer than 4 words and null texts match nothing; null ids stay null; repeated rows give repeated hits. Empty
-    tables: no rows. Other columns aren't read. A benchmark over block_bytes is taken in blocks, each a scan.
+    compared with A-Z lower-cased and without punctuation at their ends, as 64-bit hashes. Of several such diagonals the
+    one with the most matches is told, then the first. doc_start, doc_end: word places. Items of fewer than 4 words
+    and null texts match nothing; null ids stay null; repeated rows give repeated hits. Empty tables: no rows. Other
+    columns aren't read. A benchmark of up to block_bytes is sent to every task; a larger one is joined by seeds.
     """
+    items = _items(benchmark, item_id, item_text)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for bench in _blocks(benchmark, item_id, item_text, block_bytes, least, share):
+    bench = _small(items, block_bytes, least, share)
+    if bench is None:
+        hits, keyed_items = _joined_hits(source, items, block_bytes, least, share)
+        named = source.select(_key("doc_id", "text").alias("doc_key"), "doc_id")
+        return hits.join(keyed_items.select("item_key", F.col("id").alias("item_id")), "item_key").join(named, "doc_key").select(*(x.split()[0] for x in HITS.split(", ")))
 
-        def find(batches, bench=bench):
-            tables = bench.tables()
-            for batch in batches:
-                got = list(_hits(batch.column(1), bench, tables))
-                ids = batch.column(0).to_pylist() if got else []
-                columns = [[ids[r] for r, *_ in got], [bench.ids[i] for _, i, *_ in got], [n for _, _, n, _, _ in got], [len(bench.words[i]) for _, i, *_ in got], [a for *_, a, _ in got], [b for *_, b in got]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in HITS.split(", ")])
+    def find(batches):
+        tables = bench.tables()
+        for batch in batches:
+            got = list(_hits(batch.column(1), bench, tables))
+            ids = batch.column(0).to_pylist() if got else []
+            columns = [[ids[r] for r, *_ in got], [bench.ids[i] for _, i, *_ in got], [n for _, _, n, _, _ in got], [len(bench.words[i]) for _, i, *_ in got], [a for *_, a, _ in got], [b for *_, b in got]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in HITS.split(", ")])
 
-        found = source.mapInArrow(find, HITS)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return source.mapInArrow(find, HITS)
 
 
 def decontaminate(
@@ -154,18 +225,122 @@ def decontaminate(
     text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """docs without the documents that overlap an item as benchmark_hits has it; their columns stay as they are."""
+    items = _items(benchmark, item_id, item_text)
+    bench = _small(items, block_bytes, least, share)
+    if bench is None:
+        source = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        gone = _joined_hits(source, items, block_bytes, least, share)[0].select("doc_key").distinct()
+        return docs.join(gone, _key(F.lit(0).cast("long"), F.col(text_col).cast("string")) == gone["doc_key"], "left_anti")
     place = docs.columns.index(text_col)
-    for bench in _blocks(benchmark, item_id, item_text, block_bytes, least, share):
 
-        def clean(batches, bench=bench):
-            tables = bench.tables()
-            for batch in batches:
-                stay = np.ones(batch.num_rows, dtype=bool)
-                stay[[r for r, *_ in _hits(batch.column(place), bench, tables)]] = False
-                yield batch.filter(pa.array(stay))
+    def clean(batches):
+        tables = bench.tables()
+        for batch in batches:
+            stay = np.ones(batch.num_rows, dtype=bool)
+            stay[[r for r, *_ in _hits(batch.column(place), bench, tables, any_item=True)]] = False
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _key(*columns):
+    return F.xxhash64(*columns)
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, block_bytes: int, least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_key, item_key, n_matched, n_item_words, doc_start, doc_end) and (item_key, id), by a join of seeds.
+
+    docs (doc_id, text), items (id, text): the keys are hashes of both columns, so equal rows are compared once. Seeds
+    of documents pass a bitmap of the benchmark's seeds of fixed size before they are shuffled; the item texts that a
+    document is verified against at once are about block_bytes.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    keyed = items.select(_key("id", "text").alias("item_key"), "id", "text").checkpoint()
+    once = keyed.dropDuplicates(["item_key"])
+    parts = max(1, -(-(keyed.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // block_bytes))
+
+    def rows_of(batch):
+        """(key, word hashes) of each row of a batch (key, text)."""
+        keys = batch.column(0).to_pylist()
+        data, at = text_bytes(batch.column(1))
+        for lo, hi in chunks(at):
+            words = Words(data, at[lo : hi + 1])
+            hashes = word_hashes(words)
+            for i in range(hi - lo):
+                yield keys[lo + i], hashes[words.first[i] : words.first[i + 1]]
+
+    def cells(rows, names, kinds):
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
+
+    def placed(hashes, mask, wanted=None):
+        """(seed, its places) of the distinct seeds of a text."""
+        value = seeds(hashes, mask)
+        at = np.arange(len(value)) if wanted is None else np.flatnonzero(wanted[(value >> U(64 - FILTER_BITS)).astype(np.int64)])
+        order = at[np.argsort(value[at], kind="stable")]
+        value = value[order]
+        cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, int)
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(value)], strict=False):
+            yield int(value[i].astype(np.int64)), order[i:j].astype(np.int32).tobytes()
+
+    seed_names, seed_kinds = ["key", "seed", "places"], [pa.int64(), pa.int64(), pa.binary()]
+
+    def item_seeds(batches):
+        for batch in batches:
+            yield cells([(k, *x) for k, w in rows_of(batch) for x in placed(w, mask_of(need_of(len(w), least, share)))], seed_names, seed_kinds)
+
+    wanted = once.select("item_key", "text").mapInArrow(item_seeds, "key long, seed long, places binary").withColumnRenamed("places", "item_places").withColumnRenamed("key", "item_key").checkpoint()
+
+    def bits(batches):
+        mark = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            mark[(batch.column(0).to_numpy().view(np.uint64) >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+        packed = np.packbits(mark).reshape(SLICES, -1)
+        yield cells([(i, x.tobytes()) for i, x in enumerate(packed)], ["slice", "marks"], [pa.int32(), pa.binary()])
+
+    def merged(key, table):
+        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()], axis=0)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([whole.tobytes()], pa.binary())})
+
+    got = wanted.select("seed").mapInArrow(bits, "slice int, marks binary").groupBy("slice").applyInArrow(merged, "slice int, marks binary").collect()
+    marks = b"".join(r["marks"] for r in sorted(got, key=lambda r: r["slice"]))  # 2 ** FILTER_BITS bits, whatever the benchmark
+
+    def doc_seeds(batches):
+        mark = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        for batch in batches:
+            yield cells([(k, *x) for k, w in rows_of(batch) for mask in (LONG_MASK, SHORT_MASK) for x in placed(w, mask, mark)], seed_names, seed_kinds)
+
+    def hashed(batches):
+        for batch in batches:
+            yield cells([(k, w.tobytes()) for k, w in rows_of(batch)], ["key", "words"], [pa.int64(), pa.binary()])
+
+    texts = docs.select(_key("doc_id", "text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.mapInArrow(doc_seeds, "key long, seed long, places binary").withColumnRenamed("key", "doc_key").dropDuplicates(["doc_key", "seed"])
+    pairs = found.join(wanted, "seed").groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("places", "item_places")).alias("seeds"))
+    words = once.select("item_key", "text").mapInArrow(hashed, "key long, words binary").withColumnRenamed("key", "item_key")
+    part = F.pmod(F.xxhash64("item_key"), F.lit(parts)).cast("int").alias("part")
+    pairs = pairs.join(words, "item_key").select("doc_key", part, "item_key", "seeds", "words").checkpoint()
+    own = texts.join(pairs.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"]).mapInArrow(hashed, "key long, words binary").withColumnRenamed("key", "doc_key")
+    own = own.join(pairs.select("doc_key", "part").distinct(), "doc_key").select(F.col("doc_key").alias("owner"), F.col("part").alias("owner_part"), "words")
+
+    def verified(key, left, right):
+        hashes, out = np.frombuffer(right.column("words")[0].as_py(), np.uint64), []
+        for item, given, cell in zip(*(left.column(x).to_pylist() for x in ("item_key", "seeds", "words")), strict=True):
+            word, best = np.frombuffer(cell, np.uint64), None
+            ints = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+            every = [shifts(ints(x["places"]), ints(x["item_places"]), len(hashes) + len(word)) for x in given]
+            for shift in np.unique(np.concatenate(every)).tolist():
+                got = verify(hashes, word, shift)
+                if better(got, best, need_of(len(word), least, share)):
+                    best = got
+                    if best[0] == len(word):
+                        break
+            if best:
+                out.append((key[0].as_py(), item, best[0], len(word), best[1], best[2]))
+        names = ["doc_key", "item_key", "n_matched", "n_item_words", "doc_start", "doc_end"]
+        return pa.Table.from_batches([cells(out, names, [pa.int64()] * 6)])
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    hits = pairs.groupBy("doc_key", "part").cogroup(own.groupBy("owner", "owner_part")).applyInArrow(verified, HITS.replace("doc_id", "doc_key").replace("item_id", "item_key"))
+    return hits, keyed.select("item_key", "id")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import BASE_INV, SPACE, VALUES, U, Words, chunks, covered, mix, powers, prefix, text_bytes, windows
+from noticeloom.llm.textkit import SPACE, U, Words, chunks, covered, range_hashes, text_bytes, windows
 
 # Symbols that the counts look for, and the classes of bytes; a byte of no class continues a code point.
 SYMBOLS = b"#*$%&|<>"
@@ -102,14 +102,7 @@ def line_repeats(words: Words) -> np.ndarray:
     end = end - (words.data[end - 1] == 10)
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, row = start[filled], end[filled], row[filled]
-    value = np.zeros(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        sums, s, e = prefix(VALUES[words.data[lo:hi]]), start[i:j] - lo, end[i:j] - lo
-        value[i:j] = mix((sums[e] - sums[s]) * powers(BASE_INV, hi - lo)[s] + (e - s).astype(np.uint64))
-        i = j
+    value = range_hashes(words.data, start, end)
     order = np.lexsort((value, row))
     same = (row[order][1:] == row[order][:-1]) & (value[order][1:] == value[order][:-1])
     return np.bincount(row[order][1:][same], minlength=rows)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.blocks import ANSWER, BLOCK_BYTES, SENT, answer, blocked, received, runs, send
+from noticeloom.llm.blocks import BLOCK_BYTES, PACKED, answer, blocked, received, runs, send, to_blocks, to_buckets
 from noticeloom.llm.textkit import U, Words, chunks, covered, text_bytes, windows
 
 # A perfect difference set; every remainder modulo PERIOD is a difference of two of its members.
@@ -43,14 +43,14 @@ def _anchors(table: pa.Table, window: int):
         yield lo, hi, words, hashes, row, place, at, got[at] & ~U(1)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_BYTES, fanout: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_text.
 
     Every word that lies in a window of `window` (over 31) consecutive words whose word sequence also starts in a
     document with a smaller doc_id is removed; windows are those of the input. Words are kept unchanged, joined by
     one space. Null text: no words. Null doc_id: larger than every id. Equal ids: neither is smaller, both stay.
     Fewer words than a window: nothing is removed. Empty table: no rows. Other columns are not read. Equality of
-    windows is equality of 64-bit hashes. A block holds about block_bytes of text, or one longer document.
+    windows is equality of 64-bit hashes. A block holds about block_bytes of text, or one longer document. fanout: see blocks.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD}")
@@ -64,14 +64,14 @@ def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_
         keys, rows = keys[order], rows[order]
         at, size = runs(keys)
         many = rows[at] != rows[at + size - 1]
-        return send(key[0].as_py(), keys[at] | many.astype(np.uint64), None, n)
+        return send(key[0].as_py(), keys[at] | many.astype(np.uint64), None, n, fanout)
 
     def shared(key, table):
         blocks, keys, _ = received(table)
         many, keys = (keys & U(1)).astype(bool), keys & ~U(1)
         at, size = runs(keys)
         hit = np.repeat((size > 1) | np.logical_or.reduceat(many, at), size) if len(at) else np.zeros(0, bool)
-        return answer(blocks[hit], keys[hit], None)
+        return answer(blocks[hit], keys[hit], None, n, fanout)
 
     def window_keys(key, left, right):
         anchors, ids = received(right)[1], np.array(left.column("id").to_pylist(), dtype=np.int64)
@@ -87,14 +87,14 @@ def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.lexsort((owners, keys))
         at, _ = runs(keys[order])
-        return send(key[0].as_py(), keys[order][at], owners[order][at], n)
+        return send(key[0].as_py(), keys[order][at], owners[order][at], n, fanout)
 
     def smallest(key, table):
         blocks, keys, ids = received(table)
         at, size = runs(keys)
         least = np.repeat(np.minimum.reduceat(ids, at), size) if len(at) else ids
         hit = ids > least
-        return answer(blocks[hit], keys[hit], least[hit])
+        return answer(blocks[hit], keys[hit], least[hit], n, fanout)
 
     def removed(key, left, right):
         _, keys, least = received(right)
@@ -129,9 +129,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_
         })
 
     own = texts.groupBy("block")
-    anchors = own.applyInArrow(shared_keys, SENT).groupBy("bucket").applyInArrow(shared, ANSWER)
-    exact = own.cogroup(anchors.groupBy("block")).applyInArrow(window_keys, SENT).groupBy("bucket").applyInArrow(smallest, ANSWER)
-    return own.cogroup(exact.groupBy("block")).applyInArrow(removed, RESULT)
+    anchors = to_buckets(own.applyInArrow(shared_keys, PACKED), n, fanout).applyInArrow(shared, PACKED)
+    exact = to_buckets(own.cogroup(to_blocks(anchors, n, fanout)).applyInArrow(window_keys, PACKED), n, fanout).applyInArrow(smallest, PACKED)
+    return own.cogroup(to_blocks(exact, n, fanout)).applyInArrow(removed, RESULT)
 
 
 #: The same in DuckDB: every window of every document, by 128-bit hashes.

@@ -1,29 +1,31 @@
 """Vectorised words and hashes over Arrow text columns.
 
 A word is a run of bytes other than space and \\x09-\\x0D; UTF-8 keeps those bytes for themselves, so words of
-bytes and words of code points are the same. Hashes are 64 bits wide; a polynomial over a table of random
-values, read off prefix sums, followed by a mixing step.
+bytes and words of code points are the same. Hashes are 64 bits wide. Bytes are taken eight at a time, each step
+multiplied and mixed, so that no pattern of a text makes two hashes equal; what is left is the chance of 2 ** -64 a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
-VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, size=256, dtype=np.uint64) | U(1)
-LOWER = VALUES.copy()
-LOWER[65:91] = VALUES[97:123]
-CHUNK = 1 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+CHUNK = 1 << 18
+LANES = 32
+STEP = U(0x9E3779B97F4A7C15)
+#: The bits of a lane that its first 0..8 bytes take.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,11 +35,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    x = left * STEP + right
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(29))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for each range: lane after lane, and blake2b for what is longer than LANES lanes."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * STEP + U(1))
+    if not len(data):
+        return out
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    order = np.argsort(-size, kind="stable")
+    longest_first = -size[order]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    skip = int(np.searchsorted(longest_first, -8 * LANES))
+    for at in range(0, 8 * LANES, 8):
+        held = order[skip : int(np.searchsorted(longest_first, -at))]  # ranges that have a byte at this lane
+        if not len(held):
+            break
+        out[held] = joined(out[held], lanes[start[held] + at] & FIRST[np.minimum(size[held] - at, 8)])
+    return out
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,19 +111,9 @@ class Words:
 
     def hashes(self, lower: bool = False, bare: bool = False) -> np.ndarray:
         """A hash of each word; lower: with A-Z as a-z; bare: without ASCII punctuation at either end, if a word is left."""
-        values = LOWER if lower else VALUES
-        out = np.zeros(len(self.start), dtype=np.uint64)
-        i = 0
-        while i < len(self.start):  # by bytes, so that a long row takes no more memory than others
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, side="right")))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            sums = prefix(values[self.data[lo:hi]])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            if bare:
-                s, e = without_punctuation(self.data[lo:hi], s, e)
-            out[i:j] = mix((sums[e] - sums[s]) * powers(BASE_INV, hi - lo)[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
+        data = LOWER[self.data] if lower else self.data
+        start, end = without_punctuation(self.data, self.start, self.end) if bare else (self.start, self.end)
+        return range_hashes(data, start, end)
 
 
 def without_punctuation(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +125,20 @@ def without_punctuation(data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return np.where(whole, first, start), np.where(whole, last, end)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers of the base."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
-    return sums
-
-
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of width hashes; the last width - 1 positions have none."""
+    """A hash of each run of width hashes, by those of runs half as long; the last width - 1 positions have none."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    sums = prefix(hashes)
-    return mix((sums[width:] - sums[:n]) * powers(BASE_INV, n) + U(width))
+    out, held, power, size = None, 0, hashes, 1
+    while True:
+        if width & size:  # the run so far, then the next power of two
+            out = power[:n] if out is None else joined(out[:n], power[held : held + n])
+            held += size
+        if held == width:
+            return mix(out + U(width))
+        power = joined(power[:-size], power[size:])
+        size *= 2
 
 
 def covered(hit: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -135,8 +149,3 @@ def covered(hit: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(step, np.minimum(at + width, n), -1)
     return np.cumsum(step[:n]) > 0
 
-
-def longs(cells) -> np.ndarray:
-    """One array of the 64-bit numbers in binary cells."""
-    got = [np.frombuffer(x, np.uint64) for x in cells]
-    return np.concatenate(got) if got else np.zeros(0, dtype=np.uint64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import BASE_INV, LOWER, U, Words, chunks, mix, powers, prefix, text_bytes, without_punctuation
+from noticeloom.llm.textkit import LOWER, U, Words, chunks, mix, range_hashes, text_bytes, without_punctuation
 
 # Groups of identity terms; a counterfactual takes the next term of the same group.
 IDENTITY = (
@@ -45,7 +45,7 @@ def swapped(sentence: str) -> str:
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """The bytes with capitals of ASCII and Latin-1 letters in lower case."""
-    out = data.copy()
+    out = LOWER[data]
     after = np.r_[False, data[:-1] == 0xC3] if len(data) else np.zeros(0, bool)
     out[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
     return out
@@ -66,12 +66,10 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
             base, stop = int(words.start[i]), int(words.end[j - 1])
             part = text[base:stop]
             s, e = without_punctuation(part, words.start[i:j] - base, words.end[i:j] - base)
-            sums, inverse = prefix(LOWER[part]), powers(BASE_INV, stop - base)
             got = row[i:j]
             for kind, length in enumerate((0, *PREFIXES)):
                 use = e - s >= max(1, length)
-                end = e[use] if not length else s[use] + length
-                code = mix((sums[end] - sums[s[use]]) * inverse[s[use]] + U(kind + 1))
+                code = mix(range_hashes(part, s[use], s[use] + length if length else e[use]) + U(kind + 1))
                 keys.append(np.unique(got[use] << BITS | (code >> U(64 - BITS)).astype(np.int64)))
             i = j
         out.append(np.unique(np.concatenate(keys)))
