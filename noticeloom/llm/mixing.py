@@ -2,8 +2,8 @@
 
 Targets of sources come from water filling. A source takes as many complete epochs as its target holds; the rest is
 an Efraimidis-Spirakis sample: each document draws an exponential key whose rate is its quality weight, and the
-smallest keys are taken until their sizes reach the rest. Keys are counted in bins, so that only the bin in which
-a source's budget ends is sorted, whatever the source's size.
+smallest keys are taken until their sizes reach the rest. Keys are counted in bins, which are split again until few
+rows are left where a source's budget ends: only these are sorted, whatever the source's size.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from noticeloom.session import ensure_checkpoint_dir
 # What separates words, and the weights that sources get in turn.
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
-LAST_ID = (1 << 63) - 1
 ROWS_A_BIN = 50_000
+BINS = 4096
+FEW_SOURCES = 100_000
+#: The order in which a source's rows are taken: by key; equal keys by size, text, and a number of the row's own.
+ORDER = ("key", "size", "content", "row")
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -26,13 +29,17 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, quality: Column | None) -> DataFrame:
-    """docs with (mix_source, mix_size, mix_id, mix_key): the exponential key -ln(u) / weight, u from a hash of the id."""
+    """docs with mix_source, mix_size and the mix_ columns of ORDER, written to the checkpoint folder.
+
+    mix_key is the exponential key -ln(u) / weight, u from a hash of the id (null: of the text).
+    """
     text = F.col(text_col).cast("string")
     named = F.coalesce(F.col(id_col).cast("string"), text, F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(named, F.lit(f"/{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     docs = docs.withColumn("mix_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
     weight = quality if quality is not None else quality_weight(F.coalesce(text, F.lit("")), F.col("mix_size"))
-    return docs.withColumn("mix_source", F.col(source_col).cast("string")).withColumn("mix_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("mix_key", -F.log(u) / weight)
+    docs = docs.withColumn("mix_source", F.col(source_col).cast("string")).withColumn("mix_key", -F.log(u) / weight)
+    return docs.withColumn("mix_content", F.xxhash64(text).cast("double")).withColumn("mix_row", F.monotonically_increasing_id().cast("double"))
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -54,30 +61,60 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, mos
     return rows.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * shared)).select("source", "source_size", "target")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of one for each source: sent to every executor up to FEW_SOURCES of them, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW_SOURCES else rows
+
+
+def inside(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of each span: those whose values of ORDER lie between its arrays lo and hi."""
+    spans = spans.withColumnRenamed("source", "span_source")
+    near = [F.col(c).cast("double").between(F.col("lo")[i], F.col("hi")[i]) for i, c in enumerate(ORDER)]
+    return rows.join(few(spans), rows["source"].eqNullSafe(spans["span_source"])).filter(near[0] & near[1] & near[2] & near[3]).drop("span_source")
+
+
+def ends(*names: str) -> list[Column]:
+    return [F.array(*(f(c).cast("double") for c in ORDER)).alias(n) for f, n in zip((F.min, F.max), names, strict=True)]
+
+
+def narrowed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of each span the bin in which its budget ends: BINS equal ranges of the first column of ORDER that isn't constant."""
+    place = F.lit(0)
+    for i in reversed(range(len(ORDER))):
+        share = (F.col(ORDER[i]) - F.col("lo")[i]) / (F.col("hi")[i] - F.col("lo")[i])
+        place = F.when(F.col("lo")[i] < F.col("hi")[i], F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(place)
+    bins = inside(rows, spans).groupBy("source", place.alias("bin")).agg(
+        F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"), *ends("lo", "hi")
+    )
+    bins = bins.withColumn("upto", F.col("before") + F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))).filter(F.col("upto") > F.col("rest"))
+    cut = bins.groupBy("source").agg(F.min(F.struct("bin", "rest", (F.col("upto") - F.col("bin_size")).alias("before"), "n", "lo", "hi")).alias("c"))
+    return cut.select("source", "c.rest", "c.before", "c.n", "c.lo", "c.hi")
+
+
 def source_cuts(rows: DataFrame, cycle: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """rows (source, size, id, key) -> for each source its target, epochs, and where its sample ends (bin, last)."""
-    total = rows.count()
-    bins = max(1024, -(-total // ROWS_A_BIN))
-    placed = F.floor((1 - F.exp(-F.col("key"))) * bins).cast("long")
-    rows = rows.withColumn("bin", placed)
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).checkpoint()
-    sources = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), cycle, share, most)
+    """rows (source, size, and ORDER) -> for each source source_size, target, epochs, and where its sample ends (lo, last).
+
+    The span in which a source's budget ends is narrowed, all sources at once, until ROWS_A_BIN rows are left in it,
+    whatever the weights and however many keys are equal: rows of equal keys, sizes and texts are told apart by a
+    number of their own.
+    """
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), *ends("lo", "hi")).checkpoint()
+    sources = source_targets(sums.select("source", "source_size"), cycle, share, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
     sources = sources.withColumn("epochs", whole.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).checkpoint()
-    running = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
-    cut = sums.withColumn("upto", running).join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    cut = cut.filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"), "rest")).alias("c"))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("before"), F.col("c.rest").alias("cut_rest"))
-    inside = rows.join(cut, rows["source"].eqNullSafe(cut["cut_source"]) & (rows["bin"] == cut["cut_bin"]))
-    order = Window.partitionBy("source").orderBy("key", "id", "size")
-    upto = F.col("before") + F.sum("size").over(order)
-    inside = inside.withColumn("upto", upto).filter(
-        (F.col("upto") <= F.col("cut_rest")) | (F.col("upto") - F.col("cut_rest") < F.col("cut_rest") - (F.col("upto") - F.col("size")))
+    spans = sums.join(sources.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).filter("rest > 0 and rest < source_size")
+    spans = spans.select("source", "rest", F.lit(0).cast("long").alias("before"), "n", "lo", "hi").checkpoint()
+    wide = (F.col("n") > ROWS_A_BIN) & (F.col("lo") != F.col("hi"))
+    while not (todo := spans.filter(wide)).isEmpty():
+        spans = spans.filter(~wide).unionByName(narrowed(rows, todo)).checkpoint()
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    last = inside(rows, spans).withColumn("upto", upto).filter(
+        (F.col("upto") <= F.col("rest")) | (F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("size")))
     )
-    last = inside.groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("last")).select(F.col("source").alias("last_source"), "last")
-    out = sources.join(cut, sources["source"].eqNullSafe(cut["cut_source"]), "left")
-    out = out.join(last, sources["source"].eqNullSafe(last["last_source"]), "left")
-    return out.select(F.col("source").alias("cut_source"), "source_size", "target", "epochs", "cut_bin", "last", F.lit(bins).alias("bins")).checkpoint()
+    last = last.groupBy("source").agg(F.max(F.array(*(F.col(c).cast("double") for c in ORDER))).alias("last"))
+    spans = spans.select(F.col("source").alias("s"), "lo").join(last.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")), "left")
+    out = sources.join(spans, F.col("source").eqNullSafe(F.col("s")), "left")
+    return out.select(F.col("source").alias("cut_source"), "source_size", "target", "epochs", "lo", "last").checkpoint()
 
 
 def mix(
@@ -87,37 +124,40 @@ def mix(
     """docs -> doc_id, source, size, source_size, target, copies, taken, for every document.
 
     size: words of the text (null: 0). copies: complete epochs of the source and 1 more where the document is in
-    the sample; taken: copies times size. A source's taken words come nearest its target that the order of keys
-    allows. Null source: a source of its own, the last. Null id: keyed by its text. Rows equal in id and size share
-    a key and are taken together. Reruns agree. Empty table: no rows. quality: a positive weight for each document,
-    instead of quality_weight. Other columns are not read.
+    the sample; taken: copies times size. A source's taken words come nearest its target that whole documents in the
+    order of keys allow. Null source: a source of its own, the last. Null id: keyed by its text. Rows equal in id and
+    size share a key; as many of them are taken as the target needs. Reruns agree. Empty table: no rows. quality: a
+    positive weight for each document, instead of quality_weight. Other columns are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = sized(docs, seed, id_col, text_col, source_col, quality)
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_id").alias("id"), F.col("mix_key").alias("key")).checkpoint()
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), *mix_columns()).checkpoint()
     return taken(rows, source_cuts(rows, cycle, share, most)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def mix_columns() -> list[Column]:
+    return [F.col(f"mix_{c}").alias(c) for c in ("source", *ORDER)]
+
+
 def taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """rows (source, size, id, key, ...) with the source's figures, copies and taken."""
-    out = rows.join(cuts, rows["source"].eqNullSafe(cuts["cut_source"]))
-    place = F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")).cast("long")
-    own = F.struct("key", "id", "size")
-    more = (place < F.col("cut_bin")) | ((place == F.col("cut_bin")) & F.coalesce(own <= F.col("last"), F.lit(False)))
-    out = out.withColumn("copies", F.col("epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0))
+    """rows (source and ORDER, ...) with the source's figures, copies and taken."""
+    out = rows.join(few(cuts), rows["source"].eqNullSafe(cuts["cut_source"]))
+    own = F.array(*(F.col(c).cast("double") for c in ORDER))
+    more = F.coalesce(F.when(F.col("last").isNotNull(), own <= F.col("last")).otherwise(own < F.col("lo")), F.lit(False))
+    out = out.withColumn("copies", F.col("epochs") + F.when(more, 1).otherwise(0))
     return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """The documents that the mix takes: their columns (doc_id, text, source among them), mix_size, mix_copies and mix_taken.
 
-    Columns of docs whose names begin with mix_ give way.
+    Columns of docs whose names begin with mix_ give way. The documents are written to the checkpoint folder once.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = sized(docs, seed, "doc_id", "text", "source", None)
-    names = [F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_id").alias("id"), F.col("mix_key").alias("key")]
-    cuts = source_cuts(rows.select(*names).checkpoint(), cycle, share, most)
-    out = taken(rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_"))).alias("doc"), *names), cuts).filter(F.col("copies") > 0)
+    names = [c for c in docs.columns if not c.startswith("mix_")]
+    rows = sized(docs.select(*(F.col(f"`{c}`") for c in names)), seed, "doc_id", "text", "source", None)
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), *mix_columns()).checkpoint()
+    out = taken(rows, source_cuts(rows.drop("doc"), cycle, share, most)).filter(F.col("copies") > 0)
     return out.select("doc.*", F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
 
 

@@ -515,6 +515,50 @@ def test_mix(spark, docs, messy, empty):
     assert kept.filter("mix_copies = 0").count() == 0 and mixed_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["one id", "null ids of one text", "null ids of few texts", "one id of many sizes"])
+def test_mix_of_equal_rows(spark, rows, monkeypatch):
+    """Rows that share a key are taken one by one: a source comes within a document of its target, in both forms."""
+    from noticeloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROWS_A_BIN", 16)
+    rng = random.Random(3)
+    make = {
+        "one id": lambda i: (7, "five words of this one"), "null ids of one text": lambda i: (None, "five words of this one"),
+        "null ids of few texts": lambda i: (None, f"five words of text {i % 3}"), "one id of many sizes": lambda i: (7, "w " * rng.randint(1, 9)),
+    }[rows]
+    data = [(*make(i), "b" if i % 4 else "a") for i in range(1000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(frame).collect()
+    for name in ("a", "b"):
+        own = [r for r in out if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9 and len({r.copies for r in own}) <= 2
+    again = mixing.mix(frame.repartition(3)).collect()
+    assert sorted(map(tuple, ((r.source, r.size, r.taken) for r in again))) == sorted(map(tuple, ((r.source, r.size, r.taken) for r in out)))
+    kept = mixing.mixed_documents(frame).groupBy("source").agg(F.sum("mix_taken").alias("t")).collect()
+    assert {r.source: r.t for r in kept} == {x: sum(r.taken for r in out if r.source == x) for x in ("a", "b")}
+
+
+def test_mix_sorts_few_rows_whatever_the_weights(spark, monkeypatch):
+    """With tiny and huge weights the span that is sorted is narrowed to ROWS_A_BIN rows, and the mix stays the same."""
+    from noticeloom.llm import mixing
+
+    rows = [(i, f"w{i} " * (1 + i % 7), "s") for i in range(3000)]
+    frame = spark.createDataFrame([*rows, (5000, "w " * 9000, "t")], "doc_id long, text string, source string")
+    quality = F.when(F.col("doc_id") % 3 == 0, 1e-6).when(F.col("doc_id") % 3 == 1, 1e3).otherwise(0.01)
+    want = sorted(map(tuple, mixing.mix(frame, quality=quality).collect()))
+    monkeypatch.setattr(mixing, "ROWS_A_BIN", 8)
+    sorted_rows, plain = [], mixing.inside
+
+    def counted(rows, spans):
+        got = plain(rows, spans)
+        sorted_rows.append(max([r["count"] for r in got.groupBy("source").count().collect()], default=0))
+        return got
+
+    monkeypatch.setattr(mixing, "inside", counted)
+    assert sorted(map(tuple, mixing.mix(frame, quality=quality).collect())) == want
+    assert sorted_rows[-1] <= 8
+
+
 # 8, 10
 
 
