@@ -38,8 +38,8 @@ MORE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "iban": IBAN,
-    "mailto": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,12}(?![A-Za-z])",
-    "person": r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{1,20}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{1,20})?",
+    "mailto": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,}+",
+    "person": r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]++(?:\x20[A-ZÀ-Þ][a-zß-ÿ]++)?",
 }
 ANY_MORE = "|".join(f"(?:{p})" for p in MORE.values())
 KINDS = (*BASE, *MORE)
@@ -154,15 +154,15 @@ def votes(kind: Column, match: Column, before: Column) -> Column:
     return F.concat_ws(",", *(x.cast("string") for x in (shape, valid, listed, seek, shun)))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs -> doc_id, spans: array<struct<start, rank, end, kind, combo>> of base spans and other candidates, by start, kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def candidate_spans(column: Column) -> Column:
+    """array<struct<start, rank, end, kind, combo>> of base spans and other candidates of a text, by start, kind."""
+    text = F.coalesce(column.cast("string"), F.lit(""))
     kind_spans = []
     for kind, pattern in BASE.items():
         kind_spans.append(_named(_held(kind, F.when(may_match(kind, text), located(text, pattern))), lambda m, kind=kind: F.lit(kind)))
     other = F.when(may_match("more", text), located(text, ANY_MORE))
     kind_spans.append(_named(other, kind_of))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array_sort(F.concat(*kind_spans)).alias("spans"))
+    return F.array_sort(F.concat(*kind_spans))
 
 
 def _held(kind: str, found: Column) -> Column:
@@ -234,12 +234,20 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Empty table: no rows. Other columns are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = candidates(docs, id_col, text_col).checkpoint()
-    accepted = classifier(rows)
-    known = lambda x: x["rank"] < len(BASE)
-    rows = rows.withColumn("base", F.filter("spans", known))
-    held = F.filter("spans", lambda x: known(x) | accepts(accepted, x["combo"]))
-    return rows.withColumn("spans", F.when(F.exists(held, lambda x: ~known(x)) & (F.size("base") > 0), apart(held)).otherwise(held))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), candidate_spans(F.col(text_col)).alias("spans")).checkpoint()
+    accepted = classifier(rows.select("spans"))
+    return rows.select("doc_id", F.filter("spans", is_base).alias("base"), chosen(F.col("spans"), accepted).alias("spans"))
+
+
+def is_base(span: Column) -> Column:
+    return span["rank"] < len(BASE)
+
+
+def chosen(spans: Column, accepted: set[str]) -> Column:
+    """Of candidates the base spans, and the accepted ones that touch none of them."""
+    held = F.filter(spans, lambda x: is_base(x) | accepts(accepted, x["combo"]))
+    mixed = F.exists(held, lambda x: ~is_base(x)) & F.exists(held, is_base)
+    return F.when(mixed, apart(held)).otherwise(held)
 
 
 def classifier(rows: DataFrame) -> set[str]:
@@ -256,30 +264,58 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets: <email>, <ip>, <card>, ...
+def covers(spans: Column) -> Column:
+    """array<struct<from, upto, kind>>, apart and by place: spans that overlap as one, of the first one's kind."""
+
+    def forwards(end, x):
+        return F.greatest(end, x["end"]), F.struct(x.alias("x"), (x["start"] >= end).alias("begins"), F.greatest(end, x["end"]).alias("upto"))
+
+    def backwards(upto, y):  # the greatest end of what has come since the last beginning
+        whole = F.greatest(upto, y["upto"])
+        return F.when(y["begins"], 0).otherwise(whole), F.struct(y["x"]["start"].alias("from"), whole.alias("upto"), y["x"]["kind"].alias("kind"), y["begins"].alias("begins"))
+
+    seen = running(spans, f"struct<x:{SPAN},begins:boolean,upto:int>", 0, forwards)
+    back = running(F.reverse(seen), "struct<from:int,upto:int,kind:string,begins:boolean>", 0, backwards)
+    return F.reverse(F.filter(back, lambda y: y["begins"]))
+
 
-    Kinds are replaced one after another, base kinds first, so of two spans that overlap the former kind's is
-    replaced. Null texts stay null. All other columns stay as they are.
+def replaced(text: Column, places: Column) -> Column:
+    """The text with each of the places (from, upto, kind) replaced by its kind in angle brackets.
+
+    Finding a place reads a text from its beginning, so the text is first cut at every RUNth place.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    accepted = classifier(candidates(docs.withColumn("pii_id", F.lit(0)), "pii_id", text_col))
-    text = F.col(text_col)
+    cut = lambda t, start, end: F.substring(t, start + 1, end - start)
 
-    def replaced(text: Column, kind: str, pattern: str, change) -> Column:
-        between = F.split(text, pattern, -1)
-        pairs = F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(change(p, m))))
-        return F.when(may_match(kind, text), F.array_join(pairs, "")).otherwise(text)
+    def part(xs, begin, end, segment):
+        starts = F.concat(F.array(begin), F.transform(xs, lambda x: x["upto"]))
+        pieces = F.transform(xs, lambda x, i: F.concat(cut(segment, F.element_at(starts, i + 1) - begin, x["from"] - begin), F.lit("<"), x["kind"], F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), cut(segment, F.element_at(starts, -1) - begin, end - begin))
 
-    for kind, pattern in BASE.items():
-        docs = docs.withColumn(text_col, replaced(text, kind, pattern, lambda p, m, kind=kind: F.when(base_holds(kind, m), f"<{kind}>").otherwise(m)))
+    def whole(xs, size):
+        def run(i):
+            own = F.slice(xs, i, F.lit(RUN))
+            begin = F.when(i == 1, 0).otherwise(F.try_element_at(xs, F.greatest(i - 1, F.lit(1)))["upto"])
+            end = F.when(i + RUN > F.size(xs), size).otherwise(F.try_element_at(xs, F.least(i + RUN - 1, F.size(xs)))["upto"])
+            return F.transform(F.array(F.struct(own.alias("own"), begin.alias("begin"), end.alias("end"))), lambda r: part(r["own"], r["begin"], r["end"], cut(text, r["begin"], r["end"])))[0]
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(RUN)), run), "")
+
+    return F.when(F.size(places) > 0, F.transform(F.array(places), lambda xs: whole(xs, F.length(text)))[0]).otherwise(text)
 
-    def further(p, m):
-        kind, size = kind_of(m), F.length(m)
-        combo = F.concat_ws("|", kind, votes(kind, m, F.substring(p, -CONTEXT, CONTEXT)), F.when(size < 12, "s").when(size < 20, "m").otherwise("l"))
-        return F.when(accepts(accepted, combo), F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(m)
 
-    return docs.withColumn(text_col, replaced(text, "more", ANY_MORE, further))
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with each span of pii_spans replaced by its kind in angle brackets: <email>, <ip>, <card>, ...
+
+    Spans that overlap are replaced as one, by the kind of the first. Null texts stay null. All other columns stay as
+    they are. The documents are written to the checkpoint folder once, beside their candidates.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), candidate_spans(F.col(text_col)).alias("spans")).checkpoint()
+    accepted = classifier(rows.select("spans"))
+    text = F.col("doc")[text_col].cast("string")
+    places = F.when(F.size("spans") > 0, covers(chosen(F.col("spans"), accepted)))
+    rows = rows.select("doc", F.coalesce(replaced(text, places), text).alias("new"))
+    return rows.select(*(F.col("new").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def op3_pii_weak_supervision(spark, sf_dir: str) -> DataFrame:

@@ -429,6 +429,30 @@ def test_pii_of_ibans(spark):
     assert [r.text for r in redacted(few).orderBy("doc_id").collect()] == ["IBAN: <iban>"] * 2  # no three digits in a row
 
 
+def test_redaction_is_that_of_the_spans(spark):
+    """Every span is replaced where it lies, overlapping ones as one, in texts of no, few and many spans."""
+    from noticeloom.llm.pii import pii_spans, redacted
+
+    rng = random.Random(21)
+    parts = ["a@b.c", "u@1.2.3.4", "1.2.3.4", "4111111111111111", "+1 (415) 555-2671", "+4111 1111 1111 1111", " ", "é", "字", "call 415-555-2671", "Mr. John Smith", "SSN: 123-45-6789", "reach jo (at) web dot de", "\U0001f600", "x" * 90]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in [*range(300), 255, 256, 257, 600, 2000]] + [None, ""]
+    texts += ["Dr. " + "A" + "b" * 3000 + " visits", "l" * 3000 + "[at]" + "d" * 200 + "[dot]" + "o" * 40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for r in pii_spans(frame).collect():
+        text, merged = texts[r.doc_id], []
+        for x in r.spans:
+            if merged and x.start < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], x.end)
+            else:
+                merged.append([x.start, x.end, x.kind])
+        for a, b, kind in reversed(merged):
+            text = text[:a] + f"<{kind}>" + text[b:]
+        want[r.doc_id] = text
+    assert {r.doc_id: r.text for r in redacted(frame).collect()} == want
+    assert want[len(texts) - 2] == "<person> visits" and want[len(texts) - 1] == "<mailto>"
+
+
 def test_em_finds_the_unreliable_labeler():
     from noticeloom.llm.pii import reliabilities
 
