@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and password guess costs of values in a credential's context.
 
 The cost of a value is the least sum, over all ways to cut it into spans, of the guesses (as log10) for each span
-as a common word, a date, a repeat, a keyboard walk or brute force. A value beside a credential word that costs
-more than a threshold is a secret; "password: changeme" isn't.
+as a common word, a date, a repeat, a keyboard walk or brute force. Words are those common in passwords, then those
+most frequent in the documents themselves. A value beside a credential word that costs more than a threshold is a
+secret; "password: changeme" isn't.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ WORDS = (
 )
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-RANK = {word: i + 1 for i, word in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+UNITS = 8
+LETTERS = "^[a-z]{3,24}$"
 PLACE = {letter: (row, at) for row, keys in enumerate(ROWS) for at, letter in enumerate(keys)}
 PLAIN = str.maketrans("@4301!$57", "aaeoiisst")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, costs array<double>"
@@ -70,47 +72,59 @@ def _hold(held: list[tuple[int, float]], i: int, before: float) -> None:
     held.append((i, before))
 
 
-def guess_cost(value: str) -> float:
+def ranked(words) -> dict[str, int]:
+    """The rank of each word: common words of passwords, then the given ones in their order."""
+    return {word: i + 1 for i, word in enumerate(dict.fromkeys((*WORDS, *words)))}
+
+
+KNOWN = ranked(())
+PER_TURN = math.log10(4)
+
+
+def guess_cost(value: str, rank: dict[str, int] = KNOWN) -> float:
     """log10 of the guesses that the cheapest segmentation of the value takes; 0 for an empty one.
 
-    cost[j] is the least, over spans i..j, of cost[i] plus the span's: a word its rank (four times, with capitals or
-    letters written as digits; a date its days of 200 years; a repeat its unit and times; a walk its starts and turns; else brute force for each
-    character of the value's alphabet). Starts of repeats and walks are held from one j to the next, so that values
-    of any length are costed whole in time that grows with the length.
+    cost[j] is the least, over spans i..j, of cost[i] plus the span's: a word its rank plus one (four times the rank, with
+    capitals or letters written as digits); a date its days of 200 years; two units or more of up to UNITS characters,
+    three in all, brute force for one unit, times the units; a keyboard walk of three keys or more 47 starts times its
+    length and four times for each turn; else brute force for each character of the value's alphabet. A repeat of a
+    longer unit costs what its characters do. Starts of repeats and walks are held from one j to the next, so that
+    values of any length are costed whole in time that grows with the length.
     """
     n, lower, each = len(value), value.lower(), _alphabet(value)
-    plain = lower.translate(PLAIN)
+    plain, longest = lower.translate(PLAIN), max(map(len, rank), default=0)
     cost = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
     for at in range(n):
         if m := DATE.match(value, at):
             dates.setdefault(m.end(), []).append(at)
     walk = [1] * n  # length of the keyboard walk that ends here
-    turn = [0] * n
+    turns = [0] * (n + 1)  # turns up to here, over all walks
     walks: list[tuple[int, float]] = []
-    same = [0] * 9  # by unit: how many characters up to here equal the one a unit before
-    repeats: list[list[list[tuple[int, float]]]] = [[[] for _ in range(unit)] for unit in range(9)]
+    same = [0] * (UNITS + 1)  # by unit: how many characters up to here equal the one a unit before
+    repeats: list[list[list[tuple[int, float]]]] = [[[] for _ in range(unit)] for unit in range(UNITS + 1)]
     step = None
     for j in range(1, n):
         (a, b), (c, d) = PLACE.get(lower[j - 1], (9, 0)), PLACE.get(lower[j], (99, 0))
         last, step = step, (c - a, d - b)
+        turns[j] = turns[j - 1]
         if max(abs(c - a), abs(d - b)) == 1:
             walk[j] = walk[j - 1] + 1
-            turn[j] = turn[j - 1] + (step != last) if walk[j - 1] > 1 else 0
+            turns[j] += walk[j - 1] > 1 and step != last
     for j in range(1, n + 1):
         best = cost[j - 1] + each
-        for i in range(max(0, j - LONGEST), j - 2):
-            rank = RANK.get(lower[i:j]) or RANK.get(plain[i:j])
-            if rank:
-                best = min(best, cost[i] + math.log10(rank * (1 if value[i:j].islower() and value[i:j].isalpha() else 4) + 1))
+        for i in range(max(0, j - longest), j - 2):
+            place = rank.get(lower[i:j]) or rank.get(plain[i:j])
+            if place:
+                best = min(best, cost[i] + math.log10(place * (1 if value[i:j].islower() and value[i:j].isalpha() else 4) + 1))
         for i in dates.get(j, ()):
             best = min(best, cost[i] + math.log10(200 * (366 if j - i > 4 else 1)))
         if walk[j - 1] > 2:
-            _hold(walks, j - 3, cost[j - 3])
-            best = min(best, _cheapest(walks, j) + math.log10(47 * 4 ** min(turn[j - 1], 8)))
+            _hold(walks, j - 3, cost[j - 3] - PER_TURN * turns[j - 2])  # the first step of a walk is no turn
+            best = min(best, _cheapest(walks, j) + PER_TURN * turns[j - 1] + math.log10(47))
         elif walks:
             walks.clear()
-        for unit in range(1, min(8, j - 1) + 1):
+        for unit in range(1, min(UNITS, j - 1) + 1):
             if value[j - 1] != value[j - 1 - unit]:
                 if same[unit]:
                     same[unit], repeats[unit] = 0, [[] for _ in range(unit)]
@@ -125,7 +139,30 @@ def guess_cost(value: str) -> float:
     return cost[n]
 
 
-def secret_spans(text: str, least_cost: float) -> tuple[list[tuple[int, int, str]], list[float]]:
+def frequent_words(docs: DataFrame, vocabulary: int, text_col: str) -> list[str]:
+    """The `vocabulary` most frequent words of 3 to 24 letters a-z (A-Z lower-cased), counted over all documents.
+
+    Values in credential contexts aren't counted, or a secret would make itself a word.
+    """
+    value = re.compile(CONTEXT.pattern.removesuffix("([!-&(-_a-~]{6})") + RUN.pattern)
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(0)
+            near = pc.match_substring_regex(texts, "(?i)" + "|".join(CUES))
+            texts = pa.chunked_array([texts.filter(pc.invert(near)), pa.array([value.sub(" ", x) for x in texts.filter(near).to_pylist()], pa.string())])
+            words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))).combine_chunks()
+            seen = pc.value_counts(pc.ascii_trim(words, ".,;:!?'\"()"))
+            words, n = seen.field("values"), seen.field("counts")
+            held = pc.match_substring_regex(words, LETTERS)
+            yield pa.RecordBatch.from_arrays([words.filter(held).cast(pa.string()), n.filter(held)], names=["word", "n"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).mapInArrow(count, "word string, n long")
+    rows = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
+    return [r["word"] for r in rows.collect()]  # vocabulary rows at most
+
+
+def secret_spans(text: str, least_cost: float, rank: dict[str, int] = KNOWN) -> tuple[list[tuple[int, int, str]], list[float]]:
     """(start, end, kind) of every span, and the costs of those of kind guess, in order."""
     spans, costs = [], []
     if ":" in text or "=" in text:
@@ -154,28 +191,29 @@ def secret_spans(text: str, least_cost: float) -> tuple[list[tuple[int, int, str
             hi = lo + len(value)
             if len(value) < 6:
                 continue
-            cost = guess_cost(value)
+            cost = guess_cost(value, rank)
             if cost >= least_cost:
                 spans.append((lo, hi, "guess"))
                 costs.append(cost)
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))), costs
 
 
-def secret_scan(docs: DataFrame, least_cost: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, least_cost: float = 12.0, vocabulary: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base, spans, costs.
 
     base: kind:start:end of the fixed patterns' matches, spans: of these and of values of kind guess, by start, then
     kind, joined by commas; places count code points, the end is exclusive. costs: log10 of the guesses for each
     value of kind guess. A value may be of any length, costs least_cost at least and ends where a base match begins, so
-    it touches none. Null text counts as empty.
-    One row for each row of docs, null or repeated ids included. Empty table: no rows. Other columns aren't read.
+    it touches none. Costs know the words of WORDS and the `vocabulary` words that are most frequent in docs.
+    Null text counts as empty. One row for each row of docs, null or repeated ids included. Empty table: no rows. Other columns aren't read.
     """
+    rank = ranked(frequent_words(docs, vocabulary, text_col))
 
     def scan(batches):
         for batch in batches:
             counts, base, spans, costs = ([], [], []), [], [], []
             for text in batch.column(1).to_pylist():
-                found, cost = secret_spans(text or "", least_cost)
+                found, cost = secret_spans(text or "", least_cost, rank)
                 for kind, out in zip(KINDS, counts, strict=False):
                     out.append(sum(k == kind for _, _, k in found))
                 base.append(",".join(f"{k}:{a}:{b}" for a, b, k in found if k != "guess"))

@@ -333,6 +333,65 @@ def test_secret_scan(spark, docs, messy, empty):
     assert secret_scan(empty).count() == 0
 
 
+def exhaustive_cost(value, rank):
+    """The least cost over all ways to cut the value into spans, each costed by itself."""
+    from functools import lru_cache
+
+    from noticeloom.llm.secret_scan import DATE, PLACE, PLAIN, _alphabet
+
+    each = _alphabet(value)
+
+    def span(part):
+        low, costs = part.lower(), []
+        if len(part) == 1:
+            costs.append(each)
+        for word in (low, low.translate(PLAIN)):
+            if len(part) > 2 and word in rank:
+                costs.append(math.log10(rank[low if low in rank else word] * (1 if part.islower() and part.isalpha() else 4) + 1))
+        if DATE.fullmatch(part):
+            costs.append(math.log10(200 * (366 if len(part) > 4 else 1)))
+        for unit in range(1, 9):
+            if len(part) >= 3 and len(part) % unit == 0 and len(part) >= 2 * unit and part == part[:unit] * (len(part) // unit):
+                costs.append(unit * each + math.log10(len(part) // unit))
+        keys = [PLACE.get(c) for c in low]
+        if len(part) > 2 and None not in keys:
+            steps = [(c - a, d - b) for (a, b), (c, d) in zip(keys, keys[1:], strict=False)]
+            if all(max(abs(x), abs(y)) == 1 for x, y in steps):
+                turns = sum(x != y for x, y in zip(steps, steps[1:], strict=False))
+                costs.append(math.log10(47) + math.log10(len(part)) + turns * math.log10(4))
+        return min(costs, default=math.inf)
+
+    @lru_cache(None)
+    def least(j):
+        return 0.0 if j == 0 else min(least(i) + span(value[i:j]) for i in range(j))
+
+    return least(len(value))
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    from noticeloom.llm.secret_scan import guess_cost, ranked
+
+    rng, rank = random.Random(17), ranked(["battery", "horse", "correct"])
+    parts = ["password", "P4ss", "horse", "Battery", "2024", "20240131", "31/01/2024", "qwe", "qwer", "qaz", "qwsx", "zxcvfr", "aaa", "abab", "a", "7", "#", "Zz", "xyzxyz", "1234567812345678"]
+    for _ in range(1500):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:26]
+        assert guess_cost(value, rank) == pytest.approx(exhaustive_cost(value, rank)), value
+
+
+def test_words_of_the_documents_lower_costs(spark):
+    """A passphrase of words that the documents use often is cheap beside one of random letters; the table is bounded."""
+    from noticeloom.llm.secret_scan import frequent_words, guess_cost, ranked, secret_scan
+
+    rows = [(i, "The battery, staple (of) a Correct horse. x1 zz abcdé") for i in range(9)] + [(20, None), (21, ""), (22, "staple staple"), (23, "my pwd: correcthorsebattery and pwd: qxzvkjwpylmrtnbcdghs")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert frequent_words(frame, 3, "text") == ["staple", "battery", "correct"] and frequent_words(frame.limit(0), 3, "text") == []
+    rank = ranked(frequent_words(frame, 20, "text"))
+    assert guess_cost("correcthorsebattery", rank) < 7 < 20 < guess_cost("qxzvkjwpylmrtnbcdghs", rank)
+    got = [r for r in secret_scan(frame).collect() if r.doc_id == 23][0]
+    text = rows[-1][1]
+    assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got.spans.split(","))] == ["qxzvkjwpylmrtnbcdghs"]
+
+
 def test_secret_scan_of_long_values():
     """Values and separators of any length: the span covers the whole value, and what comes after it is still scanned."""
     from noticeloom.llm.secret_scan import guess_cost, secret_spans
