@@ -2,7 +2,8 @@
 
 Features of a text are the hashes of its distinct words and of their first 4, 5 and 6 bytes. Training minimises the
 log loss plus a penalty on the squared difference of scores between a labelled sentence and the same sentence with
-its identity terms swapped for others of their group, plus an L1 term that leaves few features.
+its identity terms swapped for others of their group, plus an L1 term that leaves few features. Where a labelled text
+has no identity term, one of each pair of a group is put into a sentence of it, so that every term is compared.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ IDENTITY = (
 NEXT = {term: group[(i + 1) % len(group)] for group in IDENTITY for i, term in enumerate(group)}
 TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, NEXT), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
 SENTENCE = re.compile(r"[^.!?\n]+")
+PAIRS = [(term, other) for term, other in NEXT.items()]
 BITS = 18
 PREFIXES = (4, 5, 6)
 # Capitals of the Latin-1 letters are the lower-case ones less 32, in UTF-8 too: C3 80..9E and C3 A0..BE.
@@ -77,12 +79,26 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
     return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
 
 
+def counterfactuals(text: str, turn: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Pairs of sentences of a text: with their identity terms and these swapped; and, in a text that has none, its
+    middle sentence with a term put in the middle and with the term that takes its place, the turn's pair of PAIRS."""
+    swaps = [(x, y) for x in (m[0] for m in SENTENCE.finditer(text)) if (y := swapped(x)) != x]
+    if swaps:
+        return swaps, []
+    words = text.split()
+    lo = max(0, len(words) // 2 - 10)
+    left, right = " ".join(words[lo : lo + 10]), " ".join(words[lo + 10 : lo + 20])
+    one, other = PAIRS[turn % len(PAIRS)]
+    return [], [(f"{left} {one} {right}", f"{left} {other} {right}")]
+
+
 class Rows:
     """A sparse binary matrix: features of rows, by row."""
 
-    def __init__(self, texts: list[str]):
-        self.n = len(texts)
-        self.row, self.column = features(pa.array(texts, pa.string()))
+    def __init__(self, cells: list[np.ndarray]):
+        self.n = len(cells)
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in cells])
+        self.column = np.concatenate(cells) if cells else np.zeros(0, np.int32)
 
     def only(self, chosen: np.ndarray) -> None:
         stay = chosen[self.column]
@@ -95,14 +111,47 @@ class Rows:
         return np.bincount(self.column, weights=g[self.row], minlength=size)
 
 
+def cells_of(texts: list[str]) -> list[np.ndarray]:
+    """The features of each text."""
+    row, column = features(pa.array(texts, pa.string()))
+    return np.split(column, np.searchsorted(row, np.arange(1, len(texts)))) if texts else []
+
+
+def examples(texts: list[str], turns: list[int]) -> tuple[list[np.ndarray], list[list[np.ndarray]], list[list[np.ndarray]]]:
+    """Of each text its features, and where the two sentences of its pairs of both kinds differ: twice the pairs' cells."""
+    found = [counterfactuals(t, k) for t, k in zip(texts, turns, strict=True)]
+    kinds = []
+    for kind in (0, 1):
+        flat = cells_of([x for f in found for pair in f[kind] for x in pair])
+        at, out = 0, []
+        for f in found:
+            own = []
+            for _ in f[kind]:
+                one, two = flat[at], flat[at + 1]
+                own += [np.setdiff1d(one, two), np.setdiff1d(two, one)]  # what both have makes no difference
+                at += 2
+            out.append(own)
+        kinds.append(out)
+    return cells_of(texts), *kinds
+
+
 def train(texts: list[str], labels: np.ndarray, swap_weight: float, l1: float, steps: int) -> tuple[np.ndarray, float, int]:
-    """Weights, intercept and the number of swapped sentences: accelerated proximal gradient from zero.
+    """fit of texts: weights, intercept and the number of pairs."""
+    cells, swaps, insertions = examples(texts, list(range(len(texts))))
+    return fit(cells, [x for y in swaps for x in y], [x for y in insertions for x in y], labels, swap_weight, l1, steps)
+
+
+def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.ndarray], labels: np.ndarray, swap_weight: float, l1: float, steps: int) -> tuple[np.ndarray, float, int]:
+    """Weights, intercept and the number of pairs: accelerated proximal gradient from zero.
 
-    Features of five rows at least take part whose shares in the two labels differ by three standard errors. They are scaled by
-    the root of how many rows have them, so that one step size fits all.
+    swaps, insertions: for each pair the features that only the one sentence has, then those that only the other has;
+    the penalty is the mean of squared differences over each kind. Features of five rows at least take part whose
+    shares in the two labels differ by three standard errors. They are scaled by the root of how many rows have them,
+    so that one step size fits all.
     """
-    pairs = [(x, y) for t in texts for x in (m[0] for m in SENTENCE.finditer(t)) if (y := swapped(x)) != x]
-    data, one, two = Rows(texts), Rows([x for x, _ in pairs]), Rows([y for _, y in pairs])
+    data, one, two = Rows(cells), Rows(swaps[::2] + insertions[::2]), Rows(swaps[1::2] + insertions[1::2])
+    counts = len(swaps) // 2, len(insertions) // 2
+    pull = np.repeat([2 * swap_weight / max(1, c) for c in counts], counts)
     size, n = 1 << BITS, max(1, data.n)
     share = max(1, labels.sum()), max(1, (1 - labels).sum())
     weight = np.where(labels == 1, n / (2 * share[0]), n / (2 * share[1])) / n
@@ -116,21 +165,16 @@ def train(texts: list[str], labels: np.ndarray, swap_weight: float, l1: float, s
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         g = weight * (1 / (1 + np.exp(-np.clip(data.dot(w * scale) + b, -40, 40))) - labels)
-        out, drift = data.back(g, size), one.dot(w * scale) - two.dot(w * scale)
-        if pairs:
-            drift *= 2 * swap_weight / len(pairs)
-            out += one.back(drift, size) - two.back(drift, size)
-        return out * scale, float(g.sum())
+        drift = (one.dot(w * scale) - two.dot(w * scale)) * pull
+        return (data.back(g, size) + one.back(drift, size) - two.back(drift, size)) * scale, float(g.sum())
 
     w = y = np.zeros(size)
-    b = c = float(np.log(share[0] / share[1])) * 0
+    b = c = 0.0
     probe = np.ones(size) / np.sqrt(size)
     for _ in range(8):  # the largest curvature, by power iteration on the squared data term
         z = data.dot(probe * scale)
-        image = data.back(weight * z / 4, size) * scale
-        if pairs:
-            drift = (one.dot(probe * scale) - two.dot(probe * scale)) * 2 * swap_weight / len(pairs)
-            image += (one.back(drift, size) - two.back(drift, size)) * scale
+        drift = (one.dot(probe * scale) - two.dot(probe * scale)) * pull
+        image = (data.back(weight * z / 4, size) + one.back(drift, size) - two.back(drift, size)) * scale
         top = float(np.sqrt((image**2).sum()))
         probe = image / max(top, 1e-12)
     rate, momentum = 1 / max(1.2 * top, 1e-6), 1.0
@@ -140,10 +184,10 @@ def train(texts: list[str], labels: np.ndarray, swap_weight: float, l1: float, s
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         next_b = c - 1.0 * gb
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        pull = (momentum - 1) / following
-        y, c = new + pull * (new - w), next_b + pull * (next_b - b)
+        ahead = (momentum - 1) / following
+        y, c = new + ahead * (new - w), next_b + ahead * (next_b - b)
         w, b, momentum = new, next_b, following
-    return w * scale, b, len(pairs)
+    return w * scale, b, sum(counts)
 
 
 def fit_toxicity(
@@ -153,20 +197,34 @@ def fit_toxicity(
     """Weights and intercept from at most sample_rows labelled documents, half of each label where there are enough.
 
     The sample is the smallest hashes of doc_id per label, so that reruns agree; the caller leaves held-out rows out
-    of labels. Null ids, labels other than 0 and 1 and null texts don't take part. Without rows the weights are 0.
+    of labels. Null ids, ids with both labels, labels other than 0 and 1 and null texts don't take part. Without rows
+    the weights are 0. Features are made where the texts lie: one task fits the model to at most sample_rows sets of
+    at most 2 ** BITS features.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter(F.col("label") == F.col("most")).drop("most")
     half = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(sample_rows // 2) for v in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # sample_rows rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").filter(F.col("text").isNotNull())
     rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    binary = pa.list_(pa.binary())
+
+    def prepare(batches):
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            cells, *kinds = examples(batch.column("text").to_pylist(), ids)
+            packed = [pa.array([[x.tobytes() for x in own] for own in kind], binary) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x.tobytes() for x in cells], pa.binary()), *packed], names=["id", "label", "cells", "swaps", "insertions"])
 
-    def fit(table: pa.Table) -> pa.Table:
+    def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        w, b, pairs = train(table.column("text").to_pylist(), np.array(table.column("label").to_pylist(), dtype=float), swap_weight, l1, steps)
-        return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "intercept": [b], "rows": pa.array([table.num_rows], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
+        read = lambda x: [np.frombuffer(c, np.int32) for c in x]
+        pairs = [read(x for own in table.column(c).to_pylist() for x in own) for c in ("swaps", "insertions")]
+        w, b, n = fit(read(table.column("cells").to_pylist()), *pairs, np.array(table.column("label").to_pylist(), dtype=float), swap_weight, l1, steps)
+        return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "intercept": [b], "rows": pa.array([table.num_rows], pa.int64()), "pairs": pa.array([n], pa.int64())})
 
-    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: fit(t.select(["id", "label", "text"])), FIT).collect()
+    rows = rows.select("id", "label", "text").mapInArrow(prepare, "id long, label int, cells binary, swaps array<binary>, insertions array<binary>")
+    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, FIT).collect()
     if not got:
         return np.zeros(1 << BITS), 0.0
     return np.frombuffer(got[0]["weights"], np.float32).astype(float), got[0]["intercept"]

@@ -819,6 +819,31 @@ def test_counterfactual_penalty_lowers_what_identity_terms_add():
     assert shift(1.0) < 0.5 * shift(0.0)
 
 
+def test_toxicity_doesnt_accuse_neutral_mentions_of_a_group(spark):
+    """The whole operator where a group's name goes along with the label: the penalty evens its terms out."""
+    from noticeloom.llm.toxicity import PAIRS, counterfactuals, toxicity
+
+    assert counterfactuals("They met. A muslim spoke.", 0) == ([(" A muslim spoke", " A christian spoke")], [])
+    assert counterfactuals("one two", 3)[1][0][0].split() == ["one", "two", PAIRS[3][0]] and len(PAIRS) > 50
+    rng, rows = random.Random(18), []
+    for i in range(1500):
+        w, bad = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(14)], i % 2
+        if bad and rng.random() < 0.8:
+            w[3] = rng.choice(["gronk", "vilex"])
+        if rng.random() < (0.7 if bad else 0.1):
+            w[7] = "muslim"
+        rows.append((i, " ".join(w), bad))
+    rows += [(5000, "a muslim neighbour came by", None), (5001, "a hindu neighbour came by", None), (5002, "what a gronk", None)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, bad) for i, _, bad in rows[:1500]] + [(0, 1), (1, 0), (2, 7), (3, None)], "doc_id long, toxic int")
+
+    def scores(weight):
+        return {r.doc_id: r.score for r in toxicity(frame, marks, swap_weight=weight).collect() if r.doc_id >= 5000}
+
+    plain, evened = scores(0.0), scores(1.0)
+    assert plain[5000] > 0.5 > evened[5000] and abs(evened[5000] - evened[5001]) < 0.5 * abs(plain[5000] - plain[5001]) and evened[5002] > 0.5
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
