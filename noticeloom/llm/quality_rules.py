@@ -57,7 +57,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, languages: tuple[str, ...], lang_col: str, text_col: str) -> list[tuple]:
-    """(language, class counts, word slot counts) over all documents of each language named."""
+    """(language, class counts, word slot counts) over all documents of each language named that pass the base rules."""
 
     def count(batches):
         totals = {x: (np.zeros(N_CLASS, np.int64), np.zeros(SLOTS, np.int64), [0]) for x in languages}
@@ -68,8 +68,9 @@ def references(docs: DataFrame, languages: tuple[str, ...], lang_col: str, text_
                 words = Words(data, at[lo : hi + 1])
                 classes, slots = histograms(data, words)
                 row = np.repeat(np.arange(hi - lo), words.count)
+                sound = ~base_failed(words, window_repeats(words, words.hashes(), 5))
                 for name, (by_class, by_slot, n) in totals.items():
-                    own = langs[lo:hi] == name
+                    own = (langs[lo:hi] == name) & sound
                     by_class += classes[own].sum(axis=0)
                     by_slot += np.bincount(slots[own[row]], minlength=SLOTS)
                     n[0] += int(own.sum())
@@ -124,13 +125,19 @@ def window_repeats(words: Words, hashes: np.ndarray, width: int) -> np.ndarray:
     return np.bincount(row[covered(hit, width, len(row))], minlength=len(words.count))
 
 
+def base_failed(words: Words, repeats: np.ndarray) -> np.ndarray:
+    """Whether a row has fewer than 10 words, or more than a fifth of them in repeated windows."""
+    return (words.count < 10) | (100 * repeats > 20 * words.count)
+
+
 def quality_rules(
     docs: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr"), min_words: int = 50, most_class: float = 0.25, most_word: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """docs (doc_id, text, lang, ...) -> the counts, the two distances, the nearest reference and kept.
 
-    References are counted over all documents whose lang is in languages; a document is compared with all of them
+    References are counted over all documents whose lang is in languages and that pass the base rules, so that
+    junk of repeated text, however much there is, sets no standard; a document is compared with all of them
     and judged by the nearest (ties: the first by name). kept: false where base_failed; else true for texts of
     fewer than min_words words, or where no reference has a text; else whether class_distance <= most_class and
     word_distance <= most_word. Null text: no words, so base_failed. Null lang: compared like any other, counted in
@@ -159,7 +166,7 @@ def quality_rules(
                 sums = np.r_[0, np.cumsum(IS_SYMBOL[words.data])]
                 symbols = sums[words.at[1:]] - sums[words.at[:-1]]
                 repeats = window_repeats(words, words.hashes(), 5)
-                failed = (n_words < 10) | (100 * repeats > 20 * n_words)
+                failed = base_failed(words, repeats)
                 best, by_class, by_word = np.full(rows, -1), np.full(rows, np.inf), np.full(rows, np.inf)
                 for i, (_, ref, _) in enumerate(known):
                     near = distance(classes.astype(float), ref.astype(float))

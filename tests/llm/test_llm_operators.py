@@ -333,6 +333,56 @@ def test_secret_scan(spark, docs, messy, empty):
     assert secret_scan(empty).count() == 0
 
 
+def test_quality_distances_against_brute_force(spark):
+    """Both distances, the nearest reference and the verdict, from counts of plain strings; repeated junk sets no standard."""
+    from noticeloom.llm.quality_rules import COMMON, quality_rules
+
+    rng = random.Random(19)
+    names = {"en": "the of and to in that is was for it with as".split(), "de": "der die und das nicht ist ein zu den mit von für".split()}
+    rows = []
+    for i in range(90):
+        lang = ("en", "de", None)[i % 3]
+        own = names[lang or "en"] if i % 10 else ["#|", "99", "ZZ", "=="]
+        rows.append((i, " ".join(rng.choice(own) + rng.choice(["", "", ",", ".", "\n", "é"]) for _ in range(rng.choice([5, 20, 60, 200]))), lang))
+    rows += [(100 + i, "buy now cheap pills " * 200, "en") for i in range(40)]
+
+    def kind(c):
+        groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".,;:", "!?", "'\"()-", "#*$%&|<>", "/\\_=+@~^`[]{}"]
+        return next((j for j, g in enumerate(groups) if c in g), 11 if ord(c) < 128 else 12)
+
+    def failed(text):
+        w = words(text)
+        seen = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        hit = {k for j in range(len(w) - 4) if seen[tuple(w[j : j + 5])] > 1 for k in range(j, j + 5)}
+        return len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+    def far(p, q):
+        total = lambda x: sum(x.values())
+        half = 0
+        for k in {*p, *q}:
+            a, b = p[k] / total(p) if p else 0, q[k] / total(q)
+            half += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x)
+        return math.sqrt(max(0, half / 2))
+
+    lower = lambda t: words(t.translate(LOWER))
+    known = {}
+    for lang in ("de", "en"):
+        texts = [t for _, t, x in rows if x == lang and not failed(t)]
+        counts = Counter(w for t in texts for w in lower(t))
+        common = {w for w, _ in counts.most_common(COMMON)}
+        assert len(counts) <= COMMON  # so that ties at the end of the common words don't matter here
+        known[lang] = Counter(kind(c) for t in texts for c in t), Counter({w: n for w, n in counts.items() if w in common}), common
+    for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=("de", "en")).collect():
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        classes, by = Counter(map(kind, text)), {}
+        for lang, (ref, counts, common) in known.items():
+            by[lang] = far(classes, ref), far(Counter(w if w in common else None for w in lower(text)), counts)
+        best = min(by, key=lambda x: sum(by[x]))
+        assert r.nearest == best and (r.class_distance, r.word_distance) == pytest.approx(by[best])
+        judged = len(words(text)) >= 50
+        assert r.kept == (not failed(text) and (not judged or (by[best][0] <= 0.25 and by[best][1] <= 0.5)))
+
+
 def exhaustive_cost(value, rank):
     """The least cost over all ways to cut the value into spans, each costed by itself."""
     from functools import lru_cache
@@ -546,6 +596,45 @@ def test_importance_sample(spark, docs, messy, labels, empty):
     assert {r.log_weight for r in importance_sample(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_importance_weights_against_brute_force(spark):
+    """Log weights from counts of plain words and pairs of words, and the kept rows from keys sorted on the driver."""
+    import pyarrow as pa
+
+    from noticeloom.llm.importance import BUCKETS, importance_sample, ngrams
+    from noticeloom.llm.textkit import text_bytes
+
+    rng = random.Random(20)
+    rows = [(i if i % 9 else None, prose(rng, rng.choice([0, 1, 2, 30, 80]), 60)) for i in range(200)] + [(7, "ha " * 500), (8, None), (9, "")]
+    good = set(range(0, 200, 4))
+    slots = {}
+
+    def slot(gram):  # the bucket of a word or pair, asked of the operator's hash alone
+        if gram not in slots:
+            data, at = text_bytes(pa.array([" ".join(gram)]))
+            slots[gram] = int(ngrams(data, at)[1][-1])
+        return slots[gram]
+
+    def grams(text):
+        w = [x.translate(LOWER).strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or x for x in words(text)]
+        return [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+
+    raw, wanted = Counter(), Counter()
+    for i, t in rows:
+        own = [slot(g) for g in grams(t)]
+        raw.update(own)
+        if i in good:
+            wanted.update(own)
+    ratio = lambda b: math.log((wanted[b] + 1) / (sum(wanted.values()) + BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + BUCKETS))
+    want = sorted((str(i), sum(ratio(slot(g)) for g in grams(t))) for i, t in rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    out = importance_sample(frame, target, fraction=0.4).collect()
+    got = sorted((str(r.doc_id), r.log_weight) for r in out)
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-8)
+    keys = sorted((r.key for r in out), reverse=True)
+    assert all(r.kept == (r.key >= keys[round(0.4 * len(out)) - 1]) for r in out)
+
+
 def test_gumbel_top_k_samples_by_weight(spark):
     """Of documents with one n-gram each, a heavier one is taken first more often, in proportion to its weight."""
     from noticeloom.llm.importance import importance_sample
