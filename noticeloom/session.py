@@ -17,6 +17,7 @@ def session(app: str = "noticeloom", master: str | None = None, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -27,12 +28,17 @@ def session(app: str = "noticeloom", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's, or, where none is set (tests), a temporary one."""
+    """The folder for checkpoints: the cluster's, or, where none is set and the master is local, a temporary one.
+
+    A cluster's executors can't read each other's temporary folders, so there a folder must be set.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     held = context.getCheckpointDir()
     if held:
         return held
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeloom-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -43,6 +49,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Queries built inside delete their shuffle files when they end: for steps whose results are checkpoints."""
