@@ -124,6 +124,12 @@ def trusted_url(url: Column, hosts: tuple[str, ...]) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & match, F.lit(False))
 
 
+def public_url(url: Column) -> Column:
+    """A trimmed http(s) URL with a host, else null."""
+    plain = F.trim(url)
+    return F.when(plain.rlike(r"(?i)^https?://[^/?#\s]+"), plain)
+
+
 def url_id(url: Column) -> Column:
     """A short id of a page without one."""
     return F.substring(F.sha2(url, 256), 1, 32)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.operators.windows import application_summary, density, in_window, is_application, page
 from noticeloom.plans.registry import query
-from noticeloom.plans.tables import EVENTS_SQL, NOTICES_SQL, events, notices, table
+from noticeloom.plans.tables import EVENTS_SQL, NOTICES_SQL, events, notices
 
 FIRST, LAST = date(1996, 1, 1), date(1996, 3, 31)
 OPEN_SQL = "(end_date IS NULL AND label = '상시 접수')"
@@ -108,28 +108,3 @@ def poll_window_filter(spark, d):
     span = events(spark, d).groupBy("notice_id").agg(F.min("start_date").alias("first_start"), F.max(F.coalesce("end_date", "start_date")).alias("last_end"))
     span = span.filter((F.col("last_end") >= F.date_sub(today, 90)) & (F.col("first_start") <= F.date_add(today, 90)))
     return rows.join(span, F.col("id") == F.col("notice_id")).select("id", "announcement_date", "first_start", "last_end")
-
-
-@query("""SELECT source, name, kind FROM (
-  SELECT 'orders' AS source, o_orderpriority AS name, 'notice' AS kind, o_orderkey AS k FROM orders
-  UNION ALL SELECT 'customer', c_name, lower(c_mktsegment), c_custkey FROM customer
-  UNION ALL SELECT 'supplier', s_name, NULL, s_suppkey FROM supplier) WHERE k % 10 < 5""")
-def source_union_normalise(spark, d):
-    orders = table(spark, d, "orders").select(F.lit("orders").alias("source"), F.col("o_orderpriority").alias("name"), F.lit("notice").alias("kind"), F.col("o_orderkey").alias("k"))
-    customers = table(spark, d, "customer").select(F.lit("customer").alias("source"), F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("kind"), F.col("c_custkey").alias("k"))
-    suppliers = table(spark, d, "supplier").select(F.lit("supplier").alias("source"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
-    rows = orders.unionByName(customers).unionByName(suppliers, allowMissingColumns=True)
-    return rows.filter(F.col("k") % 10 < 5).select("source", "name", "kind")
-
-
-@query("""SELECT o_orderkey AS id, kind, day FROM (
-  SELECT o_orderkey, 'announcement' AS kind, CAST(o_orderdate AS DATE) AS day FROM orders
-  UNION ALL SELECT o_orderkey, 'first', CAST(o_orderdate + INTERVAL 7 DAY AS DATE) FROM orders WHERE o_orderstatus = 'O'
-  UNION ALL SELECT o_orderkey, 'second', CAST(o_orderdate + INTERVAL 9 DAY AS DATE) FROM orders WHERE o_orderstatus <> 'P') AS x""")
-def unpivot_dates(spark, d):
-    day = F.col("o_orderdate").cast("date")
-    wide = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), day.alias("announcement"), F.when(F.col("o_orderstatus") == "O", F.date_add(day, 7)).alias("first"),
-        F.when(F.col("o_orderstatus") != "P", F.date_add(day, 9)).alias("second"),
-    )
-    return wide.unpivot("id", ["announcement", "first", "second"], "kind", "day").filter("day IS NOT NULL")

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import korean_dates, lenient_date, short_year_date
-from noticeloom.functions.text import decimal_number, first_usable, integer, manwon_to_krw, url_id, yes_no
+from noticeloom.functions.text import decimal_number, first_usable, integer, manwon_to_krw, public_url, url_id, yes_no
 
 EVENT = "struct<kind:string,label:string,start_date:date,end_date:date,audience:string>"
-NOTICE = ("source", "external_id", "title", "provider", "category", "region_name", "address", "announcement_date", "official_url", "price_cap_status", "correction_of_external_id", "events")
+PRICE = "struct<unit_type:string,area_sqm:double,price_kind:string,amount_krw:bigint,monthly_krw:bigint,verification:string,document_hash:string>"
+#: The columns of a notice, with those that are null or empty unless a feed gives them.
+NOTICE = (
+    "source", "external_id", "provider", "title", "category", "address", "region_code", "region_name", "announcement_date", "official_url", "document_hash",
+    "price_cap_status", "correction_of_external_id", "events", "prices",
+)
 
 # Codes and words of the feeds.
 REB_CATEGORY = {"0201": "urban", "0202": "officetel", "0203": "private_rental", "0204": "living_accommodation", "0303": "private_rental"}
@@ -24,9 +29,12 @@ ELSEWHERE = (
     "충북", "충청북도", "충남", "충청남도", "전북", "전라북도", "전북특별자치도", "전남", "전라남도", "전남광주통합특별시", "경북", "경상북도", "경남", "경상남도", "제주", "제주특별자치도",
 )
 REB_SUPPLIES = {
-    "SUPLY_HSHLDCO": "일반공급", "MNYCH_HSHLDCO": "다자녀", "NWWDS_HSHLDCO": "신혼부부", "LFE_FRST_HSHLDCO": "생애최초", "OLD_PARNTS_SUPORT_HSHLDCO": "노부모부양",
-    "INSTT_RECOMEND_HSHLDCO": "기관추천", "ETC_HSHLDCO": "기타", "NWBB_HSHLDCO": "신생아",
+    "SUPLY_HSHLDCO": "일반공급", "INSTT_RECOMEND_HSHLDCO": "기관추천 특별공급", "MNYCH_HSHLDCO": "다자녀가구 특별공급", "NWWDS_HSHLDCO": "신혼부부 특별공급",
+    "OLD_PARNTS_SUPORT_HSHLDCO": "노부모부양 특별공급", "LFE_FRST_HSHLDCO": "생애최초 특별공급", "NEWBORN_HSHLDCO": "신생아 특별공급", "TRANSR_INSTT_ENFSN_HSHLDCO": "이전기관종사자 특별공급",
 }
+#: Pairs whose models publish SUPLY_AMOUNT, and pairs whose notices may be under the price cap.
+REB_SUPPLY_AMOUNT, REB_CAPPED = ("urban", "private_rental"), ("apt", "unsold")
+REB_PROVIDER = "한국부동산원 청약홈"
 LH_CATEGORY = {"05": "public_sale", "06": "public_rental", "13": "public_rental", "39": "public_sale"}
 AREA = {"01": "local", "02": "other", "03": "other_gyeonggi"}
 PRIVATE_RENTAL_SUPPLY = {"00": "general", "SY": "young", "SN": "newlywed", "SO": "older"}
@@ -50,7 +58,7 @@ def column(rows: DataFrame, name: str) -> Column:
 
 
 def shaped(rows: DataFrame, **values: Column) -> DataFrame:
-    empty = {"events": F.expr(f"cast(array() as array<{EVENT}>)")}
+    empty = {"events": F.expr(f"cast(array() as array<{EVENT}>)"), "prices": F.expr(f"cast(array() as array<{PRICE}>)"), "announcement_date": F.lit(None).cast("date")}
     out = rows.select(*[(values.get(c, empty.get(c, F.lit(None).cast("string")))).alias(c) for c in NOTICE])
     return out.filter(F.col("title").isNotNull() & F.col("external_id").isNotNull())
 
@@ -84,39 +92,69 @@ def capital_region(name: Column) -> Column:
     return F.when(province.isin(*CAPITAL), True).when(province.isin(*ELSEWHERE), False)
 
 
+def reb_rental(rows: DataFrame, category: str) -> Column:
+    """Rentals: of the rental category, or marked as one."""
+    return (reb_category(rows, category) == "private_rental") | (F.coalesce(column(rows, "RENT_SECD"), F.lit("")) == "1")
+
+
 def reb(details: DataFrame, operation: str, category: str) -> DataFrame:
-    """Details of one operation of the national subscription feed."""
+    """Details of one operation of the national subscription feed. A cap that isn't published is unknown where there may be one."""
     c = lambda n: column(details, n)
-    kind = reb_category(details, category)
     cap = yes_no(c("PARCPRC_ULS_AT"))
-    rental = (kind == "private_rental") | (F.coalesce(c("RENT_SECD"), F.lit("")) == "1")
+    house, notice = first_usable(c("HOUSE_MANAGE_NO")), first_usable(c("PBLANC_NO"))
     return shaped(
-        details, source=F.lit("cheongyak_home"), external_id=F.when(first_usable(c("HOUSE_MANAGE_NO")).isNotNull(), F.concat_ws(":", F.lit(operation), c("HOUSE_MANAGE_NO"), c("PBLANC_NO"))),
-        title=first_usable(c("HOUSE_NM")), provider=first_usable(c("BSNS_MBY_NM")), category=kind, region_name=first_usable(c("SUBSCRPT_AREA_CODE_NM")), address=first_usable(c("HSSPLY_ADRES")),
-        announcement_date=lenient_date(c("RCRIT_PBLANC_DE")), official_url=first_usable(c("PBLANC_URL")),
-        price_cap_status=F.when(rental, "not_applicable").when(cap, "yes").when(~cap, "no").otherwise("unknown"), events=reb_events(details),
+        details, source=F.lit("cheongyak_home"), external_id=F.when(house.isNotNull() & notice.isNotNull(), F.concat_ws(":", F.lit(operation), house, notice)), title=first_usable(c("HOUSE_NM")),
+        provider=F.coalesce(first_usable(c("BSNS_MBY_NM"), c("NSPRC_NM")), F.lit(REB_PROVIDER)), category=reb_category(details, category), region_code=first_usable(c("SUBSCRPT_AREA_CODE")),
+        region_name=first_usable(c("SUBSCRPT_AREA_CODE_NM")), address=first_usable(c("HSSPLY_ADRES")), announcement_date=lenient_date(c("RCRIT_PBLANC_DE")),
+        official_url=public_url(first_usable(c("PBLANC_URL"), c("HMPG_ADRES"))),
+        price_cap_status=F.when(cap, "yes").when(~cap, "no").otherwise("unknown" if category in REB_CAPPED else "not_applicable"), events=reb_events(details),
     )
 
 
+def reb_unit(models: DataFrame) -> Column:
+    return first_usable(column(models, "HOUSE_TY"), column(models, "TP"), column(models, "MODEL_NO"))
+
+
+def _of_sales(models: DataFrame, details: DataFrame, category: str) -> DataFrame:
+    """models with _rental of their notice."""
+    kind = details.select("HOUSE_MANAGE_NO", "PBLANC_NO", reb_rental(details, category).alias("_rental"))
+    return models.join(kind, ["HOUSE_MANAGE_NO", "PBLANC_NO"])
+
+
 def reb_prices(details: DataFrame, models: DataFrame, category: str) -> DataFrame:
-    """house_no, notice_no, unit_type, exclusive_sqm, supply_sqm, price_kind, amount_krw: a row for each model; rentals publish no sale price, 0 is none."""
-    kind = details.select("HOUSE_MANAGE_NO", "PBLANC_NO", (reb_category(details, category) == "private_rental").alias("rental"))
-    rows = models.join(kind, ["HOUSE_MANAGE_NO", "PBLANC_NO"])
-    unit = F.concat_ws(" ", first_usable(column(models, "GP")), first_usable(column(models, "HOUSE_TY"), column(models, "TP")))
-    amount = F.nullif(manwon_to_krw(first_usable(column(models, "SUPLY_AMOUNT"), column(models, "LTTOT_TOP_AMOUNT"))), F.lit(0).cast("long"))
+    """house_no, notice_no and the fields of PRICE, a row for each model with a unit.
+
+    The unit has its group in front where it has another; the area is the exclusive one, else the supplied; the amount is
+    that which the pair publishes, in won. Rentals publish no deposit, and 0 is no price.
+    """
+    rows = _of_sales(models, details, category)
+    unit, group = reb_unit(models), first_usable(column(models, "GP"))
+    amount = F.nullif(manwon_to_krw(column(models, "SUPLY_AMOUNT" if category in REB_SUPPLY_AMOUNT else "LTTOT_TOP_AMOUNT")), F.lit(0).cast("long"))
+    amount = F.when(~F.col("_rental"), amount)
     return rows.select(
-        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), unit.alias("unit_type"), decimal_number(column(models, "EXCLUSE_AR")).cast("double").alias("exclusive_sqm"),
-        decimal_number(column(models, "SUPLY_AR")).cast("double").alias("supply_sqm"), F.when(F.col("rental"), "deposit").otherwise("sale_max").alias("price_kind"), F.when(~F.col("rental"), amount).alias("amount_krw"),
-    ).filter("unit_type != ''")
+        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), F.when(group != unit, F.concat_ws(" ", group, unit)).otherwise(unit).alias("unit_type"),
+        decimal_number(first_usable(column(models, "EXCLUSE_AR"), column(models, "SUPLY_AR"))).cast("double").alias("area_sqm"), F.when(F.col("_rental"), "deposit").otherwise("sale_max").alias("price_kind"),
+        amount.alias("amount_krw"), F.lit(None).cast("long").alias("monthly_krw"), F.when(amount.isNotNull(), "official").otherwise("unknown").alias("verification"), F.lit(None).cast("string").alias("document_hash"),
+    ).filter("unit_type IS NOT NULL")
+
+
+def with_prices(notices: DataFrame, prices: DataFrame) -> DataFrame:
+    """Notices of reb() with the prices of their models: those of reb_prices with the same house and notice number."""
+    number = lambda i: F.element_at(F.split("external_id", ":"), i)
+    fields = [x.split(":")[0] for x in PRICE.removeprefix("struct<").removesuffix(">").split(",")]
+    own = prices.groupBy("house_no", "notice_no").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_prices"))
+    out = notices.join(own, (number(-2) == own["house_no"]) & (number(-1) == own["notice_no"]), "left")
+    return out.withColumn("prices", F.coalesce("_prices", "prices")).select(*notices.columns)
 
 
-def reb_supplies(models: DataFrame) -> DataFrame:
-    """house_no, notice_no, unit_type, supply_type, supply_count: the positive counts of a model's wide columns, as rows."""
-    wide = models.select(
-        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), first_usable(column(models, "HOUSE_TY"), column(models, "TP")).alias("unit_type"),
+def reb_supplies(details: DataFrame, models: DataFrame, category: str) -> DataFrame:
+    """house_no, notice_no, unit_type, supply_type, supply_count: the positive counts of a model's wide columns, as rows; none of rentals."""
+    rows = _of_sales(models, details, category).filter(~F.col("_rental"))
+    wide = rows.select(
+        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), reb_unit(models).alias("unit_type"),
         *[integer(column(models, c)).alias(label) for c, label in REB_SUPPLIES.items()],
     )
-    return wide.unpivot(["house_no", "notice_no", "unit_type"], list(REB_SUPPLIES.values()), "supply_type", "supply_count").filter("supply_count > 0")
+    return wide.unpivot(["house_no", "notice_no", "unit_type"], list(REB_SUPPLIES.values()), "supply_type", "supply_count").filter("supply_count > 0 AND unit_type IS NOT NULL")
 
 
 def lh(rows: DataFrame, category_code: str) -> DataFrame:
@@ -156,6 +194,23 @@ def myhome(rows: DataFrame) -> DataFrame:
     )
 
 
+def myhome_prices(supplies: DataFrame, houses: DataFrame) -> DataFrame:
+    """notice_id, unit_type, area_sqm, price_kind, amount_krw, verification: the supply rows of detail pages with their house.
+
+    supplies (notice_id, houseSn, styleNm, sumPrice, prvuseAr), houses (notice_id, houseSn, hsmpNm). The house's name
+    stands before the unit where the notice has several. 0 is no price; rows without a style are left out.
+    """
+    several = houses.groupBy("notice_id").agg(F.count_distinct("houseSn").alias("_houses"))
+    named = houses.groupBy("notice_id", "houseSn").agg(F.max("hsmpNm").alias("_name")).join(several, "notice_id")
+    unit, name = F.nullif(F.trim("styleNm"), F.lit("")), F.nullif(F.trim("_name"), F.lit(""))
+    amount = F.nullif(integer(F.col("sumPrice")), F.lit(0).cast("long"))
+    return supplies.join(named, ["notice_id", "houseSn"], "left").filter(unit.isNotNull()).select(
+        "notice_id", F.when((F.col("_houses") > 1) & name.isNotNull(), F.concat_ws(" · ", name, unit)).otherwise(unit).alias("unit_type"),
+        F.when(F.col("prvuseAr").rlike(r"^\d+(?:\.\d+)?$"), F.col("prvuseAr").try_cast("double")).alias("area_sqm"), F.lit("sale_total").alias("price_kind"), amount.alias("amount_krw"),
+        F.when(amount.isNotNull(), "official").otherwise("unknown").alias("verification"),
+    )
+
+
 def board(rows: DataFrame, source: str, provider: str, region: str, title: int, day: int, wanted: str, keep: Column | None = None) -> DataFrame:
     """Rows of a board (cells: array<struct<class, text, hrefs>>, base_url): titles that match, ids from the link or its hash."""
     cell = lambda i: F.try_element_at("cells", F.lit(i + 1))

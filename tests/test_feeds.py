@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from noticeloom.sources.boards import link_corrections
-from noticeloom.sources.feeds import NOTICE, board, capital_region, competition_rows, ih, lh, myhome, reb, reb_prices, reb_supplies, schedule, union
+from noticeloom.sources.feeds import NOTICE, board, capital_region, competition_rows, ih, lh, myhome, reb, reb_prices, reb_supplies, schedule, union, with_prices
 
 
 def frame(spark, *rows):
@@ -25,7 +25,26 @@ def test_reb(spark):
     assert [e.label for e in got["op:2:2"].events] == ["청약 접수"] and got["op:1:1"].price_cap_status == "yes"
     models = frame(spark, {"HOUSE_MANAGE_NO": "1", "PBLANC_NO": "1", "HOUSE_TY": "084.9A", "SUPLY_AMOUNT": "50,000", "EXCLUSE_AR": "84.9", "SUPLY_HSHLDCO": "3", "NWWDS_HSHLDCO": "0", "MNYCH_HSHLDCO": "x"}, {"HOUSE_MANAGE_NO": "2", "PBLANC_NO": "2", "TP": "B", "GP": "1", "SUPLY_AMOUNT": "100"}, {"HOUSE_MANAGE_NO": "1", "PBLANC_NO": "1", "HOUSE_TY": "C", "SUPLY_AMOUNT": "0"})
     assert sorted((r.unit_type, r.price_kind, r.amount_krw or -1) for r in reb_prices(details, models, "urban").collect()) == [("084.9A", "sale_max", 500_000_000), ("1 B", "deposit", -1), ("C", "sale_max", -1)]
-    assert [(r.unit_type, r.supply_type, r.supply_count) for r in reb_supplies(models).collect()] == [("084.9A", "일반공급", 3)]
+    assert [(r.unit_type, r.supply_type, r.supply_count) for r in reb_supplies(details, models, "urban").collect()] == [("084.9A", "일반공급", 3)]
+
+
+def test_feeds_go_into_the_store(spark):
+    """Rows of every feed pass the store's checks and are stored, prices and all; a second poll changes nothing."""
+    from noticeloom.operators.store import checked, upsert
+
+    details = frame(spark, {"HOUSE_MANAGE_NO": "1", "PBLANC_NO": "1", "HOUSE_NM": "가", "RCRIT_PBLANC_DE": "2026-01-02", "SUBSCRPT_AREA_CODE": "100", "NSPRC_NM": "시행", "HMPG_ADRES": "https://h.example"})
+    models = frame(spark, {"HOUSE_MANAGE_NO": "1", "PBLANC_NO": "1", "HOUSE_TY": "84A", "GP": "84A", "LTTOT_TOP_AMOUNT": "50,000", "SUPLY_AR": "112.5", "NEWBORN_HSHLDCO": "5", "TRANSR_INSTT_ENFSN_HSHLDCO": "7"})
+    apt = with_prices(reb(details, "op", "apt"), reb_prices(details, models, "apt"))
+    assert [(p.unit_type, p.area_sqm, p.amount_krw, p.verification) for p in apt.first().prices] == [("84A", 112.5, 500_000_000, "official")]
+    assert (apt.first().provider, apt.first().region_code, apt.first().official_url, apt.first().price_cap_status) == ("시행", "100", "https://h.example", "unknown")
+    assert sorted((r.supply_type, r.supply_count) for r in reb_supplies(details, models, "apt").collect()) == [("신생아 특별공급", 5), ("이전기관종사자 특별공급", 7)]
+    others = [lh(frame(spark, {"PAN_NM": "행복", "PAN_ID": "7"}), "05"), ih(frame(spark, {"sj": "주택", "link": "https://x/1"})), myhome(frame(spark, {"pblancId": "5", "pblancNm": "다"}))]
+    good, bad = checked(union(apt, *others))
+    assert good.count() == 4 and bad.count() == 0
+    now = F.lit("2026-01-03 00:00:00").cast("timestamp")
+    state, revisions = upsert(None, good, now)
+    assert revisions.count() == 4 and {r.source for r in state.collect()} == {"cheongyak_home", "lh", "ih", "myhome"}
+    assert upsert(state, good, now)[1].count() == 0
 
 
 def test_others_and_union(spark):
