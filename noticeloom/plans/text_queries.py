@@ -11,10 +11,9 @@ from noticeloom.sources.html import html_links as links_of
 
 @query(r"""SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS n FROM pages""".replace("AS h,", "AS hrefs,"))
 def html_links(spark, d):
-    pages = table(spark, d, "pages")
-    rows = pages.lateralJoin(links_of(F.col("html").outer(), F.lit(None).cast("string")), how="left")
-    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("href").isNotNull(), F.struct("position", "href")))), lambda x: x["href"])
-    return rows.groupBy("page_id").agg(listed.alias("hrefs")).select("page_id", "hrefs", F.size("hrefs").cast("long").alias("n"))
+    hrefs = F.transform("links", lambda x: x["href"])
+    rows = table(spark, d, "pages").select("page_id", links_of(F.col("html"), F.lit(None).cast("string")).alias("links"))
+    return rows.select("page_id", hrefs.alias("hrefs"), F.size("links").cast("long").alias("n"))
 
 
 @query(r"""WITH found AS (SELECT page_id, regexp_extract_all(html, '<li>(?:<a[^>]*>)?([^<]*)', 1) AS items FROM pages)

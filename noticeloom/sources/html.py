@@ -1,170 +1,220 @@
-"""HTML readers as Python table functions: table rows, result tables, links, inline arrays, HWPX pages."""
+"""Readers of HTML and word-processor files: Arrow functions of a batch of texts, each giving an array for a text."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
-from pyspark.sql.functions import udtf
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 SPACES = re.compile(r"\s+")
+CELL = pa.struct([("class", pa.string()), ("text", pa.string()), ("hrefs", pa.list_(pa.string()))])
+ROW = pa.struct([("attrs", pa.map_(pa.string(), pa.string())), ("cells", pa.list_(CELL))])
+TABLE = pa.struct([("id", pa.string()), ("depth", pa.int32()), ("closed", pa.bool_()), ("rows", pa.list_(ROW))])
+ROW_SQL = "struct<attrs:map<string,string>,cells:array<struct<class:string,text:string,hrefs:array<string>>>>"
+TABLE_SQL = f"struct<id:string,depth:int,closed:boolean,rows:array<{ROW_SQL}>>"
 
 
-def _text(parts: list[str]) -> str:
+def batched(returns: str, kind: pa.DataType, read, *columns: Column) -> Column:
+    """read(value, ...) of each row, a batch of rows at a time."""
+
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array([read(x) for x in a.to_pylist()], kind)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([read(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
+
+    return arrow_udf((one, two)[len(columns) - 1], returns)(*columns)
+
+
+def _joined(parts: list[str]) -> str:
     return SPACES.sub(" ", "".join(parts)).strip()
 
 
-class _Rows(HTMLParser):
-    """Rows of table cells; a cell without an end tag ends with the next cell or row. table_id: only of that table, not of tables in it."""
+@dataclass
+class Table:
+    """A table while it is read. Whatever opens or ends later ends the cell and row that are open."""
+
+    id: str | None
+    depth: int
+    closed: bool = False
+    rows: list[dict] = field(default_factory=list)
+    cells: list[dict] | None = None
+    attrs: dict = field(default_factory=dict)
+    open_cell: dict | None = None
+
+    def end_cell(self) -> None:
+        if self.open_cell is not None:
+            self.cells.append({**self.open_cell, "text": _joined(self.open_cell["text"])})
+            self.open_cell = None
+
+    def end_row(self) -> None:
+        self.end_cell()
+        if self.cells:
+            self.rows.append({"attrs": list(self.attrs.items()), "cells": self.cells})
+        self.cells = None
+
+    def start_row(self, attrs: dict) -> None:
+        self.end_row()
+        self.cells, self.attrs = [], attrs
+
+    def start_cell(self, attrs: dict) -> None:
+        self.end_cell()
+        if self.cells is not None:
+            self.open_cell = {"class": attrs.get("class", ""), "text": [], "hrefs": []}
+
+
+class Tables(HTMLParser):
+    """All tables of a page, in the order in which they open. A nested table's text and links are its own."""
 
-    def __init__(self, table_id: str | None = None):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.table_id, self.depth, self.inside = table_id, 0, 0
-        self.rows: list[dict] = []
-        self.row: dict | None = None
-        self.cell: dict | None = None
+        self.found: list[Table] = []
+        self.path: list[Table] = []
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
         if tag == "table":
-            self.depth += 1
-            if self.table_id and given.get("id") == self.table_id:
-                self.inside = self.depth
-        wanted = self.inside == self.depth if self.table_id else True
-        if tag == "tr" and wanted:
-            self._close_row()
-            self.row = {"attrs": given, "cells": []}
-        elif tag in ("td", "th") and self.row is not None and wanted:
-            self._close_cell()
-            self.cell = {"class": given.get("class", ""), "text": [], "hrefs": []}
-        elif tag == "a" and self.cell is not None and given.get("href"):
-            self.cell["hrefs"].append(given["href"])
+            self.path.append(Table(given.get("id"), len(self.path) + 1))
+            self.found.append(self.path[-1])
+            return
+        inner = self.path[-1] if self.path else None
+        if inner and tag == "tr":
+            inner.start_row(given)
+        elif inner and tag in ("td", "th"):
+            inner.start_cell(given)
+        elif inner and tag == "a" and inner.open_cell and given.get("href"):
+            inner.open_cell["hrefs"].append(given["href"])
 
     def handle_endtag(self, tag):
+        if not self.path:
+            return
         if tag in ("td", "th"):
-            self._close_cell()
-        elif tag in ("tr", "tbody"):
-            self._close_row()
+            self.path[-1].end_cell()
+        elif tag in ("tr", "tbody", "thead"):
+            self.path[-1].end_row()
         elif tag == "table":
-            self._close_row()
-            if self.inside == self.depth:
-                self.inside = 0
-            self.depth -= 1
+            self.path[-1].end_row()
+            self.path.pop().closed = True
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell["text"].append(data)
+        if self.path and self.path[-1].open_cell:
+            self.path[-1].open_cell["text"].append(data)
+
 
-    def _close_cell(self):
-        if self.cell is not None and self.row is not None:
-            self.row["cells"].append((self.cell["class"], _text(self.cell["text"]), self.cell["hrefs"]))
-        self.cell = None
+def tables_of(html: str | None) -> list[dict]:
+    parser = Tables()
+    parser.feed(html or "")
+    parser.close()
+    for x in parser.path:
+        x.end_row()
+    return [{"id": x.id, "depth": x.depth, "closed": x.closed, "rows": x.rows} for x in parser.found]
 
-    def _close_row(self):
-        self._close_cell()
-        if self.row is not None and self.row["cells"]:
-            self.rows.append(self.row)
-        self.row = None
 
+def html_tables(html: Column) -> Column:
+    """Every table of a page with its id, depth (1: in no other), whether it ends, and its rows with cells. Null: none."""
+    return batched(f"array<{TABLE_SQL}>", pa.list_(TABLE), tables_of, html)
 
-ROW = "row int, attrs map<string,string>, cells array<struct<class:string,text:string,hrefs:array<string>>>"
 
+def table_named(tables: Column, name: str) -> Column:
+    """The first table with the id that is in no other table, or null."""
+    return F.try_element_at(F.filter(tables, lambda t: (t["id"] == name) & (t["depth"] == 1)), F.lit(1))
 
-@udtf(returnType=ROW)
-class html_table_rows:
-    """(html, table_id or null) -> a row for each table row with cells."""
 
-    def eval(self, html: str, table_id: str):
-        if html:
-            parser = _Rows(table_id)
-            parser.feed(html)
-            parser.close()
-            parser._close_row()
-            for i, row in enumerate(parser.rows):
-                yield i, row["attrs"], row["cells"]
+def table_rows(tables: Column) -> Column:
+    """The rows of all tables, one array."""
+    return F.flatten(F.transform(tables, lambda t: t["rows"]))
 
 
-class _Links(HTMLParser):
+class Links(HTMLParser):
+    """Links with their text; a link ends where the next begins."""
+
     def __init__(self, base: str | None):
         super().__init__(convert_charrefs=True)
-        self.base, self.href, self.found, self.parts, self.title = base, None, [], [], []
-        self.in_title = False
+        self.base, self.href, self.parts, self.found = base, None, [], []
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
-            self._close()
+            self.end()
             href = dict(attrs).get("href")
             self.href = urljoin(self.base or "", href) if href else None
-        self.in_title = tag == "title" or (self.in_title and tag != "body")
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self._close()
-        if tag == "title":
-            self.in_title = False
+            self.end()
 
     def handle_data(self, data):
         if self.href:
             self.parts.append(data)
 
-    def _close(self):
+    def end(self):
         if self.href:
-            self.found.append((self.href, _text(self.parts)))
+            self.found.append({"href": self.href, "label": _joined(self.parts)})
         self.href, self.parts = None, []
 
 
-@udtf(returnType="position int, href string, label string")
-class html_links:
-    """(html, base url or null) -> every link in order, as an absolute URL where the base allows, with its text."""
+def links_in(html: str | None, base: str | None) -> list[dict]:
+    parser = Links(base)
+    parser.feed(html or "")
+    parser.close()
+    parser.end()
+    return parser.found
+
 
-    def eval(self, html: str, base: str):
-        if html:
-            parser = _Links(base)
-            parser.feed(html)
-            parser.close()
-            parser._close()
-            for i, (href, label) in enumerate(parser.found):
-                yield i, href, label
+def html_links(html: Column, base: Column) -> Column:
+    """Every link of a page in order, absolute where the base (or null) allows it, with its text."""
+    kind = pa.list_(pa.struct([("href", pa.string()), ("label", pa.string())]))
+    return batched("array<struct<href:string,label:string>>", kind, links_in, html, base)
 
 
 PUSH = re.compile(r"(\w+)\.push\(\s*\{(.*?)\}\s*\)", re.S)
 PAIR = re.compile(r"""["']?(\w+)["']?\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^,"'\s}]+))""")
 
 
-@udtf(returnType="name string, position int, item map<string,string>")
-class pushed_objects:
-    """(script) -> the flat objects that a page's script pushes to arrays, read by pattern and never run."""
+def objects_in(script: str | None) -> list[dict]:
+    return [{"name": m[1], "item": [(p[1], next((x for x in (p[2], p[3], p[4]) if x is not None), "")) for p in PAIR.finditer(m[2])]} for m in PUSH.finditer(script or "")]
 
-    def eval(self, html: str):
-        for i, m in enumerate(PUSH.finditer(html or "")):
-            yield m[1], i, {p[1]: next((x for x in (p[2], p[3], p[4]) if x is not None), "") for p in PAIR.finditer(m[2])}
 
+def pushed_objects(script: Column) -> Column:
+    """The flat objects that a page's script pushes to arrays, in order, read by pattern and never run."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("item", pa.map_(pa.string(), pa.string()))]))
+    return batched("array<struct<name:string,item:map<string,string>>>", kind, objects_in, script)
 
-@udtf(returnType="page int, text string")
-class hwpx_pages:
-    """(content) -> the text of each section of a zipped word-processor file, in numeric order; other content gives nothing."""
 
-    MOST_BYTES, MOST_CHARS = 10_000_000, 1_500_000
+def sections_in(content: bytes | None) -> list[str]:
+    if not content or content[:2] != b"PK":
+        return []
+    with zipfile.ZipFile(io.BytesIO(content)) as whole:
+        names = sorted((int(m[1]), n) for n in whole.namelist() if (m := re.search(r"section(\d+)\.xml$", n, re.I)))
+        out = []
+        for _, name in names:
+            last = lambda e: e.tag.rsplit("}", 1)[-1]
+            paragraphs = ["".join(t.text or "" for t in p.iter() if last(t) == "t") for p in ElementTree.fromstring(whole.read(name)).iter() if last(p) == "p"]
+            out.append("\n".join(x for x in paragraphs if x))
+    return out
 
-    def eval(self, content: bytes):
-        if not content or content[:2] != b"PK" or len(content) > self.MOST_BYTES:
-            return
-        left = self.MOST_CHARS
-        with zipfile.ZipFile(io.BytesIO(content)) as whole:
-            sections = sorted((int(m[1]), n) for n in whole.namelist() if (m := re.search(r"section(\d+)\.xml$", n, re.I)))
-            for page, (_, name) in enumerate(sections, 1):
-                root = ElementTree.fromstring(whole.read(name))
-                paragraphs = ["".join(t.text or "" for t in p.iter() if t.tag.rsplit("}", 1)[-1] == "t") for p in root.iter() if p.tag.rsplit("}", 1)[-1] == "p"]
-                text = "\n".join(x for x in paragraphs if x)[:left]
-                left -= len(text)
-                yield page, text
-
-
-def register(spark) -> None:
-    """The table functions by name, for SQL."""
-    for f in (html_table_rows, html_links, pushed_objects, hwpx_pages):
-        spark.udtf.register(f.func.__name__ if hasattr(f, "func") else f.__name__, f)
+
+def hwpx_pages(content: Column) -> Column:
+    """The whole text of each section of a zipped word-processor file, in numeric order; other content gives none."""
+    return batched("array<string>", pa.list_(pa.string()), sections_in, content)
+
+
+# How files begin.
+MAGIC = {"pdf": "25504446", "hwp": "D0CF11E0A1B11AE1", "zip": "504B0304", "gzip": "1F8B", "png": "89504E47", "jpeg": "FFD8FF"}
+
+
+def file_format(content: Column) -> Column:
+    """What a file is by its first bytes, html by its first tag; else unknown."""
+    start = F.hex(F.substring(content, 1, 8))
+    out = F.when(F.lower(F.substring(content, 1, 256).cast("string")).rlike(r"^\s*<(?:!doctype html|html)"), "html").otherwise("unknown")
+    for name, magic in MAGIC.items():
+        out = F.when(start.startswith(magic), name).otherwise(out)
+    return F.when(content.isNotNull(), out)

@@ -6,24 +6,31 @@ import zipfile
 from pyspark.sql import functions as F
 
 from noticeloom.operators.clauses import application_method, contract_schedule, extract, sections
-from noticeloom.sources.html import html_links, html_table_rows, hwpx_pages, pushed_objects
+from noticeloom.sources.html import html_links, html_tables, hwpx_pages, pushed_objects, table_named
 
 PAGE = """<table><tbody><tr class="x"><td>1<td class="t"><a href="/v?id=7">제목 &amp; 끝</a></td></tr><tr></tr></tbody></table>
 <table id="compitTbl"><tr data-ty="084A"><td class="cpHouseTy">084A</td><td><table><tr><td>inner</td></tr></table>out</td></tr></table>"""
 
 
-def test_rows(spark):
-    rows = html_table_rows(F.lit(PAGE), F.lit(None).cast("string")).collect()
-    assert rows[0].attrs == {"class": "x"} and [c.text for c in rows[0].cells] == ["1", "제목 & 끝"] and rows[0].cells[1].hrefs == ["/v?id=7"]
-    only = html_table_rows(F.lit(PAGE), F.lit("compitTbl")).collect()
-    assert len(only) == 1 and only[0].attrs == {"data-ty": "084A"} and only[0].cells[0].text == "084A"
-    assert html_table_rows(F.lit(None).cast("string"), F.lit(None).cast("string")).collect() == []
+def first(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_tables(spark):
+    got = first(spark, html_tables(F.lit(PAGE)))
+    assert [(t.id, t.depth, t.closed, len(t.rows)) for t in got] == [(None, 1, True, 1), ("compitTbl", 1, True, 1), (None, 2, True, 1)]
+    row = got[0].rows[0]
+    assert row.attrs == {"class": "x"} and [c.text for c in row.cells] == ["1", "제목 & 끝"] and row.cells[1].hrefs == ["/v?id=7"]
+    only = first(spark, table_named(html_tables(F.lit(PAGE)), "compitTbl"))
+    assert only.rows[0].attrs == {"data-ty": "084A"} and [c.text for c in only.rows[0].cells] == ["084A", "out"]
+    assert first(spark, table_named(html_tables(F.lit("<table><tr><td><table id='compitTbl'></table></table>")), "compitTbl")) is None  # within another
+    assert first(spark, html_tables(F.lit(None).cast("string"))) == [] and not first(spark, html_tables(F.lit("<table><tr><td>x")))[0].closed
 
 
 def test_links_and_scripts(spark):
-    got = html_links(F.lit('<a href="b?x=1">B <b>c</b></a><a>no</a><a href="http://h/z">z'), F.lit("https://h.org/a/")).collect()
+    got = first(spark, html_links(F.lit('<a href="b?x=1">B <b>c</b></a><a>no</a><a href="http://h/z">z'), F.lit("https://h.org/a/")))
     assert [(r.href, r.label) for r in got] == [("https://h.org/a/b?x=1", "B c"), ("http://h/z", "z")]
-    items = pushed_objects(F.lit("""houseList.push({a:"1", 'b':'x y', c: 3}); suplyList.push({a:"2"});""")).collect()
+    items = first(spark, pushed_objects(F.lit("""houseList.push({a:"1", 'b':'x y', c: 3}); suplyList.push({a:"2"});""")))
     assert [(r.name, r.item) for r in items] == [("houseList", {"a": "1", "b": "x y", "c": "3"}), ("suplyList", {"a": "2"})]
 
 
@@ -32,8 +39,10 @@ def test_hwpx(spark):
     with zipfile.ZipFile(out, "w") as z:
         for n in (10, 2):
             z.writestr(f"Contents/section{n}.xml", f"<s xmlns:h='u'><h:p><h:t>page {n}</h:t></h:p></s>")
-    assert [(r.page, r.text) for r in hwpx_pages(F.lit(bytearray(out.getvalue()))).collect()] == [(1, "page 2"), (2, "page 10")]
-    assert hwpx_pages(F.lit(bytearray(b"no"))).collect() == []
+        z.writestr("Contents/section11.xml", f"<s xmlns:h='u'><h:p><h:t>{'x' * 3_000_000}</h:t></h:p></s>")
+    pages = first(spark, hwpx_pages(F.lit(bytearray(out.getvalue()))))
+    assert pages[:2] == ["page 2", "page 10"] and len(pages[2]) == 3_000_000
+    assert first(spark, hwpx_pages(F.lit(bytearray(b"no")))) == []
 
 
 def test_clauses(spark):
