@@ -68,3 +68,59 @@ def recognised_months(start: Column, birth: Column, day: Column) -> Column:
     old_end = F.least(minor_end, F.lit("2024-01-01").cast("date"))
     begin = F.when(start >= adult, start).otherwise(F.greatest(start, F.add_months(old_end, -24), F.add_months(minor_end, -60)))
     return F.when((birth <= start) & (start <= day) & (birth <= day), full_months(begin, day))
+
+
+def birthday(birth: Column, years: int) -> Column:
+    """The day on which someone turns `years`; 29 February comes on the 28th in common years."""
+    return F.add_months(birth, 12 * years)
+
+
+def rolling_range(today: Column, days: int = 90) -> Column:
+    """struct<first, last>: the last `days` days, today included."""
+    return F.struct(F.date_sub(today, days - 1).alias("first"), today.alias("last"))
+
+
+def seoul_timestamp(text: Column) -> Column:
+    """An instant of an ISO text: with Z or an offset as told, else the time of day in Seoul; null where it is none."""
+    plain = F.trim(text)
+    zoned = plain.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, plain.try_cast("timestamp")).otherwise(F.to_utc_timestamp(plain.try_cast("timestamp_ntz").cast("timestamp"), "Asia/Seoul"))
+
+
+def seoul_day(instant: Column) -> Column:
+    """struct<day, seconds_left>: the day in Seoul at an instant of a UTC session, and the seconds until the next begins."""
+    there = F.from_utc_timestamp(instant, "Asia/Seoul")
+    return F.struct(there.cast("date").alias("day"), (86_400 - (F.hour(there) * 3600 + F.minute(there) * 60 + F.second(there))).cast("long").alias("seconds_left"))
+
+
+def date_token(text: Column) -> Column:
+    """The day of three numbers in a text, whatever stands between them; years of two digits are of this century. Else null."""
+    n = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    year = F.when(F.length(n[0]) <= 2, F.concat(F.lit("20"), F.lpad(n[0], 2, "0"))).otherwise(n[0])
+    whole = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(n[1], 2, "0"), F.lpad(n[2], 2, "0"))
+    return F.when((F.size(n) == 3) & (F.length(year) <= 4), whole.try_cast("date"))
+
+
+def end_token(text: Column, start: Column) -> Column:
+    """The end of a period: a whole date_token, or month and day in the year of the start."""
+    n = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    partly = F.concat_ws("-", F.year(start).cast("string"), F.lpad(n[0], 2, "0"), F.lpad(n[1], 2, "0")).try_cast("date")
+    return F.when(F.size(n) == 3, date_token(text)).when(F.size(n) == 2, partly)
+
+
+def criterion_day(
+    basis: Column, specified: Column, contract: Column, original: Column, method: Column, method_day: Column, announced: Column, today: Column,
+) -> Column:
+    """The day on which a rule is judged.
+
+    Application-date rules: today. Else the day that the rule names (a text; null where it is no day); contract-date rules:
+    the contract's day; rules of the original announcement: that day; other bases than the announcement: none. Notices
+    that aren't ranked: their method's day, else the announcement; ranked ones: the original announcement, else this one.
+    """
+    plain = F.coalesce(basis, F.lit("announcement"))
+    unranked = F.coalesce(~method.isin("apt_ranked", "unknown"), F.lit(False))
+    return (
+        F.when(plain == "application_date", today).when(specified.isNotNull(), strict_date(specified)).when(plain == "contract_date", contract)
+        .when(plain == "original_announcement", original).when(~plain.isin("announcement", "announcement_date"), None)
+        .when(unranked, F.coalesce(method_day, announced)).otherwise(F.coalesce(original, announced))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,9 @@ def sized(size: Column, table: dict[int, int], extra: int | None = None) -> Colu
 def in_scope(own: Column, parent: Column, scope: Column) -> Column:
     """Whether a region is the scope or lies in it; null where either is unknown."""
     return (own == scope) | F.coalesce(parent == scope, F.lit(False))
+
+
+def scope_keys(rows: DataFrame, own: Column, parent: Column) -> DataFrame:
+    """rows, once for each scope that they are in by in_scope (their own region, and its parent), as `scope`: an equi-join finds the scopes."""
+    keys = F.array_distinct(F.array_compact(F.array(own, parent)))
+    return rows.withColumn("scope", F.explode(keys))
