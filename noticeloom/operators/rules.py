@@ -25,7 +25,7 @@ FIELDS = ("kind", "effect", "operator", "value", *INHERITED)
 
 
 def nodes(rules: DataFrame) -> DataFrame:
-    """rules (rule_id, rule: JSON) -> a row for each node: rule_id, path, parent, role, depth, the fields, value_number, value_text.
+    """rules (rule_id, rule: JSON) -> a row for each node: rule_id, path, parent, role, depth, the fields, value_number, value_text, own_verification.
 
     role: root, condition or exception. path extends the parent's, so that a node is known in all levels. Rules that
     are not JSON give a root whose fields are null. More than MAX_DEPTH levels raise. Each level is a checkpoint, so that
@@ -40,8 +40,8 @@ def nodes(rules: DataFrame) -> DataFrame:
             raise ValueError(f"rules are nested more than {MAX_DEPTH} levels deep")
         rows = level.withColumn("v", F.try_parse_json("raw"))
         own = [F.coalesce(field(x), f"up_{x}").alias(x) for x in INHERITED]
-        rows = rows.select("rule_id", "path", "parent", "role", "v", *[field(x) for x in FIELDS if x not in INHERITED], *own)
-        done = rows.select("rule_id", "path", "parent", "role", F.lit(depth).alias("depth"), *FIELDS, F.col("value").try_cast("double").alias("value_number"), F.col("value").alias("value_text"))
+        rows = rows.select("rule_id", "path", "parent", "role", "v", *[field(x) for x in FIELDS if x not in INHERITED], field("verification").alias("own_verification"), *own)
+        done = rows.select("rule_id", "path", "parent", "role", F.lit(depth).alias("depth"), *FIELDS, F.col("value").try_cast("double").alias("value_number"), F.col("value").alias("value_text"), "own_verification")
         out, depth = done if out is None else out.unionByName(done), depth + 1
         listed = [_children("condition", "conditions"), _children("exception", "exceptions")]
         level = rows.select("rule_id", F.col("path").alias("parent"), *[F.col(x).alias(f"up_{x}") for x in INHERITED], F.explode(F.concat(*listed)).alias("c"))

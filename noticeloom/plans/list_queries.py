@@ -81,30 +81,3 @@ SELECT day, count(*) AS n, bool_and(unavailable) AS all_unavailable FROM days GR
 def calendar_density(spark, d):
     own = events(spark, d).filter(is_application(F.col("kind")))
     return density(own, date(1997, 1, 1), date(1997, 12, 31), F.col("label") == "접수")
-
-
-@query(f"""WITH {NOTICES_SQL}
-SELECT announcement_date AS day, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY title, id) AS ids,
-  dense_rank() OVER (ORDER BY announcement_date) AS position FROM notices
-WHERE announcement_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY announcement_date""")
-def daily_groups(spark, d):
-    from pyspark.sql import Window
-
-    rows = notices(spark, d).filter(F.col("announcement_date").between(date(1996, 1, 1), date(1996, 12, 31)))
-    listed = F.sort_array(F.collect_list(F.struct("title", "id")))
-    groups = rows.groupBy(F.col("announcement_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: x["id"].cast("string")), ",").alias("ids"))
-    return groups.withColumn("position", F.dense_rank().over(Window.orderBy("day")).cast("long"))  # a row for each of 366 days at most
-
-
-@query(f"""WITH {NOTICES_SQL}, {EVENTS_SQL}
-SELECT n.id, n.announcement_date, min(e.start_date) AS first_start, max(coalesce(e.end_date, e.start_date)) AS last_end
-FROM notices AS n JOIN notice_events AS e ON n.id = e.notice_id WHERE n.source IN ('O', 'P')
-GROUP BY n.id, n.announcement_date
-HAVING max(coalesce(e.end_date, e.start_date)) >= DATE '1998-06-01' - INTERVAL 90 DAY AND min(e.start_date) <= DATE '1998-06-01' + INTERVAL 90 DAY
-  AND n.announcement_date BETWEEN DATE '1998-06-01' - INTERVAL 180 DAY AND DATE '1998-06-01' + INTERVAL 60 DAY""")
-def poll_window_filter(spark, d):
-    today = F.lit(date(1998, 6, 1))
-    rows = notices(spark, d).filter(F.col("source").isin("O", "P") & F.col("announcement_date").between(F.date_sub(today, 180), F.date_add(today, 60)))
-    span = events(spark, d).groupBy("notice_id").agg(F.min("start_date").alias("first_start"), F.max(F.coalesce("end_date", "start_date")).alias("last_end"))
-    span = span.filter((F.col("last_end") >= F.date_sub(today, 90)) & (F.col("first_start") <= F.date_add(today, 90)))
-    return rows.join(span, F.col("id") == F.col("notice_id")).select("id", "announcement_date", "first_start", "last_end")
