@@ -98,21 +98,6 @@ def completeness_set_equality(spark, d):
     return units.select("notice_id", same.alias("observed_all"), (same & F.col("both")).alias("complete"), F.size("u").alias("n_units"))
 
 
-@query("""WITH official AS (SELECT l_partkey AS unit, l_returnflag AS kind, max(CAST(l_extendedprice * 100 AS BIGINT)) AS amount FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 20 GROUP BY 1, 2),
-candidate AS (SELECT l_partkey AS unit, l_returnflag AS kind, max(CAST(l_extendedprice * 100 AS BIGINT)) AS amount FROM lineitem WHERE l_linestatus = 'F' AND l_quantity <= 20 GROUP BY 1, 2)
-SELECT coalesce(o.unit, c.unit) AS unit, coalesce(o.kind, c.kind) AS kind, coalesce(o.amount, c.amount) AS amount,
-  CASE WHEN o.unit IS NOT NULL THEN 'official' ELSE 'candidate' END AS verification
-FROM official AS o FULL JOIN candidate AS c ON o.unit = c.unit AND o.kind = c.kind""")
-def merge_placeholders(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit"), F.col("l_returnflag").alias("kind"), (F.col("l_extendedprice") * 100).alias("amount"), "l_linestatus", "l_quantity")
-    # DuckDB rounds a double to the nearest long; Spark's cast cuts.
-    amount = F.max(F.rint("amount").cast("long"))
-    official = rows.filter("l_linestatus = 'O' AND l_quantity > 20").groupBy("unit", "kind").agg(amount.alias("official"))
-    candidate = rows.filter("l_linestatus = 'F' AND l_quantity <= 20").groupBy("unit", "kind").agg(amount.alias("candidate"))
-    both = official.join(candidate, ["unit", "kind"], "full_outer")
-    return both.select("unit", "kind", F.coalesce("official", "candidate").alias("amount"), F.when(F.col("official").isNotNull(), "official").otherwise("candidate").alias("verification"))
-
-
 @query("""SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, ts DESC NULLS LAST, event_id) AS r FROM events) AS x WHERE r = 1""")
 def argmax_with_preference(spark, d):
