@@ -1,4 +1,4 @@
-"""Nested three-valued rules: flattened to nodes once, judged for all applicants, folded from the leaves up.
+"""Nested three-valued rules: flattened to nodes once, judged beside each applicant, folded from the leaves up.
 
 pass, fail and review are true, false and null. An empty group, an unknown kind, an unverified rule and a missing
 input are null, never true.
@@ -79,19 +79,25 @@ def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leav
 
 
 def _evaluate_block(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable]) -> DataFrame:
-    rule = {x: F.col(f"node.{x}") for x in (*FIELDS, "value_number", "value_text")}
-    packed = rule_nodes.select(F.struct(*rule_nodes.columns).alias("node"))
-    judged = F.lit(None).cast("boolean")
-    for kind, test in leaves.items():
-        judged = F.when(rule["kind"] == kind, test(rule)).otherwise(judged)
-    usable = (rule["verification"] == "official") & ~F.coalesce(rule["effect"].isin("priority", "metadata"), F.lit(False))
-    tree = packed.agg(F.collect_list("node")).scalar()
-    rows = applicants.withColumn("nodes", tree).select("*", F.explode("nodes").alias("node")).drop("nodes")
-    rows = rows.select(*keys, F.col("node.rule_id").alias("rule_id"), F.col("node.path").alias("path"), F.col("node.parent").alias("parent"), F.col("node.role").alias("role"), F.col("node.depth").alias("depth"), rule["kind"].alias("kind"), rule["operator"].alias("operator"), F.when(usable, judged).alias("value"), usable.alias("usable"))
-    per_rule = F.collect_list(F.struct((-F.col("depth")).alias("order"), "path", F.coalesce("parent", F.lit("")).alias("parent"), "role", "kind", "operator", "value", "usable"))
-    whole = rows.groupBy(*keys, "rule_id").agg(F.sort_array(per_rule).alias("tree"))
-    root = F.element_at(_folded(F.col("tree")), "")
-    return whole.select(*keys, "rule_id", root.alias("root")).select(*keys, "rule_id", F.when(F.col("root.yes") > 0, "pass").when(F.col("root.no") > 0, "fail").otherwise("review").alias("result"))
+    """The rules' nodes stand in one array beside each applicant, are judged and folded there, and give a row for each rule: no shuffle."""
+    names = (*FIELDS, "value_number", "value_text")
+    node = F.struct((-F.col("depth")).alias("order"), "path", F.coalesce("parent", F.lit("")).alias("parent"), "role", *names)
+    per_rule = rule_nodes.groupBy("rule_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    whole = per_rule.agg(F.collect_list(F.struct("rule_id", "nodes"))).scalar()
+
+    def judged(n: Column) -> Column:
+        rule, value = {x: n[x] for x in names}, F.lit(None).cast("boolean")
+        for kind, test in leaves.items():
+            value = F.when(rule["kind"] == kind, test(rule)).otherwise(value)
+        usable = (rule["verification"] == "official") & ~F.coalesce(rule["effect"].isin("priority", "metadata"), F.lit(False))
+        return F.struct(*[n[x].alias(x) for x in ("path", "parent", "role", "kind", "operator")], value.alias("value"), usable.alias("usable"))
+
+    def result(r: Column) -> Column:
+        root = F.element_at(_folded(F.transform(r["nodes"], judged)), "")
+        told = lambda c: F.when(c["yes"] > 0, "pass").when(c["no"] > 0, "fail").otherwise("review")
+        return F.struct(r["rule_id"].alias("rule_id"), F.transform(F.array(root), told)[0].alias("result"))
+
+    return applicants.withColumn("_rules", whole).select(*keys, F.inline(F.transform("_rules", result)))
 
 
 COUNTS = ("yes", "no", "open", "excused", "unsure")

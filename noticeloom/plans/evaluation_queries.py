@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import age_at, full_months, recognised_months
 from noticeloom.operators.consensus import notice_status, status_of
+from noticeloom.operators.leaves import TESTS, with_facts
 from noticeloom.operators.lookups import band, sized, tier
 from noticeloom.operators.points import account_points, dependant_points, homeless_points, totals
 from noticeloom.operators.rules import evaluate, nodes
@@ -49,6 +50,39 @@ def rule_tree_eval(spark, d):
     return evaluate(rules, people, ["profile_id"], leaf).select("profile_id", "rule_id", "result")
 
 
+LEAF_RULES = [
+    ("age", """{"kind":"all","verification":"official","criterion_date":"2000-06-01","conditions":[{"kind":"age_min","value":30},{"kind":"age_max","operator":"<","value":50}]}"""),
+    ("family", """{"kind":"any","verification":"official","conditions":[{"kind":"newborn_children_min","value":1},{"kind":"children_min","operator":">=","value":2},{"kind":"marital_status","value":"engaged, married"}]}"""),
+    ("account", """{"kind":"all","verification":"official","conditions":[{"kind":"account_type","value":"comprehensive"},{"kind":"subscription_months","value":24},{"kind":"deposit_min_krw","value":3000}],"exceptions":[{"kind":"recommendation","value":"confirmed"}]}"""),
+    ("home", """{"kind":"all","verification":"official","conditions":[{"kind":"homeless"},{"kind":"previous_winning","value":false},{"kind":"residence_region","value":"R"},{"kind":"residence_months","value":12}]}"""),
+    ("unknown", """{"kind":"tax_years_min","value":5,"verification":"official"}"""),
+]
+FACTS = (
+    "c_custkey AS profile_id", "CAST(DATE '1930-03-01' + INTERVAL 8 MONTH * CAST(c_custkey % 97 AS INT) AS DATE) AS birth", "c_custkey % 5 AS kids", "CASE c_nationkey % 3 WHEN 0 THEN 'married' WHEN 1 THEN 'single' END AS marital_status",
+    "CASE WHEN c_custkey % 2 = 0 THEN 'comprehensive' ELSE 'deposit' END AS account_type", "CAST(DATE '1996-01-31' + INTERVAL 1 MONTH * CAST(c_custkey % 80 AS INT) AS DATE) AS account_since", "CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS deposit",
+    "CASE WHEN c_custkey % 11 = 0 THEN 'confirmed' END AS recommendation", "CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey % 2 = 0 END AS homeless", "c_custkey % 7 = 0 AS previous_winning", "CAST(DATE '2000-01-15' + INTERVAL 1 MONTH * CAST(c_custkey % 20 AS INT) AS DATE) AS moved_in",
+    "c_custkey % 3 > 0 AS near",
+)
+
+
+@query(f"""WITH f AS (SELECT {', '.join(FACTS)} FROM customer), t AS (
+  SELECT *, 2000 - year(birth) - CASE WHEN (month(birth), day(birth)) > (6, 1) THEN 1 ELSE 0 END AS age, kids >= 3 AS two_kids, kids = 3 AS newborn,
+    account_since <= DATE '2001-12-31' AS opened, CAST(account_since + INTERVAL 24 MONTH AS DATE) <= DATE '2001-12-31' AS two_years, CAST(moved_in + INTERVAL 12 MONTH AS DATE) <= DATE '2001-12-31' AS year_here FROM f)
+SELECT profile_id, 'age' AS rule_id, CASE WHEN age >= 30 AND age < 50 THEN 'pass' ELSE 'fail' END AS result FROM t
+UNION ALL SELECT profile_id, 'family', CASE WHEN newborn OR two_kids OR marital_status = 'married' THEN 'pass' WHEN marital_status IS NULL THEN 'review' ELSE 'fail' END FROM t
+UNION ALL SELECT profile_id, 'account', CASE WHEN recommendation = 'confirmed' THEN 'pass' WHEN account_type <> 'comprehensive' OR (opened AND NOT two_years) OR deposit < 3000 THEN 'review' WHEN deposit IS NULL OR NOT opened THEN 'review' ELSE 'pass' END FROM t
+UNION ALL SELECT profile_id, 'home', CASE WHEN NOT homeless OR previous_winning OR NOT near OR NOT year_here THEN 'fail' WHEN homeless IS NULL THEN 'review' ELSE 'pass' END FROM t
+UNION ALL SELECT profile_id, 'unknown', 'review' FROM t""")
+def profile_rules(spark, d):
+    """Rules of many kinds by the library's tests of facts: ages, children, accounts, homes and residence, judged on 31 December 2001."""
+    day_ = F.lit(date(2001, 12, 31))
+    rules = nodes(spark.createDataFrame(LEAF_RULES, "rule_id string, rule string"))
+    old, young = F.lit(date(1990, 1, 1)), F.lit(date(2001, 1, 1))
+    kids = F.when(F.col("kids") == 3, F.array(old, young)).when(F.col("kids") > 3, F.array(old, old)).otherwise(F.array(old))
+    people = table(spark, d, "customer").selectExpr(*FACTS).withColumns({"children": kids, "in_region": F.when(F.col("near"), F.array(F.lit("R"), F.lit("S"))).otherwise(F.array(F.lit("S"))), "judged_on": day_})
+    return evaluate(rules, with_facts(people), ["profile_id"], TESTS).select("profile_id", "rule_id", "result")
+
+
 def compare_number(value, rule):
     from noticeloom.operators.rules import compare
 
