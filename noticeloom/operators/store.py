@@ -20,7 +20,7 @@ LIMITS = {"title": 500, "provider": 160, "category": 80, "address": 500, "region
 EVENT = "array<struct<kind:string,label:string,start_date:date,end_date:date,audience:string>>"
 PRICE = "array<struct<unit_type:string,area_sqm:double,price_kind:string,amount_krw:bigint,monthly_krw:bigint,verification:string,document_hash:string>>"
 PAYLOAD = f"""source string, external_id string, provider string, title string, category string, address string, region_code string, region_name string,
-announcement_date date, official_url string, document_hash string, price_cap_status string, correction_of_external_id string, events {EVENT}, prices {PRICE}"""
+announcement_date date, official_url string, document_hash string, price_cap_status string, correction_of_external_id string, events {EVENT}, prices {PRICE}, landed_at timestamp"""
 
 
 def checked(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,13 +51,14 @@ def content(columns: list[str]) -> Column:
 def upsert(current: DataFrame | None, batch: DataFrame, seen_at: Column) -> tuple[DataFrame, DataFrame]:
     """(current rows or None, checked rows) -> (next current rows, new revisions).
 
-    The last row of a key in a batch counts (by content, where several are given). A null keeps what was known, an
+    The last row of a key in a batch counts: by landed_at, where the batch has it, then by content. A null keeps what was known, an
     empty array of prices too. An equal hash only moves last_seen_at; another makes version + 1 and a revision, and
     invalidates competition proofs if dates, events, units or a known document changed. The original
     announcement date never moves later. One full outer join on the key.
     """
-    fields = [c for c in batch.columns if c not in KEY]
-    given = batch.groupBy(*KEY).agg(F.max_by(F.struct(*fields), content(batch.columns)).alias("new"))
+    fields = [c for c in batch.columns if c not in (*KEY, "landed_at")]
+    landed = [F.col("landed_at")] if "landed_at" in batch.columns else []
+    given = batch.groupBy(*KEY).agg(F.max_by(F.struct(*fields), F.struct(*landed, content([*KEY, *fields]).alias("content"))).alias("new"))
     if current is None:
         current = batch.sparkSession.createDataFrame([], given.select(*KEY, "new.*").schema).withColumns({
             "version": F.lit(0), "content_hash": F.lit(None).cast("string"), "fingerprint": F.lit(None).cast("string"), "first_seen_at": F.lit(None).cast("timestamp"),
@@ -115,6 +116,12 @@ def competition_result(states: DataFrame, results: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("complete", F.coalesce(F.col("complete") & (F.col("outcome") == "accepted"), F.lit(False)))
 
 
+def after_results(current: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """current rows (id, proof_invalidated, ...) with proof_invalidated false again where a result (notice_id, outcome) was accepted."""
+    good = outcomes.filter("outcome = 'accepted'").select(F.col("notice_id").alias("id"), F.lit(True).alias("_good")).distinct()
+    return current.join(good, "id", "left").withColumn("proof_invalidated", F.col("proof_invalidated") & F.col("_good").isNull()).drop("_good")
+
+
 def snapshots(log: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
     """A log without snapshots that equal the key's last one."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -1,12 +1,20 @@
-"""Micro-batches of landed notices into the versioned store: replayed batches change nothing."""
+"""Micro-batches of landed notices into the versioned store: replayed batches change nothing.
+
+The store keeps current rows in buckets of keys. A batch reads and writes the buckets of its own keys alone; a small
+manifest for each batch names the folder in which each bucket stands.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticeloom.operators.store import PAYLOAD, checked, upsert
+from noticeloom.operators.store import KEY, PAYLOAD, checked, upsert
+
+BUCKETS = 256
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,20 +27,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def write_batch(store: str, batch: DataFrame, batch_id: int) -> None:
-    """Apply one batch: the next current rows as version batch_id, revisions and rejects beside them.
+def bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
+def manifest(spark: SparkSession, store: str, batch_id: int) -> dict[int, int]:
+    """For each bucket the batch that wrote it last, after batch_id; BUCKETS entries at most. Raises where that batch wrote none."""
+    path = f"{store}/manifest/{batch_id}"
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"the store has no state after batch {batch_id}: {path}")
+    return {r["bucket"]: r["batch"] for r in spark.read.parquet(path).collect()}
+
+
+def _rows(spark: SparkSession, store: str, folders: dict[int, int]) -> DataFrame | None:
+    paths = [f"{store}/current/{batch}/bucket={b}" for b, batch in sorted(folders.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def write_batch(store: str, batch: DataFrame, batch_id: int, seen_at: datetime | None = None) -> None:
+    """Apply one batch: the next rows of the buckets that it touches, its revisions and rejects, and the manifest.
 
-    Everything a batch writes goes to folders named by its id, in overwrite mode, and reads the folder of the id
-    before. So a batch that is run again after a failure writes the same again.
+    seen_at: the time of the batch, by default the greatest landed_at of its rows; without either it raises, as logic
+    never reads a clock. Everything goes to folders named by the batch's id, in overwrite mode, and comes from the state
+    after the id before, which must be there. So a batch that is run again after a failure writes the same again.
     """
     spark = batch.sparkSession
-    before = f"{store}/current/{batch_id - 1}"
-    current = spark.read.parquet(before) if batch_id and _exists(spark, before) else None
+    if seen_at is None:
+        seen_at = batch.agg(F.max("landed_at")).first()[0]
+        if seen_at is None and not batch.isEmpty():
+            raise ValueError("a batch needs seen_at or rows with landed_at")
+    before = manifest(spark, store, batch_id - 1) if batch_id else {}
     rows, rejected = checked(batch)
-    state, revisions = upsert(current, rows, F.coalesce(F.lit(None).cast("timestamp"), F.current_timestamp()))
-    state.write.mode("overwrite").parquet(f"{store}/current/{batch_id}")
+    touched = [r["b"] for r in rows.select(bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+    state, revisions = upsert(_rows(spark, store, {b: before[b] for b in touched if b in before}), rows, F.lit(seen_at))
+    state.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/current/{batch_id}")
     revisions.write.mode("overwrite").parquet(f"{store}/revisions/{batch_id}")
     rejected.write.mode("overwrite").parquet(f"{store}/rejected/{batch_id}")
+    after = before | dict.fromkeys(touched, batch_id)
+    spark.createDataFrame(sorted(after.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest/{batch_id}")
 
 
 def start(spark: SparkSession, folder: str, store: str, checkpoint: str, once: bool = True, period: str = "3 hours") -> StreamingQuery:
@@ -42,7 +74,9 @@ def start(spark: SparkSession, folder: str, store: str, checkpoint: str, once: b
 
 
 def current(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{store}/current/{batch_id}")
+    """The current rows after a batch."""
+    rows = _rows(spark, store, manifest(spark, store, batch_id))
+    return rows if rows is not None else spark.createDataFrame([], PAYLOAD)
 
 
 def revisions(spark: SparkSession, store: str) -> DataFrame:

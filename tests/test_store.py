@@ -3,10 +3,11 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators.store import PAYLOAD, checked, competition_result, duplicates, upsert
-from noticeloom.streaming.intake import current, revisions, start
+from noticeloom.operators.store import PAYLOAD, after_results, checked, competition_result, duplicates, upsert
+from noticeloom.streaming.intake import current, revisions, start, write_batch
 
 
 def row(key, **more):
@@ -61,17 +62,36 @@ def test_stale_and_failed_results(spark):
     assert got == [(1, 1, "stale", False), (1, 2, "accepted", True), (2, 1, "failed", False), (3, 1, "stale", False)]
 
 
+def test_accepted_results_clear_the_invalidation(spark):
+    rows = spark.createDataFrame([(1, True), (2, True), (3, False)], "id int, proof_invalidated boolean")
+    outcomes = spark.createDataFrame([(1, "accepted"), (1, "stale"), (2, "failed")], "notice_id int, outcome string")
+    assert {r.id: r.proof_invalidated for r in after_results(rows, outcomes).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_the_last_landed_row_of_a_batch_counts(spark):
+    rows, _ = checked(batch(spark, row("1", category="z", landed_at="2026-01-03T01:00:00Z"), row("1", category="a", landed_at="2026-01-03T02:00:00Z")))
+    state, more = upsert(None, rows, at(3))
+    assert state.first().category == "a" and more.count() == 1 and "landed_at" not in state.columns
+
+
 def test_stream_and_replay(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
-    (landing / "a.json").write_text("\n".join([row("1"), row("2")]))
+    first, then = {"landed_at": "2026-01-03T01:00:00Z"}, {"landed_at": "2026-01-03T04:00:00Z"}
+    (landing / "a.json").write_text("\n".join([row("1", **first), row("2", **first), *(row(f"k{i}", **first) for i in range(60))]))
     args = (spark, str(landing), str(tmp_path / "store"), str(tmp_path / "checkpoint"))
     start(*args).awaitTermination()
-    (landing / "b.json").write_text("\n".join([row("1"), row("2", category="new")]))
+    (landing / "b.json").write_text("\n".join([row("1", **then), row("2", category="new", **then)]))
     start(*args).awaitTermination()
-    assert {r.external_id: r.version for r in current(spark, args[2], 1).collect()} == {"1": 1, "2": 2}
-    assert revisions(spark, args[2]).count() == 3
-    from noticeloom.streaming.intake import landed, write_batch  # noqa: F401
-
-    write_batch(args[2], batch(spark, row("1"), row("2", category="new")), 1)  # the batch again, as after a failure
-    assert revisions(spark, args[2]).count() == 3
+    state = {r.external_id: (r.version, r.last_seen_at.hour) for r in current(spark, args[2], 1).collect()}
+    assert len(state) == 62 and state["1"] == (1, 4) and state["2"] == (2, 4) and state["k7"] == (1, 1)
+    assert revisions(spark, args[2]).count() == 63
+    written = spark.read.parquet(f"{args[2]}/current/1").count()
+    assert written < 20  # the buckets of two keys alone
+    before = sorted(map(str, current(spark, args[2], 1).collect()))
+    write_batch(args[2], batch(spark, row("1", **then), row("2", category="new", **then)), 1)  # the batch again, as after a failure
+    assert revisions(spark, args[2]).count() == 63 and sorted(map(str, current(spark, args[2], 1).collect())) == before
+    with pytest.raises(FileNotFoundError):
+        write_batch(args[2], batch(spark, row("1", **then)), 7)  # the state before is missing
+    with pytest.raises(ValueError, match="seen_at"):
+        write_batch(args[2], batch(spark, row("1")), 2)
