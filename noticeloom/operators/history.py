@@ -60,3 +60,9 @@ def coverage(log: DataFrame, sources: list[str]) -> DataFrame:
     known = log.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sources)], "source string, position int")
     rows = known.join(state, "source", "full_outer")
     return rows.select("source", F.coalesce("status", F.lit("never")).alias("status"), "last_attempt", "last_success", F.coalesce("record_count", F.lit(0)).alias("record_count"), F.coalesce("position", F.lit(len(sources))).alias("position"))
+
+
+def restricted(people: DataFrame, past: DataFrame, keys: list[str], day: str, past_day: str, months: int) -> DataFrame:
+    """people with last (the latest past_day of past, or null) and passes: the day lies more than `months` months after it, or there is none."""
+    last = past.groupBy(*keys).agg(F.max(past_day).alias("last"))
+    return people.join(last, keys, "left").withColumn("passes", F.coalesce(F.col(day) > F.add_months("last", months), F.lit(True)))

@@ -82,6 +82,12 @@ def counts_as_home(home: dict[str, Column], day: Column) -> Column:
     )
 
 
+def children_under(births: Column, day: Column, months: int, expected: Column) -> Column:
+    """How many children are born by a day and younger than `months` months at it, expected ones included; null births are unknown."""
+    young = F.size(F.filter(births, lambda b: (F.add_months(b, months) > day) & (b <= day)))
+    return F.when(births.isNotNull(), young + F.coalesce(expected, F.lit(0)))
+
+
 def homeless(homes: DataFrame, profiles: DataFrame, counted: Column) -> DataFrame:
     """profile_id, homeless: false with a home that counts, null while one is undecided, else true (also without homes)."""
     rows = homes.withColumn("_c", counted).groupBy("profile_id").agg(F.bool_or("_c").alias("some"), F.bool_or(F.col("_c").isNull()).alias("open"))

@@ -142,11 +142,3 @@ def points_score(spark, d):
     out = rows.select(F.col("c_custkey").alias("profile_id"), years.alias("homeless"), dependant_points(F.col("c_nationkey") % 8).alias("family"), account_points(full_months(F.col("since"), F.lit(DAY))).alias("account"))
     total, confirmed = totals(F.col("homeless"), F.col("family"), F.col("account"))
     return out.withColumn("total", total).withColumn("confirmed", confirmed)
-
-
-@query("""SELECT l_orderkey AS profile_id, CAST(count(*) FILTER (WHERE CAST(l_shipdate AS DATE) + INTERVAL 36 MONTH > DATE '2000-06-01' AND CAST(l_shipdate AS DATE) <= DATE '2000-06-01') + bool_or(l_discount = 0)::INT AS INTEGER) AS children FROM lineitem GROUP BY l_orderkey""")
-def children_counting(spark, d):
-    day = F.lit(date(2000, 6, 1))
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("profile_id")).agg(F.collect_list(F.col("l_shipdate").cast("date")).alias("births"), F.bool_or(F.col("l_discount") == 0).alias("pregnant"))
-    young = F.size(F.filter("births", lambda b: (F.add_months(b, 36) > day) & (b <= day)))
-    return rows.select("profile_id", (young + F.col("pregnant").cast("int")).alias("children"))

@@ -52,15 +52,6 @@ def results_view(spark, d):
     return page(rows.select("id", "title", "application_end_date"), 1, 50, F.col("application_end_date").desc_nulls_last(), F.col("title"), F.col("id"))
 
 
-@query(f"""WITH {NOTICES_SQL}, refs AS (SELECT source, id - 7 AS ref FROM notices WHERE category = '5-LOW' AND id >= 7)
-SELECT id, source FROM notices AS n
-WHERE NOT EXISTS (SELECT 1 FROM refs AS r WHERE r.source = n.source AND r.ref = n.id)""")
-def superseded_anti_join(spark, d):
-    rows = notices(spark, d)
-    refs = rows.filter((F.col("category") == "5-LOW") & (F.col("id") >= 7)).select("source", (F.col("id") - 7).alias("id"))
-    return rows.join(refs, ["source", "id"], "left_anti").select("id", "source")
-
-
 @query(f"""WITH {EVENTS_SQL}
 SELECT notice_id, count(*) AS n_applications, min(start_date) AS first_start,
   CASE WHEN bool_or({OPEN_SQL}) THEN NULL ELSE max(coalesce(end_date, start_date)) END AS last_end,

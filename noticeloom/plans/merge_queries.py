@@ -1,6 +1,5 @@
 """Merging of rows of one entity: consensus, first and best rows, entity resolution, placeholders."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticeloom.operators.consensus import agreed, best_row, conflicting, distinct_ordered, preferring, same_sets
@@ -103,25 +102,3 @@ def completeness_set_equality(spark, d):
 def argmax_with_preference(spark, d):
     rows = table(spark, d, "events")
     return best_row(rows, ["user_id"], (F.col("event_type") == "purchase").desc(), F.col("ts").desc_nulls_last(), F.col("event_id")).select("user_id", "event_id", "event_type", "value")
-
-
-@query("""SELECT l_returnflag AS method, l_linestatus AS area, CAST(l_discount * 100 AS INTEGER) AS ratio,
-  array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS units, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
-def opportunity_groups(spark, d):
-    ratio = F.rint(F.col("l_discount") * 100).cast("int")
-    groups = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("area"), ratio.alias("ratio"))
-    return groups.agg(F.array_join(F.sort_array(F.collect_set("l_linenumber")).cast("array<string>"), ",").alias("units"), F.count(F.lit(1)).alias("n"))
-
-
-@query("""WITH reasons AS (SELECT DISTINCT l_orderkey AS notice_id, l_returnflag AS supply, l_linenumber AS reason FROM lineitem)
-SELECT notice_id, reason, count(*) AS n_supplies, string_agg(supply, ',' ORDER BY supply) AS supplies FROM reasons GROUP BY 1, 2 HAVING count(*) > 1""")
-def shared_reasons_having(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").alias("reason"), F.col("l_returnflag").alias("supply")).distinct()
-    return rows.groupBy("notice_id", "reason").agg(F.count(F.lit(1)).alias("n_supplies"), F.array_join(F.sort_array(F.collect_list("supply")), ",").alias("supplies")).filter("n_supplies > 1")
-
-
-@query("""SELECT event_type, event_id, value, CAST(r AS INTEGER) AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) AS x WHERE r <= 3""")
-def brief_top3_per_status(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
-    return table(spark, d, "events").withColumn("place", F.row_number().over(w)).filter("place <= 3").select("event_type", "event_id", "value", "place")

@@ -1,6 +1,5 @@
 """Revisions, states and facts over time."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticeloom.operators.history import asof_latest, coverage, fresh, latest, retained, versions
@@ -22,24 +21,6 @@ def latest_revision(spark, d):
     return latest(table(spark, d, "conversations"), ["conv_id"], F.col("turn").desc(), F.col("role")).select("conv_id", "turn", "role")
 
 
-@query("""SELECT user_id, event_id, event_type, former, former IS DISTINCT FROM event_type AS changed FROM (
-  SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS former FROM events) AS x""")
-def change_detection(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("former", F.lag("event_type").over(w))
-    return rows.select("user_id", "event_id", "event_type", "former", (~F.col("former").eqNullSafe(F.col("event_type"))).alias("changed"))
-
-
-@query("""WITH current AS (SELECT user_id, count(*) AS version FROM events WHERE event_type = 'signup' GROUP BY user_id)
-SELECT e.event_id, coalesce(c.version, 0) AS version, CASE WHEN e.event_id % 70 + 1 <> coalesce(c.version, 0) THEN 'pending' ELSE 'accepted' END AS outcome
-FROM events AS e LEFT JOIN current AS c ON e.user_id = c.user_id WHERE e.event_type = 'purchase'""")
-def stale_result_rejection(spark, d):
-    rows = table(spark, d, "events")
-    current = rows.filter("event_type = 'signup'").groupBy("user_id").agg(F.count(F.lit(1)).alias("version"))
-    rows = rows.filter("event_type = 'purchase'").join(current, "user_id", "left").withColumn("version", F.coalesce("version", F.lit(0)))
-    return rows.select("event_id", "version", F.when(F.col("event_id") % 70 + 1 != F.col("version"), "pending").otherwise("accepted").alias("outcome"))
-
-
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
@@ -85,23 +66,3 @@ def temporal_fact_asof(spark, d):
     left = rows.filter("event_type = 'error'").select("event_id", "user_id", "ts")
     right = rows.filter("event_type = 'signup'").select("user_id", "ts", "value")
     return asof_latest(left, right, ["user_id"], "ts", "ts", ["value"]).select("event_id", "user_id", F.col("asof_value").alias("fact"))
-
-
-@query("""WITH last AS (SELECT user_id, max(CAST(ts AS DATE)) AS won FROM events WHERE event_type = 'purchase' AND value > 100 GROUP BY user_id)
-SELECT e.user_id, e.cutoff, l.won, CASE WHEN l.won IS NULL THEN TRUE ELSE NOT (e.cutoff <= CAST(l.won + INTERVAL 1 MONTH AS DATE)) END AS passes
-FROM (SELECT user_id, CAST(max(CAST(ts AS DATE)) + INTERVAL 20 DAY AS DATE) AS cutoff FROM events GROUP BY user_id) AS e LEFT JOIN last AS l ON e.user_id = l.user_id""")
-def history_window_restriction(spark, d):
-    day = F.col("ts").cast("date")
-    out = table(spark, d, "events").groupBy("user_id").agg(F.date_add(F.max(day), 20).alias("cutoff"), F.max(F.when((F.col("event_type") == "purchase") & (F.col("value") > 100), day)).alias("won"))
-    return out.withColumn("passes", F.when(F.col("won").isNull(), True).otherwise(~(F.col("cutoff") <= F.add_months("won", 1))))
-
-
-@query("""WITH rows AS (SELECT user_id AS unit, event_type, value, event_id FROM events WHERE event_type IN ('purchase', 'click')),
-proof AS (SELECT unit, bool_or(event_type = 'purchase' AND value > 195) AS first_kind, bool_or(event_type = 'click' AND value >= 100 AND event_id % 7 = 0) AS second_kind FROM rows GROUP BY unit)
-SELECT unit, CASE WHEN first_kind THEN 'local_first_closed' WHEN second_kind THEN 'all_local_first' END AS proof, first_kind OR second_kind AS closed FROM proof""")
-def closure_proof(spark, d):
-    rows = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "click"))
-    one = F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 195))
-    two = F.bool_or((F.col("event_type") == "click") & (F.col("value") >= 100) & (F.col("event_id") % 7 == 0))
-    out = rows.groupBy(F.col("user_id").alias("unit")).agg(one.alias("one"), two.alias("two"))
-    return out.select("unit", F.when(F.col("one"), "local_first_closed").when(F.col("two"), "all_local_first").alias("proof"), (F.col("one") | F.col("two")).alias("closed"))

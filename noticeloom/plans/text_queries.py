@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import canonical_unit, decimal_number, integer, manwon_to_krw, unit_key, url_host, yes_no
-from noticeloom.operators.clauses import Clause, extract, sections
+from noticeloom.operators.clauses import sections
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import table
 from noticeloom.sources.html import html_links as links_of
@@ -49,18 +49,6 @@ def text_section_segmentation(spark, d):
     return lines.groupBy("doc_id", "section", "grp").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars")).drop("grp")
 
 
-PLAIN_CLAUSES = (Clause("version", r"version (\d+)", value="long"), Clause("licence", r"(CC BY[-A-Z]*)", value="flag", operator="=="), Clause("call", r"\+1 \((\d{3})\)", value="long"))
-
-
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), found AS (
-  SELECT doc_id, 'version' AS kind, CAST(regexp_extract(text, 'version (\d+)', 1) AS BIGINT) AS value FROM lines WHERE regexp_matches(text, 'version (\d+)')
-  UNION ALL SELECT doc_id, 'licence', 1 FROM lines WHERE regexp_matches(text, '(CC BY[-A-Z]*)')
-  UNION ALL SELECT doc_id, 'call', CAST(regexp_extract(text, '\+1 \((\d{3})\)', 1) AS BIGINT) FROM lines WHERE regexp_matches(text, '\+1 \((\d{3})\)'))
-SELECT doc_id, kind, value, count(*) AS n FROM found GROUP BY 1, 2, 3""")
-def clause_extraction(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"), F.lit(None).cast("string").alias("section"))
-    rules = extract(lines, PLAIN_CLAUSES).select("doc_id", F.explode("rules").alias("r"))
-    return rules.groupBy("doc_id", F.col("r.kind").alias("kind"), F.col("r.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing, '{"k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events""")
