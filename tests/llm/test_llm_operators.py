@@ -958,6 +958,66 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == sorted(held)
 
 
+@pytest.fixture(scope="module")
+def tables(tmp_path_factory, spark, labels, benchmark):
+    """A folder with the labels and the benchmark of the tests, for the stages of the pipeline."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    labels.write.parquet(f"{folder}/labels.parquet")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_stages_on_messy_rows(spark, docs, messy, tables):
+    """Nulls, repeats, long texts and columns with clashing names: every stage keeps the columns and gives defined rows."""
+    import corpus_pipeline
+
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, tables)
+        rows = out.collect()
+        assert 0 < len(rows) <= len(messy), name
+        if number < 4:
+            assert out.columns == docs.columns and {(r.tokens, r.mix_size, r.spans) for r in rows} == {("t", "m", "s")}
+        else:
+            assert set(docs.columns) - {"mix_size"} < set(out.columns) and {r.mix_copies for r in rows} <= {1, 2}
+        if name == "pii":
+            assert len(rows) == len(messy) and sum(r.text is None for r in rows) == sum(t is None for _, t, *_ in messy)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tables, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    folder = str(tmp_path / "tables")
+    shutil.copytree(tables, folder)
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_added_spans_against_brute_force(spark):
+    """Of the candidates that plain patterns find beside the base spans, every one is kept or left out by its votes alone, and none touches a base span."""
+    from noticeloom.llm.pii import BASE, candidate_spans, pii_spans
+
+    rng = random.Random(22)
+    parts = ["SSN: 123-45-6789", "000-12-3456", "call 415-555-2671", "ref 115-155-2671", "Mr. John Smith", "Frau Anna", "jo (at) web dot de", "a@b.org", " ", ", ", "1.2.3.4", "é"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", ""]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {r.doc_id: r.s for r in frame.select("doc_id", candidate_spans(F.col("text")).alias("s")).collect()}
+    verdicts = {}
+    for r in pii_spans(frame).collect():
+        base = [(x.start, x.end) for x in r.base]
+        free = [x for x in every[r.doc_id] if x.rank >= len(BASE) and not any(a < x.end and x.start < b for a, b in base)]
+        kept = {(x.start, x.end, x.kind) for x in r.spans if x.rank >= len(BASE)}
+        assert kept <= {(x.start, x.end, x.kind) for x in free}
+        for x in free:
+            verdicts.setdefault(x.combo, set()).add((x.start, x.end, x.kind) in kept)
+    assert all(len(v) == 1 for v in verdicts.values()) and {True, False} <= set().union(*verdicts.values())
+    plain = {"ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "mailto": r"jo \(at\) web dot de"}
+    for i, text in enumerate(texts):
+        found = {(x.start, x.end) for x in every[i] if x.kind == "ssn"}
+        assert found == {(m.start(), m.end()) for m in re.finditer(plain["ssn"], text)}, text
+
+
 def test_queries_are_registered():
     from noticeloom.llm.catalogue import ORACLES, QUERIES
 
