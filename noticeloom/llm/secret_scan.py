@@ -15,7 +15,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The base patterns, the least length of what they find, and the words of a context.
@@ -39,6 +39,7 @@ WORDS = (
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 UNITS = 8
+PARTS = 64
 LETTERS = "^[a-z]{3,24}$"
 PLACE = {letter: (row, at) for row, keys in enumerate(ROWS) for at, letter in enumerate(keys)}
 PLAIN = str.maketrans("@4301!$57", "aaeoiisst")
@@ -158,8 +159,11 @@ def frequent_words(docs: DataFrame, vocabulary: int, text_col: str) -> list[str]
             yield pa.RecordBatch.from_arrays([words.filter(held).cast(pa.string()), n.filter(held)], names=["word", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).mapInArrow(count, "word string, n long")
-    rows = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    return [r["word"] for r in rows.collect()]  # vocabulary rows at most
+    rows = rows.groupBy("word").agg(F.sum("n").alias("n"))
+    for part in (F.pmod(F.xxhash64("word"), F.lit(PARTS)), F.lit(0)):  # the most frequent of each part, then of all parts
+        order = Window.partitionBy(part).orderBy(F.desc("n"), "word")
+        rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= vocabulary).select("word", "n")
+    return [r["word"] for r in sorted(rows.collect(), key=lambda r: (-r["n"], r["word"]))]  # vocabulary rows at most
 
 
 def secret_spans(text: str, least_cost: float, rank: dict[str, int] = KNOWN) -> tuple[list[tuple[int, int, str]], list[float]]:
