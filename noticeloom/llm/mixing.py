@@ -16,7 +16,7 @@ from noticeloom.session import ensure_checkpoint_dir
 # What separates words, and the weights that sources get in turn.
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
-ROWS_A_BIN = 50_000
+ROWS_A_BIN = 5_000
 BINS = 4096
 FEW_SOURCES = 100_000
 #: The order in which a source's rows are taken: by key; equal keys by size, text, and a number of the row's own.
