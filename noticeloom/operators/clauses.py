@@ -39,8 +39,18 @@ CLAUSES = (
     Clause("children_min", r"(?:미성년\s*자녀|자녀)[^0-9\n]{0,8}(\d{1,2})\s*명\s*이상"),
     Clause("marriage_months_max", r"혼인기간[^0-9\n]{0,8}(\d{1,2})\s*년\s*이내", operator="<="),
     Clause("parent_support_months_min", r"직계존속[^\n]{0,30}?(\d)\s*년\s*이상"),
-    Clause("household_head", r"(세대주)(?:인|로서|에\s*한)", operator="==", value="flag"),
-    Clause("homeless", r"(무주택세대구성원)", operator="==", value="flag"),
+    Clause("household_head", r"(세대주)(?:인|로서|에\s*한|일\s*것)", operator="==", value="flag"),
+    Clause("homeless", r"(무주택\s*세대(?:구성원|주))", operator="==", value="flag"),
+    Clause("age_min", r"만\s*(\d{2})\s*세\s*이상(?!의\s*직계)"),
+    Clause("newborn_children_min", r"(2세\s*미만)[^\n]{0,60}?자녀", value="flag"),
+    Clause("parent_age_min", r"(\d{2})\s*세\s*이상의\s*직계존속"),
+    Clause("tax_years_min", r"(\d)\s*년\s*이상\s*소득세"),
+    Clause("ownership_count_max", r"(2주택)\s*이상을\s*소유한\s*세대에\s*속하지\s*않을", operator="<=", value="flag"),
+    Clause("previous_winning_years", r"과거\s*(\d)\s*년\s*이내\s*당첨된\s*[^\n]{0,12}세대에\s*속하지\s*않을"),
+    Clause("never_owned_home", r"(세대구성원)[^\n]{0,60}?과거[^\n]{0,60}?주택[^\n]{0,40}?소유[^\n]{0,20}?(?:않|없|아니)", operator="==", value="flag"),
+    Clause("account_not_required", r"(청약통장)[^\n]{0,40}?(?:무관|관계\s*없이|필요하지\s*않)", operator="==", value="flag"),
+    Clause("young_children_min", r"만\s*\d{1,2}\s*세\s*미만의\s*자녀\s*(\d)\s*명\s*이상"),
+    Clause("military_service_years", r"(\d{1,2})\s*년\s*이상\s*장기복무"),
 )
 MONTHS_OF_YEARS = ("marriage_months_max", "parent_support_months_min")
 

@@ -40,6 +40,16 @@ def same_sets(left: Column, right: Column) -> Column:
     return F.sort_array(F.array_distinct(left)) == F.sort_array(F.array_distinct(right))
 
 
+def covers(present: Column, required: Column) -> Column:
+    """Whether an array holds every required value; null where one is null."""
+    return F.size(F.array_except(required, present)) == 0
+
+
+def common(left: Column, right: Column) -> Column:
+    """The values that two arrays share, in order."""
+    return F.array_sort(F.array_intersect(left, right))
+
+
 def all_of(value: Column) -> Column:
     """Aggregate, Kleene and: false beats unknown, unknown beats true; over no rows unknown."""
     return F.when(F.max(F.when(~value, 1)) == 1, False).when(F.count(F.when(value.isNull(), 1)) > 0, F.lit(None).cast("boolean")).when(F.count(F.lit(1)) > 0, True)

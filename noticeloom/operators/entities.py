@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.session import ensure_checkpoint_dir
+
 
 def clusters(rows: DataFrame, fingerprint: str, identity: str) -> DataFrame:
     """rows -> identity, canonical_id (the smallest of the fingerprint), members. A null fingerprint is its own cluster.
@@ -12,8 +14,10 @@ def clusters(rows: DataFrame, fingerprint: str, identity: str) -> DataFrame:
     The choice doesn't depend on the order of arrival. Groups are aggregated before the join, so that a frequent
     fingerprint costs a row for each task.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.select(identity, fingerprint).checkpoint()  # computed once: it is grouped and joined
     known = rows.filter(F.col(fingerprint).isNotNull()).groupBy(fingerprint).agg(F.min(identity).alias("canonical_id"), F.count(F.lit(1)).alias("members"))
-    out = rows.select(identity, fingerprint).join(known, fingerprint, "left")
+    out = rows.join(known, fingerprint, "left")
     return out.select(identity, F.coalesce("canonical_id", identity).alias("canonical_id"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 

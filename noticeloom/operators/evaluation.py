@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import unit_key
@@ -56,6 +56,12 @@ def summaries(judged: DataFrame) -> DataFrame:
     return rows.withColumn("general", F.col("supply_type").rlike(r"^\s*일반(?:\s*공급)?\s*$"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Summaries of each profile and notice with place: general supply first, then others by their place in the notice's inventory (`pos`)."""
+    w = Window.partitionBy("profile_id", "notice_id").orderBy(F.col("general").desc(), "pos", "supply_type", "status", F.array_join("units", ","))
+    return rows.withColumn("place", F.row_number().over(w))
+
+
 def shared_reasons(judged: DataFrame) -> DataFrame:
     """profile_id, notice_id, rule_id, result of reasons that two supplies or more have."""
     rows = judged.select("profile_id", "notice_id", "supply_type", F.explode("reasons").alias("r")).select("profile_id", "notice_id", "r.*", "supply_type")

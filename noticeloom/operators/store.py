@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from noticeloom.functions.text import clipped, fingerprint
 
@@ -127,3 +128,14 @@ def snapshots(log: DataFrame, keys: list[str], order: list[str], payload: Column
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = log.withColumn("_hash", F.sha2(payload, 256)).withColumn("_before", F.lag("_hash").over(w))
     return rows.filter(~F.col("_hash").eqNullSafe(F.col("_before"))).withColumnRenamed("_hash", "content_hash").drop("_before")
+
+
+def conformed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of an older table as the schema has them: columns that it added are null, others are cast, and those it doesn't know stay behind."""
+    return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def audit(outcomes: DataFrame, folder: str) -> None:
+    """Write the outcomes of a run (source, outcome, ...) as JSON: all rows, and their counts by source and outcome beside them."""
+    outcomes.write.mode("overwrite").json(f"{folder}/rows")
+    outcomes.groupBy("source", "outcome").count().coalesce(1).write.mode("overwrite").json(f"{folder}/summary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import canonical_unit, integer
@@ -48,3 +48,50 @@ def supplies(rows: DataFrame, keys: list[str], names: tuple[str, ...] = SUPPLY_C
     out = rows.join(sound, keys, "left_semi").select(*keys, "unit_type", "row", F.explode(listed).alias("s"))
     out = out.groupBy(*keys, "unit_type", F.col("s.supply_type").alias("supply_type")).agg(F.max_by("s.supply_count", "row").alias("supply_count"))
     return out.filter("supply_count > 0")
+
+
+# How documents tell in which order and by which shares winners are chosen.
+ARROW = r"\s*(?:→|⇒|->)\s*"
+ORDER = r"당첨자\s*선정\s*순서\s*[:：]\s*([^■※]{0,300})"
+BY_REGION = r"[①②③④⑤]\s*지역\s*[:：]\s*해당지역\s*거주자\s*\(([^)]*)\)" + ARROW + r"기타지역\s*거주자"
+BY_QUOTA = r"지역\s*[:：]\s*해당시\s*[·ㆍ.]\s*도\s*거주자\s*(\d{1,3})\s*%[^→⇒%]{0,80}?(?:→|⇒|->)\s*기타지역\s*거주자\s*(\d{1,3})\s*%"
+LOTTERY_STAGE = r"(\d+)단계에서\s*경쟁이\s*있는\s*경우\s*순위와\s*관계없이\s*해당지역\s*거주자"
+ADVANCE, RECOMMENDED = r"각\s*단계별\s*낙첨자는\s*다음\s*단계\s*공급대상에\s*포함", r"(?:관계|해당)기관의\s*장이\s*정하는\s*우선순위에\s*따라\s*공급"
+SHARE_NAMES = (("local", r"해당\s*(?:주택건설)?지역"), ("other_gyeonggi", r"기타\s*경기(?:지역)?"), ("other", r"기타지역(?!\s*경기)"))
+
+
+def selection_steps(text: Column) -> Column:
+    """The steps of a document's order of selection, numbers aside; null unless there are two at least and none is empty."""
+    steps = F.transform(F.split(F.trim(F.regexp_extract(text, ORDER, 1)), ARROW), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[①②③④⑤⑥⑦⑧⑨]\\s*", "")))
+    return F.when((F.size(steps) > 1) & F.forall(steps, lambda x: x != ""), steps)
+
+
+def regional_shares(text: Column) -> Column:
+    """array<struct<residence_area, percent>> of a quota table; null unless the local area and another are told and all make a hundred."""
+    share = lambda pattern: F.regexp_extract(text, pattern + r"[^%]{0,100}?(\d{1,3})\s*%", 1).try_cast("int")
+    found = F.filter(F.array(*[F.struct(F.lit(area).alias("residence_area"), share(pattern).alias("percent")) for area, pattern in SHARE_NAMES]), lambda x: x["percent"].isNotNull())
+    total = F.aggregate(found, F.lit(0), lambda a, x: a + x["percent"])
+    return F.when((F.size(found) > 1) & F.exists(found, lambda x: x["residence_area"] == "local") & (total == 100), found)
+
+
+def special_selection(sections: DataFrame, inventory: DataFrame) -> DataFrame:
+    """sections (notice_id, supply_type, page, text), inventory (notice_id, supply_type, unit_type, supply_count) -> notice_id, supply_type, method,
+    local_region, local_percent, steps, lottery_stage, advance, page: how special supplies that are offered choose their winners.
+
+    method: institution, region_priority or regional_quota (two shares that make a hundred), of the first page that tells one;
+    steps and the rest from whichever page tells them. Supplies without a positive count, and general supply, have no row.
+    """
+    offered = inventory.filter("supply_count > 0").select("notice_id", "supply_type").distinct()
+    get = lambda pattern, i=1: F.nullif(F.regexp_extract("text", pattern, i), F.lit(""))
+    first, second = get(BY_QUOTA, 1).try_cast("int"), get(BY_QUOTA, 2).try_cast("int")
+    institution = F.col("supply_type").contains("기관추천")
+    method = F.when(institution & F.col("text").rlike(RECOMMENDED), "institution").when(~institution & get(BY_REGION).isNotNull(), "region_priority").when(~institution & (first + second == 100), "regional_quota")
+    rows = sections.filter(~F.col("supply_type").rlike(r"^\s*일반(?:\s*공급)?\s*$")).join(offered, ["notice_id", "supply_type"], "left_semi")
+    rows = rows.select(
+        "notice_id", "supply_type", "page", method.alias("method"), F.when(method == "region_priority", F.trim(F.regexp_replace(get(BY_REGION), r"\s*거주자\s*$", ""))).alias("local_region"), F.when(method == "regional_quota", first).alias("local_percent"),
+        selection_steps(F.col("text")).alias("steps"), get(LOTTERY_STAGE).try_cast("int").alias("lottery_stage"), F.col("text").rlike(ADVANCE).alias("advance"),
+    )
+    at = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c)
+    told = F.min_by(F.struct("method", "local_region", "local_percent", "page"), F.when(F.col("method").isNotNull(), F.col("page")))
+    out = rows.groupBy("notice_id", "supply_type").agg(told.alias("t"), at("steps"), at("lottery_stage"), F.bool_or("advance").alias("advance"))
+    return out.filter("t.method IS NOT NULL").select("notice_id", "supply_type", "t.method", "t.local_region", "t.local_percent", "steps", "lottery_stage", "advance", "t.page")

@@ -378,18 +378,21 @@ def household_sizes(spark, d):
 # Documents
 
 
-DOCUMENT = ("거주기간 24개월 이상", "가입 후 12개월 경과", "납입인정횟수 6회 이상", "미성년 자녀 2명 이상", "혼인기간 7년 이내", "직계존속을 3년 이상 부양", "세대주로서 무주택세대구성원", "계약기간 : 2026.01.05 ~ 2026.01.07", "문의처")
-KINDS = {0: [("residence_months", 24)], 1: [("subscription_months", 12)], 2: [("recognized_payments_min", 6)], 3: [("children_min", 2)], 4: [("marriage_months_max", 84)], 5: [("parent_support_months_min", 36)], 6: [("homeless", 1), ("household_head", 1)]}
+DOCUMENT = ("거주기간 24개월 이상", "가입 후 12개월 경과", "납입인정횟수 6회 이상", "미성년 자녀 2명 이상", "혼인기간 7년 이내", "직계존속을 3년 이상 부양", "세대주로서 무주택세대구성원", "계약기간 : 2026.01.05 ~ 2026.01.07", "문의처", "만 19세 이상인 자", "2세 미만의 자녀가 있는 가구", "만 65세 이상의 직계존속을 3년 이상 계속하여 부양", "5년 이상 소득세 납부",
+            "2주택 이상을 소유한 세대에 속하지 않을 것", "과거 5년 이내 당첨된 분의 세대에 속하지 않을 것", "세대구성원 모두 과거 주택을 소유한 사실이 없을 것", "청약통장 가입여부와 관계없이", "만 19세 미만의 자녀 2명 이상", "10년 이상 장기복무 군인")
+KINDS = {0: [("residence_months", 24)], 1: [("subscription_months", 12)], 2: [("recognized_payments_min", 6)], 3: [("children_min", 2)], 4: [("marriage_months_max", 84)], 5: [("parent_support_months_min", 36)], 6: [("homeless", 1), ("household_head", 1)], 9: [("age_min", 19)], 10: [("newborn_children_min", 1)],
+         11: [("parent_age_min", 65), ("parent_support_months_min", 36)], 12: [("tax_years_min", 5)], 13: [("ownership_count_max", 1)], 14: [("previous_winning_years", 5)], 15: [("never_owned_home", 1)], 16: [("account_not_required", 1)],
+         17: [("young_children_min", 2), ("children_min", 2)], 18: [("military_service_years", 10)]}
 
 
 def document_lines(spark, d):
     """notice_id, page, line, text: a published sentence for each line, and a heading that opens or closes a section before some."""
-    n = (F.col("l_suppkey") % len(DOCUMENT)).cast("int")
+    n = ((F.col("l_suppkey") + F.col("l_partkey")) % len(DOCUMENT)).cast("int")
     pos = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
     return lines(spark, d).select(F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("page"), pos.alias("line"), F.element_at(F.array(*map(F.lit, DOCUMENT)), n + 1).alias("text"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS n, l_suppkey % 9 AS k FROM lineitem), v(k, kind, value) AS (VALUES """ + ", ".join(f"({k}, '{kind}', {value})" for k, xs in KINDS.items() for kind, value in xs) + """)
+@query("""WITH l AS (SELECT l_orderkey AS n, (l_suppkey + l_partkey) % 19 AS k FROM lineitem), v(k, kind, value) AS (VALUES """ + ", ".join(f"({k}, '{kind}', {value})" for k, xs in KINDS.items() for kind, value in xs) + """)
 SELECT n AS notice_id, kind, CAST(value AS BIGINT) AS value, count(*) AS n FROM l JOIN v ON v.k = l.k GROUP BY 1, 2, 3""")
 def clause_extraction(spark, d):
     found = clauses.extract(document_lines(spark, d).withColumn("section", F.lit(None).cast("string"))).select("notice_id", F.explode("rules").alias("r"))
@@ -457,3 +460,56 @@ def homeless_applicants(spark, d):
     counted = people.counts_as_home(home, F.lit(date(2026, 7, 1)))
     profiles = table(spark, d, "orders").select(F.col("o_orderkey").alias("profile_id"))
     return people.homeless(rows, profiles, counted)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS n, o_orderkey % 6 AS k, o_custkey % 101 AS a FROM orders)
+SELECT n AS notice_id, CASE k WHEN 0 THEN 'institution' WHEN 1 THEN 'region_priority' ELSE 'regional_quota' END AS method, CASE k WHEN 1 THEN '성남시' END AS local_region, CASE k WHEN 2 THEN CAST(a AS INTEGER) END AS local_percent, CASE WHEN n % 2 = 0 THEN '소득>지역>추첨' END AS steps,
+  CASE WHEN n % 5 = 0 THEN 2 END AS lottery_stage, n % 7 = 0 AS advance, CAST(CASE k WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS page FROM s WHERE k < 3""")
+def special_selections(spark, d):
+    """How special supplies choose winners: by institution, region or quota; some shares make no hundred, some supplies offer nothing, some are general."""
+    k, o, a = F.col("o_orderkey") % 6, F.col("o_orderkey"), F.col("o_custkey") % 101
+    said = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    supply = F.when(k == 0, "기관추천 특별공급").when(k == 5, "일반공급").otherwise("다자녀가구 특별공급")
+    region = said("② 지역 : 해당지역 거주자(성남시 거주자) → 기타지역 거주자(경기도)")
+    quota = lambda rest: said("② 지역 : 해당시·도 거주자 ", a, "%(경기도) → 기타지역 거주자 ", rest, "%(서울)")
+    main = F.when(k == 0, "해당기관의 장이 정하는 우선순위에 따라 공급").when(k.isin(1, 4, 5), region).when(k == 2, quota(100 - a)).otherwise(quota(101 - a))
+    more = F.concat_ws(" ", F.when(o % 2 == 0, "당첨자 선정 순서 : ① 소득 → ② 지역 → ③ 추첨"), F.lit("※"), F.when(o % 5 == 0, "2단계에서 경쟁이 있는 경우 순위와 관계없이 해당지역 거주자(성남시)에게"), F.when(o % 7 == 0, "각 단계별 낙첨자는 다음 단계 공급대상에 포함됨"))
+    pages = F.array(F.struct(F.lit(4).alias("page"), more.alias("text")), F.struct(F.when(k == 1, 3).otherwise(2).alias("page"), main.alias("text")))
+    sections = table(spark, d, "orders").select(o.alias("notice_id"), supply.alias("supply_type"), F.inline(pages))
+    inventory = table(spark, d, "orders").select(o.alias("notice_id"), supply.alias("supply_type"), F.lit("84A").alias("unit_type"), F.when(k == 4, 0).otherwise(5).alias("supply_count"))
+    return tables.special_selection(sections, inventory).withColumn("steps", F.array_join("steps", ">")).drop("supply_type")
+
+
+@query("""SELECT o_orderkey AS notice_id, CASE WHEN o_custkey % 3 = 0 THEN 'local=50,other=50' WHEN o_custkey % 3 = 1 THEN 'local=30,other_gyeonggi=20,other=50' END AS shares FROM orders""")
+def quota_tables(spark, d):
+    c = F.col("o_custkey") % 3
+    said = F.when(c == 0, "해당지역 거주자 50% 기타지역 50%").when(c == 1, "해당 주택건설지역 30% 기타 경기지역 20 % 기타지역 50%").otherwise("해당지역 50% 기타지역 40%")
+    shares = tables.regional_shares(said)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("notice_id"), F.array_join(F.transform(shares, lambda s: F.concat_ws("=", s["residence_area"], s["percent"].cast("string"))), ",").alias("shares"))
+
+
+@query(f"""WITH {JUDGED}, s AS (SELECT DISTINCT notice_id, supply, status FROM j)
+SELECT notice_id, supply AS supply_type, status, row_number() OVER (PARTITION BY notice_id ORDER BY supply = '일반공급' DESC, CASE supply WHEN 'R' THEN 0 ELSE 1 END, status) AS place FROM s""")
+def ordered_summaries(spark, d):
+    """Supplies of a notice, general supply first, then in the order of its inventory."""
+    rows = judged(spark, d).drop("reasons").withColumn("reasons", F.array(F.lit("x")))
+    out = evaluation.summaries(rows).withColumn("pos", F.when(F.col("supply_type") == "R", 0).otherwise(1))
+    return evaluation.in_order(out).select("notice_id", "supply_type", "status", "place")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS n, list_sort(list(DISTINCT l_returnflag)) AS flags, list_sort(list(DISTINCT l_linestatus)) AS states FROM lineitem GROUP BY 1)
+SELECT n AS notice_id, list_contains(flags, 'A') AND list_contains(flags, 'R') AS both_kinds, array_to_string(list_sort(list_intersect(flags, ['A', 'N', 'X'])), ',') AS shared FROM s""")
+def set_tests(spark, d):
+    from noticeloom.operators.consensus import common, covers
+
+    rows = lines(spark, d).groupBy(F.col("l_orderkey").alias("notice_id")).agg(F.collect_set("l_returnflag").alias("flags"))
+    return rows.select("notice_id", covers(F.col("flags"), F.array(F.lit("R"), F.lit("A"))).alias("both_kinds"), F.array_join(common(F.col("flags"), F.array(F.lit("X"), F.lit("N"), F.lit("A"))), ",").alias("shared"))
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_totalprice AS BIGINT) AS amount, CAST(NULL AS DATE) AS added, o_orderstatus AS status FROM orders""".replace("CAST(o_totalprice AS BIGINT)", "CAST(trunc(o_totalprice) AS BIGINT)"))
+def conformed_rows(spark, d):
+    """An older table in the schema of a newer one."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string("id long, amount long, added date, status string")
+    return store.conformed(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("gone")), schema)

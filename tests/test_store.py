@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators.store import PAYLOAD, after_results, checked, competition_result, duplicates, upsert
+from noticeloom.operators.store import PAYLOAD, after_results, audit, checked, competition_result, duplicates, upsert
 from noticeloom.streaming.intake import current, revisions, start, write_batch
 
 
@@ -95,3 +95,10 @@ def test_stream_and_replay(spark, tmp_path):
         write_batch(args[2], batch(spark, row("1", **then)), 7)  # the state before is missing
     with pytest.raises(ValueError, match="seen_at"):
         write_batch(args[2], batch(spark, row("1")), 2)
+
+
+def test_audit(spark, tmp_path):
+    rows = spark.createDataFrame([("lh", "ok", 1), ("lh", "ok", 2), ("ih", "failed", 3)], "source string, outcome string, id int")
+    audit(rows, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/rows").count() == 3
+    assert sorted((r.source, r.outcome, r["count"]) for r in spark.read.json(f"{tmp_path}/summary").collect()) == [("ih", "failed", 1), ("lh", "ok", 2)]
