@@ -21,7 +21,7 @@ LIMITS = {"title": 500, "provider": 160, "category": 80, "address": 500, "region
 EVENT = "array<struct<kind:string,label:string,start_date:date,end_date:date,audience:string>>"
 PRICE = "array<struct<unit_type:string,area_sqm:double,price_kind:string,amount_krw:bigint,monthly_krw:bigint,verification:string,document_hash:string>>"
 PAYLOAD = f"""source string, external_id string, provider string, title string, category string, address string, region_code string, region_name string,
-announcement_date date, official_url string, document_hash string, price_cap_status string, correction_of_external_id string, events {EVENT}, prices {PRICE}, landed_at timestamp"""
+announcement_date date, official_url string, document_hash string, price_cap_status string, correction_of_external_id string, events {EVENT}, prices {PRICE}, rules array<string>, landed_at timestamp"""
 
 
 def checked(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def checked(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def content(columns: list[str]) -> Column:
     """Canonical JSON of a row, null fields included, sets in a fixed order."""
-    parts = [F.array_sort(c).alias(c) if c in ("events", "prices") else F.col(c) for c in columns]
+    parts = [F.array_sort(c).alias(c) if c in ("events", "prices", "rules") else F.col(c) for c in columns]
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
@@ -53,7 +53,7 @@ def upsert(current: DataFrame | None, batch: DataFrame, seen_at: Column) -> tupl
     """(current rows or None, checked rows) -> (next current rows, new revisions).
 
     The last row of a key in a batch counts: by landed_at, where the batch has it, then by content. A null keeps what was known, an
-    empty array of prices too. An equal hash only moves last_seen_at; another makes version + 1 and a revision, and
+    empty array of prices or rules too. An equal hash only moves last_seen_at; another makes version + 1 and a revision, and
     invalidates competition proofs if dates, events, units or a known document changed. The original
     announcement date never moves later. One full outer join on the key.
     """
@@ -69,7 +69,7 @@ def upsert(current: DataFrame | None, batch: DataFrame, seen_at: Column) -> tupl
     rows = old.join(given, list(KEY), "full_outer")
 
     def merged(c: str) -> Column:
-        new = F.when(F.size("new.prices") > 0, F.col("new.prices")) if c == "prices" else F.col(f"new.{c}")
+        new = F.when(F.size(f"new.{c}") > 0, F.col(f"new.{c}")) if c in ("prices", "rules") else F.col(f"new.{c}")
         return F.coalesce(new, F.col(f"old.{c}")).alias(c)
 
     original = F.least("old.original_date", "old.announcement_date", "new.announcement_date")

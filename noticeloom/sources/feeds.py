@@ -17,7 +17,7 @@ PRICE = "struct<unit_type:string,area_sqm:double,price_kind:string,amount_krw:bi
 #: The columns of a notice, with those that are null or empty unless a feed gives them.
 NOTICE = (
     "source", "external_id", "provider", "title", "category", "address", "region_code", "region_name", "announcement_date", "official_url", "document_hash",
-    "price_cap_status", "correction_of_external_id", "events", "prices",
+    "price_cap_status", "correction_of_external_id", "events", "prices", "rules",
 )
 
 # Codes and words of the feeds.
@@ -58,7 +58,7 @@ def column(rows: DataFrame, name: str) -> Column:
 
 
 def shaped(rows: DataFrame, **values: Column) -> DataFrame:
-    empty = {"events": F.expr(f"cast(array() as array<{EVENT}>)"), "prices": F.expr(f"cast(array() as array<{PRICE}>)"), "announcement_date": F.lit(None).cast("date")}
+    empty = {"events": F.expr(f"cast(array() as array<{EVENT}>)"), "prices": F.expr(f"cast(array() as array<{PRICE}>)"), "rules": F.expr("cast(array() as array<string>)"), "announcement_date": F.lit(None).cast("date")}
     out = rows.select(*[(values.get(c, empty.get(c, F.lit(None).cast("string")))).alias(c) for c in NOTICE])
     return out.filter(F.col("title").isNotNull() & F.col("external_id").isNotNull())
 
@@ -97,8 +97,11 @@ def reb_rental(rows: DataFrame, category: str) -> Column:
     return (reb_category(rows, category) == "private_rental") | (F.coalesce(column(rows, "RENT_SECD"), F.lit("")) == "1")
 
 
-def reb(details: DataFrame, operation: str, category: str) -> DataFrame:
-    """Details of one operation of the national subscription feed. A cap that isn't published is unknown where there may be one."""
+def reb(details: DataFrame, operation: str, category: str, **more: Column) -> DataFrame:
+    """Details of one operation of the national subscription feed. A cap that isn't published is unknown where there may be one.
+
+    more: further columns of NOTICE, as reb_metadata.reb_with_rules gives them.
+    """
     c = lambda n: column(details, n)
     cap = yes_no(c("PARCPRC_ULS_AT"))
     house, notice = first_usable(c("HOUSE_MANAGE_NO")), first_usable(c("PBLANC_NO"))
@@ -107,7 +110,7 @@ def reb(details: DataFrame, operation: str, category: str) -> DataFrame:
         provider=F.coalesce(first_usable(c("BSNS_MBY_NM"), c("NSPRC_NM")), F.lit(REB_PROVIDER)), category=reb_category(details, category), region_code=first_usable(c("SUBSCRPT_AREA_CODE")),
         region_name=first_usable(c("SUBSCRPT_AREA_CODE_NM")), address=first_usable(c("HSSPLY_ADRES")), announcement_date=lenient_date(c("RCRIT_PBLANC_DE")),
         official_url=public_url(first_usable(c("PBLANC_URL"), c("HMPG_ADRES"))),
-        price_cap_status=F.when(cap, "yes").when(~cap, "no").otherwise("unknown" if category in REB_CAPPED else "not_applicable"), events=reb_events(details),
+        price_cap_status=F.when(cap, "yes").when(~cap, "no").otherwise("unknown" if category in REB_CAPPED else "not_applicable"), events=reb_events(details), **more,
     )
 
 

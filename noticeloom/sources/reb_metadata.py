@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import lenient_date
 from noticeloom.functions.text import decimal_number, first_usable, manwon_to_krw, yes_no
-from noticeloom.sources.feeds import capital_region, column, lookup, reb_category, reb_events, reb_supplies, reb_unit
+from noticeloom.sources.feeds import capital_region, column, lookup, reb, reb_category, reb_events, reb_supplies, reb_unit
 
 # The operation whose detail codes tell private from national housing, and categories without ranks.
 APT = "getAPTLttotPblancDetail"
@@ -78,6 +78,11 @@ def metadata_rules(rows: DataFrame, operation: str, category: str) -> Column:
     ))
 
 
+def reb_with_rules(details: DataFrame, operation: str, category: str) -> DataFrame:
+    """feeds.reb with the rules that the details tell."""
+    return reb(details, operation, category, rules=metadata_rules(details, operation, category))
+
+
 def model_rules(details: DataFrame, models: DataFrame, category: str) -> DataFrame:
     """house_no, notice_no, offered, areas, fees: arrays of structs of the official inventory, exclusive areas and application fees.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.sources.boards import link_corrections
 from noticeloom.sources.feeds import NOTICE, board, capital_region, competition_rows, ih, lh, myhome, reb, reb_prices, reb_supplies, schedule, union, with_prices
+from noticeloom.sources.reb_metadata import reb_with_rules
 
 
 def frame(spark, *rows):
@@ -45,6 +46,11 @@ def test_feeds_go_into_the_store(spark):
     state, revisions = upsert(None, good, now)
     assert revisions.count() == 4 and {r.source for r in state.collect()} == {"cheongyak_home", "lh", "ih", "myhome"}
     assert upsert(state, good, now)[1].count() == 0
+    told, _ = checked(reb_with_rules(details, "op", "apt"))
+    after, more = upsert(state, told, now)
+    assert more.count() == 1 and len(after.filter("source = 'cheongyak_home'").first().rules) == 2
+    assert after.filter("source = 'cheongyak_home'").first().prices  # the poll without prices keeps them
+    assert upsert(after, good, now)[1].count() == 0  # and the one without rules keeps these
 
 
 def test_others_and_union(spark):
