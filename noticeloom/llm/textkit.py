@@ -2,7 +2,8 @@
 
 A word is a run of bytes other than space and \\x09-\\x0D; UTF-8 keeps those bytes for themselves, so words of
 bytes and words of code points are the same. Hashes are 64 bits wide. Bytes are taken eight at a time, each step
-multiplied and mixed, so that no pattern of a text makes two hashes equal; what is left is the chance of 2 ** -64 a pair.
+multiplied and mixed, so that patterns which make polynomials equal don't make these so; what is left, for texts that
+aren't made against the constants, is the chance of 2 ** -64 a pair.
 """
 
 from __future__ import annotations
@@ -42,25 +43,28 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data and from its end, with zeros beyond it."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of data[start:end] for each range: lane after lane, and blake2b for what is longer than LANES lanes."""
     size = (end - start).astype(np.int64)
     out = mix(size.astype(np.uint64) * STEP + U(1))
-    if not len(data):
+    if not len(size):
         return out
-    padded = np.zeros(len(data) + 8, dtype=np.uint8)
-    padded[:-8] = data
-    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    order = np.argsort(-size, kind="stable")
-    longest_first = -size[order]
+    lanes = lanes_of(data)
+    out = joined(out, lanes[start] & FIRST[np.minimum(size, 8)])
     for i in np.flatnonzero(size > 8 * LANES).tolist():
         out[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    skip = int(np.searchsorted(longest_first, -8 * LANES))
-    for at in range(0, 8 * LANES, 8):
-        held = order[skip : int(np.searchsorted(longest_first, -at))]  # ranges that have a byte at this lane
-        if not len(held):
-            break
-        out[held] = joined(out[held], lanes[start[held] + at] & FIRST[np.minimum(size[held] - at, 8)])
+    held, at = np.flatnonzero((size > 8) & (size <= 8 * LANES)), 8
+    while len(held):  # ranges that have a byte at this lane
+        left = size[held] - at
+        out[held] = joined(out[held], lanes[start[held] + at] & FIRST[np.minimum(left, 8)])
+        held, at = held[left > 8], at + 8
     return out
 
 
