@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import SPACE, U, Words, chunks, covered, range_hashes, text_bytes, windows
+from noticeloom.llm.textkit import SPACE, U, Words, chunks, covered, joined, range_hashes, text_bytes, windows
 
 # Symbols that the counts look for, and the classes of bytes; a byte of no class continues a code point.
 SYMBOLS = b"#*$%&|<>"
@@ -103,9 +103,9 @@ def line_repeats(words: Words) -> np.ndarray:
     end = end - (words.data[end - 1] == 10)
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, row = start[filled], end[filled], row[filled]
-    value = range_hashes(words.data, start, end)
-    order = np.lexsort((value, row))
-    same = (row[order][1:] == row[order][:-1]) & (value[order][1:] == value[order][:-1])
+    value = joined(range_hashes(words.data, start, end), row.astype(np.uint64))  # equal for equal lines of one row
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
     return np.bincount(row[order][1:][same], minlength=rows)
 
 
@@ -114,9 +114,9 @@ def window_repeats(words: Words, hashes: np.ndarray, width: int) -> np.ndarray:
     row = np.repeat(np.arange(len(words.count)), words.count)
     place = np.arange(len(row)) - words.first[row]
     at = np.flatnonzero(place + width <= words.count[row])
-    value = windows(hashes, width)[at]
-    order = np.lexsort((value, row[at]))
-    same = (row[at][order][1:] == row[at][order][:-1]) & (value[order][1:] == value[order][:-1])
+    value = joined(windows(hashes, width)[at], row[at].astype(np.uint64))  # equal for equal windows of one row
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
     twice = np.zeros(len(at), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
