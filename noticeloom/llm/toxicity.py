@@ -9,13 +9,14 @@ has no identity term, one of each pair of a group is put into a sentence of it,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.textkit import LOWER, U, Words, chunks, mix, range_hashes, text_bytes, without_punctuation
+from noticeloom.llm.textkit import FIRST, LOWER, U, Words, chunks, joined, lanes_of, mix, range_hashes, text_bytes, without_punctuation
 
 # Groups of identity terms; a counterfactual takes the next term of the same group.
 IDENTITY = (
@@ -53,30 +54,45 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(column) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, features): the distinct features of each row, by row."""
+def feature_chunks(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, features): the distinct features of each row, by row, in pieces of rows; a long row is a piece of its own."""
     data, at = text_bytes(column)
-    out = [np.zeros(0, np.int64)]
     for lo, hi in chunks(at):
-        keys = [np.zeros(0, np.int64)]
         words = Words(data, at[lo : hi + 1])
         text = lowered(words.data)
-        row = np.repeat(np.arange(lo, hi), words.count)
-        i = 0
-        while i < len(words.start):
-            j = max(i + 1, int(np.searchsorted(words.end, words.start[i] + (1 << 20), side="right")))
-            base, stop = int(words.start[i]), int(words.end[j - 1])
-            part = text[base:stop]
-            s, e = without_punctuation(part, words.start[i:j] - base, words.end[i:j] - base)
-            got = row[i:j]
-            for kind, length in enumerate((0, *PREFIXES)):
-                use = e - s >= max(1, length)
-                code = mix(range_hashes(part, s[use], s[use] + length if length else e[use]) + U(kind + 1))
-                keys.append(np.unique(got[use] << BITS | (code >> U(64 - BITS)).astype(np.int64)))
-            i = j
-        out.append(np.unique(np.concatenate(keys)))
-    key = np.concatenate(out)
-    return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
+        row = np.repeat(np.arange(lo, hi), words.count) << BITS
+        start, end = without_punctuation(text, words.start, words.end)
+        keys = [row | slot(range_hashes(text, start, end))]
+        begin = lanes_of(text)[start]
+        for length in PREFIXES:
+            use = end - start >= length
+            keys.append(row[use] | slot(joined(np.full(1, U(length)), begin[use] & FIRST[length])))
+        key = np.concatenate(keys)
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        yield (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
+
+
+def slot(code: np.ndarray) -> np.ndarray:
+    """The feature of a hash."""
+    return (mix(code) >> U(64 - BITS)).astype(np.int64)
+
+
+def features(column) -> tuple[np.ndarray, np.ndarray]:
+    """feature_chunks, whole."""
+    found = list(feature_chunks(column))
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(r for r, _ in found)]), np.concatenate([none, *(c for _, c in found)])
+
+
+def sums(column, w: np.ndarray) -> np.ndarray:
+    """For each row the sum of its features' weights."""
+    out = np.zeros(len(column))
+    for row, feature in feature_chunks(column):
+        if len(row):
+            lo, hi = int(row[0]), int(row[-1]) + 1
+            out[lo:hi] += np.bincount(row - lo, weights=w[feature], minlength=hi - lo)
+    return out
 
 
 def counterfactuals(text: str, turn: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -239,8 +255,7 @@ def toxicity_scores(docs: DataFrame, weights: np.ndarray, intercept: float, id_c
         w = np.zeros(1 << BITS)
         w[held] = value
         for batch in batches:
-            row, column = features(batch.column(1))
-            z = np.bincount(row, weights=w[column], minlength=batch.num_rows) + intercept
+            z = sums(batch.column(1), w) + intercept
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
@@ -272,8 +287,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **
         w = np.zeros(1 << BITS)
         w[held] = value
         for batch in batches:
-            row, column = features(batch.column(place))
-            yield batch.filter(pa.array(np.bincount(row, weights=w[column], minlength=batch.num_rows) + intercept < 0))
+            yield batch.filter(pa.array(sums(batch.column(place), w) + intercept < 0))
 
     return docs.mapInArrow(keep, docs.schema)
 
