@@ -141,6 +141,28 @@ def test_components_of_chains(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 1: 1, 2: 1, 200: 5, 5: 5}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Ids with many links, smallest, largest and in between, are dealt to parts; the components stay the same."""
+    from noticeloom.llm import components as parts
+
+    monkeypatch.setattr(parts, "HUB_LINKS", 3)
+    rng = random.Random(23)
+    links = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(100, 150)] + [(300, rng.randrange(200, 400)) for _ in range(80)] + [(59, 100)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(70)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    alone = {x for x in parent if not any(x in pair for pair in links if pair[0] != pair[1])}
+    got = {r.id: r.component for r in parts.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if x not in alone}
+
+
 def brute_dedup(rows, width=50):
     first, out = {}, []
     big = 1 << 63
