@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.session import ensure_checkpoint_dir
+
 # Kinds of events that aren't applications, and wordings of a reception without an end.
 OTHER_KINDS = ("announcement", "contract", "result", "winner")
 OPEN_ENDED = r"(?U)상시|마감\s*시|소진\s*시|종료일\s*미공개"
@@ -68,11 +70,12 @@ def in_window(notices: DataFrame, events: DataFrame, first: date | None, last: d
 
 
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """A page by the order, each row with the total before paging."""
+    """A page by the order, each row with the total before paging. The list is written to the checkpoint folder once, then counted and cut."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("pages count from 1 and have 1 to 100 rows")
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 def density(events: DataFrame, first: date, last: date, unavailable: Column) -> DataFrame:
