@@ -23,6 +23,7 @@ EXPECTED = {
     "elder_parent": ("parent_age_min", "parent_support_months_min"), "institution": ("recommendation",), "young": ("age_min", "age_max"), "relocation": ("relocated_worker",),
 }
 NOT_ACTIONABLE = ("source_gap", "unverified", "selection")
+COMPARED = {"mismatch": "내 조건으로 신청 불가", "possible": "내 조건과 일치", "missing": "추가 입력 %d개", "passed": "확인한 %d개 조건 충족", "nothing": "모집 정보"}
 INVALIDATED = r"공고 변경|정정|근거.*무효"
 
 
@@ -169,10 +170,9 @@ def actionable(reasons: DataFrame) -> DataFrame:
 
 def compared_label(status: Column, n_missing: Column, n_passed: Column) -> Column:
     """What a card says of a comparison: no, yes, how many answers are missing, how many conditions hold, or nothing."""
-    many = lambda head, n, tail: F.concat(F.lit(head), n.cast("string"), F.lit(tail))
     return (
-        F.when(status == "mismatch", "내 조건으로 신청 불가").when(status == "possible", "내 조건과 일치").when(n_missing > 0, many("추가 입력 ", n_missing, "개"))
-        .when(n_passed > 0, many("확인한 ", n_passed, "개 조건 충족")).otherwise("모집 정보")
+        F.when(status == "mismatch", COMPARED["mismatch"]).when(status == "possible", COMPARED["possible"]).when(n_missing > 0, F.format_string(COMPARED["missing"], n_missing))
+        .when(n_passed > 0, F.format_string(COMPARED["passed"], n_passed)).otherwise(COMPARED["nothing"])
     )
 
 
