@@ -501,7 +501,7 @@ def test_pii(spark, docs, messy, empty):
 
     rng = random.Random(5)
     parts = ["a@b.c", "x.y@z-1.com.d", "1.2.3.4", "300.1.1.1", "4111111111111111", "4111 1111 1111 1111", "+1 (415) 555-2671", "+12", " ", "@", ".", "-", "1", "é", "字", "call 415-555-2671", "Mr. John Smith", "SSN: 123-45-6789"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["1" * 20_000, "a." * 9_000 + "@", "1 " * 9_000, "a@b" + ".c" * 9_000, None]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["1" * 20_000, "a." * 9_000 + "@", "1 " * 9_000, "a@b" + ".c" * 9_000, "\x01a@b.c\x02 1.2.3.4\x01\x02\x03+1 (415) 555-2671", "\x01", "\x02" * 3, None]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii_spans(frame).select("doc_id", joined(F.col("base")).alias("b"), joined(F.col("spans")).alias("s")).collect():
         assert r.b == plain_pii(texts[r.doc_id] or ""), texts[r.doc_id]
