@@ -93,14 +93,17 @@ def chunks(at: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of rows at[0]..at[-1] of data: byte ranges start/end, and first[i]..first[i + 1] for row i."""
+    """Words of rows at[0]..at[-1] of data: byte ranges start/end, and first[i]..first[i + 1] for row i.
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
+    breaks: for each byte whether it stands between words.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE):
         self.base = int(at[0])
         self.data = data[self.base : int(at[-1])]
         self.at = at - self.base
         n = len(self.data)
-        space = SPACE[self.data]
+        space = breaks[self.data]
         word = ~space
         begins, ends = word.copy(), word.copy()
         begins[1:] &= space[:-1]
