@@ -110,8 +110,9 @@ def _index(docs: DataFrame, items: Items, block_docs: int) -> DataFrame:
             data, at = text_bytes(batch.column(1))
             ids = np.array(batch.column(0).fill_null(0).to_pylist(), dtype=np.int64)
             no_id = np.array(batch.column(0).is_null().to_pylist(), dtype=bool)
-            for lo, hi in chunks(at):
-                for lo, hi in ((x, min(x + block_docs, hi)) for x in range(lo, hi, block_docs)):
+            for first, last in chunks(at):
+                for lo in range(first, last, block_docs):
+                    hi = min(lo + block_docs, last)
                     row, code = terms_of(data, at, lo, hi)
                     term = items.terms(code)
                     pair, tf = np.unique(row[term >= 0] * max(1, len(items.codes)) + term[term >= 0], return_counts=True)
