@@ -3,7 +3,9 @@
 Features of a text are the hashes of its distinct words and of their first 4, 5 and 6 bytes. Training minimises the
 log loss plus a penalty on the squared difference of scores between a labelled sentence and the same sentence with
 its identity terms swapped for others of their group, plus an L1 term that leaves few features. Where a labelled text
-has no identity term, one of each pair of a group is put into a sentence of it, so that every term is compared.
+has no identity term, one of each pair of a group is put into a sentence of it. Every pair of terms is compared by itself too,
+and the penalty rises until no swap changes a log-odds by more than SWAP_BOUND: terms share prefixes and slots of features
+with the words of the texts, whether or not a text has the term.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, NEXT), key=len,
 SENTENCE = re.compile(r"[^.!?\n]+")
 PAIRS = [(term, other) for term, other in NEXT.items()]
 BITS = 18
+SWAP_BOUND = 0.05
+RAISES = 8
 PREFIXES = (4, 5, 6)
 # Capitals of the Latin-1 letters are the lower-case ones less 32, in UTF-8 too: C3 80..9E and C3 A0..BE.
 FIT = "weights binary, intercept double, rows long, pairs long"
@@ -157,17 +161,31 @@ def train(texts: list[str], labels: np.ndarray, swap_weight: float, l1: float, s
     return fit(cells, [x for y in swaps for x in y], [x for y in insertions for x in y], labels, swap_weight, l1, steps)
 
 
+def term_cells() -> list[np.ndarray]:
+    """For each of PAIRS the features that only the one term has, then those that only the other has."""
+    own = cells_of([x for pair in PAIRS for x in pair])
+    return [y for one, two in zip(own[::2], own[1::2], strict=True) for y in (np.setdiff1d(one, two), np.setdiff1d(two, one))]
+
+
+def largest_swap(weights: np.ndarray) -> float:
+    """The most that a swap of a term for the next of its group changes a log-odds."""
+    cells = term_cells()
+    return max(abs(weights[one].sum() - weights[two].sum()) for one, two in zip(cells[::2], cells[1::2], strict=True))
+
+
 def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.ndarray], labels: np.ndarray, swap_weight: float, l1: float, steps: int) -> tuple[np.ndarray, float, int]:
     """Weights, intercept and the number of pairs: accelerated proximal gradient from zero.
 
     swaps, insertions: for each pair the features that only the one sentence has, then those that only the other has;
-    the penalty is the mean of squared differences over each kind. Features of five rows at least take part whose
-    shares in the two labels differ by three standard errors. They are scaled by the root of how many rows have them,
-    so that one step size fits all.
+    the penalty is the mean of squared differences over each kind, and over the pairs of terms alone. It is raised
+    fourfold, RAISES times at most, until largest_swap is within SWAP_BOUND (swap_weight 0: no penalty, no bound). Features
+    of a pair take part, and those of five rows at least whose shares in the two labels differ by three standard errors.
+    They are scaled by the root of how many rows have them, so that one step size fits all.
     """
-    data, one, two = Rows(cells), Rows(swaps[::2] + insertions[::2]), Rows(swaps[1::2] + insertions[1::2])
-    counts = len(swaps) // 2, len(insertions) // 2
-    pull = np.repeat([2 * swap_weight / max(1, c) for c in counts], counts)
+    terms = term_cells()
+    kinds = (swaps, insertions, terms)
+    data, one, two = Rows(cells), Rows([x for k in kinds for x in k[::2]]), Rows([x for k in kinds for x in k[1::2]])
+    counts = [len(k) // 2 for k in kinds]
     size, n = 1 << BITS, max(1, data.n)
     share = max(1, labels.sum()), max(1, (1 - labels).sum())
     weight = np.where(labels == 1, n / (2 * share[0]), n / (2 * share[1])) / n
@@ -175,9 +193,20 @@ def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.nd
     pooled = with_any / n * (1 - with_any / n)
     error = np.sqrt(pooled * (1 / share[0] + 1 / share[1]))
     chosen = (np.abs(with_one / share[0] - (with_any - with_one) / share[1]) > 3 * error) & (with_any >= 5)
-    for x in (data, one, two):
-        x.only(chosen)
+    chosen[one.column] = chosen[two.column] = True
+    data.only(chosen)
     scale = 1 / np.sqrt(np.maximum(1, with_any))
+    for raised in range(RAISES + 1):
+        pull = np.repeat([2 * swap_weight * 4.0**raised / max(1, c) for c in counts], counts)
+        w, b = _descend(data, one, two, pull, labels, weight, scale, l1, steps)
+        drift = np.abs(one.dot(w) - two.dot(w))[len(pull) - counts[2] :]
+        if not swap_weight or drift.max(initial=0) <= SWAP_BOUND:
+            break
+    return w, b, sum(counts[:2])
+
+
+def _descend(data: Rows, one: Rows, two: Rows, pull: np.ndarray, labels: np.ndarray, weight: np.ndarray, scale: np.ndarray, l1: float, steps: int) -> tuple[np.ndarray, float]:
+    size = len(scale)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         g = weight * (1 / (1 + np.exp(-np.clip(data.dot(w * scale) + b, -40, 40))) - labels)
@@ -203,7 +232,7 @@ def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.nd
         ahead = (momentum - 1) / following
         y, c = new + ahead * (new - w), next_b + ahead * (next_b - b)
         w, b, momentum = new, next_b, following
-    return w * scale, b, sum(counts)
+    return w * scale, b
 
 
 def fit_toxicity(
