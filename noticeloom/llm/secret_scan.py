@@ -18,16 +18,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.llm.importance import largest
+from noticeloom.session import ensure_checkpoint_dir
+
 # The base patterns, the least length of what they find, and the words of a context.
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CUES = ("passw", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key")
-CONTEXT = re.compile(
-    r"""(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credentials?|bearer|private_key)["']?(?:\x20+(?:is|was|=>))?[\x20:="'`]+([!-&(-_a-~]{6})"""
-)  # a value's first characters: it goes on to the end of their run
-RUN = re.compile(r"[!-&(-_a-~]+")
+CUES = ("passw", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key", "kennwort", "mot de passe", "contraseña", "clave")
+BEFORE = (
+    r"""(?i:passw(?:or[dt])?|kennwort|mot\x20de\x20passe|contraseña|clave|passphrase|pwd|secret|token|api[_-]?key|credentials?|bearer|private_key)["']?"""
+    r"""(?:\x20+(?:is|was|ist|lautet|est|es|=>))?[\x20\xA0\u202F:="'`«„“]+"""
+)
+CONTEXT = re.compile(BEFORE + r"""([^\s"'`«»„“”])""")  # a value's first character
+#: A value: up to the closing quote of its line if a quote is before it, else up to white space.
+RUN = re.compile(r"""(?<=")[^"\n]++(?=")|(?<=')[^'\n]++(?=')|(?<=`)[^`\n]++(?=`)|(?<=«)[^»\n]++(?=»)|(?<=[„“])[^“”\n]++(?=[“”])|\S+""")
+CLOSERS = ".,;:!?)\"'`»“”"
+LEAST = 6
 # Common words of passwords by rank, rows of a keyboard, and shapes of dates.
 WORDS = (
     "password", "admin", "qwerty", "welcome", "letmein", "login", "secret", "master", "dragon", "monkey", "shadow", "sunshine", "princess",
@@ -40,15 +48,15 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 UNITS = 8
 PARTS = 64
-LETTERS = "^[a-z]{3,24}$"
+LETTERS = r"^\p{L}{3,24}$"
 PLACE = {letter: (row, at) for row, keys in enumerate(ROWS) for at, letter in enumerate(keys)}
 PLAIN = str.maketrans("@4301!$57", "aaeoiisst")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, costs array<double>"
 
 
 def _alphabet(value: str) -> float:
-    """log10 of the number of characters of the value's classes."""
-    size = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+    """log10 of the number of characters of the value's classes; a letter beyond ASCII makes it a hundred larger."""
+    size = 100 * (not value.isascii()) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
     return math.log10(max(size, 10))
 
 
@@ -92,7 +100,8 @@ def guess_cost(value: str, rank: dict[str, int] = KNOWN) -> float:
     longer unit costs what its characters do. Starts of repeats and walks are held from one j to the next, so that
     values of any length are costed whole in time that grows with the length.
     """
-    n, lower, each = len(value), value.lower(), _alphabet(value)
+    n, each = len(value), _alphabet(value)
+    lower = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, longest = lower.translate(PLAIN), max(map(len, rank), default=0)
     cost = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
@@ -141,18 +150,19 @@ def guess_cost(value: str, rank: dict[str, int] = KNOWN) -> float:
 
 
 def frequent_words(docs: DataFrame, vocabulary: int, text_col: str) -> list[str]:
-    """The `vocabulary` most frequent words of 3 to 24 letters a-z (A-Z lower-cased), counted over all documents.
+    """The `vocabulary` most frequent words of 3 to 24 letters, in lower case, counted over all documents.
 
     Values in credential contexts aren't counted, or a secret would make itself a word.
     """
-    value = re.compile(CONTEXT.pattern.removesuffix("([!-&(-_a-~]{6})") + RUN.pattern)
+    ensure_checkpoint_dir(docs.sparkSession)
+    value = re.compile(BEFORE + f"(?:{RUN.pattern})")
 
     def count(batches):
         for batch in batches:
             texts = batch.column(0)
             near = pc.match_substring_regex(texts, "(?i)" + "|".join(CUES))
             texts = pa.chunked_array([texts.filter(pc.invert(near)), pa.array([value.sub(" ", x) for x in texts.filter(near).to_pylist()], pa.string())])
-            words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))).combine_chunks()
+            words = pc.list_flatten(pc.ascii_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))).combine_chunks()
             seen = pc.value_counts(pc.ascii_trim(words, ".,;:!?'\"()"))
             words, n = seen.field("values"), seen.field("counts")
             held = pc.match_substring_regex(words, LETTERS)
@@ -160,10 +170,13 @@ def frequent_words(docs: DataFrame, vocabulary: int, text_col: str) -> list[str]
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).mapInArrow(count, "word string, n long")
     rows = rows.groupBy("word").agg(F.sum("n").alias("n"))
-    for part in (F.pmod(F.xxhash64("word"), F.lit(PARTS)), F.lit(0)):  # the most frequent of each part, then of all parts
-        order = Window.partitionBy(part).orderBy(F.desc("n"), "word")
-        rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= vocabulary).select("word", "n")
-    return [r["word"] for r in sorted(rows.collect(), key=lambda r: (-r["n"], r["word"]))]  # vocabulary rows at most
+    order = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(PARTS))).orderBy(F.desc("n"), "word")  # the most frequent of each part
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= vocabulary).select("word", "n").checkpoint()
+    least = largest(rows.select(F.col("n").cast("double").alias("key")), vocabulary)  # of all parts, counted in bins
+    above = rows.filter(F.col("n") > least).collect() if least is not None else rows.collect()
+    if least is not None:
+        above += rows.filter(F.col("n") == least).orderBy("word").limit(vocabulary - len(above)).collect()
+    return [r["word"] for r in sorted(above, key=lambda r: (-r["n"], r["word"]))]  # vocabulary rows at most
 
 
 def secret_spans(text: str, least_cost: float, rank: dict[str, int] = KNOWN) -> tuple[list[tuple[int, int, str]], list[float]]:
@@ -191,9 +204,9 @@ def secret_spans(text: str, least_cost: float, rank: dict[str, int] = KNOWN) ->
             following = bisect_left(starts, lo)
             if following < len(starts):
                 at = min(at, starts[following])
-            value = text[lo:at].rstrip(".,;:!?)")
+            value = text[lo:at].rstrip(CLOSERS)
             hi = lo + len(value)
-            if len(value) < 6:
+            if len(value) < LEAST:
                 continue
             cost = guess_cost(value, rank)
             if cost >= least_cost:
@@ -207,8 +220,9 @@ def secret_scan(docs: DataFrame, least_cost: float = 12.0, vocabulary: int = 20_
 
     base: kind:start:end of the fixed patterns' matches, spans: of these and of values of kind guess, by start, then
     kind, joined by commas; places count code points, the end is exclusive. costs: log10 of the guesses for each
-    value of kind guess. A value may be of any length, costs least_cost at least and ends where a base match begins, so
-    it touches none. Costs know the words of WORDS and the `vocabulary` words that are most frequent in docs.
+    value of kind guess. A value follows a credential word in English, German, French or Spanish and goes on to the closing
+    quote if it is quoted, spaces included, else to white space. It may be of any length and of any characters (those that
+    no span knows cost brute force), costs least_cost at least and ends where a base match begins, so it touches none. Costs know the words of WORDS and the `vocabulary` words that are most frequent in docs.
     Null text counts as empty. One row for each row of docs, null or repeated ids included. Empty table: no rows. Other columns aren't read.
     """
     rank = ranked(frequent_words(docs, vocabulary, text_col))

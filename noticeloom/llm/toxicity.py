@@ -179,8 +179,8 @@ def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.nd
     swaps, insertions: for each pair the features that only the one sentence has, then those that only the other has;
     the penalty is the mean of squared differences over each kind, and over the pairs of terms alone. It is raised
     fourfold, RAISES times at most, until largest_swap is within SWAP_BOUND (swap_weight 0: no penalty, no bound). Features
-    of a pair take part, and those of five rows at least whose shares in the two labels differ by three standard errors.
-    They are scaled by the root of how many rows have them, so that one step size fits all.
+    of a pair that any row has take part, and those of five rows at least whose shares in the two labels differ by three
+    standard errors. What no row has stays 0, and so pulls the term that it is compared with towards 0. Features are scaled by the root of how many rows have them, so that one step size fits all.
     """
     terms = term_cells()
     kinds = (swaps, insertions, terms)
@@ -194,7 +194,9 @@ def fit(cells: list[np.ndarray], swaps: list[np.ndarray], insertions: list[np.nd
     error = np.sqrt(pooled * (1 / share[0] + 1 / share[1]))
     chosen = (np.abs(with_one / share[0] - (with_any - with_one) / share[1]) > 3 * error) & (with_any >= 5)
     chosen[one.column] = chosen[two.column] = True
-    data.only(chosen)
+    chosen &= with_any > 0
+    for x in (data, one, two):
+        x.only(chosen)
     scale = 1 / np.sqrt(np.maximum(1, with_any))
     for raised in range(RAISES + 1):
         pull = np.repeat([2 * swap_weight * 4.0**raised / max(1, c) for c in counts], counts)

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,8 +479,8 @@ def test_secret_scan_of_long_values():
     for blanks in (1, 8, 9, 60):
         assert found("pwd" + " " * blanks + ": " + " " * blanks + "x!7#kqZ2@x next") == [("x!7#kqZ2@x", "guess")]
     blob = '"token":"' + "xK9#mQ2$vL," * 30 + "0123456789abcdef" + ',"pwd":"hT7!kqZ2@x"' * 2  # a base match within a value's run
-    assert found(blob) == [("xK9#mQ2$vL," * 29 + "xK9#mQ2$vL", "guess"), ("0123456789abcdef", "hex"), ('hT7!kqZ2@x","pwd":"hT7!kqZ2@x"', "guess")]
-    assert found('password=ABCDEFGHIJKLMN,"pwd":"hT7!kqZ2@x"') == [("password=ABCDEFGHIJKLMN", "assign"), ('hT7!kqZ2@x"', "guess")]
+    assert found(blob) == [("xK9#mQ2$vL," * 29 + "xK9#mQ2$vL", "guess"), ("0123456789abcdef", "hex"), ("hT7!kqZ2@x", "guess"), ("hT7!kqZ2@x", "guess")]  # each to its closing quote
+    assert found('password=ABCDEFGHIJKLMN,"pwd":"hT7!kqZ2@x"') == [("password=ABCDEFGHIJKLMN", "assign"), ("hT7!kqZ2@x", "guess")]
     # costs are those of the whole value, and repeats and walks of any length stay cheap
     assert guess_cost("z" * 100_000) == pytest.approx(math.log10(26) + 5) and guess_cost("ab" * 50_000) == pytest.approx(2 * math.log10(26) + math.log10(50_000))
     assert guess_cost("qw" * 20_000) < 8 and found("pwd: " + "_" * 20_000) == []
@@ -930,6 +931,44 @@ def test_counterfactual_penalty_lowers_what_identity_terms_add():
     assert shift(1.0) < 0.5 * shift(0.0)
 
 
+def test_identity_penalty_acts_on_the_driver_tables(spark):
+    """Pairs' features are in the fit, change its weights, and no swap of terms moves a log-odds beyond the bound."""
+    from noticeloom.llm.toxicity import SWAP_BOUND, fit_toxicity, held_out, largest_swap, term_cells
+
+    sf = "/root/testdata/sf0.01"
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").filter(~held_out())
+    with_penalty, without = (fit_toxicity(docs, marks, swap_weight=x)[0] for x in (1.0, 0.0))
+    cells = np.unique(np.concatenate(term_cells()))
+    assert (with_penalty[cells] != 0).any() and np.abs(with_penalty - without).max() > 0.1
+    assert largest_swap(with_penalty) <= SWAP_BOUND < largest_swap(without)
+
+
+def test_fit_is_the_optimum():
+    """Weights against the conditions of the optimum, computed from dense arrays."""
+    from noticeloom.llm.toxicity import BITS, fit, term_cells
+
+    rng = np.random.default_rng(4)
+    labels = (np.arange(300) % 2).astype(float)
+    cells = [np.unique(np.r_[rng.integers(0, 40, 6), 50 + int(y) if rng.random() < 0.8 else 60]).astype(np.int32) for y in labels]
+    swaps = [np.array([51], np.int32), np.array([50, 3], np.int32)] * 5
+    l1, size = 1e-3, 1 << BITS
+    w, b, pairs = fit(cells, swaps, [], labels, 0.5, l1, 4000)
+    x = np.zeros((300, 64))
+    for i, c in enumerate(cells):
+        x[i, c] = 1
+    count, n = x.sum(axis=0), 300
+    scale = 1 / np.sqrt(np.maximum(1, count))
+    share = np.where(labels == 1, n / (2 * labels.sum()), n / (2 * (n - labels.sum()))) / n
+    d = np.zeros((5, 64))
+    d[:, 51], d[:, [50, 3]] = 1, -1
+    grad = (x.T @ (share * (1 / (1 + np.exp(-(x @ w[:64] + b))) - labels)) + 2 * 0.5 / 5 * d.T @ (d @ w[:64])) * scale
+    held = np.flatnonzero(w[:64])
+    assert pairs == 5 and {50, 51} <= set(held.tolist()) and not w[64:][np.setdiff1d(np.arange(64, size), np.concatenate(term_cells())) - 64].any()
+    assert np.abs(grad[held] + l1 * np.sign(w[held])).max() < 1e-5
+    assert abs((share * (1 / (1 + np.exp(-(x @ w[:64] + b))) - labels)).sum()) < 1e-5
+    assert abs(grad[3]) <= l1 + 1e-5
+
+
 def test_toxicity_doesnt_accuse_neutral_mentions_of_a_group(spark):
     """The whole operator where a group's name goes along with the label: the penalty evens its terms out."""
     from noticeloom.llm.toxicity import PAIRS, counterfactuals, toxicity
@@ -1069,3 +1108,18 @@ def test_digests(spark):
         assert all(re.fullmatch("[0-9a-f]{64}", r[column]) for r in rows)
     nothing = [r for r in QUERIES["op9_secret_scan"](spark, SF).collect() if not r.n_assign + r.n_access + r.n_hex]
     assert {r.base_sha256 for r in nothing} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_secrets_in_four_languages_and_quotes():
+    from noticeloom.llm.secret_scan import guess_cost, secret_spans
+
+    found = lambda t: [t[a:b] for a, b, k in secret_spans(t, 12)[0] if k == "guess"]
+    assert found("password is Zk29!zQmäßXw88#pLr and more") == ["Zk29!zQmäßXw88#pLr"]
+    assert found("Das Passwort lautet Zk29!zQmXw88. Das Kennwort: qäZ8#kk2Wp!x") == ["Zk29!zQmXw88", "qäZ8#kk2Wp!x"]
+    assert found("Le mot de passe est «x9 Kw#2 éé pQ7z», voilà") == ["x9 Kw#2 éé pQ7z"]
+    assert found("mot de passe : Zk29!zQmXw88pL") == ["Zk29!zQmXw88pL"]
+    assert found("La contraseña es Ñk29!zQmXw88pL; la clave: \"w8 Kq#2 zz pQ7z\"") == ["Ñk29!zQmXw88pL", "w8 Kq#2 zz pQ7z"]
+    assert found("password='x9!Kw#2 zz pQ7z'\nnext 'line'") == ["x9!Kw#2 zz pQ7z"]
+    assert found("password = 'x9!Kw#2zzpQ7z never closed") == ["x9!Kw#2zzpQ7z"]
+    assert found("password: changeme passwort: password contraseña: qwerty12345") == []
+    assert guess_cost("İqŞ8ğüÖÇ") > 12 > guess_cost("passwordqwerty")
