@@ -19,50 +19,57 @@ LEAST, MOST = ">=", "<="
 NEWBORN_MONTHS = 24
 
 
+def fact(rule: dict, name: str) -> Column:
+    """An applicant's fact; timeline.dated puts the one of the rule's day in its place."""
+    return rule["facts"](name) if "facts" in rule else F.col(name)
+
+
 def day(rule: dict[str, Column]) -> Column:
-    """The day on which a rule is judged: the one that it names, else the applicant's row's."""
-    return F.coalesce(strict_date(rule["criterion_date"]), F.col("judged_on"))
+    """The day on which a rule is judged: of dated nodes theirs, else the one that it names, else the applicant's row's."""
+    return rule["judge_day"] if "judge_day" in rule else F.coalesce(strict_date(rule["criterion_date"]), F.col("judged_on"))
 
 
 def limit(value: Column, rule: dict[str, Column], operator: str) -> Column:
     return compare(value.cast("double"), F.coalesce(rule["operator"], F.lit(operator)), rule["value_number"])
 
 
-def number(fact: str, operator: str) -> Callable:
+def number(name: str, operator: str) -> Callable:
     """A number against the rule's."""
-    return lambda rule: limit(F.col(fact), rule, operator)
+    return lambda rule: limit(fact(rule, name), rule, operator)
 
 
-def flag(fact: str, when: bool = True) -> Callable:
+def flag(name: str, when: bool = True) -> Callable:
     """A yes or no against the rule's value, which is `when` where the rule tells none."""
-    return lambda rule: F.col(fact) == F.coalesce(rule["value_text"].try_cast("boolean"), F.lit(when))
+    return lambda rule: fact(rule, name) == F.coalesce(rule["value_text"].try_cast("boolean"), F.lit(when))
 
 
-def months(fact: str, operator: str) -> Callable:
+def months(name: str, operator: str) -> Callable:
     """Whole months from a day to the rule's."""
-    return lambda rule: limit(full_months(F.col(fact), day(rule)), rule, operator)
+    return lambda rule: limit(full_months(fact(rule, name), day(rule)), rule, operator)
 
 
-def years(fact: str, operator: str) -> Callable:
+def years(name: str, operator: str) -> Callable:
     """Full years of age at the rule's day."""
-    return lambda rule: limit(age_at(F.col(fact), day(rule)), rule, operator)
+    return lambda rule: limit(age_at(fact(rule, name), day(rule)), rule, operator)
 
 
-def choice(fact: str) -> Callable:
+def choice(name: str) -> Callable:
     """One of the rule's values, which a comma separates."""
-    return lambda rule: F.array_contains(F.transform(F.split(rule["value_text"], ","), lambda x: F.trim(x)), F.col(fact))
+    return lambda rule: F.array_contains(F.transform(F.split(rule["value_text"], ","), lambda x: F.trim(x)), fact(rule, name))
 
 
 def children_born(rule: dict[str, Column]) -> Column:
     """How many children were born by the rule's day; expected ones count where the family has said so."""
-    born = F.size(F.filter("children", lambda b: b <= day(rule)))
-    return F.when(F.col("children").isNotNull(), born + F.coalesce(F.col("expected_children"), F.lit(0)))
+    children = fact(rule, "children")
+    born = F.size(F.filter(children, lambda b: b <= day(rule)))
+    return F.when(children.isNotNull(), born + F.coalesce(fact(rule, "expected_children"), F.lit(0)))
 
 
 def newborns(rule: dict[str, Column]) -> Column:
     """How many of the children are under two years old at the rule's day."""
-    young = F.size(F.filter("children", lambda b: (b <= day(rule)) & (F.add_months(b, NEWBORN_MONTHS) > day(rule))))
-    return F.when(F.col("children").isNotNull(), young + F.coalesce(F.col("expected_children"), F.lit(0)))
+    children = fact(rule, "children")
+    young = F.size(F.filter(children, lambda b: (b <= day(rule)) & (F.add_months(b, NEWBORN_MONTHS) > day(rule))))
+    return F.when(children.isNotNull(), young + F.coalesce(fact(rule, "expected_children"), F.lit(0)))
 
 
 def resident(rule: dict[str, Column]) -> Column:

@@ -6,7 +6,7 @@ input are null, never true.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ INHERITED = (
     "verification", "source", "supply_type", "unit_type", "housing_kind", "criterion_date", "criterion_basis", "document_hash", "parser_version", "evidence_url",
 )
 FIELDS = ("kind", "effect", "operator", "value", *INHERITED)
+Context = Sequence[tuple[tuple[str, ...], Callable[[Column], tuple[Column, ...]]]]
 
 
 def nodes(rules: DataFrame) -> DataFrame:
@@ -62,10 +63,11 @@ def compare(value: Column, operator: Column, limit: Column) -> Column:
     return F.when(operator == ">=", value >= limit).when(operator == ">", value > limit).when(operator == "<=", value <= limit).when(operator == "<", value < limit).when(operator.isin("=", "=="), value == limit)
 
 
-def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable]) -> DataFrame:
+def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable], context: Context = ()) -> DataFrame:
     """keys x rules -> result: pass, fail or review.
 
-    leaves: for each kind a function of the rule's fields (by name) and of applicants' columns to a boolean column. Every
+    leaves: for each kind a function of the rule's fields (by name) and of applicants' columns to a boolean column. context: what
+    leaves find in a rule besides its fields, step by step: names, and a function of a node to their columns. Every
     applicant meets every rule: rules go to applicants as an array of at most about BLOCK_NODES nodes, and more rules
     take further passes over applicants.
     """
@@ -73,31 +75,46 @@ def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leav
     out = None
     for i in range(blocks):
         part = rule_nodes if blocks == 1 else rule_nodes.filter(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == i)
-        got = _evaluate_block(part, applicants, keys, leaves)
+        got = with_results(part, applicants, leaves, context).select(*keys, F.inline("_results"))  # no shuffle
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _evaluate_block(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leaves: dict[str, Callable]) -> DataFrame:
-    """The rules' nodes stand in one array beside each applicant, are judged and folded there, and give a row for each rule: no shuffle."""
-    names = (*FIELDS, "value_number", "value_text")
+def with_results(rule_nodes: DataFrame, applicants: DataFrame, leaves: dict[str, Callable], context: Context = ()) -> DataFrame:
+    """applicants with _results: array<struct<rule_id, result>>, by rule_id.
+
+    The rules' nodes stand in one array beside each applicant, are judged and folded there. judge_day of rule_nodes, where it
+    has that column, is the day on which a node is judged: see timeline.
+    """
+    names = (*FIELDS, "value_number", "value_text", *(["judge_day"] if "judge_day" in rule_nodes.columns else []))
     node = F.struct((-F.col("depth")).alias("order"), "path", F.coalesce("parent", F.lit("")).alias("parent"), "role", *names)
     per_rule = rule_nodes.groupBy("rule_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
-    whole = per_rule.agg(F.collect_list(F.struct("rule_id", "nodes"))).scalar()
+    whole = per_rule.agg(F.array_sort(F.collect_list(F.struct("rule_id", "nodes")))).scalar()
+
+    told_first = [x for own, _ in context for x in own]
+
+    def with_more(have: tuple[str, ...], own: tuple[str, ...], step: Callable) -> Callable:
+        return lambda n: F.struct(*[n[x].alias(x) for x in have], *[c.alias(x) for x, c in zip(own, step(n), strict=True)])
+
+    def prepared(tree: Column) -> Column:
+        have = ("path", "parent", "role", *names)
+        for own, step in context:
+            tree, have = F.transform(tree, with_more(have, own, step)), (*have, *own)
+        return tree
 
     def judged(n: Column) -> Column:
-        rule, value = {x: n[x] for x in names}, F.lit(None).cast("boolean")
+        rule, value = {x: n[x] for x in (*names, *told_first)}, F.lit(None).cast("boolean")
         for kind, test in leaves.items():
             value = F.when(rule["kind"] == kind, test(rule)).otherwise(value)
         usable = (rule["verification"] == "official") & ~F.coalesce(rule["effect"].isin("priority", "metadata"), F.lit(False))
         return F.struct(*[n[x].alias(x) for x in ("path", "parent", "role", "kind", "operator")], value.alias("value"), usable.alias("usable"))
 
     def result(r: Column) -> Column:
-        root = F.element_at(_folded(F.transform(r["nodes"], judged)), "")
+        root = F.element_at(_folded(F.transform(prepared(r["nodes"]), judged)), "")
         told = lambda c: F.when(c["yes"] > 0, "pass").when(c["no"] > 0, "fail").otherwise("review")
         return F.struct(r["rule_id"].alias("rule_id"), F.transform(F.array(root), told)[0].alias("result"))
 
-    return applicants.withColumn("_rules", whole).select(*keys, F.inline(F.transform("_rules", result)))
+    return applicants.withColumn("_rules", whole).withColumn("_results", F.transform("_rules", result)).drop("_rules")
 
 
 COUNTS = ("yes", "no", "open", "excused", "unsure")
