@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.functions.text import normal
+
 
 def sections(pages: DataFrame, heading: str, keys: list[str], text: str = "text", page: str = "page") -> DataFrame:
     """pages -> keys, page, line, text, section: each line with the last heading before it; null before the first.
@@ -66,12 +68,23 @@ def extract(lines: DataFrame, clauses: tuple[Clause, ...] = CLAUSES) -> DataFram
     return lines.withColumn("rules", F.array_compact(F.array(*found)))
 
 
+# What a document's heading calls its method, as criterion days and cut-off days know them.
+HEADINGS = {
+    "officetel": r"오피스텔\s*분양\s*(?:광고|공고)", "cancelled_resupply": r"(?:불법행위|계약\s*취소(?:\s*주택)?)\s*재공급\s*입주자\s*모집\s*공고", "unranked_after": r"무순위\s*\(?\s*사후\s*\)?\s*입주자\s*모집\s*공고",
+    "optional_supply": r"임의\s*공급\s*(?:입주자\s*)?모집\s*공고", "first_come": r"선착순\s*(?:동[·ㆍ]?호\s*지정|계약|일반\s*매각)|\(선착순",
+}
+
+
 def application_method(pages: DataFrame, key: str, heading_chars: int = 1100) -> DataFrame:
-    """key -> method by the first of two pages whose heading names one, ranked before first-come before lottery."""
-    head = F.substring("text", 1, heading_chars)
-    method = F.when(head.rlike(r"무순위|임의공급|불법행위\s*재공급"), "unranked").when(head.rlike("선착순"), "first_come").when(head.rlike(r"입주자\s*모집\s*공고"), "ranked")
-    rows = pages.filter("page <= 2").withColumn("method", method).filter("method IS NOT NULL")
-    return rows.groupBy(key).agg(F.min_by("method", "page").alias("method"))
+    """key -> method of each document: what the heading of the first of two pages that names one calls it, else unknown.
+
+    A document isn't ranked by its heading: feeds tell that. Of two methods in one heading the first of HEADINGS counts.
+    """
+    head, method = normal(F.substring("text", 1, heading_chars)), F.lit(None).cast("string")
+    for name, pattern in reversed(HEADINGS.items()):
+        method = F.when(head.rlike(pattern), name).otherwise(method)
+    rows = pages.select(key, "page", F.when(F.col("page") <= 2, method).alias("method"))
+    return rows.groupBy(key).agg(F.coalesce(F.min_by("method", F.when(F.col("method").isNotNull(), F.col("page"))), F.lit("unknown")).alias("method"))
 
 
 def contract_schedule(text: Column) -> Column:

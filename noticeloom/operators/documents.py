@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.functions.dates import date_token
 from noticeloom.functions.text import compact, normal
 from noticeloom.operators.consensus import best_row
+from noticeloom.operators.flat_tables import DAY as FLAT_DAY
+from noticeloom.operators.flat_tables import PERIOD, agreed_value, once, paired, period
 
 # Wordings of cut-off days, whole provinces of sentences, the pages that are looked at, waits after a reading.
 DAY = r"(20\d{2})[.년\-/]\s*(\d{1,2})[.월\-/]\s*(\d{1,2})"
 METHODS = {"unranked_after": r"무순위\s*\(?사후\)?", "optional_supply": r"임의\s*공급", "cancelled_resupply": r"(?:불법행위\s*재공급|계약\s*취소(?:\s*주택)?\s*재공급)"}
 OWN_ROUND = rf"본\s*주택의\s*(?:\d+\s*회차|회차)\s*입주자모집공고일은\s*(?:\d+\s*)?{DAY}"
 ANNOUNCED = rf"(?:(?:이\s*주택의|본\s*주택의)\s*(?:최초\s*)?입주자모집공고일[은는]\s*|분양광고일\s*\(){DAY}"
-PAGES = 8
+SCHEDULE = r"구분\s*최초[^■]{0,400}"
+COLUMNS = {"original": "최초", "unranked_after": r"무순위\s*\(?사후\)?", "optional_supply": r"임의\s*공급", "cancelled_resupply": r"재공급"}
+STEPS = {"announced": r"(?:입주자)?\s*모집\s*공고", "received": r"(?:청약|신청)\s*접수|접수일", "drawn": r"당첨자\s*발표", "papers": r"서류\s*(?:접수|제출)", "contract": r"계약\s*(?:체결|기간|일)"}
+PAGES, TABLE_PAGES = 8, 3
 WHOLE_PROVINCES = ("서울특별시", "인천광역시", "경기도", "부산광역시", "대구광역시", "대전광역시", "울산광역시", "세종특별자치시", "강원특별자치도", "충청북도", "충청남도", "전북특별자치도", "경상북도", "경상남도", "제주특별자치도")
 WAITS = {"quota": "24 hours", "deferred": "3 hours"}
 PARSER = "official_document_parser"
@@ -36,7 +42,8 @@ def _found(text: Column, pattern: str) -> Column:
 def cutoffs(pages: DataFrame, method: str) -> DataFrame:
     """pages (notice_id, page, text, `method`) -> notice_id, day, page: the cut-off day that a document states, of its first PAGES pages.
 
-    Of special methods only their own announcement's day counts; else the day of the own round, then that of the
+    Of special methods only their own announcement's day counts, in a sentence or else in a schedule table of the first
+    TABLE_PAGES pages whose labels stand before its dates (none if two tables differ); else the day of the own round, then that of the
     announcement. The earliest page that states a day of the calendar counts; documents without one have no row.
     """
     text = normal(F.col("text"))
@@ -47,11 +54,25 @@ def cutoffs(pages: DataFrame, method: str) -> DataFrame:
     plain = ~F.coalesce(F.col(method).isin(*METHODS), F.lit(False))
     own, announced = _found(text, OWN_ROUND), _found(text, ANNOUNCED)
     rows = pages.withColumns({"_special": special, "_round": F.when(plain, own), "_announced": F.when(plain, announced)})
-    rows = rows.select("notice_id", "page", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("day")) for i, c in enumerate(("_special", "_round", "_announced"))])).alias("x"))
+    table = paired(F.nullif(F.regexp_extract(text, SCHEDULE, 0), F.lit("")), COLUMNS, FLAT_DAY)
+    listed = F.when((F.col("page") <= TABLE_PAGES) & ~plain, once(F.try_element_at(table, F.col(method)), date_token))
+    told = Window.partitionBy("notice_id")
+    agreed_day = F.when(F.min(listed).over(told) == F.max(listed).over(told), listed)
+    rows = rows.withColumn("_listed", agreed_day)
+    rows = rows.select("notice_id", "page", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("day")) for i, c in enumerate(("_special", "_listed", "_round", "_announced"))])).alias("x"))
     rows = rows.filter((F.col("page") <= PAGES) & F.col("x.day").isNotNull()).select("notice_id", "page", "x.rank", "x.day")
     return best_row(rows, ["notice_id"], F.col("rank"), F.col("page")).select("notice_id", "day", "page")
 
 
+def contract_tables(pages: DataFrame) -> DataFrame:
+    """pages (notice_id, page, text) -> notice_id, basis, start, end: the contract's day or range of a schedule table whose steps stand
+    before their dates. A notice whose tables differ, or that has none, has no row."""
+    table = paired(F.nullif(F.regexp_extract(normal(F.col("text")), r"구분[^■]{0,600}", 0), F.lit("")), STEPS, PERIOD)
+    rows = pages.select("notice_id", period(F.try_element_at(table, F.lit("contract"))).alias("p"))
+    rows = rows.groupBy("notice_id").agg(agreed_value(F.collect_set("p")).alias("p")).filter("p IS NOT NULL")
+    return rows.select("notice_id", F.when(F.col("p.start") == F.col("p.end"), "fixed").otherwise("range").alias("basis"), "p.start", "p.end")
+
+
 def province_scopes(sentence: Column) -> Column:
     """The whole provinces whose residents a sentence names, in a fixed order; empty where a part of one is named.
 

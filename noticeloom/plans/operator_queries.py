@@ -399,12 +399,12 @@ def clause_extraction(spark, d):
     return found.groupBy("notice_id", F.col("r.kind").alias("kind"), F.col("r.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS n, CASE o_orderkey % 4 WHEN 0 THEN 'unranked' WHEN 1 THEN 'ranked' WHEN 2 THEN 'first_come' END AS method, CASE o_custkey % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'range' WHEN 2 THEN 'ongoing' END AS basis FROM orders)
-SELECT n AS notice_id, method, basis, CASE WHEN basis IS NOT NULL THEN DATE '2026-01-05' END AS first_day, CASE basis WHEN 'range' THEN DATE '2026-01-07' END AS last_day FROM p WHERE method IS NOT NULL""")
+@query("""WITH p AS (SELECT o_orderkey AS n, CASE o_orderkey % 4 WHEN 0 THEN 'unranked_after' WHEN 2 THEN 'first_come' ELSE 'unknown' END AS method, CASE o_custkey % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'range' WHEN 2 THEN 'ongoing' END AS basis FROM orders)
+SELECT n AS notice_id, method, basis, CASE WHEN basis IS NOT NULL THEN DATE '2026-01-05' END AS first_day, CASE basis WHEN 'range' THEN DATE '2026-01-07' END AS last_day FROM p""")
 def document_headings(spark, d):
     """Application methods by the headings of the first pages, and contract schedules: a day, a range, from a day on, or two that differ."""
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 4
-    head = F.when(k == 0, "무순위 입주자 모집공고").when(k == 1, "OO 아파트 입주자 모집 공고").when(k == 2, "선착순 동호 지정").otherwise("안내문")
+    head = F.when(k == 0, "무순위(사후) 입주자 모집공고").when(k == 1, "OO 아파트 입주자 모집 공고").when(k == 2, "선착순 동호 지정").otherwise("안내문")
     body = F.when(c == 0, "계약일 : 2026.01.05").when(c == 1, "계약체결 기간 2026년 1월 5일 ~ 2026.01.07").when(c == 2, "계약기간: 2026.01.05 부터 선착순").otherwise("계약일 2026.01.07 또는 2026.01.05")
     pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("notice_id"), F.explode(F.array(F.struct(F.lit(2).alias("page"), head.alias("text")), F.struct(F.lit(3).alias("page"), F.lit("선착순").alias("text")))).alias("p"), body.alias("body")).select("notice_id", "p.*", "body")
     plan = pages.filter("page = 2").select("notice_id", clauses.contract_schedule(F.col("body")).alias("s"))
