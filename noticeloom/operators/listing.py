@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeloom.operators.windows import NOT_OPEN, is_application, is_open_ended
+from noticeloom.operators.windows import NOT_OPEN, is_application, is_open_ended, of_any_case
 
 # Sale categories, the days for which a notice stays active, the days around today in which results are polled.
 SALES = ("apt", "private_sale", "public_sale", "unsold", "optional_supply")
@@ -17,7 +17,7 @@ TARGETS = 100
 
 def is_reception(event: Column) -> Column:
     """Events (struct with kind and label) that are applications, whatever the case of the kind, and whose label doesn't say otherwise."""
-    return is_application(event["kind"]) & ~F.coalesce(event["label"], F.lit("")).rlike(NOT_OPEN)
+    return of_any_case(event["kind"]) & ~F.coalesce(event["label"], F.lit("")).rlike(NOT_OPEN)
 
 
 def reception_end(event: Column) -> Column:

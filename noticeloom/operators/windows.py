@@ -16,13 +16,19 @@ NOT_OPEN = r"당첨자 발표|계약일|계약 체결"
 
 
 def is_application(kind: Column) -> Column:
+    """Lists and dates of notices know kinds as they are written: `Contract` isn't `contract`, and counts as an application."""
+    return ~kind.isin(*OTHER_KINDS)
+
+
+def of_any_case(kind: Column) -> Column:
+    """Receptions of a screen and open ends are told whatever the case of the kind."""
     return ~F.lower(kind).isin(*OTHER_KINDS)
 
 
 def is_open_ended(kind: Column, label: Column, end: Column) -> Column:
     """No end, and a label that says so; without such a label a missing end means a single day."""
     words = F.coalesce(label, F.lit(""))
-    return end.isNull() & is_application(kind) & words.rlike(OPEN_ENDED) & ~words.rlike(NOT_OPEN)
+    return end.isNull() & of_any_case(kind) & words.rlike(OPEN_ENDED) & ~words.rlike(NOT_OPEN)
 
 
 def overlaps(start: Column, end: Column, open_ended: Column, first: date, last: date) -> Column:

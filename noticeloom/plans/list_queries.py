@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from noticeloom.operators.windows import application_summary, density, in_window, is_application, page
+from noticeloom.operators.windows import application_summary, density, in_window, is_application, is_open_ended, of_any_case, page
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import EVENTS_SQL, NOTICES_SQL, events, notices
 
@@ -72,3 +72,15 @@ SELECT day, count(*) AS n, bool_and(unavailable) AS all_unavailable FROM days GR
 def calendar_density(spark, d):
     own = events(spark, d).filter(is_application(F.col("kind")))
     return density(own, date(1997, 1, 1), date(1997, 12, 31), F.col("label") == "접수")
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT *, CASE WHEN pos = 1 AND kind = 'contract' THEN 'Contract' WHEN pos = 2 AND kind = 'general' THEN 'General' ELSE kind END AS written FROM notice_events)
+SELECT notice_id, count(*) FILTER (WHERE written <> 'contract') AS n_applications, count(*) FILTER (WHERE lower(written) <> 'contract') AS n_receptions, count(*) FILTER (WHERE lower(written) <> 'contract' AND {OPEN_SQL}) AS n_open FROM e GROUP BY notice_id""")
+def kinds_as_written(spark, d):
+    """Kinds with capitals: an application for lists, which take kinds as written, and none for open ends and screens, which don't."""
+    kind = F.when((F.col("pos") == 1) & (F.col("kind") == "contract"), "Contract").when((F.col("pos") == 2) & (F.col("kind") == "general"), "General").otherwise(F.col("kind"))
+    own = events(spark, d).withColumn("kind", kind)
+    count = lambda test: F.count(F.when(test, 1))
+    return own.groupBy("notice_id").agg(
+        count(is_application(F.col("kind"))).alias("n_applications"), count(of_any_case(F.col("kind"))).alias("n_receptions"), count(is_open_ended(F.col("kind"), F.col("label"), F.col("end_date"))).alias("n_open"),
+    )

@@ -71,12 +71,13 @@ def payload(spark, d):
     )
 
 
-@query("""WITH n AS (SELECT o_orderkey AS k, o_custkey % 3 AS c, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 8 > 4)
-SELECT CAST(k AS VARCHAR) AS external_id, CASE WHEN c = 0 AND k % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN c = 2 THEN 1 WHEN c = 0 THEN 2 ELSE 2 END AS last_seen, c = 0 AND k % 2 = 0 AND k % 4 = 2 AS proof_invalidated,
-  CASE WHEN c = 0 AND k % 2 = 0 THEN CASE WHEN k % 4 = 2 THEN day ELSE day END ELSE day END AS original_date, 'P' AS provider FROM n""".replace("CASE WHEN c = 0 AND k % 2 = 0 THEN CASE WHEN k % 4 = 2 THEN day ELSE day END ELSE day END", "day"))
+@query("""WITH n AS (SELECT o_orderkey AS k, o_custkey % 3 AS c, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT k AS row, CAST(k AS VARCHAR) AS external_id, CASE WHEN c = 0 AND k % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN c = 2 THEN 1 ELSE 2 END AS last_seen, c = 0 AND k % 2 = 0 AND k % 4 = 2 AS proof_invalidated, day AS original_date, 'P' AS provider, NULL AS error FROM n WHERE k % 8 > 4
+UNION ALL SELECT k, CASE WHEN k % 8 > 0 THEN CAST(k AS VARCHAR) END, NULL, NULL, NULL, NULL, NULL, CASE k % 8 WHEN 0 THEN 'external_id is missing' WHEN 1 THEN 'title is missing' WHEN 2 THEN 'price_cap_status is unknown' WHEN 3 THEN 'a price kind is unknown' ELSE 'money is negative' END FROM n WHERE k % 8 < 5""")
 def store_versions(spark, d):
-    """Two polls: the second leaves out a third of the notices, sends a third again as they were, and changes the even ones of a third."""
-    rows = payload(spark, d).filter("_id % 8 > 4").withColumn("provider", F.lit("P"))
+    """Two polls of all notices: the second leaves out a third of them, sends a third again as they were, and changes the even ones of a
+    third. Rows that the check rejects are told with their error."""
+    rows = payload(spark, d).withColumn("provider", F.lit("P"))
     k = F.col("_id")
     customers = table(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), (F.col("o_custkey") % 3).alias("_c"))
     rows = rows.join(customers, "_id")
@@ -87,7 +88,9 @@ def store_versions(spark, d):
     at = lambda n: F.timestamp_seconds(F.lit(n))
     state, _ = store.upsert(None, store.checked(rows.drop("_id", "_c"))[0], at(1))
     state, _ = store.upsert(state, store.checked(later.drop("_id", "_c"))[0], at(2))
-    return state.select("external_id", "version", F.unix_seconds("last_seen_at").cast("int").alias("last_seen"), "proof_invalidated", "original_date", "provider")
+    kept = state.select(F.col("external_id").cast("long").alias("row"), "external_id", "version", F.unix_seconds("last_seen_at").cast("int").alias("last_seen"), "proof_invalidated", "original_date", "provider", F.lit(None).cast("string").alias("error"))
+    bad = store.checked(rows)[1].select(k.alias("row"), "external_id", "error")
+    return kept.unionByName(bad, allowMissingColumns=True)
 
 
 @query("""WITH n AS (SELECT o_orderkey AS k, o_orderstatus AS source, CAST(o_orderkey AS VARCHAR) AS ext, CAST(o_custkey AS VARCHAR) AS f, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || (o_orderkey % 20) END AS url FROM orders),
