@@ -17,7 +17,7 @@ EVENTS = (
     "CASE l_suppkey % 4 WHEN 0 THEN '해당지역' WHEN 1 THEN '기타지역' WHEN 2 THEN '기타경기' END AS audience",
 )
 EVENTS_SQL = f"""evs AS (SELECT {', '.join(EVENTS)} FROM lineitem), told AS (
-  SELECT *, lower(kind) <> 'contract' AS application, lower(kind) <> 'contract' AND label <> '계약일' AS reception,
+  SELECT *, kind <> 'contract' AS application, lower(kind) <> 'contract' AND label <> '계약일' AS reception,
     CASE WHEN end_date IS NULL AND lower(kind) <> 'contract' AND label = '상시 접수' THEN NULL ELSE coalesce(end_date, start_date) END AS last_day, end_date IS NULL AND lower(kind) <> 'contract' AND label = '상시 접수' AS open_ended FROM evs)"""
 NOTICES_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Public_Rental' WHEN 1 THEN 'apt' WHEN 2 THEN 'unsold' WHEN 3 THEN '공공임대' ELSE 'urban' END AS category, CASE WHEN o_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS price_cap_status, CAST(o_orderdate AS DATE) AS announcement_date, o_orderpriority AS title, CASE WHEN o_custkey % 3 > 0 THEN 'u' END AS official_url FROM orders"
 

@@ -26,7 +26,10 @@ def tables(spark):
 
 def test_window(tables):
     got = {r.id: r.sort_date for r in in_window(*tables, date(2026, 1, 1), date(2026, 1, 31)).collect()}
-    assert got == {2: date(2026, 1, 6), 3: None}  # by announcement, for want of an application; open-ended
+    assert got == {2: date(2026, 1, 10), 3: None}  # a list takes `Contract` for an application, as kinds count as written; open-ended
+    lower = tables[1].withColumn("kind", F.lower("kind"))
+    got = {r.id: r.sort_date for r in in_window(tables[0], lower, date(2026, 1, 1), date(2026, 1, 31)).collect()}
+    assert got == {2: date(2026, 1, 6), 3: None}  # by announcement, for want of an application
     got = {r.id: r.sort_date for r in in_window(*tables, date(2026, 3, 2), date(2026, 3, 9), application_only=True).collect()}
     assert got == {1: date(2026, 3, 2), 3: None}
     assert in_window(*tables, None, None).count() == 5
