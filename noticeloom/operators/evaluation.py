@@ -84,6 +84,16 @@ def brief(reasons: Column, most: int = 3) -> Column:
     return F.slice(F.concat(lead, F.array_except(reasons, lead)), 1, most)
 
 
+def compared(status: Column, reasons: Column) -> Column:
+    """struct<code, n> of what a supply's line says: its status where that is decided, else how many conditions wait for an answer
+    (missing), else how many hold (passed), else none. reasons: array<struct<rule_id, result, missing>>, each counted once."""
+    count = lambda test: F.size(F.filter(F.array_distinct(reasons), test))
+    missing, passed = count(lambda r: F.coalesce(r["missing"], F.lit(False))), count(lambda r: r["result"] == "pass")
+    said = lambda code, n: F.struct(F.lit(code).alias("code"), n.cast("int").alias("n"))
+    decided = F.when(status == "mismatch", said("mismatch", F.lit(None))).when(status == "possible", said("possible", F.lit(None)))
+    return F.coalesce(decided, F.when(missing > 0, said("missing", missing)).when(passed > 0, said("passed", passed)).otherwise(said("none", F.lit(None))))
+
+
 def questions(rule_nodes: DataFrame) -> DataFrame:
     """field, facts, n_rules: the answers that a catalogue's rules (rows of rules.nodes) ask of a profile, at any depth."""
     kinds = rule_nodes.groupBy("kind").agg(F.count_distinct("rule_id").alias("n"))

@@ -42,3 +42,22 @@ def scope_keys(rows: DataFrame, own: Column, parent: Column) -> DataFrame:
     """rows, once for each scope that they are in by in_scope (their own region, and its parent), as `scope`: an equi-join finds the scopes."""
     keys = F.array_distinct(F.array_compact(F.array(own, parent)))
     return rows.withColumn("scope", F.explode(keys))
+
+
+# Regions of the deposit table's columns; all other provinces are of the last.
+DEPOSIT_REGIONS = {"seoul_busan": ("11", "26"), "other_metropolitan": ("27", "28", "29", "30", "31"), "other": ("36", "41", "43", "44", "46", "47", "48", "50", "51", "52")}
+
+
+def deposit_required(areas: Column, region: Column, tiers: dict[str, list[tuple[float | None, int]]]) -> Column:
+    """The deposit that a notice asks of someone of a region: of the region's column, the first tier that takes each area (array of
+    exclusive areas). Null where an area or the region isn't known, or where the areas ask for different amounts."""
+    out = F.lit(None).cast("long")
+    for name, codes in DEPOSIT_REGIONS.items():
+        asked = F.array_distinct(F.transform(areas, _tier_of(tiers[name])))
+        own = F.when((F.size(asked) == 1) & ~F.exists(areas, lambda a: a.isNull()), F.get(asked, F.lit(0)))
+        out = F.when(region.isin(*codes), own).otherwise(out)
+    return out
+
+
+def _tier_of(tiers: list[tuple[float | None, int]]):
+    return lambda a: tier(a, tiers).cast("long")

@@ -141,5 +141,3 @@ def html_cells(spark, d):
     html = F.concat(F.lit("<table><tr><td>"), F.col("o_custkey").cast("string"), F.lit("\n <b>"), F.col("o_orderpriority"), F.lit("</b><td>2<table><tr><td>in</table>out<tr><td>3</table>"))
     rows = table(spark, d, "orders").select("o_orderkey", html_tables(html).alias("t"))
     return rows.select(F.col("o_orderkey").alias("page_id"), F.size("t").alias("n_tables"), F.size(table_rows(F.col("t"))).alias("n_rows"), F.col("t")[0]["rows"][0]["cells"][0]["text"].alias("cell"))
-
-__all__ = ["hwpx_pages"]

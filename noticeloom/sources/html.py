@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from noticeloom.functions.text import trusted_url
+
 SPACES = re.compile(r"\s+")
 CELL = pa.struct([("class", pa.string()), ("text", pa.string()), ("hrefs", pa.list_(pa.string()))])
 ROW = pa.struct([("attrs", pa.map_(pa.string(), pa.string())), ("cells", pa.list_(CELL))])
@@ -175,6 +177,23 @@ def html_links(html: Column, base: Column) -> Column:
     return batched("array<struct<href:string,label:string>>", kind, links_in, html, base)
 
 
+# What names of documents end with, and words of links that lead to a notice's document or to other papers.
+EXTENSIONS = r"\.(?:pdf|hwpx?|docx?)"
+NOTICE_WORDS, FILE_WORDS, OTHER_PAPERS = r"공고문|모집공고|첨부파일|notice", r"download|file|attach|atch", r"팜플렛|위임장|작성예시|유치금|동호수배치|분양신청서"
+
+
+def document_links(html: Column, base: Column, hosts: tuple[str, ...]) -> Column:
+    """The links of a page to its notice's documents, in order and once each: on trusted hosts, and a document by their name, or by
+    the words of label and target together; other papers only where the label speaks of a notice. None of a page that isn't trusted itself."""
+    def wanted(x: Column) -> Column:
+        label, target = F.lower(F.coalesce(x["label"], F.lit(""))), F.lower(x["href"])
+        document = target.rlike(EXTENSIONS) | label.rlike(EXTENSIONS) | (label.rlike(NOTICE_WORDS) & target.rlike(FILE_WORDS))
+        return trusted_url(x["href"], hosts) & document & ~(label.rlike(OTHER_PAPERS) & ~label.contains("공고"))
+
+    found = F.array_distinct(F.transform(F.filter(html_links(html, base), wanted), lambda x: x["href"]))
+    return F.when(trusted_url(base, hosts), found).otherwise(F.filter(found, lambda _: F.lit(False)))
+
+
 PUSH = re.compile(r"(\w+)\.push\(\s*\{(.*?)\}\s*\)", re.S)
 PAIR = re.compile(r"""["']?(\w+)["']?\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^,"'\s}]+))""")
 
