@@ -457,8 +457,9 @@ def test_words_of_the_documents_lower_costs(spark):
 
     rows = [(i, "The battery, staple (of) a Correct horse. x1 zz abcdé") for i in range(9)] + [(20, None), (21, ""), (22, "staple staple"), (23, "my pwd: correcthorsebattery and pwd: qxzvkjwpylmrtnbcdghs")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert frequent_words(frame, 3, "text") == ["staple", "battery", "correct"] and frequent_words(frame.limit(0), 3, "text") == []
+    assert frequent_words(frame, 4, "text") == ["staple", "abcdé", "battery", "correct"] and frequent_words(frame.limit(0), 3, "text") == []
     rank = ranked(frequent_words(frame, 20, "text"))
+    assert guess_cost("abcdé", rank) < 2 < guess_cost("abcdé")  # words of other languages are words too
     assert guess_cost("correcthorsebattery", rank) < 7 < 20 < guess_cost("qxzvkjwpylmrtnbcdghs", rank)
     got = [r for r in secret_scan(frame).collect() if r.doc_id == 23][0]
     text = rows[-1][1]
