@@ -1083,10 +1083,10 @@ def test_added_spans_against_brute_force(spark):
 def test_queries_are_registered():
     from noticeloom.llm.catalogue import ORACLES, QUERIES
 
-    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op5_substring_dedup"])
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op5_substring_dedup", "op12_phrase_collocations", "op13_lexical_search"])
 def test_queries_give_what_their_sql_gives(spark, name):
     import duckdb
 
