@@ -1093,7 +1093,8 @@ def test_queries_give_what_their_sql_gives(spark, name):
     from noticeloom.llm.catalogue import ORACLES, QUERIES
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want, got = con.sql(ORACLES[name]), QUERIES[name](spark, SF)
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
