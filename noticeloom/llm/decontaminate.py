@@ -25,6 +25,7 @@ LEAST_NEED = 4
 TABLE_BITS = 20
 FILTER_BITS = 26
 SLICES = 32
+SLICE_BLOCKS = 8
 PAIRS = 1 << 20
 HITS = "doc_id long, item_id long, n_matched long, n_item_words long, doc_start long, doc_end long"
 
@@ -199,7 +200,8 @@ def benchmark_hits(
     compared with A-Z lower-cased and without punctuation at their ends, as 64-bit hashes. Of several such diagonals the
     one with the most matches is told, then the first. doc_start, doc_end: word places. Items of fewer than 4 words
     and null texts match nothing; null ids stay null; repeated rows give repeated hits. Empty tables: no rows. Other
-    columns aren't read. A benchmark of up to block_bytes is sent to every task; a larger one is joined by seeds.
+    columns aren't read. A benchmark of up to block_bytes is sent to every task; of a larger one, documents
+    are sent to the parts that share a seed with them.
     """
     items = _items(benchmark, item_id, item_text)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -229,7 +231,7 @@ def decontaminate(
     bench = _small(items, block_bytes, least, share)
     if bench is None:
         source = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        gone = _joined_hits(source, items, block_bytes, least, share)[0].select("doc_key").distinct()
+        gone = _joined_hits(source, items, block_bytes, least, share, any_item=True)[0].select("doc_key").distinct()
         return docs.join(gone, _key(F.lit(0).cast("long"), F.col(text_col).cast("string")) == gone["doc_key"], "left_anti")
     place = docs.columns.index(text_col)
 
@@ -247,99 +249,114 @@ def _key(*columns):
     return F.xxhash64(*columns)
 
 
-def _joined_hits(docs: DataFrame, items: DataFrame, block_bytes: int, least: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_key, item_key, n_matched, n_item_words, doc_start, doc_end) and (item_key, id), by a join of seeds.
+def _joined_hits(docs: DataFrame, items: DataFrame, block_bytes: int, least: int, share: float, any_item: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_key, item_key, n_matched, n_item_words, doc_start, doc_end) and (item_key, id): documents meet parts of the benchmark.
 
-    docs (doc_id, text), items (id, text): the keys are hashes of both columns, so equal rows are compared once. Seeds
-    of documents pass a bitmap of the benchmark's seeds of fixed size before they are shuffled; the item texts that a
-    document is verified against at once are about block_bytes.
+    docs (doc_id, text), items (id, text): the keys are hashes of both columns, so equal rows are compared once. Items
+    are dealt into parts of about block_bytes. Blocks of documents ask which parts have their seeds, once for each seed
+    that passes a bitmap of fixed size, and a document goes to those parts, whatever the number of items there that
+    share a phrase with it. A part's documents are dealt into slices, each of which is compared as if the part were
+    the benchmark. any_item: one item a document is enough.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     keyed = items.select(_key("id", "text").alias("item_key"), "id", "text").checkpoint()
-    once = keyed.dropDuplicates(["item_key"])
     parts = max(1, -(-(keyed.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // block_bytes))
-
-    def rows_of(batch):
-        """(key, word hashes) of each row of a batch (key, text)."""
-        keys = batch.column(0).to_pylist()
-        data, at = text_bytes(batch.column(1))
-        for lo, hi in chunks(at):
-            words = Words(data, at[lo : hi + 1])
-            hashes = word_hashes(words)
-            for i in range(hi - lo):
-                yield keys[lo + i], hashes[words.first[i] : words.first[i + 1]]
-
-    def cells(rows, names, kinds):
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
-
-    def placed(hashes, mask, wanted=None):
-        """(seed, its places) of the distinct seeds of a text."""
-        value = seeds(hashes, mask)
-        at = np.arange(len(value)) if wanted is None else np.flatnonzero(wanted[(value >> U(64 - FILTER_BITS)).astype(np.int64)])
-        order = at[np.argsort(value[at], kind="stable")]
-        value = value[order]
-        cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, int)
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(value)], strict=False):
-            yield int(value[i].astype(np.int64)), order[i:j].astype(np.int32).tobytes()
-
-    seed_names, seed_kinds = ["key", "seed", "places"], [pa.int64(), pa.int64(), pa.binary()]
+    once = keyed.dropDuplicates(["item_key"]).select(F.pmod("item_key", F.lit(parts)).cast("int").alias("part"), "item_key", "text")
 
     def item_seeds(batches):
         for batch in batches:
-            yield cells([(k, *x) for k, w in rows_of(batch) for x in placed(w, mask_of(need_of(len(w), least, share)))], seed_names, seed_kinds)
-
-    wanted = once.select("item_key", "text").mapInArrow(item_seeds, "key long, seed long, places binary").withColumnRenamed("places", "item_places").withColumnRenamed("key", "item_key").checkpoint()
+            data, at = text_bytes(batch.column(1))
+            part, value = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for lo, hi in chunks(at):
+                words = Words(data, at[lo : hi + 1])
+                hashes = word_hashes(words)
+                for i, n in enumerate(words.count.tolist()):
+                    own = np.unique(seeds(hashes[words.first[i] : words.first[i + 1]], mask_of(need_of(n, least, share))))
+                    value.append(own)
+                    part.append(np.full(len(own), batch.column(0)[lo + i].as_py(), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value).view(np.int64)), pa.array(np.concatenate(part))], names=["seed", "part"])
+
+    wanted = once.select("part", "text").mapInArrow(item_seeds, "seed long, part int").distinct()
+    wanted = wanted.groupBy("seed").agg(F.collect_list("part").alias("parts")).checkpoint()
 
     def bits(batches):
         mark = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
             mark[(batch.column(0).to_numpy().view(np.uint64) >> U(64 - FILTER_BITS)).astype(np.int64)] = True
         packed = np.packbits(mark).reshape(SLICES, -1)
-        yield cells([(i, x.tobytes()) for i, x in enumerate(packed)], ["slice", "marks"], [pa.int32(), pa.binary()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["slice", "marks"])
 
     def merged(key, table):
         whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()], axis=0)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([whole.tobytes()], pa.binary())})
 
     got = wanted.select("seed").mapInArrow(bits, "slice int, marks binary").groupBy("slice").applyInArrow(merged, "slice int, marks binary").collect()
-    marks = b"".join(r["marks"] for r in sorted(got, key=lambda r: r["slice"]))  # 2 ** FILTER_BITS bits, whatever the benchmark
+    marks = b"".join(r["marks"] for r in sorted(got, key=lambda r: r["slice"])) or bytes(1 << FILTER_BITS >> 3)  # 2 ** FILTER_BITS bits, whatever the benchmark
 
-    def doc_seeds(batches):
-        mark = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
-        for batch in batches:
-            yield cells([(k, *x) for k, w in rows_of(batch) for mask in (LONG_MASK, SHORT_MASK) for x in placed(w, mask, mark)], seed_names, seed_kinds)
+    def probed(column):
+        """(row, seed) arrays of a column's seeds that the bitmap has; one that runs on into the next row is told too."""
+        packed = np.frombuffer(marks, np.uint8)
+        data, at = text_bytes(column)
+        for lo, hi in chunks(at):
+            words = Words(data, at[lo : hi + 1])
+            hashes = word_hashes(words)
+            for mask in (LONG_MASK, SHORT_MASK):
+                own = seeds(hashes, mask)
+                slot = (own >> U(64 - FILTER_BITS)).astype(np.int64)
+                place = np.flatnonzero(packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                yield lo + np.searchsorted(words.first, place, side="right") - 1, own[place]
 
-    def hashed(batches):
+    def near(batches):
         for batch in batches:
-            yield cells([(k, w.tobytes()) for k, w in rows_of(batch)], ["key", "words"], [pa.int64(), pa.binary()])
-
-    texts = docs.select(_key("doc_id", "text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.mapInArrow(doc_seeds, "key long, seed long, places binary").withColumnRenamed("key", "doc_key").dropDuplicates(["doc_key", "seed"])
-    pairs = found.join(wanted, "seed").groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("places", "item_places")).alias("seeds"))
-    words = once.select("item_key", "text").mapInArrow(hashed, "key long, words binary").withColumnRenamed("key", "item_key")
-    part = F.pmod(F.xxhash64("item_key"), F.lit(parts)).cast("int").alias("part")
-    pairs = pairs.join(words, "item_key").select("doc_key", part, "item_key", "seeds", "words").checkpoint()
-    own = texts.join(pairs.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"]).mapInArrow(hashed, "key long, words binary").withColumnRenamed("key", "doc_key")
-    own = own.join(pairs.select("doc_key", "part").distinct(), "doc_key").select(F.col("doc_key").alias("owner"), F.col("part").alias("owner_part"), "words")
-
-    def verified(key, left, right):
-        hashes, out = np.frombuffer(right.column("words")[0].as_py(), np.uint64), []
-        for item, given, cell in zip(*(left.column(x).to_pylist() for x in ("item_key", "seeds", "words")), strict=True):
-            word, best = np.frombuffer(cell, np.uint64), None
-            ints = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
-            every = [shifts(ints(x["places"]), ints(x["item_places"]), len(hashes) + len(word)) for x in given]
-            for shift in np.unique(np.concatenate(every)).tolist():
-                got = verify(hashes, word, shift)
-                if better(got, best, need_of(len(word), least, share)):
-                    best = got
-                    if best[0] == len(word):
-                        break
-            if best:
-                out.append((key[0].as_py(), item, best[0], len(word), best[1], best[2]))
-        names = ["doc_key", "item_key", "n_matched", "n_item_words", "doc_start", "doc_end"]
-        return pa.Table.from_batches([cells(out, names, [pa.int64()] * 6)])
-
-    hits = pairs.groupBy("doc_key", "part").cogroup(own.groupBy("owner", "owner_part")).applyInArrow(verified, HITS.replace("doc_id", "doc_key").replace("item_id", "item_key"))
+            stay = np.zeros(batch.num_rows, dtype=bool)
+            for row, _ in probed(batch.column(1)):
+                stay[row] = True
+            yield batch.filter(pa.array(stay))
+
+    def asked(key, table):
+        value = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in probed(table.column("text")))]))
+        return pa.table({"block": pa.array(np.full(len(value), key[0].as_py(), np.int32)), "seed": pa.array(value.view(np.int64))})
+
+    def sent(key, left, right):
+        """left's rows with the parts that have one of their seeds."""
+        value = right.column("seed").to_numpy().view(np.uint64)
+        order = np.argsort(value)
+        value = value[order]
+        lists = right.column("parts").combine_chunks()
+        begin, held = lists.offsets.to_numpy()[:-1][order], lists.values.to_numpy()
+        size = np.diff(lists.offsets.to_numpy())[order]
+        to = [np.zeros(0, np.int64)]
+        for row, own in probed(left.column("text")) if len(value) else ():
+            at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+            hit = np.unique(np.stack([row, at], axis=1)[value[at] == own], axis=0)
+            n = size[hit[:, 1]]
+            place = np.repeat(begin[hit[:, 1]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            to.append(np.unique(np.repeat(hit[:, 0], n) * parts + held[place]))
+        to = np.unique(np.concatenate(to))
+        edge = np.searchsorted(to // parts, np.arange(left.num_rows + 1))
+        cells = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(to % parts, pa.int32()))
+        return pa.table({"doc_key": left.column("doc_key"), "text": left.column("text"), "parts": cells})
+
+    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    texts = docs.select(_key("doc_id", "text").alias("doc_key"), "text").filter(F.col("text").isNotNull())
+    own = texts.mapInArrow(near, "doc_key long, text string").dropDuplicates(["doc_key"]).withColumn("block", F.pmod("doc_key", F.lit(n_blocks)).cast("int")).groupBy("block")
+    answers = own.applyInArrow(asked, "block int, seed long").join(wanted, "seed").groupBy("block")
+    routed = own.cogroup(answers).applyInArrow(sent, "doc_key long, text string, parts array<int>").checkpoint()
+    routed = routed.select("doc_key", "text", F.explode("parts").alias("part"))
+    slices = routed.groupBy("part").agg(F.ceil(F.sum(F.octet_length("text") + 16) / (SLICE_BLOCKS * block_bytes)).cast("int").alias("slices"))
+    slices = F.broadcast(slices.checkpoint())  # two numbers a part of the benchmark
+    left = routed.join(slices, "part").withColumn("slice", F.pmod("doc_key", "slices").cast("int"))
+    right = once.join(slices, "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+
+    def compared(key, left, right):
+        bench = Benchmark(right.column("item_key").to_pylist(), right.column("text").to_pylist(), least, share)
+        got = list(_hits(left.column("text"), bench, bench.tables(), any_item)) if left.num_rows and right.num_rows else []
+        docs = left.column("doc_key").to_pylist() if got else []
+        columns = [[docs[r] for r, *_ in got], [bench.ids[i] for _, i, *_ in got], [n for _, _, n, _, _ in got], [len(bench.words[i]) for _, i, *_ in got], [a for *_, a, _ in got], [b for *_, b in got]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_key", "item_key", "n_matched", "n_item_words", "doc_start", "doc_end"])
+
+    hits = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(compared, HITS.replace("doc_id", "doc_key").replace("item_id", "item_key"))
     return hits, keyed.select("item_key", "id")
 
 

@@ -48,7 +48,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_
 
     Every word that lies in a window of `window` (over 31) consecutive words whose word sequence also starts in a
     document with a smaller doc_id is removed; windows are those of the input. Words are kept unchanged, joined by
-    one space. Null text: no words. Null doc_id: larger than every id. Equal ids: neither is smaller, both stay.
+    one space. Null text: no words. Null doc_id: as 2 ** 63 - 1, the largest id. Equal ids: neither is smaller, both stay.
     Fewer words than a window: nothing is removed. Empty table: no rows. Other columns are not read. Equality of
     windows is equality of 64-bit hashes. A block holds about block_bytes of text, or one longer document. fanout: see blocks.
     """

@@ -124,6 +124,39 @@ def test_ngram_join_in_parts_keeps_chains(spark):
         assert {r.doc_id: r.component_id for r in ngram_join(frame, **options).collect()} == want
 
 
+@pytest.mark.parametrize("part_range", [1, 7, 512])
+def test_ngram_join_of_a_leader_in_many_parts(spark, monkeypatch, part_range):
+    """About 200 parts of one leader: copies, chains and documents that share the leader's passage alone."""
+    from noticeloom.llm import ngram_join as module
+
+    rng = random.Random(15)
+    base = prose(rng, 60, 10**6).split(" ")
+    rows, text = [], base
+    for i in range(200):
+        if i % 20 == 0:
+            text = base[:45] + prose(rng, 15, 10**6).split(" ")
+        text = list(text)
+        text[rng.randrange(45, 60)] = f"new{i}"
+        rows.append((i, " ".join(text), None, None, None))
+    rows += [(1000 + i, " ".join(base[:30] + prose(rng, 40, 10**6).split(" ")), None, None, None) for i in range(200)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    monkeypatch.setattr(module, "PART_RANGE", part_range)
+    assert {r.doc_id: r.component_id for r in module.ngram_join(frame, part_rows=2).collect()} == brute_components(rows)
+
+
+def test_ngram_join_of_the_largest_id(spark):
+    from noticeloom.llm.ngram_join import ngram_join
+
+    last, text = 2**63 - 1, prose(random.Random(16), 30, 10**6)
+    rows = [(last, text), (None, text), (last - 1, text + " tail"), (None, text), (last, "alone"), (-(2**63), "first")]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(last, last - 1), (None, None), (last - 1, last - 1), (None, None), (last, last - 1), (-(2**63), -(2**63))]
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, want))
+    alone = ngram_join(spark.createDataFrame([(last, text), (None, text)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in alone} == {(last, last), (None, None)}
+
+
 def test_one_of_each_group(spark, docs, messy, empty):
     from noticeloom.llm.ngram_join import one_of_each_group
 
@@ -818,6 +851,24 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     assert left == sorted(d for d, _ in [*rows, rows[0]] if d not in {x for x, *_ in want})
 
 
+def test_decontamination_where_all_share_a_phrase(spark):
+    """A phrase in every document and item: a large benchmark gives the hits of a small one, and not by a row a pair."""
+    from noticeloom.llm.decontaminate import benchmark_hits, decontaminate
+
+    rng = random.Random(17)
+    phrase = " ".join(f"common{i}" for i in range(8))
+    items = [(i if i % 50 else None, f"{prose(rng, 12, 10**6)} {phrase} {prose(rng, 20, 10**6)}") for i in range(300)]
+    rows = [(d, f"{prose(rng, 15, 10**6)} {phrase} {prose(rng, 30, 10**6)}" + (" " + items[d][1] if d % 10 == 3 else "")) for d in range(300)]
+    rows += [(None, items[7][1]), (400, None), (401, ""), rows[3], (403, rows[3][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (999, None), items[3]], "item_id long, text string")
+    told = lambda **options: sorted(str(tuple(r)) for r in benchmark_hits(frame, bench, **options).collect())
+    assert told(block_bytes=20_000) == told() and len(told()) == 30 + 1 + 2 + 3
+    left = lambda **options: sorted(str(r.doc_id) for r in decontaminate(frame, bench, **options).collect())
+    assert left(block_bytes=20_000) == left() and len(left()) == 270 + 2
+    assert benchmark_hits(frame.limit(0), bench, block_bytes=20_000).count() == 0
+
+
 def test_masks_lose_nothing():
     """No stretch that counts avoids its mask: all strings of matches and substitutions that could are walked."""
     from noticeloom.llm.decontaminate import LEAST_NEED, LONG_MASK, LONG_NEED, MISMATCH, SHORT_MASK
