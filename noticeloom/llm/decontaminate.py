@@ -25,7 +25,9 @@ LEAST_NEED = 4
 TABLE_BITS = 20
 FILTER_BITS = 26
 SLICES = 32
-SLICE_BLOCKS = 8
+SLICE_BLOCKS = 4
+SHORT_ITEM = 256
+TOGETHER = 1024
 PAIRS = 1 << 20
 HITS = "doc_id long, item_id long, n_matched long, n_item_words long, doc_start long, doc_end long"
 
@@ -94,6 +96,7 @@ class Benchmark:
         self.ids = ids
         self.words = [hashes[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
         self.need = [need_of(len(w), least, share) for w in self.words]
+        self.hashes, self.first, self.size = hashes, np.asarray(words.first, dtype=np.int64), np.diff(words.first).astype(np.int64)
         self.masks = []
         for mask in (LONG_MASK, SHORT_MASK):
             mine = [i for i, w in enumerate(self.words) if len(w) >= len(mask) and mask_of(self.need[i]) == mask]
@@ -146,6 +149,25 @@ class Benchmark:
         return np.stack([key >> 32, (key & 0xFFFFFFFF) - longest], axis=1)
 
 
+    def promising(self, hashes: np.ndarray, diagonals: np.ndarray):
+        """The diagonals, in order, but those of items of SHORT_ITEM words or fewer with less equal words than the item needs.
+
+        Many short items that share a phrase with a text are left out here together, not one by one.
+        """
+        need = np.array(self.need, dtype=np.int64)
+        size = np.where(self.size > SHORT_ITEM, 0, self.size)[diagonals[:, 0]]
+        for lo in range(0, len(diagonals), TOGETHER):
+            (item, shift), n = diagonals[lo : lo + TOGETHER].T, size[lo : lo + TOGETHER]
+            before = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(before, n)
+            at = place + np.repeat(shift, n)
+            inside = (at >= 0) & (at < len(hashes))
+            same = np.zeros(len(at) + 1, dtype=np.int64)
+            same[1:][inside] = hashes[at[inside]] == self.hashes[(place + np.repeat(self.first[item], n))[inside]]
+            same = np.cumsum(same)
+            yield from diagonals[lo : lo + TOGETHER][(n == 0) | (same[before + n] - same[before] >= need[item])].tolist()
+
+
 def better(got: tuple[int, int, int], held: tuple[int, int, int] | None, need: int) -> bool:
     """Whether a stretch counts and has more matches than the held one, or as many and begins earlier."""
     return got[0] >= need and (held is None or (-got[0], got[1]) < (-held[0], held[1]))
@@ -161,7 +183,7 @@ def _hits(column, bench: Benchmark, tables: list[np.ndarray], any_item: bool = F
         words = Words(data, at[lo : hi + 1])
         hashes = word_hashes(words)
         best: dict = {}
-        for item, shift in bench.diagonals(hashes, tables).tolist():
+        for item, shift in bench.promising(hashes, bench.diagonals(hashes, tables)):
             # A diagonal may run over the end of a text: it is verified in each row that it touches.
             word = bench.words[item]
             first, last = np.searchsorted(words.first, [max(shift, 0), max(shift + len(word) - 1, 0)], side="right") - 1
