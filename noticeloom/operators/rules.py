@@ -11,11 +11,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.functions.arrays import inlined
 from noticeloom.session import ensure_checkpoint_dir
 
 
 MAX_DEPTH = 8
 BLOCK_NODES = 5_000
+TASKS_PER_CORE = 4
 GROUPS = ("all", "any", "not", "condition_group")
 # What a condition takes from its parent where it has none of its own.
 INHERITED = (
@@ -72,24 +74,33 @@ def evaluate(rule_nodes: DataFrame, applicants: DataFrame, keys: list[str], leav
     take further passes over applicants.
     """
     blocks = max(1, -(-rule_nodes.count() // BLOCK_NODES))
-    out = None
+    applicants, out = spread(applicants, keys), None
     for i in range(blocks):
         part = rule_nodes if blocks == 1 else rule_nodes.filter(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == i)
-        got = with_results(part, applicants, leaves, context).select(*keys, F.inline("_results"))  # no shuffle
+        got = inlined(with_results(part, applicants, leaves, context), keys, "_results")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def spread(applicants: DataFrame, keys: list[str]) -> DataFrame:
+    """applicants dealt to all cores by keys: a small file of them is one task's, and each takes long to judge."""
+    spark = applicants.sparkSession
+    return applicants.repartition(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def with_results(rule_nodes: DataFrame, applicants: DataFrame, leaves: dict[str, Callable], context: Context = ()) -> DataFrame:
     """applicants with _results: array<struct<rule_id, result>>, by rule_id.
 
-    The rules' nodes stand in one array beside each applicant, are judged and folded there. judge_day of rule_nodes, where it
-    has that column, is the day on which a node is judged: see timeline.
+    The rules' nodes stand in one array beside each applicant, are judged and folded there; rules whose nodes are all the same are
+    judged once. judge_day of rule_nodes, where it has that column, is the day on which a node is judged: see timeline.
     """
     names = (*FIELDS, "value_number", "value_text", *(["judge_day"] if "judge_day" in rule_nodes.columns else []))
     node = F.struct((-F.col("depth")).alias("order"), "path", F.coalesce("parent", F.lit("")).alias("parent"), "role", *names)
     per_rule = rule_nodes.groupBy("rule_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
-    whole = per_rule.agg(F.array_sort(F.collect_list(F.struct("rule_id", "nodes")))).scalar()
+    alike = per_rule.groupBy("nodes").agg(F.collect_list("rule_id").alias("rule_ids"))
+    alike = alike.agg(F.array_sort(F.collect_list(F.struct("nodes", "rule_ids"))).alias("t"))
+    named = F.flatten(F.transform("t", lambda x, i: F.transform(x["rule_ids"], lambda r: F.struct(r.alias("rule_id"), (i + 1).alias("tree")))))
+    whole = alike.select(F.struct(F.transform("t", lambda x: x["nodes"]).alias("trees"), F.array_sort(named).alias("rules"))).scalar()
 
     told_first = [x for own, _ in context for x in own]
 
@@ -109,12 +120,17 @@ def with_results(rule_nodes: DataFrame, applicants: DataFrame, leaves: dict[str,
         usable = (rule["verification"] == "official") & ~F.coalesce(rule["effect"].isin("priority", "metadata"), F.lit(False))
         return F.struct(*[n[x].alias(x) for x in ("path", "parent", "role", "kind", "operator")], value.alias("value"), usable.alias("usable"))
 
-    def result(r: Column) -> Column:
-        root = F.element_at(_folded(F.transform(prepared(r["nodes"]), judged)), "")
+    def result(tree: Column) -> Column:
+        root = F.element_at(_folded(F.transform(prepared(tree), judged)), "")
         told = lambda c: F.when(c["yes"] > 0, "pass").when(c["no"] > 0, "fail").otherwise("review")
-        return F.struct(r["rule_id"].alias("rule_id"), F.transform(F.array(root), told)[0].alias("result"))
+        return F.transform(F.array(root), told)[0]
+
+    def named(told: Column) -> Column:
+        return F.transform("_rules.rules", lambda r: F.struct(r["rule_id"].alias("rule_id"), F.element_at(told, r["tree"]).alias("result")))
 
-    return applicants.withColumn("_rules", whole).withColumn("_results", F.transform("_rules", result)).drop("_rules")
+    # An array of one, so that trees are judged once and not for each rule.
+    told = F.array(F.transform("_rules.trees", result))
+    return applicants.withColumn("_rules", whole).withColumn("_results", F.transform(told, named)[0]).drop("_rules")
 
 
 COUNTS = ("yes", "no", "open", "excused", "unsure")

@@ -65,33 +65,26 @@ def source_at(group: str | Column, when: Column, today: Column) -> Column:
 def dated(today: Column, tests: dict[str, Callable] = TESTS) -> tuple[dict[str, Callable], list]:
     """tests and context for rules.evaluate: conditions ask facts as of each rule's day.
 
-    A node first finds what tells the facts of its kind's group (told, with the snapshot), then their values (state): null
+    A node first finds what tells the facts of its kind's group (told, with the snapshot). A test finds those that it asks by it: null
     if nothing tells them, today's where a snapshot doesn't hold a fact.
     """
     group_of = F.create_map(*[F.lit(x) for pair in sorted(GROUPS.items()) for x in pair])
-    names = sorted({f for fs in FACTS_OF.values() for f in fs})
-
-    def when(n: Column) -> Column:
-        return n["judge_day"]
 
     def look_up(n: Column) -> tuple[Column, Column]:
         group = group_of[n["kind"]]
-        return source_at(group, when(n), today), _snapshot(group, when(n))
-
-    def values(n: Column) -> tuple[Column]:
-        def value(name: str) -> Column:
-            former = (n["told"] == "snapshot") & F.array_contains(n["snapshot"]["held"], name)
-            return F.when(former, n["snapshot"]["facts"][name]).when(n["told"] != "unknown", F.col(name)).alias(name)
+        return source_at(group, n["judge_day"], today), _snapshot(group, n["judge_day"])
 
-        return (F.struct(*[value(x) for x in names]),)
+    def value(rule: dict[str, Column], name: str) -> Column:
+        former = (rule["told"] == "snapshot") & F.array_contains(rule["snapshot"]["held"], name)
+        return F.when(former, rule["snapshot"]["facts"][name]).when(rule["told"] != "unknown", F.col(name))
 
     def at(kind: str, test: Callable) -> Callable:
         if kind not in GROUPS:
             return test
         own = FACTS_OF[GROUPS[kind]]
-        return lambda rule: test(rule | {"facts": lambda name: rule["state"][name] if name in own else F.col(name)})
+        return lambda rule: test(rule | {"facts": lambda name: value(rule, name) if name in own else F.col(name)})
 
-    return {kind: at(kind, test) for kind, test in tests.items()}, [(("told", "snapshot"), look_up), (("state",), values)]
+    return {kind: at(kind, test) for kind, test in tests.items()}, [(("told", "snapshot"), look_up)]
 
 
 def dated_nodes(rule_nodes: DataFrame, rules: DataFrame, notices: DataFrame, today: Column) -> DataFrame:

@@ -63,3 +63,15 @@ def test_records_in_passes_are_the_same(spark):
     assert by[1, 0].groups[0].closed and by[1, 0].groups[0].status == "mismatch" and not by[2, 0].groups[0].closed and by[2, 1].groups[0].closed
     assert [(q.field, q.n_combinations) for q in by[3, 2].questions] == [("children", 4), ("homes", 2), ("members", 2)] and by[3, 2].n_open == 4
     assert records(people.limit(0), ["profile_id"], combos, rules, own, TESTS, closed).count() == 0
+
+
+def test_applicants_are_dealt_out_and_their_rules_judged_once(spark):
+    rule = '{"kind":"%s","value":%s,"verification":"official"}'
+    rules = spark.createDataFrame([(f"{k}{n}", rule % (k, 2)) for n in range(5) for k in ("children_min", "household_min")], "rule_id string, rule string")
+    people = with_facts(spark.range(3).select(F.col("id").alias("profile_id"), F.col("id").cast("int").alias("household_size"))).coalesce(1)
+    got = evaluate(nodes(rules), people, ["profile_id"], TESTS)
+    assert got.rdd.getNumPartitions() > 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(transform" not in plan and "isnotnull(transform" not in plan  # no filter computes the results again
+    assert sorted((r.profile_id, r.rule_id, r.result) for r in got.collect()) == sorted(
+        (p, f"{k}{n}", "review" if k == "children_min" else "pass" if p >= 2 else "fail") for p in range(3) for n in range(5) for k in ("children_min", "household_min"))
