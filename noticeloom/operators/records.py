@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.functions.arrays import inlined
 from noticeloom.functions.text import unit_key
 from noticeloom.operators.evaluation import QUESTIONS, in_scope
-from noticeloom.operators.rules import BLOCK_NODES, Context, with_results
+from noticeloom.operators.rules import BLOCK_NODES, Context, spread, with_results
 
 GENERAL = r"^\s*일반(?:\s*공급)?\s*$"
 SCOPE = ("supply_type", "unit_type", "unit_types")
@@ -45,7 +46,7 @@ def records(
     """
     blocks = max(1, -(-rule_nodes.count() // block_nodes))
     named = rules.select("rule_id", "notice_id")
-    out = None
+    applicants, out = spread(applicants, keys), None
     for i in range(blocks):
         own = (lambda x: x) if blocks == 1 else (lambda x, i=i: x.filter(F.pmod(F.xxhash64("notice_id"), F.lit(blocks)) == i))
         nodes = rule_nodes if blocks == 1 else rule_nodes.join(own(named).select("rule_id"), "rule_id", "left_semi")
@@ -60,7 +61,7 @@ def _records(applicants: DataFrame, keys: list[str], combinations: DataFrame, ru
     asked = asked.select(F.struct(F.array_position(ids, F.col("rule_id")).cast("int").alias("place"), "kinds").alias("x")).agg(F.array_sort(F.collect_list("x"))).scalar()
     whole = scoped(combinations, rules, ids, closures).agg(F.array_sort(F.collect_list(F.struct("notice_id", "combos", "closures")))).scalar()
     rows = with_results(rule_nodes, applicants, tests, context).withColumns({"_asked": asked, "_notices": whole})
-    rows = rows.select(*keys, "_results", "_asked", *(["area"] if "area" in applicants.columns else [F.lit(None).cast("string").alias("area")]), F.inline("_notices"))
+    rows = inlined(rows, [*keys, "_results", "_asked", *(["area"] if "area" in applicants.columns else [F.lit(None).cast("string").alias("area")])], "_notices")
     closed = F.get(F.filter(F.coalesce("closures", F.expr("cast(array() as array<struct<area:string,closed_units:array<string>,all_closed:boolean>>)")), lambda x: x["area"].eqNullSafe(F.col("area"))), F.lit(0))
 
     def judged(c: Column) -> Column:
@@ -108,5 +109,5 @@ def _questions() -> Column:
 
 def deciding(whole: DataFrame) -> DataFrame:
     """Rows of records -> field, facts, n_combinations, n_records, place: fields by how many open combinations wait for them."""
-    rows = whole.select(F.inline("questions")).groupBy("field", "facts").agg(F.sum("n_combinations").cast("long").alias("n_combinations"), F.count(F.lit(1)).alias("n_records"))
+    rows = inlined(whole, [], "questions").groupBy("field", "facts").agg(F.sum("n_combinations").cast("long").alias("n_combinations"), F.count(F.lit(1)).alias("n_records"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_combinations"), "field")))  # a row for each field
