@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.functions.arrays import inlined
 from noticeloom.functions.text import normal
 
 #: What opens a clause.
@@ -108,7 +109,7 @@ def conditions(lines: DataFrame, keys: list[str], wordings: tuple[Wording, ...]
     start, end: offsets in the section's joined text, the end exclusive; page, line: where the span begins. exemptions: array<
     struct<kind, start, end>> of the same clause that speak of the kind. A wording counts once a clause.
     """
-    rows = section_texts(lines, keys).select(*keys, "section", "places", F.inline(clauses(F.col("text"))))
+    rows = inlined(section_texts(lines, keys), [*keys, "section", "places"], clauses(F.col("text")))
     rows = rows.withColumnRenamed("start", "_at").withColumn("text", F.col("text"))
 
     def span(pattern: str) -> tuple[Column, Column, Column]:
@@ -130,7 +131,7 @@ def conditions(lines: DataFrame, keys: list[str], wordings: tuple[Wording, ...]
         )))
     rows = rows.withColumns({"_found": F.array_compact(F.array(*found)), "_freed": F.array_compact(F.array(*freed))})
     within = lambda x: F.exists("_found", lambda y: F.array_contains(y["over"], x["kind"]) & (y["start"] <= x["start"]) & (y["end"] >= x["end"]))
-    rows = rows.select(*keys, "section", "places", "_freed", F.inline(F.filter("_found", lambda x: ~within(x))))
+    rows = inlined(rows, [*keys, "section", "places", "_freed"], F.filter("_found", lambda x: ~within(x)))
     place = F.element_at(F.filter("places", lambda p: p["start"] <= F.col("start")), -1)
     own = F.transform(F.filter("_freed", lambda e: F.array_contains(e["of"], F.col("kind"))), lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end")))
     return rows.select(*keys, "section", "kind", "operator", "value", place["page"].alias("page"), place["line"].alias("line"), "start", "end", "evidence", own.alias("exemptions"))
