@@ -87,9 +87,10 @@ def method_cutoff_criterion(spark, d):
     pages = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("notice_id"), F.date_sub(day, 30).alias("announced"), F.posexplode(F.array(first, second, third, fourth, fifth)).alias("page", "text")
     ).withColumn("page", F.col("page") + 1)
-    methods = clauses.application_method(pages, "notice_id")
-    cut = documents.cutoffs(pages.join(methods, "notice_id"), "method").select("notice_id", F.col("day").alias("cutoff"))
-    rows = pages.select("notice_id", "announced").distinct().join(methods, "notice_id").join(cut, "notice_id", "left").join(documents.contract_tables(pages), "notice_id", "left")
+    # A row for each notice packs well, so Spark would take such tables for small ones and send them through the driver.
+    methods = clauses.application_method(pages, "notice_id").hint("merge")
+    cut = documents.cutoffs(pages.join(methods, "notice_id"), "method").select("notice_id", F.col("day").alias("cutoff")).hint("merge")
+    rows = pages.select("notice_id", "announced").distinct().join(methods, "notice_id").join(cut, "notice_id", "left").join(documents.contract_tables(pages).hint("merge"), "notice_id", "left")
     ranked, none = F.col("method") == "unknown", F.lit(None)
     when = criterion_day(none.cast("string"), none.cast("string"), F.col("start"), F.when(ranked, F.col("cutoff")), F.col("method"), F.when(~ranked, F.col("cutoff")), F.col("announced"), F.lit(None).cast("date"))
     back = lambda x: F.date_sub(x, SHIFT)

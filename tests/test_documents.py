@@ -88,3 +88,17 @@ def test_document_links_need_trusted_pages(spark):
     frame = spark.createDataFrame([(page, "https://x.example/"), (page, "https://evil.example/"), (None, "https://x.example/"), (page, None)], "h string, b string").coalesce(1)
     got = [r.l for r in frame.select(document_links(F.col("h"), F.col("b"), ("x.example",)).alias("l")).collect()]
     assert got == [["https://x.example/a.PDF", "https://x.example/b?attach=1"], [], [], []]
+
+
+def test_rows_of_notices_are_not_sent_through_the_driver(spark):
+    """Tables with a row for each notice are joined by shuffles however small they seem."""
+    import os
+
+    import pytest
+
+    from noticeloom.plans.reading_queries import method_cutoff_criterion
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver tables")
+    plan = method_cutoff_criterion(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 4
