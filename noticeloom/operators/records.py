@@ -1,4 +1,4 @@
-"""A catalogue's whole record for each applicant and notice, made beside the applicant: no shuffle of applicants or combinations."""
+"""A catalogue's whole record for each applicant and notice, made beside the applicant: no shuffle of combinations."""
 
 from __future__ import annotations
 
