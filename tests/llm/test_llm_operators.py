@@ -145,6 +145,15 @@ def test_ngram_join_of_a_leader_in_many_parts(spark, monkeypatch, part_range):
     assert {r.doc_id: r.component_id for r in module.ngram_join(frame, part_rows=2).collect()} == brute_components(rows)
 
 
+def test_ngram_join_writes_leaders_before_texts_are_dealt(spark, docs, monkeypatch):
+    from noticeloom.llm import ngram_join as module
+
+    plans, to_blocks = [], module.to_blocks
+    monkeypatch.setattr(module, "to_blocks", lambda rows, *more: plans.append(rows._jdf.queryExecution().toString()) or to_blocks(rows, *more))
+    module.ngram_join(docs)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
 def test_ngram_join_of_the_largest_id(spark):
     from noticeloom.llm.ngram_join import ngram_join
 
