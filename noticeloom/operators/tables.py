@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import canonical_unit, integer
+from noticeloom.operators.dealing import dealt
 
 # The areas of the deposit table, and the columns that a supply table may have before its total.
 DEPOSIT_AREAS = ("85", "102", "135")
@@ -40,13 +41,15 @@ def supplies(rows: DataFrame, keys: list[str], names: tuple[str, ...] = SUPPLY_C
     table. Rows with the same unit: the last count stands in the first row's place, so a unit appears once.
     """
     values = F.transform(F.slice("counts", 1, len(names) + 1), lambda x: integer(F.when(F.trim(x).isin("-", ""), "0").otherwise(x)))
-    rows = rows.withColumn("unit_type", canonical_unit(F.col("unit"))).withColumn("v", values).withColumn("parts", F.slice("v", 1, len(names)))
+    rows = dealt(rows, *keys).withColumn("unit_type", canonical_unit(F.col("unit"))).withColumn("v", values).withColumn("parts", F.slice("v", 1, len(names)))
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x)
     good = (F.size("v") == len(names) + 1) & (total == F.try_element_at("v", F.lit(len(names) + 1))) & F.col("unit_type").isNotNull()
-    sound = rows.groupBy(*keys).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("_sound")).filter("_sound").drop("_sound")
-    listed = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("supply_type"), F.col("parts").alias("supply_count"))
-    out = rows.join(sound, keys, "left_semi").select(*keys, "unit_type", "row", F.explode(listed).alias("s"))
-    out = out.groupBy(*keys, "unit_type", F.col("s.supply_type").alias("supply_type")).agg(F.max_by("s.supply_count", "row").alias("supply_count"))
+    # A unit's row is chosen before its parts are listed: a row for each part would make every group seven.
+    last = F.max_by(F.struct("parts"), "row").alias("last")
+    units = rows.groupBy(*keys, "unit_type").agg(last, F.bool_and(F.coalesce(good, F.lit(False))).alias("good"))
+    tables = units.groupBy(*keys).agg(F.bool_and("good").alias("sound"), F.collect_list(F.struct("unit_type", "last")).alias("units")).filter("sound")
+    listed = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("supply_type"), F.col("u.last.parts").alias("supply_count"))
+    out = tables.select(*keys, F.explode("units").alias("u")).select(*keys, "u.unit_type", F.inline(listed))
     return out.filter("supply_count > 0")
 
 
