@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import dates, text
 from noticeloom.operators import clauses, competition, evaluation, history, merged, people, rules, store, tables
+from noticeloom.operators.dealing import dealt
 from noticeloom.operators.entities import current, exact_references
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import NOTICES_SQL, notices, table
@@ -319,7 +320,7 @@ def catalogue_statuses(spark, d):
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS notice_id, l_linenumber AS reason, l_returnflag AS supply FROM lineitem)
 SELECT notice_id, reason AS rule_id, count(*) AS n_supplies FROM r GROUP BY 1, 2 HAVING count(*) > 1""")
 def shared_reasons_having(spark, d):
-    rows = lines(spark, d).groupBy(F.lit(1).alias("profile_id"), F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("supply_type")).agg(F.collect_set(F.struct(F.col("l_linenumber").alias("rule_id"), F.lit("pass").alias("result"))).alias("reasons"))
+    rows = dealt(lines(spark, d), "l_orderkey").groupBy(F.lit(1).alias("profile_id"), F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("supply_type")).agg(F.collect_set(F.struct(F.col("l_linenumber").alias("rule_id"), F.lit("pass").alias("result"))).alias("reasons"))
     return evaluation.shared_reasons(rows).select("notice_id", "rule_id", "n_supplies")
 
 
