@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.text import compact, unit_key
 from noticeloom.operators.consensus import status_of
+from noticeloom.operators.dealing import dealt
 from noticeloom.operators.listing import is_reception, reception_overlaps
 
 # Wordings of events, supplies and audiences.
@@ -128,9 +129,12 @@ def special_diagnoses(offered: DataFrame, results: DataFrame, certified: DataFra
 
     A supply whose rules hold none of the kinds that its type has, and whose scope nobody has certified, is to review.
     """
-    rows = offered.filter(~is_general(F.col("supply_type"))).distinct().withColumn("type", special_type(F.col("supply_type")))
-    rows = rows.join(certified.select("notice_id", "supply_type", F.lit(True).alias("sure")).distinct(), ["notice_id", "supply_type"], "left")
-    own = results.select("profile_id", "notice_id", F.col("supply_type").alias("scope"), "kind", "result")
+    # What is offered and what is certified of it are grouped together, so that a notice's rows are dealt out once.
+    said = offered.select("notice_id", "supply_type", F.lit(False).alias("sure")).unionByName(certified.select("notice_id", "supply_type", F.lit(True).alias("sure")))
+    said = dealt(said.filter(~is_general(F.col("supply_type"))), "notice_id").groupBy("notice_id", "supply_type")
+    rows = said.agg(F.bool_or("sure").alias("sure"), F.bool_or(~F.col("sure")).alias("offered")).filter("offered").withColumn("type", special_type(F.col("supply_type")))
+    rows = rows.withColumn("sure", F.col("sure") & F.col("supply_type").isNotNull())
+    own = dealt(results.select("profile_id", "notice_id", F.col("supply_type").alias("scope"), "kind", "result"), "notice_id")
     rows = rows.join(own, "notice_id").filter(F.col("scope").isNull() | (F.col("scope") == F.col("supply_type")))
     typical = F.lit(False)
     for name, kinds in EXPECTED.items():
