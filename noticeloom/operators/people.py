@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import age_at
+from noticeloom.operators.dealing import dealt
 
 OTHERS = ("sibling", "unrelated")
 SPOUSE_SIDE = ("spouse_parent", "spouse_grandparent", "spouse_child", "spouse_grandchild")
@@ -30,7 +31,7 @@ def belongs(relation: Column, register: Column, has_spouse: Column, same_registe
 def households(members: DataFrame, profiles: DataFrame) -> DataFrame:
     """members (profile_id, member_id, relation, register), profiles (profile_id, on_register, has_spouse, same_register, roster_complete)
     -> profile_id, size, complete: size counts the applicant; null while anything that decides it is open."""
-    rows = members.join(profiles.select("profile_id", "has_spouse", "same_register"), "profile_id")
+    rows = dealt(members, "profile_id").join(profiles.select("profile_id", "has_spouse", "same_register"), "profile_id")
     rows = rows.withColumn("inside", belongs(F.col("relation"), F.col("register"), F.col("has_spouse"), F.col("same_register")))
     folded = rows.groupBy("profile_id").agg(
         F.count(F.when(F.col("inside") & (F.col("relation") != "applicant"), 1)).alias("others"), F.bool_or(F.col("inside").isNull() | (F.trim(F.coalesce("member_id", F.lit(""))) == "")).alias("open"),
