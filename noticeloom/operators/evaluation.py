@@ -71,10 +71,13 @@ def shared_reasons(judged: DataFrame) -> DataFrame:
 def catalogue(judged: DataFrame, notices: DataFrame) -> DataFrame:
     """profile_id, notice_id, status of all that judged has, and one row without a profile, `unpublished`, for each notice that no rule
     speaks of: it is that for every profile, so it isn't repeated for each."""
-    rows = judged.groupBy("profile_id", "notice_id").agg(notice_status(F.col("status")).alias("status"))
-    silent = notices.select(F.col("id").alias("notice_id")).join(judged.select("notice_id").distinct(), "notice_id", "left_anti")
+    rows = judged.groupBy("profile_id", "notice_id").agg(notice_status(F.col("status")).alias("status")).withColumn("_told", F.lit(True))
     nobody = F.lit(None).cast(judged.schema["profile_id"].dataType).alias("profile_id")
-    return rows.unionByName(silent.select(nobody, "notice_id", F.lit("unpublished").alias("status")))
+    named = notices.select(nobody, F.col("id").alias("notice_id"), F.lit("unpublished").alias("status"), F.lit(False).alias("_told"))
+    # Both stand in one table, as a join of notices with the judged ones would have these judged twice.
+    told = F.max("_told").over(Window.partitionBy("notice_id")) & F.col("notice_id").isNotNull()
+    out = rows.unionByName(named).withColumn("_any", told)
+    return out.filter(F.col("_told") | ~F.col("_any")).drop("_told", "_any")
 
 
 def brief(reasons: Column, most: int = 3) -> Column:

@@ -47,3 +47,11 @@ def test_households_deal_members_before_they_group(spark):
     profiles = spark.createDataFrame([(x, True, False, True, True) for x in "ab"], "profile_id string, on_register boolean, has_spouse boolean, same_register boolean, roster_complete boolean")
     out = people.households(members, profiles)
     assert {r.profile_id: r["size"] for r in out.collect()} == {"a": 3, "b": None} and "REPARTITION_BY_NUM" in plan(out)
+
+
+def test_catalogue_judges_once(spark):
+    judged = spark.createDataFrame([("p", 1, "possible"), ("q", 1, "mismatch"), ("p", 9, "mismatch"), ("p", None, "possible")], "profile_id string, notice_id int, status string")
+    notices = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
+    out = evaluation.catalogue(judged, notices)
+    want = [("p", 1, "possible"), ("p", 9, "mismatch"), ("p", None, "possible"), ("q", 1, "mismatch"), (None, 2, "unpublished"), (None, 2, "unpublished"), (None, None, "unpublished")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and "Join" not in plan(out)
