@@ -130,15 +130,18 @@ def reb_prices(details: DataFrame, models: DataFrame, category: str) -> DataFram
     The unit has its group in front where it has another; the area is the exclusive one, else the supplied; the amount is
     that which the pair publishes, in won. Rentals publish no deposit, and 0 is no price.
     """
-    rows = _of_sales(models, details, category)
     unit, group = reb_unit(models), first_usable(column(models, "GP"))
     amount = F.nullif(manwon_to_krw(column(models, "SUPLY_AMOUNT" if category in REB_SUPPLY_AMOUNT else "LTTOT_TOP_AMOUNT")), F.lit(0).cast("long"))
-    amount = F.when(~F.col("_rental"), amount)
-    return rows.select(
-        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), F.when(group != unit, F.concat_ws(" ", group, unit)).otherwise(unit).alias("unit_type"),
-        decimal_number(first_usable(column(models, "EXCLUSE_AR"), column(models, "SUPLY_AR"))).cast("double").alias("area_sqm"), F.when(F.col("_rental"), "deposit").otherwise("sale_max").alias("price_kind"),
+    # Read before the join, which then moves three values of a model and not its texts.
+    read = models.filter(unit.isNotNull()).select(
+        "HOUSE_MANAGE_NO", "PBLANC_NO", F.when(group != unit, F.concat_ws(" ", group, unit)).otherwise(unit).alias("unit_type"),
+        decimal_number(first_usable(column(models, "EXCLUSE_AR"), column(models, "SUPLY_AR"))).cast("double").alias("area_sqm"), amount.alias("_amount"),
+    )
+    amount = F.when(~F.col("_rental"), F.col("_amount"))
+    return _of_sales(read, details, category).select(
+        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), "unit_type", "area_sqm", F.when(F.col("_rental"), "deposit").otherwise("sale_max").alias("price_kind"),
         amount.alias("amount_krw"), F.lit(None).cast("long").alias("monthly_krw"), F.when(amount.isNotNull(), "official").otherwise("unknown").alias("verification"), F.lit(None).cast("string").alias("document_hash"),
-    ).filter("unit_type IS NOT NULL")
+    )
 
 
 def with_prices(notices: DataFrame, prices: DataFrame) -> DataFrame:

@@ -55,3 +55,15 @@ def test_catalogue_judges_once(spark):
     out = evaluation.catalogue(judged, notices)
     want = [("p", 1, "possible"), ("p", 9, "mismatch"), ("p", None, "possible"), ("q", 1, "mismatch"), (None, 2, "unpublished"), (None, 2, "unpublished"), (None, None, "unpublished")]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and "Join" not in plan(out)
+
+
+def test_models_are_read_before_they_are_joined(spark):
+    from noticeloom.sources.feeds import reb_prices
+
+    details = spark.createDataFrame([("1", "2", "0201", None), ("2", "2", "0203", None)], "HOUSE_MANAGE_NO string, PBLANC_NO string, SEARCH_HOUSE_SECD string, RENT_SECD string")
+    models = spark.createDataFrame([("1", "2", "84A", "G", "84.5", "1,000"), ("1", "2", "-", "G", "1", "1"), ("2", "2", "59", None, None, "5")], "HOUSE_MANAGE_NO string, PBLANC_NO string, HOUSE_TY string, GP string, SUPLY_AR string, SUPLY_AMOUNT string")
+    out = reb_prices(details, models, "urban")
+    assert {(r.house_no, r.unit_type, r.area_sqm, r.price_kind, r.amount_krw) for r in out.collect()} == {("1", "G 84A", 84.5, "sale_max", 10_000_000), ("2", "59", None, "deposit", None)}
+    join = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+    below = out._jdf.queryExecution().optimizedPlan().toString().split(join)[1]
+    assert "_amount" in below
