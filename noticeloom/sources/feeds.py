@@ -32,6 +32,7 @@ REB_SUPPLIES = {
     "SUPLY_HSHLDCO": "일반공급", "INSTT_RECOMEND_HSHLDCO": "기관추천 특별공급", "MNYCH_HSHLDCO": "다자녀가구 특별공급", "NWWDS_HSHLDCO": "신혼부부 특별공급",
     "OLD_PARNTS_SUPORT_HSHLDCO": "노부모부양 특별공급", "LFE_FRST_HSHLDCO": "생애최초 특별공급", "NEWBORN_HSHLDCO": "신생아 특별공급", "TRANSR_INSTT_ENFSN_HSHLDCO": "이전기관종사자 특별공급",
 }
+REB_AUDIENCES = {"CRSPAREA": "해당지역", "ETC_GG": "기타경기", "ETC_AREA": "기타지역"}
 #: Pairs whose models publish SUPLY_AMOUNT, and pairs whose notices may be under the price cap.
 REB_SUPPLY_AMOUNT, REB_CAPPED = ("urban", "private_rental"), ("apt", "unsold")
 REB_PROVIDER = "한국부동산원 청약홈"
@@ -77,7 +78,7 @@ def reb_events(rows: DataFrame) -> Column:
     c = lambda n: column(rows, n)
     ranked = [event("special", "특별공급", c("SPSPLY_RCEPT_BGNDE"), c("SPSPLY_RCEPT_ENDDE"))]
     for rank, kind in ((1, "first_priority"), (2, "second_priority")):
-        for stem, audience in (("CRSPAREA", "해당지역"), ("ETC_GG", "기타경기"), ("ETC_AREA", "기타지역")):
+        for stem, audience in REB_AUDIENCES.items():
             ranked.append(event(kind, f"{rank}순위", c(f"GNRL_RNK{rank}_{stem}_RCPTDE"), c(f"GNRL_RNK{rank}_{stem}_ENDDE"), audience))
     ranked.append(event("general", "일반공급", c("GNRL_RCEPT_BGNDE"), c("GNRL_RCEPT_ENDDE")))
     found = F.array_compact(F.array(*ranked))

@@ -6,12 +6,15 @@ notices keep their rules.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import lenient_date
 from noticeloom.functions.text import decimal_number, first_usable, manwon_to_krw, yes_no
-from noticeloom.sources.feeds import capital_region, column, lookup, reb, reb_category, reb_events, reb_supplies, reb_unit
+from noticeloom.sources.feeds import REB_AUDIENCES, capital_region, column, lookup, reb, reb_category, reb_supplies, reb_unit
 
 # The operation whose detail codes tell private from national housing, and categories without ranks.
 APT = "getAPTLttotPblancDetail"
@@ -43,8 +46,10 @@ def context(rows: DataFrame, operation: str) -> Column:
 
 
 def is_ranked(rows: DataFrame, operation: str) -> Column:
-    """Apartments with a reception by rank."""
-    return F.exists(reb_events(rows), lambda e: e["kind"].isin("first_priority", "second_priority")) if operation == APT else F.lit(False)
+    """Apartments with a reception by rank: one of the ranks' days can be read."""
+    days = [column(rows, f"GNRL_RNK{rank}_{stem}_RCPTDE") for rank in (1, 2) for stem in REB_AUDIENCES]
+    given = [lenient_date(x).isNotNull() for x in days]
+    return reduce(or_, given) if operation == APT else F.lit(False)
 
 
 def rank_applicability(rows: DataFrame, operation: str, category: str) -> Column:
