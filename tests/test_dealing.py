@@ -67,3 +67,11 @@ def test_models_are_read_before_they_are_joined(spark):
     join = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
     below = out._jdf.queryExecution().optimizedPlan().toString().split(join)[1]
     assert "_amount" in below
+
+
+def test_ranked_notices_are_told_by_days_alone(spark):
+    from noticeloom.sources import reb_metadata as metadata
+
+    rows = spark.createDataFrame([("2026-01-02", None), ("x", "20260103"), ("x", None), (None, None)], "GNRL_RNK1_CRSPAREA_RCPTDE string, GNRL_RNK2_ETC_AREA_RCPTDE string")
+    out = rows.coalesce(1).select(metadata.is_ranked(rows, metadata.APT).alias("ranked"))
+    assert [r.ranked for r in out.collect()] == [True, True, False, False] and "array" not in out._jdf.queryExecution().optimizedPlan().toString()
