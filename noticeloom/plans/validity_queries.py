@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from noticeloom.functions import labels
 from noticeloom.functions.dates import contract_day
 from noticeloom.operators import documents as docs
-from noticeloom.operators import profiles, rules, validity
+from noticeloom.operators import profiles, validity
+from noticeloom.operators.dealing import dealt
 from noticeloom.plans.region_queries import districts
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import table
@@ -23,8 +24,9 @@ NOTICES = ("o_orderkey AS notice_id", "CASE WHEN o_orderkey % 4 = 0 THEN 'unsold
 
 
 def rule_rows(spark, d):
-    """rule_id, notice_id, rule: JSON."""
-    rows = table(spark, d, "lineitem").selectExpr(*RULES).distinct()
+    """rule_id, notice_id, rule: JSON. Lines are dealt by notice before they are rules, so that neither texts nor trees are shuffled."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity")
+    rows = dealt(lines, "l_orderkey").selectExpr(*RULES).distinct()
     child = F.struct(F.lit("age_min").alias("kind"), F.col("child_version").alias("parser_version"), F.when(F.col("l_quantity") % 2 == 0, "official").alias("verification"))
     bad = F.struct(F.lit("x").alias("kind"), F.lit(docs.PARSER).alias("source"), F.lit("v1").alias("parser_version"))
     rule = F.struct(
@@ -40,15 +42,14 @@ def rule_rows(spark, d):
 SELECT rule_id FROM judged WHERE (NOT parsed OR (hash_ok AND (version = 'v9' OR (NOT read AND (version = 'v8' OR (version = 'v7' AND NOT affected))))))
   AND (NOT parsed OR child_version IS NULL OR l_quantity % 5 = 0) AND NOT bad_exception""")
 def valid_rules(spark, d):
-    own = rule_rows(spark, d)
-    return validity.valid_rules(rules.nodes(own), own, table(spark, d, "orders").selectExpr(*NOTICES), "v9", usable=("v8",), ordinary=("v7",))
+    return validity.valid_rules(rule_rows(spark, d), table(spark, d, "orders").selectExpr(*NOTICES), "v9", usable=("v8",), ordinary=("v7",))
 
 
 @query(f"""WITH {RULES_SQL}, told AS (SELECT *, l_quantity % 3 > 0 AS requirement, l_quantity % 3 = 0 OR l_quantity % 5 > 0 AS filled, l_quantity % 5 = 0 OR l_quantity % 2 = 0 AS child_ok FROM base), own AS (SELECT notice_id, bool_and(filled AND child_ok) AS verified FROM told WHERE requirement GROUP BY 1)
 SELECT o_orderkey AS notice_id, coalesce(verified, FALSE) AND CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 3 = 0 ELSE o_orderkey % 2 = 0 END AS complete FROM orders LEFT JOIN own ON o_orderkey = notice_id""")
 def complete_notices(spark, d):
-    own, k, c = rule_rows(spark, d), F.col("o_orderkey"), F.col("o_custkey") % 3
-    verified = validity.verified_rules(rules.nodes(own)).join(own.select("rule_id", "notice_id"), "rule_id")
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 3
+    verified = validity.with_verified(rule_rows(spark, d))
     topic = lambda required, status: F.struct(F.lit(required).alias("required"), F.lit(status).alias("status"))
     topics = F.when(c == 0, F.array(topic(True, "verified"), topic(False, "missing"))).when(c == 1, F.array(topic(None, "missing"))).otherwise(F.array(topic(True, "partial")))
     orders = table(spark, d, "orders")

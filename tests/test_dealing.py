@@ -1,9 +1,14 @@
 """What a task groups is bounded by rows, not by its share of a file."""
 
+import json
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators import availability, evaluation, people, tables
+from noticeloom.operators import availability, evaluation, people, tables, validity
 from noticeloom.operators.dealing import dealt
+from noticeloom.operators.rules import nodes
 
 
 def plan(frame) -> str:
@@ -75,3 +80,50 @@ def test_ranked_notices_are_told_by_days_alone(spark):
     rows = spark.createDataFrame([("2026-01-02", None), ("x", "20260103"), ("x", None), (None, None)], "GNRL_RNK1_CRSPAREA_RCPTDE string, GNRL_RNK2_ETC_AREA_RCPTDE string")
     out = rows.coalesce(1).select(metadata.is_ranked(rows, metadata.APT).alias("ranked"))
     assert [r.ranked for r in out.collect()] == [True, True, False, False] and "array" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _tree(rng, depth):
+    """A tree with whatever a rule may lack."""
+    node = {k: v for k, v in {"kind": rng.choice(["all", "age_min", "offered_supplies", None]), "effect": rng.choice([None, None, "metadata"]), "verification": rng.choice(["official", "official", "official", None]), "source": rng.choice([None, validity.PARSER, "feed"]), "parser_version": rng.choice([None, "v9", "v9", "v8", "v7", "v1"]), "document_hash": rng.choice([None, "h", "h", "x"])}.items() if v}
+    if depth:
+        node |= {k: [_tree(rng, depth - 1) if rng.random() < 0.9 else rng.choice([None, "text", 3, '{"kind":"all"}']) for _ in range(rng.randint(0, 2))] for k in ("conditions", "exceptions") if rng.random() < 0.6}
+    return node
+
+
+def test_rules_are_judged_in_their_rows(spark):
+    from noticeloom.operators.rules import with_nodes
+
+    rng = random.Random(3)
+    trees = [(str(i), i % 40, json.dumps(_tree(rng, 3))) for i in range(300)] + [("x", 1, "not json"), ("y", 1, None), ("z", 1, "[]")]
+    frame = spark.createDataFrame(trees, "rule_id string, notice_id int, rule string")
+    old = {r.rule_id: (r.requirement, r.verified) for r in validity.verified_rules(nodes(frame.select("rule_id", "rule"))).collect()}
+    out = validity.with_verified(frame)
+    assert {r.rule_id: (r.requirement, r.verified) for r in out.collect()} == old and len(set(old.values())) == 4
+    given = nodes(frame.select("rule_id", "rule")).join(frame.select("rule_id", "notice_id"), "rule_id").collect()
+    notices = [(i, ("apt", "unsold")[i % 2], ("모집", "무순위 모집")[i % 3 == 0], ("h", None)[i % 5 == 0]) for i in range(1, 40)]
+    read = {r.notice_id for r in given if r.source == validity.PARSER and r.parser_version == "v9"}
+    of = {x[0]: x for x in notices}
+
+    def holds(r):
+        _, category, title, document = of[r.notice_id]
+        v = r.parser_version
+        version_ok = v == "v9" or (v == "v8" or (v == "v7" and category != "unsold" and "무순위" not in title)) and r.notice_id not in read
+        return r.source != validity.PARSER or (version_ok and (document is None or r.document_hash == document))
+
+    want = {r.rule_id for r in given if r.notice_id in of} - {r.rule_id for r in given if r.notice_id in of and not holds(r)}
+    known = spark.createDataFrame(notices, "notice_id int, category string, title string, document_hash string")
+    valid = validity.valid_rules(dealt(frame, "notice_id"), known.hint("merge"), "v9", usable=("v8",), ordinary=("v7",))
+    got = [r.rule_id for r in valid.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 290
+    text = plan(valid)
+    assert text.count("Exchange hashpartitioning") == 2 and "Exchange" not in plan(out)  # rules once, notices once
+    deep = {"kind": "not", "conditions": []}
+    for _ in range(8):
+        deep = {"kind": "not", "exceptions" if _ == 3 else "conditions": [deep]}
+    for levels, rule in ((9, deep), (0, {"conditions": [deep]})):
+        made = with_nodes(spark.createDataFrame([(json.dumps(rule),)], "rule string"), ("kind",)).select(F.size("nodes").alias("n"))
+        if levels:
+            assert made.first().n == 9
+        else:
+            with pytest.raises(Exception, match="nested more than 8"):
+                made.collect()
