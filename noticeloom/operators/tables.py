@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +16,27 @@ DEPOSIT_AREAS = ("85", "102", "135")
 SUPPLY_COLUMNS = ("기관추천", "다자녀", "신혼부부", "노부모", "생애최초", "신생아", "일반")
 
 
-def deposit_table(lines: DataFrame, keys: list[str]) -> DataFrame:
+def deposit_table(lines: DataFrame, keys: list[str], of: DataFrame | None = None) -> DataFrame:
     """lines (keys, page, line, text) -> keys, tiers: array<struct<max_area, amounts>> of a table with rows up to 85, 102 and 135 and for all
-    areas, each with the same number of amounts; documents without exactly these rows have no row here."""
+    areas, each with the same number of amounts; documents without exactly these rows have no row here. of: the documents, see dealt."""
     number = r"([\d,]+)\s*만\s*원?"
     area = F.when(F.col("text").rlike(r"모든\s*면적"), "0").otherwise(F.regexp_extract("text", r"(\d{2,3})\s*㎡\s*이하", 1))
-    amounts = F.transform(F.regexp_extract_all("text", F.lit(number), F.lit(1)), lambda x: integer(x) * 10_000)
-    rows = lines.withColumn("area", area).withColumn("amounts", amounts).filter("area != '' AND size(amounts) > 0")
-    first = rows.groupBy(*keys, "area").agg(F.min_by("amounts", F.struct("page", "line")).alias("amounts"))
-    tier = F.struct(F.nullif(F.col("area").cast("int"), F.lit(0)).alias("max_area"), "amounts")
-    out = first.groupBy(*keys).agg(F.collect_set("area").alias("areas"), F.array_sort(F.collect_list(tier)).alias("tiers"), F.count_distinct(F.size("amounts")).alias("widths"))
-    wanted = F.array(*[F.lit(x) for x in ("0", *DEPOSIT_AREAS)])
-    return out.filter((F.size(F.array_except("areas", wanted)) == 0) & (F.size("areas") == 4) & (F.col("widths") == 1)).select(*keys, "tiers")
-
-
-def allocation_bands(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, low, high, points, lottery of lines such as '60㎡ 초과 85㎡ 이하 가점 40% 추첨 60%' whose two shares make 100."""
+    rows = lines.select(*keys, "page", "line", area.alias("area"), F.regexp_extract_all("text", F.lit(number), F.lit(1)).alias("said")).filter("area != '' AND size(said) > 0")
+    wanted = ("0", *DEPOSIT_AREAS)
+    first = [F.min_by("said", F.when(F.col("area") == x, F.struct("page", "line"))).alias(f"_{x}") for x in wanted]
+    # Lines are dealt as narrow rows and grouped once; amounts are read of the four that count.
+    found = dealt(rows, *keys, of=lines if of is None else of).groupBy(*keys).agg(*first, F.bool_and(F.col("area").isin(*wanted)).alias("_sole"))
+    same = [F.col(f"_{x}").isNotNull() & (F.size(f"_{x}") == F.size(f"_{wanted[0]}")) for x in wanted]
+    tier = lambda x: F.struct(F.lit(int(x) or None).cast("int").alias("max_area"), F.transform(f"_{x}", lambda n: integer(n) * 10_000).alias("amounts"))
+    return found.filter(F.col("_sole") & reduce(and_, same)).select(*keys, F.array_sort(F.array(*map(tier, wanted))).alias("tiers"))
+
+
+def allocation_bands(lines: DataFrame, keys: list[str], of: DataFrame | None = None) -> DataFrame:
+    """keys, low, high, points, lottery of lines such as '60㎡ 초과 85㎡ 이하 가점 40% 추첨 60%' whose two shares make 100. of: the documents."""
     get = lambda pattern: F.regexp_extract("text", pattern, 1).try_cast("int")
-    rows = lines.select(*keys, F.coalesce(get(r"(\d{2,3})\s*㎡\s*초과"), F.lit(0)).alias("low"), get(r"(\d{2,3})\s*㎡\s*이하").alias("high"), get(r"가점[^\d]{0,6}(\d{1,3})\s*%").alias("points"), get(r"추첨[^\d]{0,6}(\d{1,3})\s*%").alias("lottery"))
-    return rows.filter("points + lottery = 100 AND (low > 0 OR high IS NOT NULL)").distinct()
+    shares = lines.filter(F.col("text").rlike(r"가점[^\d]{0,6}\d{1,3}\s*%"))  # most lines tell none, and are looked at once
+    rows = shares.select(*keys, F.coalesce(get(r"(\d{2,3})\s*㎡\s*초과"), F.lit(0)).alias("low"), get(r"(\d{2,3})\s*㎡\s*이하").alias("high"), get(r"가점[^\d]{0,6}(\d{1,3})\s*%").alias("points"), get(r"추첨[^\d]{0,6}(\d{1,3})\s*%").alias("lottery"))
+    return dealt(rows.filter("points + lottery = 100 AND (low > 0 OR high IS NOT NULL)"), *keys, of=lines if of is None else of).distinct()
 
 
 def supplies(rows: DataFrame, keys: list[str], names: tuple[str, ...] = SUPPLY_COLUMNS) -> DataFrame:

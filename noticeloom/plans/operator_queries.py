@@ -423,8 +423,9 @@ def deposit_tables(spark, d):
     p = (F.col("o_custkey") % 101).cast("string")
     texts = F.array(said("전용 85㎡ 이하 ", c, "만원 250만원"), F.lit("102㎡ 이하 600만원 400만원"), F.when(k % 3 > 0, "135㎡ 이하 1,000만원 700만원").otherwise("별도 문의"), F.lit("모든 면적 1,500만원 1,000만원"),
                     said("60㎡ 초과 85㎡ 이하 가점 ", p, "% 추첨 ", (100 - F.col("o_custkey") % 101).cast("string"), "%"), F.lit("85㎡ 초과 가점 50% 추첨 60%"))
-    rows = table(spark, d, "orders").select(k.alias("notice_id"), F.lit(1).alias("page"), F.posexplode(texts).alias("line", "text"))
-    deposit, bands = tables.deposit_table(rows, ["notice_id"]), tables.allocation_bands(rows, ["notice_id"])
+    orders = table(spark, d, "orders")
+    rows = orders.select(k.alias("notice_id"), F.lit(1).alias("page"), F.posexplode(texts).alias("line", "text"))
+    deposit, bands = tables.deposit_table(rows, ["notice_id"], of=orders), tables.allocation_bands(rows, ["notice_id"], of=orders)
     smallest = F.element_at(F.filter("tiers", lambda t: t["max_area"] == 85)[0]["amounts"], 1)
     return deposit.join(bands, "notice_id").select("notice_id", F.size("tiers").alias("n_tiers"), smallest.alias("smallest"), "low", "points")
 

@@ -127,3 +127,14 @@ def test_rules_are_judged_in_their_rows(spark):
         else:
             with pytest.raises(Exception, match="nested more than 8"):
                 made.collect()
+
+
+def test_deposit_lines_are_dealt_once(spark):
+    table = ["85㎡ 이하 300만원 250만원", "102㎡ 이하 600만원 400만원", "135㎡ 이하 1,000만원 700만원", "모든 면적 1,500만원 1,000만원", "85㎡ 초과 가점 40% 추첨 60%", "60㎡ 초과 가점 50% 추첨 40%"]
+    docs = [table, table[:3], [*table, "85㎡ 이하 9만원 9만원"], [*table, "70㎡ 이하 1만원 1만원"], [*table[:3], "모든 면적 1,500만원"], [None, "85㎡ 이하"]]
+    lines = spark.createDataFrame([(i, 1, n, t) for i, d in enumerate(docs) for n, t in enumerate(d)], "doc int, page int, line int, text string")
+    out, bands = tables.deposit_table(lines, ["doc"]), tables.allocation_bands(lines, ["doc"])
+    tiers = [(None, [15_000_000, 10_000_000]), (85, [3_000_000, 2_500_000]), (102, [6_000_000, 4_000_000]), (135, [10_000_000, 7_000_000])]
+    assert {r.doc: [(t.max_area, t.amounts) for t in r.tiers] for r in out.collect()} == {0: tiers, 2: tiers}
+    assert {tuple(r) for r in bands.collect()} == {(i, 85, None, 40, 60) for i in (0, 2, 3)}
+    assert [plan(x).count("Exchange hashpartitioning") for x in (out, bands, out.join(bands.hint("merge"), "doc"))] == [1, 1, 2]
