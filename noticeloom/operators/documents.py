@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.dates import date_token
 from noticeloom.functions.text import compact, normal
 from noticeloom.operators.consensus import best_row
+from noticeloom.operators.dealing import dealt
 from noticeloom.operators.flat_tables import DAY as FLAT_DAY
 from noticeloom.operators.flat_tables import PERIOD, agreed_value, once, paired, period
 
@@ -39,12 +40,13 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(match.isNotNull(), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")).try_cast("date"))
 
 
-def cutoffs(pages: DataFrame, method: str) -> DataFrame:
+def cutoffs(pages: DataFrame, method: str, of: DataFrame | None = None) -> DataFrame:
     """pages (notice_id, page, text, `method`) -> notice_id, day, page: the cut-off day that a document states, of its first PAGES pages.
 
     Of special methods only their own announcement's day counts, in a sentence or else in a schedule table of the first
     TABLE_PAGES pages whose labels stand before its dates (none if two tables differ); else the day of the own round, then that of the
     announcement. The earliest page that states a day of the calendar counts; documents without one have no row.
+    of: the notices, by whose number rows are dealt to tasks (see dealt); without them Spark's own number of tasks holds.
     """
     text = normal(F.col("text"))
     special = F.lit(None).cast("date")
@@ -53,15 +55,17 @@ def cutoffs(pages: DataFrame, method: str) -> DataFrame:
         special = F.when(F.col(method) == name, _found(text, pattern)).otherwise(special)
     plain = ~F.coalesce(F.col(method).isin(*METHODS), F.lit(False))
     own, announced = _found(text, OWN_ROUND), _found(text, ANNOUNCED)
-    rows = pages.withColumns({"_special": special, "_round": F.when(plain, own), "_announced": F.when(plain, announced)})
     table = paired(F.nullif(F.regexp_extract(text, SCHEDULE, 0), F.lit("")), COLUMNS, FLAT_DAY)
     listed = F.when((F.col("page") <= TABLE_PAGES) & ~plain, once(F.try_element_at(table, F.col(method)), date_token))
-    told = Window.partitionBy("notice_id")
-    agreed_day = F.when(F.min(listed).over(told) == F.max(listed).over(told), listed)
-    rows = rows.withColumn("_listed", agreed_day)
-    rows = rows.select("notice_id", "page", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("day")) for i, c in enumerate(("_special", "_listed", "_round", "_announced"))])).alias("x"))
-    rows = rows.filter((F.col("page") <= PAGES) & F.col("x.day").isNotNull()).select("notice_id", "page", "x.rank", "x.day")
-    return best_row(rows, ["notice_id"], F.col("rank"), F.col("page")).select("notice_id", "day", "page")
+    days = F.array(*[F.struct(F.lit(i).alias("rank"), d.alias("day")) for i, d in enumerate((special, listed, F.when(plain, own), F.when(plain, announced)))])
+    # Only pages that tell a day are dealt, and each notice is grouped once in its task.
+    rows = pages.filter(F.col("page") <= PAGES).select("notice_id", "page", F.inline(F.filter(days, lambda x: x["day"].isNotNull())))
+    rank, day = F.col("rank"), F.col("day")
+    first = [F.min(F.when(rank == i, F.struct("page", "day"))).alias(f"_{i}") for i in range(4)]
+    agreed_day = F.min(F.when(rank == 1, day)) == F.max(F.when(rank == 1, day))
+    found = (rows if of is None else dealt(rows, "notice_id", of=of)).groupBy("notice_id").agg(*first, agreed_day.alias("_agreed"))
+    chosen = F.coalesce("_0", F.when(F.col("_agreed"), F.col("_1")), "_2", "_3")
+    return found.select("notice_id", chosen.alias("x")).filter("x IS NOT NULL").select("notice_id", "x.day", "x.page")
 
 
 def contract_tables(pages: DataFrame) -> DataFrame:

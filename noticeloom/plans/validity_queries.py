@@ -162,8 +162,9 @@ def document_cutoffs(spark, d):
         .when((k == 2) & (page == 1), said("분양광고일 (", day, "yyyy/MM/dd")).when((k == 2) & (page == 4), "이 주택의 입주자모집공고일은 2024.02.30")
         .when((k == 3) & (page == F.when(F.col("o_custkey") % 2 == 0, 9).otherwise(8)), said("본 주택의 입주자모집공고일은", day, "yyyy.MM.dd")).otherwise("일정 2024.01.05")
     )
-    pages = table(spark, d, "orders").select("*", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("page")).select(F.col("o_orderkey").alias("notice_id"), "page", body(F.col("page")).alias("text"), F.when(k == 0, "unranked_after").when(k == 4, "optional_supply").alias("method"))
-    out = docs.cutoffs(pages, "method")
+    orders = table(spark, d, "orders")
+    pages = orders.select("*", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("page")).select(F.col("o_orderkey").alias("notice_id"), "page", body(F.col("page")).alias("text"), F.when(k == 0, "unranked_after").when(k == 4, "optional_supply").alias("method"))
+    out = docs.cutoffs(pages, "method", of=orders)
     return out.select("notice_id", F.date_sub("day", 10_227).alias("day"), "page")
 
 

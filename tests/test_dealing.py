@@ -138,3 +138,15 @@ def test_deposit_lines_are_dealt_once(spark):
     assert {r.doc: [(t.max_area, t.amounts) for t in r.tiers] for r in out.collect()} == {0: tiers, 2: tiers}
     assert {tuple(r) for r in bands.collect()} == {(i, 85, None, 40, 60) for i in (0, 2, 3)}
     assert [plan(x).count("Exchange hashpartitioning") for x in (out, bands, out.join(bands.hint("merge"), "doc"))] == [1, 1, 2]
+
+
+def test_pages_without_a_day_are_not_dealt(spark):
+    from noticeloom.operators import documents
+
+    own, first = "본 주택의 2회차 입주자모집공고일은 2026.01.0", "이 주택의 최초 입주자모집공고일은 2026.02.0"
+    pages = [(1, 1, first + "1"), (1, 2, own + "2"), (1, 3, own + "3"), (2, 9, own + "4"), (2, 8, first + "5"), (3, 1, "일정 2026.01.05"), (4, 1, None), (4, None, own + "6"), (None, 1, own + "7")]
+    frame = spark.createDataFrame(pages, "notice_id int, page int, text string").withColumn("method", F.lit(None).cast("string"))
+    out = documents.cutoffs(frame, "method", of=frame)
+    assert {(r.notice_id, str(r.day), r.page) for r in out.collect()} == {(1, "2026-01-02", 2), (2, "2026-02-05", 8), (None, "2026-01-07", 1)}
+    text = plan(out)
+    assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in text and "Window" not in text
