@@ -154,6 +154,17 @@ def test_ngram_join_writes_leaders_before_texts_are_dealt(spark, docs, monkeypat
     assert len(plans) == 1 and "Exchange" not in plans[0]
 
 
+@pytest.mark.parametrize("fanout", [None, 3])
+def test_ngram_join_deals_texts_in_waves(spark, docs, monkeypatch, fanout):
+    from noticeloom.llm import ngram_join as module
+
+    want, calls, to_blocks = {tuple(r) for r in module.ngram_join(docs).collect()}, [], module.to_blocks
+    monkeypatch.setattr(module, "WAVE_BLOCKS", 2)
+    monkeypatch.setattr(module, "to_blocks", lambda rows, *more: calls.append(more) or to_blocks(rows, *more))
+    got = module.ngram_join(docs, block_bytes=20_000, fanout=fanout)
+    assert {tuple(r) for r in got.collect()} == want and [x[2:] for x in calls] == [(4, i) for i in range(4)]
+
+
 def test_ngram_join_of_the_largest_id(spark):
     from noticeloom.llm.ngram_join import ngram_join
 
