@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = ("", "null", "None", "-")
+RESULTS = {"1순위해당지역마감(청약접수종료)": "local_first_closed", "1순위마감(청약접수종료)": "first_closed", "청약접수중": "open"}
 
 
 def compact(text: Column) -> Column:
@@ -54,7 +55,8 @@ def decimal_number(text: Column) -> Column:
 def integer(text: Column) -> Column:
     """A decimal_number that is whole, as long."""
     value = decimal_number(text)
-    return F.when(value == F.floor(value), value.try_cast("long"))
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    return F.when(plain.rlike(r"^\d{1,18}\z"), plain.try_cast("long")).otherwise(F.when(value == F.floor(value), value.try_cast("long")))  # most are digits alone
 
 
 def manwon_to_krw(text: Column) -> Column:
@@ -86,11 +88,8 @@ def base_title(title: Column) -> Column:
 
 def result_status(text: Column) -> Column:
     """Exact wordings of competition results; a high rate alone closes nothing."""
-    plain = compact(F.coalesce(text, F.lit("")))
-    return (
-        F.when(plain == "1순위해당지역마감(청약접수종료)", "local_first_closed").when(plain == "1순위마감(청약접수종료)", "first_closed")
-        .when(plain == "청약접수중", "open").otherwise("unknown")
-    )
+    known = F.create_map(*[F.lit(x) for pair in RESULTS.items() for x in pair])  # the text is read once
+    return F.coalesce(F.element_at(known, compact(F.coalesce(text, F.lit("")))), F.lit("unknown"))
 
 
 def rate_label(rate: Column) -> Column:

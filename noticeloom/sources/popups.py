@@ -7,54 +7,59 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.text import compact, first_usable, integer, result_status, unit_key
 from noticeloom.sources.feeds import AREA, column, lookup
-from noticeloom.sources.html import html_tables, table_named
+from noticeloom.sources.html import html_table
 
-# The page's table, the classes of its cells, its areas, and the greatest score.
-TABLE = "compitTbl"
+# The page's table, the attributes of its rows, the classes of its cells, its areas, and the greatest score.
+TABLE, ATTRIBUTES = "compitTbl", ("data-ty", "data-sem")
 UNIT_CLASS, RESULT_CLASS, SCORE_CLASS = "cpHouseTy", "cpSubscrptRt", "cpResideSenm"
 AREAS = {"해당지역": "local", "기타지역": "other", "기타경기": "other_gyeonggi"}
 MOST_SCORE = 84
 SCORE_KEY = ("unit_key", "residence_area", "house_no", "notice_no", "supply_type", "rank", "selection_path", "min_score", "max_score", "average_score")
 
 
-def _cell(row: Column, i: int) -> Column:
-    return F.try_element_at(row["cells"], F.lit(i + 1))
-
-
 def _has(row: Column, i: int, name: str) -> Column:
-    return F.coalesce(F.array_contains(F.split(_cell(row, i)["class"], r"\s+"), name), F.lit(False))
+    classes = F.try_element_at(row["classes"], F.lit(i + 1))
+    return F.coalesce((classes == name) | (classes.contains(name) & F.array_contains(F.split(classes, r"\s+"), name)), F.lit(False))
 
 
 def _text(row: Column, i: int) -> Column:
-    return F.coalesce(_cell(row, i)["text"], F.lit(""))
+    return F.coalesce(F.try_element_at(row["texts"], F.lit(i + 1)), F.lit(""))
 
 
 def _attr(row: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(row["attrs"], F.lit(name)), F.lit(""))
+    return F.coalesce(F.element_at(row["attrs"], ATTRIBUTES.index(name) + 1), F.lit(""))
 
 
-def _rank(row: Column) -> Column:
+def _rank(row: Column, text: Column) -> Column:
     """The rank that both the class and the text of the third cell tell."""
-    return F.when(_has(row, 2, "cpRank1") & (compact(_text(row, 2)) == "1순위"), 1).when(_has(row, 2, "cpRank2") & (compact(_text(row, 2)) == "2순위"), 2)
+    return F.when(_has(row, 2, "cpRank1") & (compact(text) == "1순위"), 1).when(_has(row, 2, "cpRank2") & (compact(text) == "2순위"), 2)
 
 
-def _area(text: Column) -> Column:
-    return F.coalesce(lookup(AREAS, compact(text)), F.lit("unknown"))
+def _read(row: Column) -> Column:
+    """A row with what is told of its cells without white space, each read once; what is the same as written isn't read twice."""
+    unit, named, label, area = _text(row, 0), _attr(row, "data-ty"), _text(row, 3), _attr(row, "data-sem")
+    same_unit, same_area = (unit == named) | (unit_key(unit) == unit_key(named)), (label == area) | (compact(label) == compact(area))
+    columns = (F.size(row["texts"]) >= 7) & _has(row, 0, UNIT_CLASS) & _has(row, 6, RESULT_CLASS)
+    return F.struct(
+        F.size(row["texts"]).alias("size"), columns.alias("columns"), ((unit_key(unit) != "") & same_unit).alias("unit"), same_area.alias("area"), compact(label).alias("label"),
+        _rank(row, _text(row, 2)).alias("rank"), _has(row, 7, SCORE_CLASS).alias("scored"), row["texts"].alias("texts"),
+    )
 
 
 def _problem(row: Column) -> Column:
     """Why a row isn't what it was when this was written: its columns, unit, area or rank."""
-    unit = unit_key(_text(row, 0))
     return (
-        F.when((F.size(row["cells"]) < 7) | ~_has(row, 0, UNIT_CLASS) | ~_has(row, 6, RESULT_CLASS), "columns")
-        .when((unit == "") | (unit != unit_key(_attr(row, "data-ty"))), "unit")
-        .when(compact(_text(row, 3)) != compact(_attr(row, "data-sem")), "area").when(_rank(row).isNull(), "rank")
+        F.when(~row["columns"], "columns").when(~row["unit"], "unit").when(~row["area"], "area").when(row["rank"].isNull(), "rank")
     )
 
 
+def _area(label: Column) -> Column:
+    return F.coalesce(lookup(AREAS, label), F.lit("unknown"))
+
+
 def _result(row: Column) -> Column:
     return F.struct(
-        _text(row, 0).alias("unit_type"), _rank(row).alias("rank"), _area(_text(row, 3)).alias("residence_area"), _text(row, 3).alias("residence_area_label"), F.lit("general").alias("supply_type"),
+        _text(row, 0).alias("unit_type"), row["rank"].alias("rank"), _area(row["label"]).alias("residence_area"), _text(row, 3).alias("residence_area_label"), F.lit("general").alias("supply_type"),
         integer(_text(row, 1)).alias("supply_count"), integer(_text(row, 4)).alias("application_count"), F.coalesce(F.nullif(_text(row, 5), F.lit("")), F.lit("-")).alias("competition_rate"),
         result_status(_text(row, 6)).alias("result_status"), F.nullif(_text(row, 6), F.lit("")).alias("result_text"),
     )
@@ -67,12 +72,11 @@ def _number(text: Column) -> Column:
 
 def _score(row: Column) -> Column:
     """The winning score of a first-rank row of eleven cells whose two areas agree, lowest <= average <= highest; else null."""
-    low, high, mean = (_number(_text(row, i)) for i in (8, 9, 10))
-    sound = (
-        (F.size(row["cells"]) == 11) & _problem(row).isNull() & (_rank(row) == 1) & (_area(_text(row, 3)) != "unknown")
-        & _has(row, 7, SCORE_CLASS) & (compact(_text(row, 7)) == compact(_text(row, 3))) & (low <= mean) & (mean <= high)
-    )
-    return F.when(sound, F.struct(_text(row, 0).alias("unit_type"), _area(_text(row, 3)).alias("residence_area"), low.alias("min_score"), high.alias("max_score"), mean.alias("average_score")))
+    numbers = F.transform(F.slice(row["texts"], 9, 3), _number)
+    sound = (row["size"] == 11) & _problem(row).isNull() & (row["rank"] == 1) & (_area(row["label"]) != "unknown") & row["scored"]
+    sound = sound & (compact(_text(row, 7)) == row["label"])
+    score = lambda n: F.when((n[0] <= n[2]) & (n[2] <= n[1]), F.struct(_text(row, 0).alias("unit_type"), _area(row["label"]).alias("residence_area"), n[0].alias("min_score"), n[1].alias("max_score"), n[2].alias("average_score")))
+    return F.when(sound, F.element_at(F.transform(F.array(numbers), score), 1))
 
 
 def popups(pages: DataFrame) -> DataFrame:
@@ -81,9 +85,9 @@ def popups(pages: DataFrame) -> DataFrame:
     Rows without a data-ty attribute are headers and samples. A page without the whole table, or with a row that fails
     a check, has an error and no results; scores are read row by row and independent of it. html is dropped.
     """
-    rows = pages.withColumn("_table", table_named(html_tables(F.col("html")), TABLE))
+    rows = pages.withColumn("_table", html_table(F.col("html"), TABLE, *ATTRIBUTES))
     whole = F.coalesce(F.col("_table.closed"), F.lit(False))
-    real = F.filter("_table.rows", lambda r: _attr(r, "data-ty") != "")
+    real = F.transform(F.filter("_table.rows", lambda r: _attr(r, "data-ty") != ""), _read)
     rows = rows.withColumn("_rows", F.when(whole, real))
     problem = F.try_element_at(F.array_compact(F.transform("_rows", _problem)), F.lit(1))
     rows = rows.withColumn("error", F.when(~whole, "table").otherwise(problem))
@@ -93,10 +97,10 @@ def popups(pages: DataFrame) -> DataFrame:
 
 def complete(results: Column, expected: Column) -> Column:
     """Whether results hold exactly the expected units, none empty, each with a local and another area of the first rank."""
-    keys = F.array_distinct(F.transform(results, lambda r: unit_key(r["unit_type"])))
-    wanted = F.array_distinct(F.filter(F.transform(expected, unit_key), lambda u: u != ""))
-    first = lambda u, *areas: F.exists(results, lambda r: (unit_key(r["unit_type"]) == u) & (r["rank"] == 1) & r["residence_area"].isin(*areas))
-    both = F.forall(keys, lambda u: first(u, "local") & first(u, "other", "other_gyeonggi"))
+    units = lambda rows: F.array_distinct(F.transform(rows, lambda r: unit_key(r["unit_type"])))
+    first = lambda *areas: units(F.filter(results, lambda r: (r["rank"] == 1) & r["residence_area"].isin(*areas)))
+    keys, wanted = units(results), F.array_distinct(F.filter(F.transform(expected, unit_key), lambda u: u != ""))
+    both = (F.size(F.array_except(keys, first("local"))) == 0) & (F.size(F.array_except(keys, first("other", "other_gyeonggi"))) == 0)
     return F.coalesce((F.size(wanted) > 0) & (F.array_sort(keys) == F.array_sort(wanted)) & both, F.lit(False))
 
 

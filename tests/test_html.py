@@ -78,3 +78,48 @@ def test_plain_pages_are_read_as_by_the_parser():
     assert any(_plain(x, {}) is None for x in pages) and any(_plain(x, {}) for x in pages)
     arrays = table_arrays([read_tables(x, {}) for x in pages])
     assert arrays.type.value_type == TABLE and arrays.to_pylist() == __import__("pyarrow").array([parsed(x) for x in pages], arrays.type).to_pylist()
+
+
+def test_named_tables_of_many_pages_are_read_as_one_by_one(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from noticeloom.sources import html
+
+    plain = ["<table>", "</table>", "<tr data-ty='a b' X=\"Q\">", '<TR data-ty="7" x=\'"\'>', "</tr>", "<td>", "<td class=x>", '<td class="a b" id="t">', "</td>", "<th checked>", "text ", "\n\t x", "<b>", "한　글", "<a href='u'>", "</TBODY>", "<br>"]
+    other = ["&amp;", "<br/>", "<!-- c -->", "<script>", "<td class=a/>", "< td>", "<", ">", "</td >", "<td class='a' class=b>", "</>", "<td a= 'b'>", "<>"]
+    chance = random.Random(2)
+    draw = lambda share: ["<table id=t>" * chance.randint(0, 1) + "".join(chance.choice(plain if chance.random() < share else other) for _ in range(chance.randint(0, 30))) for _ in range(2000)]
+    for pages in (draw(0.98), ["", "x", "</table>", "<table id=t>", "&"], [""], []):
+        got = html.named_tables(pa.array(pages, pa.string()), "t", ("data-ty", "x"))
+        assert got.to_pylist() == [html._slow(x, "t", ("data-ty", "x")) for x in pages]
+        assert got.slice(3, 2).equals(html.named_tables(pa.array(pages, pa.string()).slice(3, 2), "t", ("data-ty", "x")))
+    monkeypatch.setattr(html, "read_tables", None)  # plain pages aren't read one by one
+    assert html.named_tables(pa.array(["<table id=t><tr><td>1<td>a<b> b</b></table>", "<table id=t><tr x='1'><td class=\"c\">"]), "t", ("x",)).to_pylist() == [
+        {"closed": True, "rows": [{"attrs": [None], "classes": ["", ""], "texts": ["1", "a b"]}]}, {"closed": False, "rows": [{"attrs": ["1"], "classes": ["c"], "texts": [""]}]}]
+
+
+def test_result_pages_are_dealt_once_and_send_no_nested_cells(spark):
+    from noticeloom.plans.catalogue import QUERIES
+
+    for name in ("popup_checks", "popup_rows", "popup_scores", "popup_completeness"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan and "hrefs" not in plan
+
+
+def test_complete_units(spark):
+    from noticeloom.sources.popups import complete
+
+    rows = [("84.A", 1, "local"), ("84a", 1, "other"), ("59", 1, "local"), ("59", 2, "other")]
+    kind = "array<struct<unit_type:string,rank:int,residence_area:string>>"
+    frame = spark.createDataFrame([(0, rows[:2], ["84A"]), (1, rows, ["84A", "59"]), (2, [*rows, ("59", 1, "other_gyeonggi")], ["8 4A", "59", ""]), (3, rows[:2], ["84A", "59"]), (4, rows[:2], []), (5, None, ["84A"]), (6, rows[:2], None), (7, [(None, 1, "local"), (None, 1, "other")], [None])], f"id int, r {kind}, e array<string>")
+    assert [r.c for r in frame.select("id", complete(F.col("r"), F.col("e")).alias("c")).orderBy("id").collect()] == [True, False, True, False, False, False, False, False]
+
+
+def test_whole_numbers(spark):
+    from noticeloom.functions.text import integer
+
+    texts = ["1,200", "0", "007", "12.0", "12.5", "", None, "-3", " 7 ", "1 2", "9" * 18, "9" * 19, "9" * 20, "x", "１", "5\n"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", integer(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [1200, 0, 7, 12, None, None, None, None, 7, None, 10**18 - 1, None, None, None, None, 5]
