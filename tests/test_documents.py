@@ -102,3 +102,24 @@ def test_rows_of_notices_are_not_sent_through_the_driver(spark):
         pytest.skip("needs the driver tables")
     plan = method_cutoff_criterion(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 4
+
+
+def test_clauses_without_a_wordings_words_are_not_searched(spark):
+    import dataclasses
+    import random
+
+    from noticeloom.operators.wordings import EXEMPTIONS, WORDINGS, clauses, conditions
+    from noticeloom.plans.reading_queries import SAID
+
+    for w in (*WORDINGS, *EXEMPTIONS):
+        assert w.needs and all(x in w.pattern for words in w.needs for x in words.split("|"))
+    chance, parts = random.Random(3), [t for _, lines, _ in SAID for _, t in lines]
+    more = ["출산 특례", "5년 이상 장기복무", "납부 의무", "임신", "국내 만 30세 이상인 자", "청약저축 불요", "거주지 무관", "직계존속을 2년 이상 부양", "2세 미만 자녀", "외국인의 경우 불가능", "과거 5년 이내 당첨 없는"]
+    rows = [(i, chance.choice(["신생아", "생애최초", None]), 1, j, chance.choice(parts + more)) for i in range(300) for j in range(chance.randint(1, 6))]
+    rows += [(1000 + k, section, page, j, text) for k, (section, lines, _) in enumerate(SAID) for j, (page, text) in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "doc int, section string, page int, line int, text string")
+    all_words = [tuple(dataclasses.replace(x, needs=()) for x in xs) for xs in (WORDINGS, EXEMPTIONS)]
+    got = [sorted(map(repr, x.collect())) for x in (conditions(frame, ["doc"]), conditions(frame, ["doc"], *all_words))]
+    assert got[0] == got[1] and len({r.split("kind=")[1].split(",")[0] for r in got[0]}) == len(WORDINGS)
+    texts = spark.createDataFrame([(0, "a ■ b① c"), (1, "plain"), (2, ""), (3, None), (4, "■")], "i int, t string")
+    assert [r.c and [tuple(x) for x in r.c] for r in texts.select("i", clauses(F.col("t")).alias("c")).orderBy("i").collect()] == [[(0, "a "), (2, "■ b"), (5, "① c")], [(0, "plain")], [(0, "")], None, [(0, "■")]]
